@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, secrets
+from . import chunks, decontam, linededup, mixing, quality, sampling, secrets, simhash, tokens
+from .common import shared_dir
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +29,49 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k).alias(f"n_{k}") for k, *_ in secrets.BASE], F.sha2(secrets.span_text(base), 256).alias("base_sha256"), secrets.span_text(F.col("spans")).alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_rules, op3_secret_scan)}
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.repeated_spans(documents(spark, sf_dir)).drop("text_key")
+
+
+def op4_sampled_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    got = sampling.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return got.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "n_pieces", "ids_crc32", "lossless")
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("text_key")
+
+
+def op7_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.score(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    tokens.encode_files(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2, out=out)
+    return tokens.decode_digests(tokens.read_files(spark, out))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = tokens.count_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.drop_boilerplate(documents(spark, sf_dir).select("doc_id", "source", "text"))
+    return found.select("doc_id", "n_dropped", F.length("text").cast("long").alias("n_kept_chars"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_substring_dedup, op2_quality_rules, op3_secret_scan, op4_sampled_segmentation, op5_simhash, op6_decontamination, op7_context_mixing, op8_token_files, op9_token_counts, op10_line_dedup)
+}
 
 ORACLES: dict[str, str] = {
     "op2_quality_rules": rf"""
@@ -45,4 +90,15 @@ m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND word_chars / n_words BETWEEN 3 AND 10
        AND n_symbols / n_words <= 0.1 AND n_stop_words / n_words >= 0.08 AND n_dup_lines / n_lines <= 0.3 AS kept FROM m""",
+    "op10_line_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT row_id, source, unnest(ls) AS raw, unnest(range(len(ls))) AS i FROM d),
+b AS (SELECT row_id, source, i, raw, trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM l),
+bad AS (SELECT source, line FROM b WHERE line <> '' GROUP BY source, line
+        HAVING count(DISTINCT row_id) >= 5 AND count(DISTINCT row_id) > 0.1 * (SELECT count(*) FROM d WHERE d.source IS NOT DISTINCT FROM b.source)),
+k AS (SELECT b.*, bad.line IS NOT NULL AS gone FROM b LEFT JOIN bad ON b.line = bad.line AND b.source IS NOT DISTINCT FROM bad.source),
+t AS (SELECT row_id, count(*) FILTER (WHERE gone) AS n_dropped, string_agg(raw, chr(10) ORDER BY i) FILTER (WHERE NOT gone) AS text FROM k GROUP BY row_id)
+SELECT doc_id, coalesce(n_dropped, 0)::BIGINT AS n_dropped, CASE WHEN d.text IS NOT NULL THEN length(coalesce(t.text, ''))::BIGINT END AS n_kept_chars,
+       md5(coalesce(t.text, '')) AS text_md5
+FROM d LEFT JOIN t USING (row_id)""",
 }
