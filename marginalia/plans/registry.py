@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.plans import activity, numeric
+from marginalia.plans import activity, manuscript, numeric
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for module in (activity, numeric):
+for module in (activity, numeric, manuscript):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
