@@ -80,5 +80,10 @@ def score_quality(docs: DataFrame, rules=RULES, text_col: str = "text") -> DataF
 
 
 def keep_good(docs: DataFrame, rules=RULES) -> DataFrame:
-    """The documents that pass, with the columns they came with."""
-    return score_quality(docs.select(F.struct("*").alias("_row"), F.col("text")), rules).where("kept").select("_row.*")
+    """The documents that pass, with the columns they came with.
+
+    The verdict is made to look non-deterministic, or the filter would be pushed below the projections that
+    hold the sorted windows, which would then be sorted anew for every word.
+    """
+    scored = score_quality(docs.select(F.struct("*").alias("_row"), F.col("text")), rules)
+    return scored.select("_row", (F.col("kept") & (F.monotonically_increasing_id() >= 0)).alias("_kept")).where("_kept").select("_row.*")

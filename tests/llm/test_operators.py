@@ -24,7 +24,7 @@ GAP = re.compile(r"[^\x20\x09-\x0D]+")
 def rows(seed=1, n=60):
     """Documents with every edge: null and empty texts, null ids, hosts, repeated rows, odd characters, a long text."""
     r = random.Random(seed)
-    vocab = ["".join(r.choice("abcdeéßñ") for _ in range(r.randint(1, 7))) for _ in range(60)] + ["The", "of", "I'm", "a.b", "x,", "東京", "<|endoftext|>", "🙂", "▁x", "don't", "1234", "£5"]
+    vocab = ["".join(r.choice("abcdeéßñ") for _ in range(r.randint(1, 7))) for _ in range(60)] + ["the", "of", "and"] * 4 + ["The", "I'm", "a.b", "x,", "東京", "<|endoftext|>", "🙂", "▁x", "don't", "1234", "£5"]
     line = lambda k: " ".join(r.choice(vocab) for _ in range(k))
     common = [line(9), line(70)]
     out = []
@@ -185,6 +185,7 @@ def test_secrets(spark, docs, none):
     got = secrets.scan_secrets(clash(df)).collect()
     base = lambda spans: [tuple(s) for s in spans if s["rank"] < 3]
     assert sorted(((r["doc_id"], base(r["spans"])) for r in got), key=lambda x: (x[0] is not None, x[0] or 0, x[1])) == sorted(((d, slow_base(t)) for d, t, *_ in own), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    got = secrets.scan_secrets(spark.createDataFrame(SECRETS, SCHEMA)).collect()
     weak = {r["doc_id"]: [s["kind"] for s in r["spans"] if s["rank"] > 2] for r in got if r["doc_id"] not in (3, 7)}
     assert weak[4] == ["user", "endpoint"] and weak[8] == ["opaque", "endpoint"] and weak[9] == [] and weak[2] == []
     assert all(not [s for s in r["spans"] if s["rank"] > 2] for r in got if r["doc_id"] == 3)
@@ -348,8 +349,10 @@ def slow_leaks(docs, items, least=0.8):
 
 def test_leaks(spark, none):
     own = rows(n=30)[:-3]
-    items = [(0, " ".join(own[4][1].split()[3:30])), (1, own[5][1].split("\n")[0]), (2, "none of this"), (3, None), (4, ""), (5, " ".join(own[6][1].split()[:3])), (5, own[8][1].upper()), (6, " ".join(own[9][1].split()[:40]))]
-    own += [(900, "x y z " + items[0][1] + " w", "en", "s", 1), (901, "start " + items[7][1].replace(items[7][1].split()[-1], "changed"), "en", "s", 1)]
+    long = [r[1] for r in own if r[1] and len(r[1].split()) > 70]
+    words = long[3].split()[:45]
+    items = [(0, " ".join(long[0].split()[3:30])), (1, long[1].split("\n")[0] + " x y z"), (2, "none of this"), (3, None), (4, ""), (5, " ".join(long[2].split()[:3])), (5, long[4].upper()), (6, " ".join(words))]
+    own += [(900, "x y z " + items[0][1] + " w", "en", "s", 1), (901, "start " + " ".join([*words[:-2], "changed", "twice"]), "en", "s", 1), (902, "start " + " ".join([*words[:20], "changed", *words[21:]]), "en", "s", 1)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontam.find_leaks(clash(spark.createDataFrame(own, SCHEMA)), bench).collect()
     want = slow_leaks(own, items)
