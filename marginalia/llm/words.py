@@ -35,12 +35,35 @@ def split_words(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray, p
     return offsets, codes, words
 
 
-def word_counts(docs: DataFrame, lower: bool, train: str = "true") -> DataFrame:
-    """(word, n, n_train): occurrences in all texts, and in those where the SQL condition `train` holds."""
+def with_kinds(kinds: np.ndarray, offsets: np.ndarray, codes: np.ndarray, words: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(codes, words) with each word told apart by the kind of its text: the kind's digit comes before it."""
+    base = int(kinds.max(initial=0)) + 1
+    both = codes.astype(np.int64) * base + np.repeat(kinds, np.diff(offsets))
+    there = np.zeros(len(words) * base, bool)
+    there[both] = True
+    picked = np.flatnonzero(there)
+    digit = pa.array((picked % base).astype(str), pa.string())
+    return (np.cumsum(there) - 1)[both], pc.binary_join_element_wise(digit, words.take(pa.array(picked // base)), "")
+
+
+Kinds = Callable[[np.ndarray, np.ndarray, pa.Array], np.ndarray]
+
+
+def word_counts(docs: DataFrame, lower: bool, train: str = "true", kinds: Kinds | None = None) -> DataFrame:
+    """(word, n, n_train): occurrences in all texts, and in those where the SQL condition `train` holds.
+
+    With `kinds`, which gives each text a kind from 0 to 9, words are counted by kind (with_kinds), and the texts
+    of a kind as a word of its digit and a line end.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             offsets, codes, words = split_words(b.column("text"), lower)
+            if kinds:
+                own, train = kinds(offsets, codes, words), b.column("train").to_numpy(zero_copy_only=False)
+                codes, words = with_kinds(own, offsets, codes, words)
+                each = np.unique(own)
+                yield pa.record_batch({"word": pa.array([f"{k}\n" for k in each]), "n": np.array([(own == k).sum() for k in each], np.int64), "n_train": np.array([((own == k) & train).sum() for k in each], np.int64)})
             n = np.bincount(codes, minlength=len(words))
             seen = np.flatnonzero(n)
             known = np.bincount(codes, weights=np.repeat(b.column("train").to_numpy(zero_copy_only=False).astype(float), np.diff(offsets)), minlength=len(words))
@@ -63,8 +86,8 @@ def head_of(words: DataFrame, most: int = HEAD) -> int:
     return least
 
 
-def sum_over_words(docs: DataFrame, words: DataFrame, values: list[str], lower: bool) -> DataFrame:
-    """One row for each document: doc_id, n_bytes, n_words and the sum of each of `values` over its words.
+def sum_over_words(docs: DataFrame, words: DataFrame, values: list[str], lower: bool, kinds: Kinds | None = None) -> DataFrame:
+    """One row for each document: doc_id, kind, n_bytes, n_words and the sum of each of `values` over its words.
 
     `words` has word, n and the values (doubles), for every word of the corpus. Rows of equal id and
     content are summed as one and given back as often as they occur.
@@ -78,6 +101,9 @@ def sum_over_words(docs: DataFrame, words: DataFrame, values: list[str], lower:
         known, table = shared.value
         for b in batches:
             offsets, codes, words = split_words(b.column("text"), lower)
+            kind = kinds(offsets, codes, words) if kinds else np.zeros(b.num_rows, np.int64)
+            if kinds:
+                codes, words = with_kinds(kind, offsets, codes, words)
             place = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy()
             doc = np.repeat(np.arange(b.num_rows), np.diff(offsets))
             at = place[codes]
@@ -86,20 +112,20 @@ def sum_over_words(docs: DataFrame, words: DataFrame, values: list[str], lower:
             zero = np.zeros(b.num_rows, np.int64)
             sums = {v: np.bincount(doc, weights=table[at, k], minlength=b.num_rows) for k, v in enumerate(values)}
             size = pc.fill_null(pc.binary_length(b.column("text")), 0).cast(pa.int64())
-            yield pa.record_batch({"doc_id": ids, "text_key": keys, "word": own, "times": zero, "copies": zero + 1, "n_bytes": size, "n_words": np.diff(offsets)} | sums)
+            yield pa.record_batch({"doc_id": ids, "text_key": keys, "word": own, "times": zero, "copies": zero + 1, "kind": kind.astype(np.int64), "n_bytes": size, "n_words": np.diff(offsets)} | sums)
             rare = at < 0
             pair, times = np.unique(doc[rare] * np.int64(len(words)) + codes[rare], return_counts=True)
             row, word = pa.array(pair // max(len(words), 1)), pa.array(pair % max(len(words), 1))
             zero = np.zeros(len(pair), np.int64)
-            yield pa.record_batch({"doc_id": ids.take(row), "text_key": keys.take(row), "word": words.take(word), "times": times.astype(np.int64), "copies": zero, "n_bytes": zero, "n_words": zero} | {v: zero.astype(float) for v in values})
+            yield pa.record_batch({"doc_id": ids.take(row), "text_key": keys.take(row), "word": words.take(word), "times": times.astype(np.int64), "copies": zero, "kind": zero, "n_bytes": zero, "n_words": zero} | {v: zero.astype(float) for v in values})
 
-    schema = "doc_id long, text_key long, word string, times long, copies long, n_bytes long, n_words long" + "".join(f", {v} double" for v in values)
+    schema = "doc_id long, text_key long, word string, times long, copies long, kind long, n_bytes long, n_words long" + "".join(f", {v} double" for v in values)
     rows = docs.select(*row_key(), "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(spread, schema)
     rare = words.where(F.col("n") < least).select("word", *[F.col(v).alias(f"w_{v}") for v in values])
     copies = F.greatest(F.sum("copies"), F.lit(1))
     total = [(F.sum(F.col(v) + F.col("times") * F.coalesce(F.col(f"w_{v}"), F.lit(0.0))) / copies).alias(v) for v in values]
     each = rows.join(rare, "word", "left").groupBy("doc_id", "text_key").agg(
-        copies.alias("copies"), (F.sum("n_bytes") / copies).cast("long").alias("n_bytes"), (F.sum("n_words") / copies).cast("long").alias("n_words"), *total
+        copies.alias("copies"), F.max("kind").alias("kind"), (F.sum("n_bytes") / copies).cast("long").alias("n_bytes"), (F.sum("n_words") / copies).cast("long").alias("n_words"), *total
     )
     return each.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies", "text_key")
 
