@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.plans import activity, biblio, manuscript, numeric
+from marginalia.plans import activity, biblio, manuscript, numeric, workflow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for module in (activity, numeric, manuscript, biblio):
+for module in (activity, numeric, manuscript, biblio, workflow):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
