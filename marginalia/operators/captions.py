@@ -9,6 +9,9 @@ from marginalia.functions import text as T
 
 # Labels of captioned items, words that begin a credit and words that ask for permission.
 LABEL = r"(?i)(?:\b)(Figure|Fig\.?|Table|Tab\.?|Box|Exhibit|Appendix|Case\s+Study)\.?\s*([0-9]+(?:[.\-][0-9]+)*)([A-Za-z]?)\b"
+LABELS = r"(?i)\b(Figures?|Figs?\.?|Tables?|Tabs?\.?|Box(?:es)?|Exhibits?|Append(?:ix|ices)|Case\s+Stud(?:y|ies))\.?\s+"
+RANGE = LABELS + r"([0-9]+\.[0-9]+)\s*(?:to|through|-)\s*([0-9]+\.[0-9]+)\b"
+PAIR = LABELS + r"([0-9]+(?:[.\-][0-9]+)*[A-Za-z]?)\s+(?:and|&)\s*([0-9]+(?:[.\-][0-9]+)*[A-Za-z]?)\b"
 CAPTION = r"(?i)^(figure|fig\.|table|tab\.|box|exhibit|appendix|case study)"
 CREDIT = r"(?i)^(source|sources|credit|courtesy|adapted|reprinted|reproduced|used with permission)\b"
 PERMISSION = r"(?i)(source|adapted|reprinted|reproduced|permission|courtesy|copyright|press|©)"
@@ -26,12 +29,27 @@ def item_type(label: Column) -> Column:
 
 
 def items(paras: DataFrame) -> DataFrame:
-    """doc_id, para_no, item_type, item_no, is_caption for every numbered item a paragraph names."""
+    """doc_id, para_no, item_type, item_no, is_caption for every numbered item a paragraph names.
+
+    A range within a chapter names each item of it, one over chapters its ends, a pair both; what ranges and
+    pairs cover is not read again as single items.
+    """
     text = plain_dashes(F.col("text"))
-    found = F.regexp_extract_all(text, F.lit(LABEL), F.lit(0))
-    rows = paras.select("doc_id", "para_no", text.rlike(CAPTION).alias("is_caption"), F.explode(found).alias("m"))
-    number = F.replace(F.concat(F.regexp_extract("m", LABEL, 2), F.regexp_extract("m", LABEL, 3)), F.lit("-"), F.lit("."))
-    return rows.select("doc_id", "para_no", item_type(F.regexp_extract("m", LABEL, 1)).alias("item_type"), number.alias("item_no"), "is_caption")
+    dotted = lambda c: F.replace(c, F.lit("-"), F.lit("."))
+    of = lambda label, numbers: F.transform(numbers, lambda n: F.struct(item_type(label).alias("item_type"), n.alias("item_no")))
+    part = lambda c, k: F.split_part(c, F.lit("."), F.lit(k)).cast("int")
+
+    def spread(m):
+        a, z = F.regexp_extract(m, RANGE, 2), F.regexp_extract(m, RANGE, 3)
+        inner = F.transform(F.sequence(part(a, 2), F.greatest(part(a, 2), part(z, 2))), lambda n: F.concat_ws(".", part(a, 1), n))
+        return of(F.regexp_extract(m, RANGE, 1), F.when((part(a, 1) == part(z, 1)) & (part(a, 2) <= part(z, 2)), inner).otherwise(F.array(a, z)))
+
+    both = lambda m: of(F.regexp_extract(m, PAIR, 1), F.array(dotted(F.regexp_extract(m, PAIR, 2)), dotted(F.regexp_extract(m, PAIR, 3))))
+    one = lambda m: of(F.regexp_extract(m, LABEL, 1), F.array(dotted(F.concat(F.regexp_extract(m, LABEL, 2), F.regexp_extract(m, LABEL, 3)))))
+    every = lambda c, p, f: F.flatten(F.transform(F.regexp_extract_all(c, F.lit(p), F.lit(0)), f))
+    no_range = F.regexp_replace(text, RANGE, " ; ")
+    found = F.concat(every(text, RANGE, spread), every(no_range, PAIR, both), every(F.regexp_replace(no_range, PAIR, " ; "), LABEL, one))
+    return paras.select("doc_id", "para_no", text.rlike(CAPTION).alias("is_caption"), F.explode(found).alias("m")).select("doc_id", "para_no", "m.item_type", "m.item_no", "is_caption")
 
 
 def permission_log(paras: DataFrame) -> DataFrame:

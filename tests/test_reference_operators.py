@@ -101,6 +101,16 @@ def test_permission_log(spark):
     assert got[1, "Figure", "1.1"] == ("Source: Some Press", "YES") and got[2, "Figure", "3.1"] == ("", "NO") and got[3, "Box", "4"][1] == "YES"
 
 
+def test_caption_items(spark):
+    said = ["Figure 1.2–1.4 shows", "see Tables 2.1 and 2-3", "Fig. 3a and Box 4", "Figures 1.9 to 2.1", "Table 5-6 Numbers", "nothing 7.8"]
+    rows = spark.createDataFrame([(1, i, t) for i, t in enumerate(said)], "doc_id long, para_no long, text string")
+    got = {}
+    for r in captions.items(rows).collect():
+        got.setdefault(r["para_no"], set()).add((r["item_type"], r["item_no"], r["is_caption"]))
+    f, t = "Figure", "Table"
+    assert got == {0: {(f, "1.2", True), (f, "1.3", True), (f, "1.4", True)}, 1: {(t, "2.1", False), (t, "2.3", False)}, 2: {(f, "3a", True), ("Box", "4", True)}, 3: {(f, "1.9", True), (f, "2.1", True)}, 4: {(t, "5.6", True)}}
+
+
 def test_lexicon(spark):
     terms = lexicon.load(spark.createDataFrame([(1, "a", "Thin"), (2, "b", "POC"), (3, "c", "Thin"), (4, "d", "too  thin")], "line_no int, category string, term string"))
     paras = spark.createDataFrame([(1, 1, "A thin cat. poc is not POC! éthin, too thin")], "doc_id long, para_no long, text string")
