@@ -24,7 +24,7 @@ RULES: list[tuple[str, str, float | None, float | None]] = [
     ("word_length", "word_chars / n_words", 3.0, 10.0),
     ("symbols", "n_symbols / n_words", None, 0.1),
     ("stop_words", "n_stop_words / n_words", 0.08, None),
-    ("repeated_lines", "n_dup_lines / n_lines", None, 0.3),
+    ("repeated_lines", "n_dup_lines / n_lines", None, 0.4),
 ]
 
 

@@ -89,7 +89,7 @@ m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''
       FROM w LEFT JOIN r USING (doc_id))
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND word_chars / n_words BETWEEN 3 AND 10
-       AND n_symbols / n_words <= 0.1 AND n_stop_words / n_words >= 0.08 AND n_dup_lines / n_lines <= 0.3 AS kept FROM m""",
+       AND n_symbols / n_words <= 0.1 AND n_stop_words / n_words >= 0.08 AND n_dup_lines / n_lines <= 0.4 AS kept FROM m""",
     "op10_line_dedup": r"""
 WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT row_id, source, unnest(ls) AS raw, unnest(range(len(ls))) AS i FROM d),

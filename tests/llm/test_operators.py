@@ -147,7 +147,7 @@ def slow_quality(text):
     n, base = len(w), len(w) < 50 or 100 * len(hit) > 50 * len(w)
     chars, symbols, dup = sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines))
     stops = sum(x.rstrip(".,").lower() in quality.STOP_WORDS for x in w)
-    good = not base and 3 <= chars / n <= 10 and symbols / n <= 0.1 and dup / len(lines) <= 0.3 and stops / n >= 0.08
+    good = not base and 3 <= chars / n <= 10 and symbols / n <= 0.1 and dup / len(lines) <= 0.4 and stops / n >= 0.08
     return n, chars, symbols, dup, len(hit), base, good
 
 
