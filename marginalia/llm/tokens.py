@@ -25,7 +25,7 @@ from .common import written
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 PLAIN = f"^[!-&(-~{LETTERS}]+$"
 PRE_TOKEN = f"[{LETTERS}]+|[0-9]|[^0-9{LETTERS}]+"
-JOINED = 1000
+JOINED, CALL = 500, 40
 
 _loaded: dict[str, tuple] = {}
 
@@ -55,8 +55,11 @@ def encode_words(words: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     picked = np.flatnonzero(plain)
     texts = words.take(pa.array(picked)).to_pylist()
     n_pre = pc.count_substring_regex(words.take(pa.array(picked)), PRE_TOKEN).to_numpy(zero_copy_only=False).astype(np.int64)
-    got = tok.encode_batch_fast([" ".join(texts[i : i + JOINED]) for i in range(0, len(texts), JOINED)], add_special_tokens=False)
-    ids = np.concatenate([np.array(e.ids, np.uint32) for e in got] or [np.zeros(0, np.uint32)])
+    got = [np.zeros(0, np.uint32)]
+    for i in range(0, len(texts), JOINED * CALL):  # the library's encodings are large, so few are held at once
+        joined = [" ".join(texts[j : j + JOINED]) for j in range(i, min(len(texts), i + JOINED * CALL), JOINED)]
+        got += [np.array(e.ids, np.uint32) for e in tok.encode_batch_fast(joined, add_special_tokens=False)]
+    ids = np.concatenate(got)
     stops = np.flatnonzero(ends[ids]) + 1
     last = np.cumsum(n_pre) - 1
     if len(last) and last[-1] + 1 != len(stops):
@@ -155,7 +158,7 @@ class PackedIds:
 SEGMENT = "part int, seq int, n_tokens long, doc_ids array<long>, ends array<long>, codes binary"
 
 
-def encode_files(docs: DataFrame, path: str, end_id: int, out: str, segment_tokens: int = 1 << 22) -> None:
+def encode_files(docs: DataFrame, path: str, end_id: int, out: str, segment_tokens: int = 1 << 20) -> None:
     """Writes the ids of all documents, each with `end_id` last, in ascending doc_id order below `out`.
 
     The files are segments in a Parquet container, so that any store Spark writes to will do and a
@@ -168,20 +171,20 @@ def encode_files(docs: DataFrame, path: str, end_id: int, out: str, segment_toke
             offsets, codes, words = words_.split_words(b.column("text"), lower=False)
             at, ids = encode_words(words, path)
             size = np.diff(at)
-            each = size[codes]
-            upto = np.concatenate([[0], np.cumsum(each)])
+            upto = np.concatenate([[0], np.cumsum(size[codes])])
             ends = upto[offsets[1:]] + np.arange(1, b.num_rows + 1)
-            total = int(ends[-1]) if b.num_rows else 0
-            stream = np.full(total, end_id, np.uint32)
-            body = np.ones(total, bool)
-            body[ends - 1] = False
-            src = np.arange(upto[-1]) + np.repeat(at[codes] - upto[:-1], each)
-            stream[body] = ids[src]
             cut = 0
             while cut < b.num_rows:
                 before = int(ends[cut - 1]) if cut else 0
                 to = max(cut + 1, int(np.searchsorted(ends, before + segment_tokens, "right")))
-                own = stream[before : int(ends[to - 1])]
+                first, last = offsets[cut], offsets[to]
+                each = size[codes[first:last]]
+                own = np.full(int(ends[to - 1]) - before, end_id, np.uint32)
+                body = np.ones(len(own), bool)
+                body[ends[cut:to] - before - 1] = False
+                src = np.repeat(at[codes[first:last]] - upto[first:last] + upto[first], each)
+                src += np.arange(len(src))
+                own[body] = ids[src]
                 yield pa.record_batch(
                     [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(own)], pa.int64()), pa.array([b.column("doc_id").slice(cut, to - cut).to_pylist()], pa.list_(pa.int64())), pa.array([ends[cut:to] - before], pa.list_(pa.int64())), pa.array([pack_ids(own)], pa.binary())],
                     names=["part", "seq", "n_tokens", "doc_ids", "ends", "codes"],
