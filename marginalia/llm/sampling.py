@@ -24,6 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BASE = np.uint64(0x100000001B3)
+PREFIX_BITS = 22
+SCALE = 2.3  # of a byte's weight, which keeps sums of short units near 1 and changes no share
+#: Bytes up to which a unit's ways are summed as they are; beyond, in logarithms.
+SHORT = 64
+LATTICE_BYTES = 1 << 19  # of units whose lattices are built at once
 _loaded: dict[tuple, "Pieces"] = {}
 
 
@@ -56,6 +61,12 @@ class Pieces:
                 h = h * BASE + np.array([self.bytes[i][k] + 1 for i in own], np.uint64)
             order = np.argsort(h)
             self.by_size[n] = h[order], np.array(own)[order]
+        self.prefix = np.zeros(1 << PREFIX_BITS, bool)  # by hash: whether a piece begins so
+        for i in plain:
+            h = 0
+            for c in self.bytes[i]:
+                h = (h * int(BASE) + c + 1) & 0xFFFFFFFFFFFFFFFF
+                self.prefix[h >> (64 - PREFIX_BITS)] = True
         self.size = np.array([len(b) for b in self.bytes], np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.size)])
         self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
@@ -92,64 +103,94 @@ def units(texts: list[bytes], split_lines: bool = True) -> tuple[np.ndarray, np.
 CHAR_SIZE = np.array([1] * 128 + [0] * 64 + [2] * 32 + [3] * 16 + [4] * 16, np.int64)
 
 
-def lattice(flat: np.ndarray, first: np.ndarray, model: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Units in `flat`, from first[k] to first[k + 1]: the edges into each place, as (keys, ids, sizes).
+def edges_by_size(flat: np.ndarray, first: np.ndarray, model: Pieces):
+    """(size, places where an edge ends, ids) for each size that an edge of some unit has, single bytes as size 1 at last.
 
-    A place is a byte's end, numbered as the byte. keys are place << 32 | upper end of the edge's share of
-    the way weight, so that a place and a 32-bit draw find an edge by one search.
+    A place is a byte's end, numbered as the byte. A place stays in the search while some piece begins like it.
     """
     n = len(flat)
-    begin = np.repeat(first[:-1], np.diff(first))
-    stop = np.repeat(first[1:], np.diff(first))
-    place, width = np.arange(n), max(model.by_size)
-    sizes = sorted(model.by_size)
-    column = {s: k for k, s in enumerate(sizes)}
-    ids = np.full((n, len(sizes) + 1), -1, np.int32)  # last column: single bytes
-    h, value = np.zeros(n, np.uint64), flat.astype(np.uint64) + np.uint64(1)
-    live = place
-    for s in range(1, width + 1):
-        live = live[live + s <= stop[live]]
+    stop = np.repeat(first[1:], np.diff(first)).astype(np.int32)
+    lead = np.flatnonzero(CHAR_SIZE[flat] > 0).astype(np.int32)
+    size = np.minimum(CHAR_SIZE[flat[lead]], stop[lead] - lead)
+    covered = np.zeros(n, bool)  # by the first byte: characters that are pieces
+    value = flat.astype(np.uint64) + np.uint64(1)
+    live, left, h = lead, stop[lead] - lead, np.zeros(len(lead), np.uint64)
+    full = np.zeros(n, np.int8)
+    full[lead] = size
+    for s in range(1, max(model.by_size) + 1):
+        inside = left >= s
+        live, left, h = live[inside], left[inside], h[inside]
+        h = h * BASE + value[live + (s - 1)]
+        may = model.prefix[(h >> np.uint64(64 - PREFIX_BITS)).astype(np.int64)]
+        live, left, h = live[may], left[may], h[may]
         if not len(live):
             break
-        h[live] = h[live] * BASE + value[live + s - 1]
         if s in model.by_size:
             known, own = model.by_size[s]
-            at = np.minimum(np.searchsorted(known, h[live]), len(known) - 1)
-            hit = known[at] == h[live]
-            ids[live[hit] + s - 1, column[s]] = own[at[hit]]
-    lead = np.flatnonzero(CHAR_SIZE[flat] > 0)
-    size = np.minimum(CHAR_SIZE[flat[lead]], stop[lead] - lead)
-    covered = np.zeros(len(lead), bool)
-    for s in (1, 2, 3, 4):
-        own = size == s
-        if s in column:
-            covered[own] = ids[lead[own] + s - 1, column[s]] >= 0
-    for s in (1, 2, 3, 4):
-        bare = lead[(size == s) & ~covered]
-        for k in range(s):
-            ids[bare + k, -1] = model.byte_id[flat[bare + k]]
-    steps = np.array([*sizes, 1])
-    weight = np.where(ids >= 0, model.log_weight[ids], -np.inf)
-    alpha = np.zeros(n)
-    rank = place - begin
-    order = np.argsort(rank, kind="stable")
-    ends = np.searchsorted(rank[order], np.arange(rank.max() + 2 if n else 1))
-    for t in range(len(ends) - 1):
-        own = order[ends[t] : ends[t + 1]]
-        from_ = own[:, None] - steps[None, :]
-        ways = weight[own] + np.where(steps[None, :] == t + 1, 0.0, np.where(steps[None, :] <= t, alpha[np.maximum(from_, 0)], -np.inf))
-        top = ways.max(1)
-        top = np.where(np.isfinite(top), top, 0.0)  # inside a character no piece may end
-        with np.errstate(divide="ignore"):
-            alpha[own] = np.log(np.exp(ways - top[:, None]).sum(1)) + top
-        weight[own] = ways
-    with np.errstate(invalid="ignore"):
-        share = np.where(np.isfinite(weight), np.exp(weight - alpha[:, None]), 0.0)
-    upto = np.cumsum(share, axis=1)
-    row, col = np.nonzero(share > 0)
-    limit = np.minimum(upto[row, col] * 2.0**32, 2.0**32).astype(np.uint64)
-    limit[np.concatenate([row[1:] != row[:-1], [True]])[: len(row)]] = np.uint64(1) << np.uint64(32)
-    return (row.astype(np.uint64) << np.uint64(32)) + limit, ids[row, col], steps[col]
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            hit = known[at] == h
+            found = live[hit]
+            if s <= 4:
+                covered[found[full[found] == s]] = True
+            yield s, found + (s - 1), own[at[hit]]
+    bare = np.flatnonzero((full > 0) & ~covered)
+    for k in range(4):
+        own = bare[full[bare] > k] + k
+        if len(own):
+            yield 1, own, model.byte_id[flat[own]]
+
+
+def lattice(flat: np.ndarray, first: np.ndarray, model: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Units in `flat`, from first[k] to first[k + 1]: (first edge of each place, limits, ids, sizes).
+
+    A place's edges follow one another; limits are upper ends of their shares of the ways that reach the
+    place, in 2**-32. A unit's figures depend on the unit alone.
+    """
+    n = len(flat)
+    found = list(edges_by_size(flat, first, model))
+    count = np.zeros(n, np.int32)
+    nth = []
+    for _, ends, _ in found:
+        nth.append(count[ends])
+        count[ends] += 1
+    rank = np.arange(n) - np.repeat(first[:-1], np.diff(first))
+    order = np.argsort(rank.astype(np.int32), kind="stable")
+    first_edge = np.zeros(n, np.int64)
+    upto = np.concatenate([[0], np.cumsum(count[order])])
+    first_edge[order] = upto[:-1]
+    total = int(upto[-1])
+    ids, sizes, end = np.zeros(total, np.int32), np.zeros(total, np.int16), np.zeros(total, np.int32)
+    for (s, ends, own), k in zip(found, nth, strict=True):
+        at = first_edge[ends] + k
+        ids[at], sizes[at], end[at] = own, s, ends
+    ways, alpha = np.zeros(total), np.zeros(n)
+    log = n and int(np.diff(first).max()) > SHORT
+    weight = model.log_weight[ids] if log else np.exp(model.log_weight[ids] + SCALE * sizes)
+    stops = np.searchsorted(rank[order], np.arange(int(rank.max()) + 2 if n else 1))
+    for t in range(len(stops) - 1):
+        own = order[stops[t] : stops[t + 1]]
+        own = own[count[own] > 0]
+        if not len(own):
+            continue
+        a, z = first_edge[own[0]], first_edge[own[-1]] + count[own[-1]]
+        begins = sizes[a:z] == t + 1
+        from_ = np.where(begins, 0, end[a:z] - sizes[a:z])
+        if log:
+            ways[a:z] = weight[a:z] + np.where(begins, 0.0, np.where(count[from_] > 0, alpha[from_], -np.inf))
+            top = np.maximum.reduceat(ways[a:z], first_edge[own] - a)
+            top = np.where(np.isfinite(top), top, 0.0)
+            with np.errstate(divide="ignore"):
+                alpha[own] = np.log(np.add.reduceat(np.exp(ways[a:z] - np.repeat(top, count[own])), first_edge[own] - a)) + top
+        else:
+            ways[a:z] = weight[a:z] * np.where(begins, 1.0, alpha[from_])
+            alpha[own] = np.add.reduceat(ways[a:z], first_edge[own] - a)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        share = np.nan_to_num(np.exp(ways - alpha[end]) if log else ways / alpha[end])
+    for k in range(1, int(count.max(initial=0))):  # sums within a place, edge by edge
+        at = first_edge[count > k] + k
+        share[at] += share[at - 1]
+    limits = np.where(share > 1 - 1e-12, 2.0**32, share * 2.0**32).astype(np.uint64)
+    return first_edge, limits, ids, sizes
 
 
 def _draw(x: np.ndarray) -> np.ndarray:
@@ -163,25 +204,37 @@ def sample(texts: list[bytes], keys: np.ndarray, model: Pieces) -> list[np.ndarr
     offsets, codes, distinct = units(texts, not model.has_newline)
     first = np.concatenate([[0], np.cumsum([len(u) for u in distinct.to_pylist()])]).astype(np.int64)
     flat = np.frombuffer(b"".join(distinct.to_pylist()), np.uint8)
-    edge_keys, edge_ids, edge_sizes = [], [], []
-    at, budget = 0, 1 << 18  # bytes of units whose lattices are held at once
+    length = np.diff(first)
+    by_length = np.argsort(length > SHORT, kind="stable")  # long units apart, as they are summed in another way
+    n_short = int((length <= SHORT).sum())
+    parts, edges, at = [], 0, 0
+    start_of = np.zeros(len(distinct) + 1, np.int64)
+    placed = np.concatenate([[0], np.cumsum(length[by_length])])
+    start_of[by_length] = placed[:-1]
+    flat = flat[np.repeat(first[by_length] - placed[:-1], length[by_length]) + np.arange(len(flat))]
     while at < len(distinct):
-        to = max(at + 1, int(np.searchsorted(first, first[at] + budget, "right")) - 1)
-        k, i, s = lattice(flat[first[at] : first[to]], first[at : to + 1] - first[at], model)
-        edge_keys.append(k + (np.uint64(first[at]) << np.uint64(32)))
-        edge_ids.append(i)
-        edge_sizes.append(s)
+        stop = n_short if at < n_short else len(distinct)
+        to = min(stop, max(at + 1, int(np.searchsorted(placed, placed[at] + LATTICE_BYTES, "right")) - 1))
+        e, *rest = lattice(flat[placed[at] : placed[to]], placed[at : to + 1] - placed[at], model)
+        parts.append((e + edges, *rest))
+        edges += len(rest[0])
         at = to
-    edge_keys, edge_ids, edge_sizes = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (edge_keys, edge_ids, edge_sizes))
+    empty = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int16))
+    first_edge, limits, edge_ids, edge_sizes = (np.concatenate(x) for x in zip(empty, *parts, strict=True))
     n = len(codes)
     seed = np.repeat(keys.astype(np.uint64), np.diff(offsets)) + (np.arange(n) - np.repeat(offsets[:-1], np.diff(offsets))).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    where, begin = first[codes + 1], first[codes]
+    begin = start_of[codes]
+    where = begin + length[codes]
     active, drawn, taken = np.arange(n), [], np.zeros(n, np.int64)
     while len(active):
         u = _draw(seed[active] + taken[active].astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
-        e = np.searchsorted(edge_keys, ((where[active] - 1).astype(np.uint64) << np.uint64(32)) + u, "right")
-        drawn.append((active, edge_ids[e].astype(np.int32)))
-        where[active] -= edge_sizes[e].astype(np.int64)
+        e = first_edge[where[active] - 1]
+        over = np.flatnonzero(u >= limits[e])
+        while len(over):
+            e[over] += 1
+            over = over[u[over] >= limits[e[over]]]
+        drawn.append((active, edge_ids[e]))
+        where[active] -= edge_sizes[e]
         taken[active] += 1
         active = active[where[active] > begin[active]]
     upto = np.concatenate([[0], np.cumsum(taken)])
@@ -199,7 +252,7 @@ def decode(ids: np.ndarray, model: Pieces) -> bytes:
     return model.flat[at].tobytes()
 
 
-def encode(docs: DataFrame, path: str, sharpness: float = 1.0, seed: int = 0, batch_bytes: int = 1 << 23) -> DataFrame:
+def encode(docs: DataFrame, path: str, sharpness: float = 1.0, seed: int = 0, batch_bytes: int = 1 << 24) -> DataFrame:
     """`docs` with `ids` (little-endian 16-bit or, for larger models, 32-bit integers), n_pieces, ids_crc32 (of 32-bit
     integers) and lossless: whether decoding the ids gave back the text."""
 
