@@ -5,7 +5,7 @@ depend on the last 16 bytes alone, fall under a threshold (one place in `mean`),
 place lies within the `least` bytes before; longer gaps are cut every `most` bytes from their start.
 So boundaries depend on nearby content only and come back to step after an insertion.
 Chunks are compared by 96-bit digest; all but the first occurrence (least doc_id, then place) are
-repeats, and runs of repeats of `span` bytes or more are reported.
+repeats, and runs of repeats of `span` bytes or more are reported. Line ends and tabs count as spaces.
 
 Edge cases: null and empty texts have no chunks. Equal rows repeat each other. A null id comes first.
 """
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import row_key
 
+ONE_BLANK = bytes(32 if 9 <= i <= 13 else i for i in range(256))  # texts that are only wrapped anew stay alike
 GAP = 32  # zero bytes between texts, which clear the rolling hash
 
 
@@ -63,7 +64,7 @@ def chunks(docs: DataFrame, mean: int = 24, least: int = 12, most: int = 256) ->
         from xxhash import xxh3_128_intdigest
 
         for b in batches:
-            texts = [t.encode() for t in b.column("text").to_pylist()]
+            texts = [t.encode().translate(ONE_BLANK) for t in b.column("text").to_pylist()]
             ends = boundaries(texts, mean, least, most)
             n = np.array([len(e) for e in ends])
             starts = [np.concatenate([[0], e[:-1]]) if len(e) else e for e in ends]
@@ -78,7 +79,8 @@ def chunks(docs: DataFrame, mean: int = 24, least: int = 12, most: int = 256) ->
 
 
 def repeated_spans(docs: DataFrame, span: int = 64, **sizes: int) -> DataFrame:
-    """doc_id, text_key, start, end, n_chunks, first_doc_id: runs of repeated chunks, in bytes, and a document that has one of them first.
+    """doc_id, text_key, start, end, n_chunks, first_doc_id, first_doc_ids: runs of repeated chunks, in bytes, the document
+    that has the most of a run first, and all that have `span` bytes or more of it first.
 
     Digests are summed before they are shuffled, so a hot chunk is one row a task; the join back to the
     chunks has one row for each repeated digest, and AQE splits its hot side.
@@ -89,7 +91,9 @@ def repeated_spans(docs: DataFrame, span: int = 64, **sizes: int) -> DataFrame:
     hit = each.join(dup, ["d1", "d2"]).where(~(F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("start") == F.col("first_start"))))
     by = W.partitionBy("doc_id", "text_key").orderBy("start")
     runs = hit.withColumn("new", F.coalesce((F.lag(F.col("start") + F.col("size")).over(by) < F.col("start")).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(by))
-    found = runs.groupBy("doc_id", "text_key", "run").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"), F.count("*").alias("n_chunks"), F.min("first_doc_id").alias("first_doc_id"))
+    by_first = runs.groupBy("doc_id", "text_key", "run", "first_doc_id").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"), F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    firsts = F.collect_list(F.when(F.col("bytes") >= span, F.col("first_doc_id")))
+    found = by_first.groupBy("doc_id", "text_key", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n_chunks"), F.max_by("first_doc_id", "bytes").alias("first_doc_id"), F.sort_array(firsts).alias("first_doc_ids"))
     return found.where(F.col("end") - F.col("start") >= span).drop("run")
 
 
