@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import authoryear as A
 from marginalia.functions import formatters
-from marginalia.operators import matching
+from marginalia.operators import matching, stylerecords
 from marginalia.plans.sqlquery import run_sql
 
 NAME = "concat(substring(c_mktsegment, 1, 1), lower(substring(c_mktsegment, 2, 20)))"
@@ -92,6 +92,21 @@ FROM {part} LATERAL VIEW explode(sequence(0, 3)) t AS k WHERE p_partkey % 10 = 0
     return matching.best_candidate(rows)
 
 
+RUNS = """
+SELECT p_partkey AS id, run_no, r.style, r.text FROM {part} LATERAL VIEW posexplode(array(
+  named_struct('style', 'bib_number', 'text', concat(p_partkey, '.')), named_struct('style', 'bib_surname', 'text', 'Smith'), named_struct('style', CAST(NULL AS string), 'text', ', '),
+  named_struct('style', 'bib_fname', 'text', 'J. '), named_struct('style', 'bib_surname', 'text', 'Van '), named_struct('style', 'bib_surname', 'text', 'Dyk'),
+  named_struct('style', 'bib_fname', 'text', CASE WHEN p_partkey % 3 > 0 THEN 'A.' ELSE '' END), named_struct('style', CASE WHEN p_partkey % 4 = 0 THEN 'BIB_etal' END, 'text', ' et al.'),
+  named_struct('style', 'bib_year', 'text', concat('(', 1990 + p_size, ')')), named_struct('style', CASE WHEN p_partkey % 5 = 0 THEN 'bib_book' ELSE 'bib_title' END, 'text', p_name), named_struct('style', 'bib_title', 'text', ' again '),
+  named_struct('style', 'bib_journal', 'text', CASE WHEN p_partkey % 5 > 0 THEN p_brand ELSE ' ' END), named_struct('style', 'bib_fpage', 'text', '10'), named_struct('style', 'bib_lpage', 'text', '-19'),
+  named_struct('style', CASE WHEN p_partkey % 7 = 0 THEN 'bib_publisher' ELSE 'x' END, 'text', p_type))) t AS run_no, r"""
+
+
+def style_records(spark: SparkSession, d: str) -> DataFrame:
+    names = F.array_join(F.transform("author", lambda a: F.concat(a["family"], F.lit("/"), a["given"])), "; ").alias("authors")
+    return stylerecords.records(run_sql(spark, d, RUNS), ["id"]).select("id", "type", names, "title", "container", "volume", "issue", "page", "publisher", "year", "has_etal")
+
+
 SQL_YEAR = "year(o_orderdate)::VARCHAR"
 PAIRS = f"FROM orders JOIN customer ON o_custkey = c_custkey"
 PERSON = "list_slice([{'i': 'A. B.', 'n': 'AB', 'f': 'Smith', 'g': 'Ann Beth'}, {'i': 'C.', 'n': 'C', 'f': 'Jones', 'g': 'Carl'}, {'i': 'D. E.', 'n': 'DE', 'f': 'Brown', 'g': 'Dee-Eve'}], 1, p_partkey % 4) AS a"
@@ -106,6 +121,7 @@ QUERIES = {
     "fn38_et_al": lambda s, d: references(s, d).select("id", A.author_count(F.col("full_author")).alias("n_authors"), A.et_al_issue(F.lit("Smith et al."), F.col("full_author")).alias("with_et_al"), A.et_al_issue(F.lit("Smith"), F.col("full_author")).alias("without")),
     "fn10_first_surname": lambda s, d: references(s, d).select("id", A.first_surname(F.col("full_author")).alias("surname")),
     "fn09_normalized": lambda s, d: references(s, d).select("id", A.normalized(F.col("full_author")).alias("name")),
+    "fn41_style_records": style_records,
     "fn43_missing_elements": missing,
     "fn50_apa": formatted(formatters.apa),
     "fn51_ama": formatted(formatters.ama),
@@ -127,6 +143,10 @@ UNION ALL SELECT doc_id, para_no, s, y, 'narrative', '' FROM t WHERE k = 3""",
     "fn38_et_al": "SELECT p_partkey AS id, (CASE p_partkey % 4 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 1 END)::BIGINT AS n_authors, CASE WHEN p_partkey % 4 = 2 THEN NULL ELSE 'error' END AS with_et_al, CASE WHEN p_partkey % 4 = 2 THEN 'warning' END AS without FROM part",
     "fn10_first_surname": "SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 3 THEN 'National Health Group' ELSE 'Smith' END AS surname FROM part",
     "fn09_normalized": "SELECT p_partkey AS id, (['smith j', 'smith j & jones m', 'smith j jones m & brown k', 'national health group'])[p_partkey % 4 + 1] AS name FROM part",
+    "fn41_style_records": """SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 OR p_partkey % 7 = 0 THEN 'book' ELSE 'journal-article' END AS type,
+'Smith/J.; Van Dyk/' || CASE WHEN p_partkey % 3 > 0 THEN 'A.' ELSE '' END || CASE WHEN p_partkey % 4 = 0 THEN '; /; /' ELSE '' END AS authors, p_name || ' again' AS title,
+CASE WHEN p_partkey % 5 > 0 THEN p_brand END AS container, NULL::VARCHAR AS volume, p_partkey || '.' AS issue, '10-19' AS page, CASE WHEN p_partkey % 7 = 0 THEN p_type END AS publisher,
+(1990 + p_size)::VARCHAR AS year, p_partkey % 4 = 0 AS has_etal FROM part""",
     "fn43_missing_elements": "SELECT p_partkey AS id, array_to_string(list_filter([CASE WHEN p_partkey % 3 = 0 AND p_partkey % 7 = 0 THEN 'Year missing' END, CASE WHEN p_partkey % 3 = 0 AND p_partkey % 4 = 0 THEN 'Author/Editor missing' END], lambda x: x IS NOT NULL), ', ') AS missing FROM part",
     "fn50_apa": f"""WITH p AS (SELECT *, {PERSON} FROM part) SELECT p_partkey AS id, {NONE.format("array_to_string(list_transform(a, lambda x, i: CASE WHEN i = 1 THEN '' WHEN i = len(a) THEN ', & ' ELSE ', ' END || x.f || ', ' || x.i), '')")}
 || ' (' || {YEAR_OR.format('n.d.')} || '). ' || p_name || '.' || CASE WHEN p_partkey % 3 = 0 THEN ' ' || p_type || '.' ELSE ' ' || p_brand || ', ' || p_size || CASE WHEN p_partkey % 2 = 0 THEN '(2)' ELSE '' END || ', 10-19.' END

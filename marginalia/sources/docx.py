@@ -1,4 +1,4 @@
-"""Word documents as rows: a package's paragraphs in order, those of tables too.
+"""Word documents as rows: a package's paragraphs in order, those of tables too, or their runs with character styles.
 
 Files are read as binary rows, so any store will do, and unpacked in Arrow batches.
 """
@@ -15,36 +15,74 @@ from pyspark.sql import DataFrame, SparkSession
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 PARAGRAPH = "path string, para_no long, style string, text string, in_table boolean, page_breaks long"
+RUN = "path string, para_no long, para_style string, run_no long, style string, text string"
 
 
-def package_paragraphs(content: bytes) -> Iterator[tuple[str, str, bool, int]]:
-    """(style, text, in a table, page breaks) of each paragraph of a package, in document order."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{W}body")
+def text_under(node) -> str:
+    return "".join(t.text or "" if t.tag == f"{W}t" else "\t" if t.tag == f"{W}tab" else "\n" for t in node.iter() if t.tag in (f"{W}t", f"{W}tab", f"{W}br"))
+
+
+def style_of(node, kind: str) -> str | None:
+    """The id of a paragraph's (p) or run's (r) style."""
+    style = node.find(f"{W}{kind}Pr/{W}{kind}Style")
+    return style.get(f"{W}val") if style is not None else None
+
+
+def body_paragraphs(z: zipfile.ZipFile) -> Iterator[tuple]:
+    """(paragraph node, in a table) in document order."""
 
     def walk(node, inside):
         for child in node:
             if child.tag == f"{W}p":
-                style = child.find(f"{W}pPr/{W}pStyle")
-                text = "".join(t.text or "" if t.tag == f"{W}t" else "\t" if t.tag == f"{W}tab" else "\n" for t in child.iter() if t.tag in (f"{W}t", f"{W}tab", f"{W}br"))
-                breaks = sum(b.get(f"{W}type") == "page" for b in child.iter(f"{W}br")) + sum(1 for _ in child.iter(f"{W}lastRenderedPageBreak"))
-                yield (style.get(f"{W}val") if style is not None else "Normal"), text, inside, breaks
+                yield child, inside
             elif child.tag in (f"{W}tbl", f"{W}tr", f"{W}tc"):
                 yield from walk(child, True)
 
-    yield from walk(body, False)
+    yield from walk(ElementTree.fromstring(z.read("word/document.xml")).find(f"{W}body"), False)
 
 
-def read_docx(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each paragraph of every .docx below `path`; what is no package is left out."""
+def package_paragraphs(content: bytes) -> Iterator[tuple[int, str, str, bool, int]]:
+    """(number, style, text, in a table, page breaks) of each paragraph of a package, in document order."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        for i, (p, inside) in enumerate(body_paragraphs(z), 1):
+            breaks = sum(b.get(f"{W}type") == "page" for b in p.iter(f"{W}br")) + sum(1 for _ in p.iter(f"{W}lastRenderedPageBreak"))
+            yield i, style_of(p, "p") or "Normal", text_under(p), inside, breaks
+
+
+def package_runs(content: bytes) -> Iterator[tuple[int, str, int, str | None, str]]:
+    """(paragraph number, its style, run number, the run's style by name, text) of each run right below a paragraph."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        names = {}
+        if "word/styles.xml" in z.namelist():
+            named = ((s.get(f"{W}styleId"), s.find(f"{W}name")) for s in ElementTree.fromstring(z.read("word/styles.xml")).iter(f"{W}style"))
+            names = {k: n.get(f"{W}val") for k, n in named if n is not None}
+        for i, (p, _) in enumerate(body_paragraphs(z), 1):
+            for j, run in enumerate(p.findall(f"{W}r"), 1):
+                style = style_of(run, "r")
+                yield i, style_of(p, "p") or "Normal", j, names.get(style, style), text_under(run)
+
+
+def read_packages(spark: SparkSession, path: str, rows_of, schema: str) -> DataFrame:
+    """What `rows_of` finds in every .docx below `path`; what is no package is left out."""
+    columns = [c.split()[0] for c in schema.split(", ")]
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for name, content in zip(b["path"], b["content"], strict=True):
                 if zipfile.is_zipfile(io.BytesIO(content)):
-                    out += [(name, i, *p) for i, p in enumerate(package_paragraphs(content), 1)]
-            yield pd.DataFrame(out, columns=["path", "para_no", "style", "text", "in_table", "page_breaks"])
+                    out += [(name, *r) for r in rows_of(content)]
+            yield pd.DataFrame(out, columns=columns)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInPandas(rows, PARAGRAPH)
+    return files.select("path", "content").mapInPandas(rows, schema)
+
+
+def read_docx(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each paragraph of every .docx below `path`."""
+    return read_packages(spark, path, package_paragraphs, PARAGRAPH)
+
+
+def read_docx_runs(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each run of every .docx below `path`."""
+    return read_packages(spark, path, package_runs, RUN)

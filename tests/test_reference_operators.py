@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import authoryear, formatters, text
 from marginalia.functions.numbers import format_numbers, get_numbers
-from marginalia.operators import captions, lexicon, matching
+from marginalia.operators import captions, lexicon, matching, stylerecords
 from marginalia.plans import registry
 from marginalia.plans.sqlquery import TABLES
-from marginalia.sources.docx import read_docx
+from marginalia.sources.docx import read_docx, read_docx_runs
 from marginalia.streaming.activity import daily_routes
 
 
@@ -130,6 +130,36 @@ def test_docx(spark, tmp_path):
     assert got == [(1, "REF-N", "one", False, 0), (2, "T1", "cell", True, 0), (3, "Normal", "two\n", False, 1)]
 
 
+def test_docx_runs(spark, tmp_path):
+    w = "xmlns:w='http://schemas.openxmlformats.org/wordprocessingml/2006/main'"
+    run = "<w:r>{}<w:t>{}</w:t></w:r>"
+    runs = [("s1", "Smith"), (None, ", "), ("bib_fname", "J. "), ("bib_year", "(2001a)"), ("bib_title", "On <w:tab/>"), ("bib_journal", " Things ")]
+    body = "<w:p><w:pPr><w:pStyle w:val='REF-N'/></w:pPr>" + "".join(run.format(f"<w:rPr><w:rStyle w:val='{s}'/></w:rPr>" if s else "", t.replace("<w:tab/>", "")) for s, t in runs) + "</w:p><w:p/>"
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {w}><w:body>{body}</w:body></w:document>")
+        z.writestr("word/styles.xml", f"<w:styles {w}><w:style w:styleId='s1'><w:name w:val='Bib_Surname'/></w:style></w:styles>")
+    (tmp_path / "a.docx").write_bytes(data.getvalue())
+    got = read_docx_runs(spark, f"file://{tmp_path}")
+    assert [tuple(r)[1:4] for r in got.orderBy("run_no").collect()] == [(1, "REF-N", i) for i in range(1, 7)]
+    [r] = stylerecords.records(got, ["path", "para_no"]).collect()
+    assert (r["type"], [tuple(a) for a in r["author"]], r["year"], r["title"], r["container"], r["doi"], r["has_etal"]) == ("journal-article", [("J.", "Smith")], "2001", "On", "Things", None, False)
+
+
+def test_style_records_edges(spark):
+    rows = [
+        ("none", 1, "Normal", "x"), ("none", 2, None, "y"), ("none", 3, "bib_year", ""), ("none", 4, "bib_year", None),
+        ("given first", 1, "bib_fname", "J."), ("given first", 2, "bib_surname", "Smith"), ("given first", 3, "bib_surname", "son"),
+        ("split", 1, "bib_surname", "A"), ("split", 2, "bib_year", "20"), ("split", 3, "bib_surname", "B"), ("split", 4, "bib_year", "01"), ("split", 5, "bib_issue", " (2) "),
+        ("et al", 1, "bib_etal", "et al."), ("school", 1, "bib_school", "Here"), ("twice", 1, "bib_doi", "a"), ("twice", 1, "bib_doi", "a"),
+    ]
+    got = {r["id"]: r for r in stylerecords.records(spark.createDataFrame(rows, "id string, run_no int, style string, text string"), ["id"]).collect()}
+    names = {k: [(a["family"], a["given"]) for a in r["author"]] for k, r in got.items()}
+    assert names == {"given first": [("", "J."), ("Smithson", "")], "split": [("A", ""), ("B", "")], "et al": [("", "")] * 4, "school": [], "twice": []}
+    assert (got["split"]["year"], got["split"]["issue"], got["school"]["type"], got["twice"]["doi"]) == ("2001", "2", "book", "aa")
+    assert stylerecords.records(spark.createDataFrame([], "id string, run_no int, style string, text string"), ["id"]).collect() == []
+
+
 def test_daily_stream(spark, small, tmp_path):
     events = spark.read.parquet(f"{small}/events.parquet")
     events.write.parquet(f"{tmp_path}/in")
