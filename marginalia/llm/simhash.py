@@ -123,9 +123,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     each = written(fingerprints(docs, shingle), "fingerprints")
     fps = each.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(fps.select("fp"), radius))
-    named = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    first = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return each.join(named.select("fp", "root"), "fp").join(first, "root").select("doc_id", "text_key", "fp", "component_id")
+    named = written(fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "named")
+    # Tables on both sides of each join: what is hot is split where it is read, as no aggregation stands between.
+    first = written(named.groupBy("root").agg(F.min("least").alias("component_id")), "first")
+    classes = named.join(first, "root").select("fp", "component_id")
+    return each.join(classes, "fp").select("doc_id", "text_key", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 4) -> DataFrame:
