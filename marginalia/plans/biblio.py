@@ -88,7 +88,7 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
     rows = run_sql(spark, d, """
 SELECT p_name AS query, CASE WHEN k % 2 = 0 THEN 'crossref' ELSE 'pubmed' END AS source, p_partkey * 4 + k AS cand_no,
        substring(concat(p_name, ' extra words'), 1 + k, 14) AS title, CASE WHEN (p_partkey + k) % 3 = 0 THEN '10.1/x' END AS doi
-FROM {part} LATERAL VIEW explode(sequence(0, 3)) t AS k WHERE p_partkey % 10 = 0""")
+FROM {part} LATERAL VIEW explode(sequence(0, 3)) t AS k""")
     return matching.best_candidate(rows)
 
 
