@@ -36,7 +36,7 @@ SQL = {
     "src20_upload_intake": "SELECT p_partkey AS id, lower(replace(concat(p_name, CASE WHEN p_size % 3 = 0 THEN '.docx' WHEN p_size % 3 = 1 THEN '.DOC' ELSE '.exe' END), ' ', '_')) AS stored_filename FROM {part} WHERE p_size % 3 < 2",
     "prj01_equality_filter": f"WITH {USERS}, {JOBS} SELECT m.id, m.user_id, m.route_type FROM macro_processing m WHERE m.route_type = 'click' AND m.user_id = 7",
     "prj02_dynamic_filter": HISTORY + " SELECT id, type, route_type, user_id FROM history WHERE type = 'macro' AND route_type = 'view' AND user_id = 12",
-    "prj03_tagged_projection": f"WITH {FILES} SELECT id, user_id, 'validation' AS type, '' AS token, '' AS route_type, 0 AS total_citations FROM files WHERE user_id < 50",
+    "prj03_tagged_projection": f"WITH {FILES} SELECT id, user_id, 'validation' AS type, '' AS token, '' AS route_type, 0 AS total_citations FROM files",
     "prj04_month_range": f"WITH {FILES} SELECT id, user_id, upload_date AS date FROM files WHERE upload_date >= TIMESTAMP '1996-01-01 00:00:00' AND upload_date < TIMESTAMP '1996-07-01 00:00:00'",
     "prj05_owned_report_exists": f"WITH {USERS}, {FILES} SELECT u.id, u.username FROM users u WHERE EXISTS (SELECT 1 FROM files f WHERE f.user_id = u.id AND f.report_filename LIKE 'report_1%')",
     "prj06_role_acl": f"WITH {USERS}, {ACL} SELECT u.id, a.route_type FROM users u JOIN acl a ON upper(u.role) = a.role OR u.id % 500 = 0",
@@ -60,11 +60,11 @@ SQL = {
     "srt02_recent_activity": HISTORY + " SELECT id, date, username, type, route_type FROM history ORDER BY date DESC, type, id DESC LIMIT 20",
     "srt03_history_page": HISTORY + " SELECT id, date, username, type, total_references FROM history ORDER BY date DESC, type, id DESC LIMIT 10 OFFSET 20",
     "srt04_page_count": f"WITH {FILES} SELECT user_id, count(*) AS n, cast(ceil(count(*) / 10.0) AS bigint) AS pages FROM files GROUP BY user_id",
-    "srt05_users_by_total": f"WITH {FILES} SELECT user_id, count(*) AS total FROM files GROUP BY user_id ORDER BY total DESC, user_id LIMIT 50",
+    "srt05_users_by_total": f"WITH {USERS}, {FILES}, {JOBS}, {ALL_ACTIVITY} SELECT u.id AS user_id, count(a.id) AS total FROM users u LEFT JOIN activity a ON a.user_id = u.id GROUP BY u.id ORDER BY total DESC, user_id",
     "srt09_user_listing": f"WITH {USERS} SELECT id, username, role FROM users ORDER BY id DESC",
     "set01_history": HISTORY + " SELECT * FROM history",
     "set02_history_count": f"WITH {FILES}, {JOBS}, {ALL_ACTIVITY} SELECT count(*) AS total_records FROM activity WHERE type = 'macro' AND route_type = 'click'",
-    "set03_recent_union": f"WITH {USERS}, {FILES}, {JOBS}, {ALL_ACTIVITY} SELECT a.id, a.date, u.username, a.type, a.route_type FROM activity a JOIN users u ON a.user_id = u.id WHERE u.nation = 3",
+    "set03_recent_union": f"WITH {USERS}, {FILES}, {JOBS}, {ALL_ACTIVITY} SELECT a.id, a.date, u.username, a.type, a.route_type FROM activity a JOIN users u ON a.user_id = u.id",
     "set04_activity_dates": f"WITH {FILES}, {JOBS}, {ALL_ACTIVITY} SELECT user_id, date FROM activity",
     "snk14_audit_line": f"WITH {USERS}, {JOBS} SELECT m.id, concat_ws(' - ', u.username, m.route_type, m.selected_tasks) AS line FROM macro_processing m JOIN users u ON u.id = m.user_id",
     "snk03_role_update": f"WITH {USERS} SELECT id, username, CASE WHEN id % 10 = 3 THEN 'ADMIN' ELSE role END AS role FROM users",
