@@ -78,8 +78,9 @@ def entity_hex(spark: SparkSession, d: str) -> DataFrame:
 
 
 def short_words(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return docs.select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"\b[A-Za-z]{1,4}\b"), F.lit(0))).cast("long").alias("n"))
+    """Words of up to four letters A to Z in each document; letters and digits of any script, and the underscore, go on with a word. Null has none."""
+    word = r"(?<![\p{L}\p{N}_])[A-Za-z]{1,4}(?![\p{L}\p{N}_])"
+    return table(spark, d, "documents").select("doc_id", F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(word), F.lit(0))).cast("long").alias("n"))
 
 
 def colours(spark: SparkSession, d: str) -> DataFrame:
@@ -114,7 +115,7 @@ SELECT a.doc_id, a.para_no, (SELECT count(*) FROM s b WHERE b.doc_id = a.doc_id
 s AS (SELECT doc_id, para_no, unnest(range(len(regexp_extract_all(text, '[^.!?]+[.!?]*')))) AS sent_no, unnest(regexp_extract_all(text, '[^.!?]+[.!?]*')) AS sentence FROM q)
 SELECT s.doc_id, s.para_no, s.sent_no, min(g.page) AS page FROM s JOIN g ON g.doc_id = s.doc_id AND contains(g.text, substr(sentence, 1, 60)) WHERE trim(sentence) <> '' GROUP BY ALL""",
     "fn20_entity_hex": "SELECT p_partkey AS id, '&#x' || lpad(to_hex(p_partkey + 160), 4, '0') || ';' AS entity FROM part",
-    "fn78_short_words": r"SELECT doc_id, len(regexp_extract_all(text, '\b[A-Za-z]{1,4}\b'))::BIGINT AS n FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]')",
+    "fn78_short_words": r"SELECT doc_id, len(list_filter(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[A-Za-z]{1,4}')))::BIGINT AS n FROM documents",
     "fn83_colours": "SELECT p_partkey AS id, (['YELLOW', 'TURQUOISE', 'BRIGHT_GREEN', 'YELLOW'])[p_size % 4 + 1] AS colour FROM part",
     "fn97_float_places": "WITH c AS (SELECT o_custkey AS doc_id, l_suppkey % 10 + 1 AS ref_id, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos FROM lineitem JOIN orders ON l_orderkey = o_orderkey), f AS (SELECT doc_id, ref_id, min(pos) AS after FROM c GROUP BY ALL) SELECT b.doc_id, b.ref_id, coalesce(after, -1) AS after FROM (SELECT DISTINCT o_custkey AS doc_id, o_orderkey % 10 + 1 AS ref_id FROM orders) b LEFT JOIN f USING (doc_id, ref_id)",
 }
