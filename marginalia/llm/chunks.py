@@ -7,7 +7,8 @@ So boundaries depend on nearby content only and come back to step after an inser
 Chunks are compared by 96-bit digest; all but the first occurrence (least doc_id, then place) are
 repeats, and runs of repeats of `span` bytes or more are reported. Line ends and tabs count as spaces.
 
-Edge cases: null and empty texts have no chunks. Equal rows repeat each other. A null id comes first.
+Edge cases: null and empty texts have no chunks. Equal rows repeat each other. A null id comes first, rows of one id
+as they stand in the table.
 """
 
 from __future__ import annotations
@@ -58,7 +59,7 @@ def boundaries(texts: list[bytes], mean: int = 24, least: int = 12, most: int =
 
 
 def chunks(docs: DataFrame, mean: int = 24, least: int = 12, most: int = 256) -> DataFrame:
-    """(doc_id, text_key, start, size, d1, d2): every chunk, in bytes, with its digest."""
+    """(doc_id, text_key, row, start, size, d1, d2): every chunk, in bytes, with its digest; `row` tells all rows apart."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_intdigest
@@ -72,29 +73,30 @@ def chunks(docs: DataFrame, mean: int = 24, least: int = 12, most: int = 256) ->
             row = pa.array(np.repeat(np.arange(len(texts)), n))
             raw = np.frombuffer(b"".join(x.to_bytes(16, "little") for x in digest), np.int64).reshape(-1, 2)
             start = np.concatenate([*starts, np.zeros(0)]).astype(np.int32)
-            yield pa.record_batch({"doc_id": b.column("doc_id").take(row), "text_key": b.column("text_key").take(row), "start": start, "size": (np.concatenate([*ends, np.zeros(0)]) - start).astype(np.int32), "d1": raw[:, 0], "d2": (raw[:, 1] >> 32).astype(np.int32)})
+            yield pa.record_batch({"doc_id": b.column("doc_id").take(row), "text_key": b.column("text_key").take(row), "row": b.column("row").take(row), "start": start, "size": (np.concatenate([*ends, np.zeros(0)]) - start).astype(np.int32), "d1": raw[:, 0], "d2": (raw[:, 1] >> 32).astype(np.int32)})
 
-    rows = docs.select(*row_key(), "text").where("text <> ''").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInArrow(each, "doc_id long, text_key long, start int, size int, d1 long, d2 int")
+    rows = docs.select(*row_key(), F.monotonically_increasing_id().alias("row"), "text").where("text <> ''").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return rows.mapInArrow(each, "doc_id long, text_key long, row long, start int, size int, d1 long, d2 int")
 
 
 def repeated_spans(docs: DataFrame, span: int = 64, **sizes: int) -> DataFrame:
-    """doc_id, text_key, start, end, n_chunks, first_doc_id, first_doc_ids: runs of repeated chunks, in bytes, the document
-    that has the most of a run first, and all that have `span` bytes or more of it first.
+    """doc_id, text_key, copy, start, end, n_chunks, first_doc_id, first_doc_ids: runs of repeated chunks, in bytes, the document
+    that has the most of a run first, and all that have `span` bytes or more of it first. `copy` numbers equal rows.
 
     Digests are summed before they are shuffled, so a hot chunk is one row a task; the join back to the
     chunks has one row for each repeated digest, and AQE splits its hot side.
     """
     each = chunks(docs, **sizes)
-    place = F.struct(F.col("doc_id").alias("first_doc_id"), F.col("start").alias("first_start"))
+    place = F.struct(F.col("doc_id").alias("first_doc_id"), F.col("row").alias("first_row"), F.col("start").alias("first_start"))
     dup = each.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("d1", "d2", "first.*")
-    hit = each.join(dup, ["d1", "d2"]).where(~(F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("start") == F.col("first_start"))))
-    by = W.partitionBy("doc_id", "text_key").orderBy("start")
+    hit = each.join(dup, ["d1", "d2"]).where("row <> first_row OR start <> first_start")
+    by = W.partitionBy("doc_id", "text_key", "row").orderBy("start")
     runs = hit.withColumn("new", F.coalesce((F.lag(F.col("start") + F.col("size")).over(by) < F.col("start")).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(by))
-    by_first = runs.groupBy("doc_id", "text_key", "run", "first_doc_id").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"), F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    by_first = runs.groupBy("doc_id", "text_key", "row", "run", "first_doc_id").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"), F.count("*").alias("n"), F.sum("size").alias("bytes"))
     firsts = F.collect_list(F.when(F.col("bytes") >= span, F.col("first_doc_id")))
-    found = by_first.groupBy("doc_id", "text_key", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n_chunks"), F.max_by("first_doc_id", "bytes").alias("first_doc_id"), F.sort_array(firsts).alias("first_doc_ids"))
-    return found.where(F.col("end") - F.col("start") >= span).drop("run")
+    found = by_first.groupBy("doc_id", "text_key", "row", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n_chunks"), F.max_by("first_doc_id", "bytes").alias("first_doc_id"), F.sort_array(firsts).alias("first_doc_ids"))
+    copy = F.dense_rank().over(W.partitionBy("doc_id", "text_key").orderBy("row"))
+    return found.where(F.col("end") - F.col("start") >= span).withColumn("copy", copy).select("doc_id", "text_key", "copy", "start", "end", "n_chunks", "first_doc_id", "first_doc_ids")
 
 
 def drop_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -114,7 +116,8 @@ def drop_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(out, pa.string()) if n == "text" else b.column(n) for n in names], names=names)
 
     names = docs.columns
-    gone = spans.groupBy(F.col("doc_id").alias("g_id"), F.col("text_key").alias("g_key")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_gone"))
-    rows = docs.withColumn("_key", F.xxhash64("text"))
-    rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("_key") == F.col("g_key")), "left").select(*names, "_gone")
+    gone = spans.groupBy(F.col("doc_id").alias("g_id"), F.col("text_key").alias("g_key"), F.col("copy").alias("g_copy")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_gone"))
+    # Equal rows stand for each other, so any numbering of them will do.
+    rows = docs.withColumn("_key", F.xxhash64("text")).withColumn("_copy", F.row_number().over(W.partitionBy("doc_id", "_key").orderBy("_key")))
+    rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("_key") == F.col("g_key")) & (F.col("_copy") == F.col("g_copy")), "left").select(*names, "_gone")
     return rows.mapInArrow(cut, docs.schema)

@@ -30,7 +30,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.repeated_spans(documents(spark, sf_dir)).drop("text_key")
+    return chunks.repeated_spans(documents(spark, sf_dir)).drop("text_key", "copy")
 
 
 def op4_sampled_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
