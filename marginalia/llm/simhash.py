@@ -128,9 +128,3 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     first = written(named.groupBy("root").agg(F.min("least").alias("component_id")), "first")
     classes = named.join(first, "root").select("fp", "component_id")
     return each.join(classes, "fp").select("doc_id", "text_key", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 4) -> DataFrame:
-    """`docs` without those whose group has a document of lesser id. Rows that share an id count as one document."""
-    gone = near_duplicates(docs, shingle, radius).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
