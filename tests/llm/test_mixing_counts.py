@@ -1,0 +1,9 @@
+"""Counts of the mixer beyond 16 bits."""
+
+from marginalia.llm import mixing
+
+
+def test_large_counts_keep_their_ratio(spark):
+    words = spark.range(210_000).selectExpr("concat('0', if(id % 3 = 0, 'q', 'a'), id) AS word", "1L AS n_train")
+    counts = mixing.learn_model(words)().counts
+    assert ((counts[0] == [140_000, 70_000]).all(1)).any()
