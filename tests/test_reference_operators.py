@@ -172,7 +172,7 @@ def test_daily_stream(spark, small, tmp_path):
 
 
 def test_entry_without_the_optional_operators(tmp_path):
-    """The library imports and lists its queries with the llm folder and the pipeline gone."""
+    """The library imports and lists its queries with the llm folder gone, whether or not the pipeline's file is left."""
     import os
     import shutil
     import subprocess
@@ -181,6 +181,8 @@ def test_entry_without_the_optional_operators(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     shutil.copytree(f"{root}/marginalia", f"{tmp_path}/marginalia", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
-    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
-    n, m = map(int, out.stdout.split()[-2:])
-    assert n == len(registry.QUERIES) and m == len(registry.ORACLES)
+    run = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    for pipeline in ("", "import public_tokenizers\nfrom marginalia.llm import alike\nfrom marginalia.llm.common import work_path\n"):
+        (tmp_path / "corpus_pipeline.py").write_text(pipeline) if pipeline else None
+        out = subprocess.run([sys.executable, "-c", run], cwd=tmp_path, env=os.environ | {"PYTHONPATH": f"{tmp_path}:{os.environ.get('PYTHONPATH', '')}"}, capture_output=True, text=True)
+        assert tuple(map(int, out.stdout.split()[-2:])) == (len(registry.QUERIES), len(registry.ORACLES)), out.stderr
