@@ -13,17 +13,25 @@ BRACKETED = r"[\^\[\(]([\d,\-–—\s]+)[\^\]\)]"
 NUMERIC_RUN = r"^[\d,\-–—\s]+$"
 LEADING_NUMBER = r"^\[?\d+\]?[\.\s]*"
 
+#: Ids that a range spells out at most.
+MOST_IDS = 10_000
+
 
 def get_numbers(text: Column) -> Column:
-    """The ids in a text such as `1-3, 7`, in order; a range that runs backwards gives none."""
+    """The ids in a text such as `1-3, 7`, in order; a range that runs backwards gives none.
+
+    Numbers beyond 32 bits give none. A range of over MOST_IDS ids is given as its two ends.
+    """
 
     def ids(part: Column) -> Column:
         a, b = (F.regexp_extract(part, rf"^\s*(\d+)\s*{DASH}\s*(\d+)\s*$", k) for k in (1, 2))
         one = F.regexp_extract(part, r"^\s*(\d+)\s*$", 1)
-        low, high = F.nullif(a, F.lit("")).cast("int"), F.nullif(b, F.lit("")).cast("int")
+        low, high = a.try_cast("int"), b.try_cast("int")
+        wide = high.cast("long") - low >= MOST_IDS
         return (
-            F.when((a != "") & (low <= high), F.sequence(low, F.greatest(low, high)))
-            .when(one != "", F.array(F.nullif(one, F.lit("")).cast("int")))
+            F.when(wide, F.array(low, high))
+            .when(low <= high, F.sequence(low, F.when(wide, low).otherwise(F.greatest(low, high))))
+            .when(one.try_cast("int").isNotNull(), F.array(one.try_cast("int")))
             .otherwise(F.array().cast("array<int>"))
         )
 

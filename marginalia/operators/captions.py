@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.functions import credits as C
 from marginalia.functions import text as T
 
-# Labels of captioned items, words that begin a credit and words that ask for permission.
+# Labels of captioned items.
 LABEL = r"(?i)(?:\b)(Figure|Fig\.?|Table|Tab\.?|Box|Exhibit|Appendix|Case\s+Study)\.?\s*([0-9]+(?:[.\-][0-9]+)*)([A-Za-z]?)\b"
 LABELS = r"(?i)\b(Figures?|Figs?\.?|Tables?|Tabs?\.?|Box(?:es)?|Exhibits?|Append(?:ix|ices)|Case\s+Stud(?:y|ies))\.?\s+"
 RANGE = LABELS + r"([0-9]+\.[0-9]+)\s*(?:to|through|-)\s*([0-9]+\.[0-9]+)\b"
 PAIR = LABELS + r"([0-9]+(?:[.\-][0-9]+)*[A-Za-z]?)\s+(?:and|&)\s*([0-9]+(?:[.\-][0-9]+)*[A-Za-z]?)\b"
 CAPTION = r"(?i)^(figure|fig\.|table|tab\.|box|exhibit|appendix|case study)"
-CREDIT = r"(?i)^(source|sources|credit|courtesy|adapted|reprinted|reproduced|used with permission)\b"
-PERMISSION = r"(?i)(source|adapted|reprinted|reproduced|permission|courtesy|copyright|press|©)"
+#: Items that a range spells out at most; a wider one gives its ends.
+MOST_ITEMS = 1000
 
 
 def plain_dashes(text: Column) -> Column:
@@ -37,12 +38,13 @@ def items(paras: DataFrame) -> DataFrame:
     text = plain_dashes(F.col("text"))
     dotted = lambda c: F.replace(c, F.lit("-"), F.lit("."))
     of = lambda label, numbers: F.transform(numbers, lambda n: F.struct(item_type(label).alias("item_type"), n.alias("item_no")))
-    part = lambda c, k: F.split_part(c, F.lit("."), F.lit(k)).cast("int")
+    part = lambda c, k: F.split_part(c, F.lit("."), F.lit(k)).try_cast("int")
 
     def spread(m):
         a, z = F.regexp_extract(m, RANGE, 2), F.regexp_extract(m, RANGE, 3)
-        inner = F.transform(F.sequence(part(a, 2), F.greatest(part(a, 2), part(z, 2))), lambda n: F.concat_ws(".", part(a, 1), n))
-        return of(F.regexp_extract(m, RANGE, 1), F.when((part(a, 1) == part(z, 1)) & (part(a, 2) <= part(z, 2)), inner).otherwise(F.array(a, z)))
+        spelled = (part(a, 1) == part(z, 1)) & (part(a, 2) <= part(z, 2)) & (part(z, 2).cast("long") - part(a, 2) < MOST_ITEMS)
+        inner = F.transform(F.sequence(part(a, 2), F.when(spelled, part(z, 2)).otherwise(part(a, 2))), lambda n: F.concat_ws(".", part(a, 1), n))
+        return of(F.regexp_extract(m, RANGE, 1), F.when(spelled, inner).otherwise(F.array(a, z)))
 
     both = lambda m: of(F.regexp_extract(m, PAIR, 1), F.array(dotted(F.regexp_extract(m, PAIR, 2)), dotted(F.regexp_extract(m, PAIR, 3))))
     one = lambda m: of(F.regexp_extract(m, LABEL, 1), F.array(dotted(F.concat(F.regexp_extract(m, LABEL, 2), F.regexp_extract(m, LABEL, 3)))))
@@ -53,13 +55,20 @@ def items(paras: DataFrame) -> DataFrame:
 
 
 def permission_log(paras: DataFrame) -> DataFrame:
-    """A row for each caption: its item, text, the credit within nine paragraphs and before the next caption, chapter, need of permission."""
+    """A row for each caption: its item, text, its own credit or the first within nine paragraphs and before the next caption,
+    chapter, need of permission."""
     text = plain_dashes(F.col("text"))
-    is_caption, credit = text.rlike(CAPTION), F.when(text.rlike(CREDIT), text)
-    rows = T.look_ahead(paras, is_caption, is_caption, credit)
+    is_caption, found = text.rlike(CAPTION), C.credit_sentence(F.col("text"))
+    rows = T.look_ahead(paras, is_caption, is_caption, found)
     number = F.regexp_extract(text, LABEL, 2)
-    credit = F.coalesce("answer", F.lit(""))
+    caption, credit = F.btrim(F.regexp_replace(text, LABEL, "")), F.coalesce(found, "answer", F.lit(""))
     return rows.select(
-        "doc_id", "para_no", item_type(F.regexp_extract(text, LABEL, 1)).alias("item_type"), number.alias("item_no"), F.btrim(F.regexp_replace(text, LABEL, "")).alias("caption"), credit.alias("credit"),
-        F.split_part(number, F.lit("."), F.lit(1)).alias("chapter"), F.when(credit.rlike(PERMISSION), "YES").otherwise("NO").alias("needs_permission"),
-    )
+        "doc_id",
+        "para_no",
+        item_type(F.regexp_extract(text, LABEL, 1)).alias("item_type"),
+        number.alias("item_no"),
+        caption.alias("caption"),
+        credit.alias("credit"),
+        F.split_part(number, F.lit("."), F.lit(1)).alias("chapter"),
+        C.needs_permission(caption, credit).alias("needs_permission"),
+    )
