@@ -19,9 +19,13 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 
 def sentences(paras: DataFrame) -> DataFrame:
     """(doc_id, para_no, sent_no, start, sentence): with the place of each sentence in its paragraph, from 0."""
-    found = paras.select("doc_id", "para_no", F.posexplode(F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0))).alias("i", "sentence"), F.length(F.regexp_extract("text", r"^[.!?]*", 0)).alias("lead"))
-    before = F.sum(F.length("sentence")).over(W.partitionBy("doc_id", "para_no").orderBy("i").rowsBetween(W.unboundedPreceding, -1))
-    return found.select("doc_id", "para_no", F.col("i").cast("long").alias("sent_no"), (F.col("lead") + F.coalesce(before, F.lit(0))).cast("long").alias("start"), "sentence")
+    lead = F.length(F.regexp_extract("text", r"^[.!?]*", 0)).cast("long")
+    # Places are summed along each paragraph's own sentences, so nothing is shuffled.
+    none = F.array().cast("array<struct<start:bigint,sentence:string>>")
+    add = lambda a, s: F.struct((a["at"] + F.length(s)).alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), s.alias("sentence")))).alias("out"))
+    each = F.aggregate(F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0)), F.struct(lead.alias("at"), none.alias("out")), add)["out"]
+    found = paras.select("doc_id", "para_no", F.posexplode(each).alias("i", "s"))
+    return found.select("doc_id", "para_no", F.col("i").cast("long").alias("sent_no"), "s.start", "s.sentence")
 
 
 def n_words(text: Column) -> Column:
@@ -85,3 +89,12 @@ def look_ahead(paras: DataFrame, asks: Column, stops: Column, answer: Column, re
     df = paras.select("*", asks.alias("_asks"), F.first(F.when(stops, place), ignorenulls=True).over(w).alias("_stop"), F.first(F.when(answer.isNotNull(), F.struct(place.alias("at"), answer.alias("answer"))), ignorenulls=True).over(w).alias("_hit"))
     hit = F.when(F.col("_stop").isNull() | (F.col("_hit.at") < F.col("_stop")), F.col("_hit.answer"))
     return df.where("_asks").withColumn("answer", hit).drop("_asks", "_stop", "_hit")
+
+
+def hex_entities(text: Column) -> Column:
+    """Decimal character entities written in hexadecimal, of four digits at least; numbers beyond 2**31 stay."""
+    parts = F.regexp_extract_all(text, F.lit(r"(?s)&#[0-9]{1,9};|&|[^&]+"), F.lit(0))
+    number = lambda x: F.regexp_extract(x, r"^&#([0-9]+);$", 1)
+    code = lambda x: F.hex(number(x).try_cast("long"))
+    wide = lambda x: F.when(F.length(code(x)) < 4, F.lpad(code(x), 4, "0")).otherwise(code(x))
+    return F.array_join(F.transform(parts, lambda x: F.when(number(x) != "", F.concat(F.lit("&#x"), wide(x), F.lit(";"))).otherwise(x)), "")

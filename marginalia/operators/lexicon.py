@@ -7,20 +7,8 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
 
-# Pattern group and pattern, of units, numbers, spans of time and signs.
-PATTERNS = [
-    ("units", r"\b[0-9]+\sper\s(?:dL|mL|ml|L|g|mg|kg|min|h|hr|hour|day|week|month)\b"),
-    ("percent", r"(?:percent|per cent|percentage|%)"),
-    ("numbers_1000", r"\b\d{4,}\b"),
-    ("numbers_0_99", r"\b\d{1,2}\b"),
-    ("duration", r"\b\d+[- ]?(?:years?|months?|weeks?|days?|hours?|minutes?|seconds?)\b"),
-    ("chapter", r"\b(?:chapters?|chap|sections?|sect)\b"),
-    ("ranges", r"[0-9]+\s*[-–—]\s*[0-9]+"),
-    ("trademark", r"[™®©]"),
-    ("versus", r"\b(?:vs\.?|versus)\b"),
-    ("special", r"[§¶†‡]"),
-    ("figure_table", r"\b(?:Figure|Table)\s*\d+"),
-]
+#: First words of a lexicon up to which sentences are searched for them before the join.
+MOST_FIRSTS = 1000
 
 
 def load(rows: DataFrame) -> DataFrame:
@@ -38,6 +26,10 @@ def hits(sentences: DataFrame, terms: DataFrame) -> DataFrame:
     first = F.lower(F.regexp_extract("term", r"(?U)^\w+", 0))
     keyed = terms.withColumn("_first", first).where("_first <> ''")
     words = F.array_distinct(F.regexp_extract_all(F.lower("sentence"), F.lit(r"(?U)\w+"), F.lit(0)))
+    firsts = keyed.select("_first").distinct()
+    least = firsts.limit(MOST_FIRSTS + 1).collect()
+    if len(least) <= MOST_FIRSTS:  # few first words: only those go on, so that sentences are not spelled out in full
+        words = F.array_intersect(words, F.array(*[F.lit(r["_first"]) for r in least]).cast("array<string>"))
     each = sentences.withColumn("_word", F.explode(words)).join(keyed, F.col("_word") == F.col("_first"))
     upper = F.col("term") == F.upper("term")
     pattern = F.concat(F.when(upper, F.lit("(?U)")).otherwise(F.lit("(?iU)")), F.lit(r"\b\Q"), F.col("term"), F.lit(r"\E\b"))
@@ -47,10 +39,3 @@ def hits(sentences: DataFrame, terms: DataFrame) -> DataFrame:
 def report(paras: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, para_no, sent_no, page, category, term, sentence for each finding."""
     return hits(T.sentences(paras), terms).join(T.pages_by_words(paras), ["doc_id", "para_no"])
-
-
-def pattern_counts(docs: DataFrame, patterns=PATTERNS) -> DataFrame:
-    """Matches of each pattern group over all documents, in one pass."""
-    each = F.array(*[F.struct(F.lit(k).alias("pattern_group"), F.regexp_count("text", F.lit(f"(?i){p}")).alias("n")) for k, p in patterns])
-    rows = docs.select(F.explode(each).alias("x")).select("x.*").where("n > 0")
-    return rows.groupBy("pattern_group").agg(F.sum("n").cast("long").alias("n"))

@@ -96,10 +96,6 @@ def marks(k: int) -> Column:
     return (F.length("text") % 11) == k
 
 
-def patterns(spark: SparkSession, d: str) -> DataFrame:
-    return lexicon.pattern_counts(docs(spark, d), lexicon.PATTERNS)
-
-
 PARAS = "paras AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS para_no, unnest(string_split(text, chr(10))) AS text FROM documents)"
 WORDS = "len(regexp_extract_all({}, '[^ \\t\\n]+'))"
 SENTS = PARAS + ", sents AS (SELECT doc_id, para_no, unnest(range(len(regexp_extract_all(text, '[^.!?]+[.!?]*')))) AS sent_no, unnest(regexp_extract_all(text, '[^.!?]+[.!?]*')) AS sentence FROM paras)"
@@ -129,7 +125,6 @@ QUERIES = {
     "agg22_style_vote": style_vote,
     "jn15_fn71_lexicon_hits": lambda s, d: lexicon.hits(T.sentences(paras(s, d)), lexicon.load(lexicon_terms(s, d))).groupBy("category", "term").agg(F.count("*").alias("n")),
     "pipe05_lexicon_report": lambda s, d: lexicon.report(paras(s, d), lexicon.load(lexicon_terms(s, d))).select("doc_id", "page", "category", "term", "sent_no", "para_no"),
-    "fn74_pattern_counts": patterns,
     "fn60_caption_items": lambda s, d: items(s, d),
     "jn13_uncited_captions": lambda s, d: unmatched(s, d, True),
     "jn13_uncaptioned_citations": lambda s, d: unmatched(s, d, False),
@@ -150,9 +145,9 @@ def citation_runs(p: DataFrame) -> DataFrame:
 
 
 def overlaps(spark: SparkSession, d: str) -> DataFrame:
-    """Pieces of text that a span runs through: an interval join within a paragraph, met by bucket."""
+    """Pieces of text that a span runs through: a range join within a document, whose spans and runs are few."""
     li = table(spark, d, "lineitem")
-    spans = li.where("l_linenumber = 1").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_partkey") % 100).alias("start"), (F.col("l_partkey") % 100 + 15).alias("end"))
+    spans = li.select(F.col("l_orderkey").alias("doc_id"), (F.col("l_partkey") % 100).alias("start"), (F.col("l_partkey") % 100 + 15).alias("end"))
     runs = li.select(F.col("l_orderkey").alias("r_doc"), (F.col("l_linenumber") * 20).cast("long").alias("r_start"), (F.col("l_linenumber") * 20 + F.col("l_quantity").cast("long")).alias("r_end"))
     return spans.join(runs, (F.col("doc_id") == F.col("r_doc")) & (F.col("r_start") < F.col("end")) & (F.col("r_end") > F.col("start"))).select("doc_id", "start", "r_start", "r_end")
 
@@ -198,7 +193,6 @@ x AS (SELECT c.doc_id, c.para_no, c.i, (SELECT min(s.i) FROM n s WHERE s.doc_id
 SELECT x.doc_id, x.para_no, CASE WHEN n.k = 0 THEN 'Figure' ELSE 'Table' END AS item_type, n.no AS item_no, CASE WHEN n.k = 0 THEN n.p_name ELSE n.p_type END AS caption, coalesce('Source: ' || h.p_brand || ' Press', '') AS credit, split_part(n.no, '.', 1) AS chapter,
        CASE WHEN h.i IS NULL THEN 'NO' ELSE 'YES' END AS needs_permission
 FROM x JOIN n ON n.doc_id = x.doc_id AND n.i = x.i LEFT JOIN n h ON h.doc_id = x.doc_id AND h.i = x.hit AND (x.stop IS NULL OR x.hit < x.stop)""",
-    "jn22_overlapping_runs": "WITH s AS (SELECT l_orderkey AS doc_id, l_partkey % 100 AS start, l_partkey % 100 + 15 AS e FROM lineitem WHERE l_linenumber = 1), r AS (SELECT l_orderkey AS d, l_linenumber * 20::BIGINT AS r_start, l_linenumber * 20 + l_quantity::BIGINT AS r_end FROM lineitem) SELECT doc_id, start, r_start, r_end FROM s JOIN r ON doc_id = d AND r_start < e AND r_end > start",
+    "jn22_overlapping_runs": "WITH s AS (SELECT l_orderkey AS doc_id, l_partkey % 100 AS start, l_partkey % 100 + 15 AS e FROM lineitem), r AS (SELECT l_orderkey AS d, l_linenumber * 20::BIGINT AS r_start, l_linenumber * 20 + l_quantity::BIGINT AS r_end FROM lineitem) SELECT doc_id, start, r_start, r_end FROM s JOIN r ON doc_id = d AND r_start < e AND r_end > start",
     "jn15_fn71_lexicon_hits": f"WITH {SENTS}, t(term, category) AS (VALUES ('stupid', 'again'), ('Thin', 'body'), ('lying', 'act'), ('The', 'words'), ('for the', 'words'), ('THE', 'upper')) SELECT category, term, count(*) AS n FROM sents, t WHERE regexp_matches(sentence, (CASE WHEN term = upper(term) THEN '' ELSE '(?i)' END) || '(^|[^A-Za-z0-9_À-ÿ])' || term || '($|[^A-Za-z0-9_À-ÿ])') GROUP BY category, term",
-    "fn74_pattern_counts": "WITH p(pattern_group, pattern) AS (VALUES " + ", ".join("('" + k + "', '" + v.replace("'", "''") + "')" for k, v in lexicon.PATTERNS) + ") SELECT pattern_group, sum(len(regexp_extract_all(text, '(?i)' || pattern)))::BIGINT AS n FROM documents, p GROUP BY pattern_group HAVING n > 0",
 }

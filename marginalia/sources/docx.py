@@ -1,4 +1,5 @@
-"""Word documents as rows: a package's paragraphs in order, those of tables too, or their runs with character styles.
+"""Word documents as rows: a package's paragraphs in order, those of tables too, their runs with character styles or marks,
+its comments, and what it has of images, notes and sections.
 
 Files are read as binary rows, so any store will do, and unpacked in Arrow batches.
 """
@@ -15,6 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 PARAGRAPH = "path string, para_no long, style string, text string, in_table boolean, page_breaks long"
+MARK = "path string, para_no long, run_no long, text string, highlighted boolean, italic boolean, struck boolean, hidden boolean"
+COMMENT = "path string, comment_no long, author string, text string"
+MEDIA = "path string, images long, footnotes long, endnotes long, sections long"
+IMAGES = "/relationships/image"
 RUN = "path string, para_no long, para_style string, run_no long, style string, text string"
 
 
@@ -62,6 +67,37 @@ def package_runs(content: bytes) -> Iterator[tuple[int, str, int, str | None, st
                 yield i, style_of(p, "p") or "Normal", j, names.get(style, style), text_under(run)
 
 
+def is_on(node, *names: str) -> bool:
+    """Whether a run has one of these properties, and not turned off."""
+    found = (node.find(f"{W}rPr/{W}{n}") for n in names)
+    return any(p is not None and p.get(f"{W}val") not in ("0", "false", "none") for p in found)
+
+
+def package_marks(content: bytes) -> Iterator[tuple[int, int, str, bool, bool, bool, bool]]:
+    """(paragraph number, run number, text, highlighted, italic, struck, hidden) of each run right below a paragraph."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        for i, (p, _) in enumerate(body_paragraphs(z), 1):
+            for j, run in enumerate(p.findall(f"{W}r"), 1):
+                yield i, j, text_under(run), is_on(run, "highlight"), is_on(run, "i"), is_on(run, "strike", "dstrike"), is_on(run, "vanish")
+
+
+def package_comments(content: bytes) -> Iterator[tuple[int, str, str]]:
+    """(number, author, text) of each comment."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        if "word/comments.xml" in z.namelist():
+            for i, c in enumerate(ElementTree.fromstring(z.read("word/comments.xml")).iter(f"{W}comment"), 1):
+                yield i, c.get(f"{W}author", "Unknown"), "".join(t.text or "" for t in c.iter(f"{W}t"))
+
+
+def package_media(content: bytes) -> Iterator[tuple[int, int, int, int]]:
+    """(images, footnotes, endnotes, sections), once: images as the document refers to them, notes as its body does."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        body, relations = ElementTree.fromstring(z.read("word/document.xml")), "word/_rels/document.xml.rels"
+        links = ElementTree.fromstring(z.read(relations)) if relations in z.namelist() else ()
+        count = lambda tag: sum(1 for _ in body.iter(f"{W}{tag}"))
+        yield sum(r.get("Type", "").endswith(IMAGES) for r in links), count("footnoteReference"), count("endnoteReference"), count("sectPr")
+
+
 def read_packages(spark: SparkSession, path: str, rows_of, schema: str) -> DataFrame:
     """What `rows_of` finds in every .docx below `path`; what is no package is left out."""
     columns = [c.split()[0] for c in schema.split(", ")]
@@ -83,6 +119,21 @@ def read_docx(spark: SparkSession, path: str) -> DataFrame:
     return read_packages(spark, path, package_paragraphs, PARAGRAPH)
 
 
+def read_docx_marks(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each run of every .docx below `path`, with how it is marked."""
+    return read_packages(spark, path, package_marks, MARK)
+
+
+def read_docx_comments(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each comment of every .docx below `path`."""
+    return read_packages(spark, path, package_comments, COMMENT)
+
+
+def read_docx_media(spark: SparkSession, path: str) -> DataFrame:
+    """A row for every .docx below `path`: its images, notes and sections."""
+    return read_packages(spark, path, package_media, MEDIA)
+
+
 def read_docx_runs(spark: SparkSession, path: str) -> DataFrame:
     """A row for each run of every .docx below `path`."""
     return read_packages(spark, path, package_runs, RUN)
