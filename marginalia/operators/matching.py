@@ -13,6 +13,9 @@ from pyspark.sql.types import DoubleType
 from marginalia.functions.authoryear import citation_key, normalized
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
+
+
 @F.pandas_udf(DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """difflib's ratio of the earlier and the later text; not symmetric, so keep their order."""
@@ -64,12 +67,18 @@ def match_citations(cites: DataFrame, refs: DataFrame) -> DataFrame:
 def duplicates(rows: DataFrame, block: list[str], pos: str, text: str, least: float = 0.85) -> DataFrame:
     """block, id, duplicate_of, score: pairs within a block whose ratio is over `least`; the later is the duplicate.
 
-    Length bands that no pair over `least` can leave are checked before the ratio.
+    Texts are compared in lower case with blanks collapsed. Blocks are documents: pairs are those of one bibliography.
+    Before the ratio stand two bounds that no pair over `least` can pass: by lengths, and by letters in common.
     """
-    a = rows.select(*block, F.col(pos).alias("duplicate_of"), F.col(text).alias("_a"))
-    b = rows.select(*block, F.col(pos).alias("id"), F.col(text).alias("_b"))
+    low = F.btrim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    bag = F.array(*[F.length(low) - F.length(F.replace(low, F.lit(c), F.lit(""))) for c in LETTERS], F.length(F.regexp_replace(low, f"[{LETTERS}]", "")))
+    rows = rows.withColumn("_low", low).withColumn("_bag", bag)
+    a = rows.select(*block, F.col(pos).alias("duplicate_of"), F.col("_low").alias("_a"), F.col("_bag").alias("_x"))
+    b = rows.select(*block, F.col(pos).alias("id"), F.col("_low").alias("_b"), F.col("_bag").alias("_y"))
     shorter, longer = F.least(F.length("_a"), F.length("_b")), F.greatest(F.length("_a"), F.length("_b"))
     pairs = a.join(b, block).where((F.col("duplicate_of") < F.col("id")) & (F.length("_a") > 0) & (F.length("_b") > 0) & (shorter / longer > least / (2 - least)))
+    common = F.aggregate(F.zip_with("_x", "_y", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    pairs = pairs.where(2 * common > least * (F.length("_a") + F.length("_b")))
     return pairs.withColumn("ratio", ratio("_a", "_b")).where(F.col("ratio") > least).select(*block, "id", "duplicate_of", F.round(F.col("ratio") * 100, 1).alias("score"))
 
 

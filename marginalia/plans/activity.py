@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.operators import store
 from marginalia.plans.sqlquery import query, run_sql, twin
 
 USERS = "users AS (SELECT c_custkey AS id, c_name AS username, c_mktsegment AS role, c_nationkey AS nation FROM {customer})"
@@ -33,9 +34,7 @@ ACL = "acl AS (SELECT * FROM (VALUES ('click', 'BUILDING'), ('click', 'MACHINERY
 
 SQL = {
     "src01_table_lookup": f"WITH {USERS} SELECT * FROM users WHERE id = 42",
-    "src20_upload_intake": "SELECT p_partkey AS id, lower(replace(concat(p_name, CASE WHEN p_size % 3 = 0 THEN '.docx' WHEN p_size % 3 = 1 THEN '.DOC' ELSE '.exe' END), ' ', '_')) AS stored_filename FROM {part} WHERE p_size % 3 < 2",
     "prj01_equality_filter": f"WITH {USERS}, {JOBS} SELECT m.id, m.user_id, m.route_type FROM macro_processing m WHERE m.route_type = 'click' AND m.user_id = 7",
-    "prj02_dynamic_filter": HISTORY + " SELECT id, type, route_type, user_id FROM history WHERE type = 'macro' AND route_type = 'view' AND user_id = 12",
     "prj03_tagged_projection": f"WITH {FILES} SELECT id, user_id, 'validation' AS type, '' AS token, '' AS route_type, 0 AS total_citations FROM files",
     "prj04_month_range": f"WITH {FILES} SELECT id, user_id, upload_date AS date FROM files WHERE upload_date >= TIMESTAMP '1996-01-01 00:00:00' AND upload_date < TIMESTAMP '1996-07-01 00:00:00'",
     "prj05_owned_report_exists": f"WITH {USERS}, {FILES} SELECT u.id, u.username FROM users u WHERE EXISTS (SELECT 1 FROM files f WHERE f.user_id = u.id AND f.report_filename LIKE 'report_1%')",
@@ -43,11 +42,9 @@ SQL = {
     "prj07_null_fallback": f"WITH {USERS} SELECT id, coalesce(nullif(CASE WHEN id % 7 = 0 THEN '' WHEN id % 11 = 0 THEN NULL ELSE role END, ''), 'USER') AS role FROM users",
     "prj08_token_expiry": f"WITH {JOBS} SELECT id, CASE WHEN id % 5 = 0 THEN TRUE ELSE processing_date + INTERVAL 1 HOUR < TIMESTAMP '2024-01-02 00:00:00' END AS expired FROM macro_processing",
     "prj16_unique_username": f"WITH {USERS} SELECT id, username, role FROM users WHERE username = 'Customer#000000042'",
-    "prj17_download_filter": "SELECT o_orderkey AS id, o_totalprice AS size FROM {orders} WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_totalprice < 50000",
     "jn01_file_user": f"WITH {USERS}, {FILES} SELECT f.id, u.username, f.upload_date AS date FROM files f JOIN users u ON f.user_id = u.id",
     "jn02_file_result_user": f"WITH {USERS}, {FILES}, {RESULTS} SELECT f.id, u.username, v.total_references, v.total_citations FROM files f LEFT JOIN validation_results v ON f.id = v.file_id JOIN users u ON f.user_id = u.id",
     "jn03_user_totals": f"WITH {USERS}, {FILES}, {JOBS} SELECT u.username, (SELECT count(*) FROM files f WHERE f.user_id = u.id) + (SELECT count(*) FROM macro_processing m WHERE m.user_id = u.id) AS total_count FROM users u",
-    "jn04_results_left_after_delete": f"WITH {FILES}, {RESULTS} SELECT file_id, total_references FROM validation_results WHERE file_id NOT IN (SELECT id FROM files WHERE user_id % 3 = 0)",
     "jn23_token_cascade": f"WITH {JOBS}, tokens AS (SELECT id, route_type FROM macro_processing WHERE id % 4 = 0) SELECT m.id, coalesce(t.route_type, CASE WHEN m.route_type <> 'error' THEN m.route_type END, 'missing') AS found FROM macro_processing m LEFT JOIN tokens t ON t.id = m.id",
     "agg01_table_counts": f"WITH {USERS}, {FILES}, {RESULTS}, {JOBS} SELECT (SELECT count(*) FROM users) AS total_users, (SELECT count(*) FROM files) AS total_files, (SELECT count(*) FROM validation_results) AS total_validations, (SELECT count(*) FROM macro_processing) AS total_macro",
     "agg02_known_route_counts": f"WITH {JOBS}, {ROUTES} SELECT r.route_type, count(m.id) AS n FROM routes r LEFT JOIN macro_processing m ON m.route_type = r.route_type GROUP BY r.route_type",
@@ -66,13 +63,49 @@ SQL = {
     "set02_history_count": f"WITH {FILES}, {JOBS}, {ALL_ACTIVITY} SELECT count(*) AS total_records FROM activity WHERE type = 'macro' AND route_type = 'click'",
     "set03_recent_union": f"WITH {USERS}, {FILES}, {JOBS}, {ALL_ACTIVITY} SELECT a.id, a.date, u.username, a.type, a.route_type FROM activity a JOIN users u ON a.user_id = u.id",
     "set04_activity_dates": f"WITH {FILES}, {JOBS}, {ALL_ACTIVITY} SELECT user_id, date FROM activity",
-    "snk14_audit_line": f"WITH {USERS}, {JOBS} SELECT m.id, concat_ws(' - ', u.username, m.route_type, m.selected_tasks) AS line FROM macro_processing m JOIN users u ON u.id = m.user_id",
     "snk03_role_update": f"WITH {USERS} SELECT id, username, CASE WHEN id % 10 = 3 THEN 'ADMIN' ELSE role END AS role FROM users",
     "snk04_user_delete": f"WITH {USERS}, {FILES} SELECT f.id, f.user_id FROM files f WHERE NOT EXISTS (SELECT 1 FROM users u WHERE u.id = f.user_id AND u.role = 'MACHINERY')",
     "snk15_new_users": f"WITH {USERS} SELECT s_suppkey AS id, s_name AS username FROM {{supplier}} s WHERE NOT EXISTS (SELECT 1 FROM users u WHERE u.username = replace(s.s_name, 'Supplier', 'Customer') AND u.id % 2 = 0)",
     "snk17_admin_upsert": f"WITH {USERS} SELECT id, username, role FROM users WHERE username <> 'admin' UNION ALL SELECT cast(0 AS bigint), 'admin', 'ADMIN'",
 }
 
+#: Filters of the history as a request gives them; empty ones are left out.
+REQUESTS = [{"type": "macro", "route_type": "view", "user_id": 12, "is_admin": True}, {"type": "", "route_type": "", "user_id": None, "is_admin": False, "owner": 7}, {"type": "validation", "user_id": 3, "is_admin": True}]
+
+
+def filtered_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history under each request's filters, composed of those it has; all conditions reach both sides of the union."""
+    out = None
+    for i, request in enumerate(REQUESTS):
+        rows = store.composed_filter(run_sql(spark, sf_dir, HISTORY + " SELECT id, type, route_type, user_id FROM history"), **request)
+        own = rows.withColumn("request", F.lit(i))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def results_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results whose file is not deleted: an anti join on the file's id."""
+    results = run_sql(spark, sf_dir, f"WITH {RESULTS} SELECT file_id, total_references FROM validation_results")
+    gone = run_sql(spark, sf_dir, f"WITH {FILES} SELECT id AS file_id FROM files WHERE user_id % 3 = 0")
+    return results.join(gone, "file_id", "left_anti")
+
+
+def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = run_sql(spark, sf_dir, f"WITH {USERS}, {JOBS} SELECT m.id, m.processing_date, u.username, m.route_type, m.selected_tasks FROM macro_processing m JOIN users u ON u.id = m.user_id")
+    return rows.select("id", store.audit_line(*map(F.col, ("processing_date", "username", "route_type", "selected_tasks"))).alias("line"))
+
+
+def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uploads of allowed kinds under safe names: paths, blanks and odd signs in them."""
+    rows = run_sql(spark, sf_dir, """SELECT p_partkey AS id, concat(CASE p_size % 4 WHEN 0 THEN '../' WHEN 1 THEN 'C:\\\\x\\\\' ELSE ' ' END, p_name, CASE p_size % 3 WHEN 0 THEN '.docx' WHEN 1 THEN ' (1).DOC' ELSE '.exe' END) AS name FROM {part}""")
+    return rows.where(store.is_allowed(F.col("name"))).select("id", store.safe_name(F.col("name")).alias("stored_filename"))
+
+
+def downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = run_sql(spark, sf_dir, "SELECT o_orderkey AS id, concat('f', o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '.zip' WHEN 1 THEN '_processed.docx' WHEN 2 THEN '.tmp' ELSE '.DOCX' END) AS name FROM {orders}")
+    return rows.where(store.is_download(F.col("name")))
+
+
 MONTHS = ["2024-01", "2024-02", "2024-03", "2024-04", "2024-05", "2024-06"]
 
 
@@ -114,6 +147,11 @@ def formatted_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ACTIVITY = f"WITH {USERS}, {FILES}, {JOBS}, {ALL_ACTIVITY} SELECT u.username, strftime(a.date, '%Y-%m') AS month FROM activity a JOIN users u ON a.user_id = u.id WHERE a.date >= TIMESTAMP '2024-01-01' AND a.date < TIMESTAMP '2024-07-01'"
 QUERIES = {k: query(v) for k, v in SQL.items()} | {
+    "prj02_dynamic_filter": filtered_history,
+    "jn04_results_left_after_delete": results_left,
+    "snk14_audit_line": audit_lines,
+    "src20_upload_intake": uploads,
+    "prj17_download_filter": downloads,
     "agg05_month_activity": month_counts,
     "agg06_month_pivot": month_pivot,
     "agg08_error_counts": error_counts,
@@ -121,6 +159,13 @@ QUERIES = {k: query(v) for k, v in SQL.items()} | {
     "fn15_job_tasks": job_tasks,
 }
 ORACLES = {k: twin(v).replace("AS string)", "AS varchar)") for k, v in SQL.items()} | {
+    "prj02_dynamic_filter": """WITH h AS (SELECT o_orderkey AS id, 'validation' AS type, '' AS route_type, o_custkey AS user_id FROM orders JOIN customer ON c_custkey = o_custkey
+UNION ALL SELECT event_id, 'macro', event_type, user_id FROM events JOIN customer ON c_custkey = user_id)
+SELECT *, 0 AS request FROM h WHERE type = 'macro' AND route_type = 'view' AND user_id = 12 UNION ALL SELECT *, 1 FROM h WHERE user_id = 7 UNION ALL SELECT *, 2 FROM h WHERE type = 'validation' AND user_id = 3""",
+    "jn04_results_left_after_delete": "SELECT l_orderkey AS file_id, count(*) AS total_references FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_custkey % 3 = 0) GROUP BY l_orderkey",
+    "snk14_audit_line": "SELECT event_id AS id, strftime(ts, '%Y-%m-%d %H:%M:%S') || ' - ' || c_name || ' - ' || event_type || ' - ' || props AS line FROM events JOIN customer ON c_custkey = user_id",
+    "src20_upload_intake": "SELECT p_partkey AS id, CASE WHEN p_size % 4 = 1 THEN 'C_x_' ELSE '' END || replace(p_name, ' ', '_') || CASE p_size % 3 WHEN 0 THEN '.docx' ELSE '_1.DOC' END AS stored_filename FROM part WHERE p_size % 3 < 2",
+    "prj17_download_filter": "SELECT o_orderkey AS id, 'f' || o_orderkey || CASE o_orderkey % 4 WHEN 0 THEN '.zip' WHEN 1 THEN '_processed.docx' ELSE '.DOCX' END AS name FROM orders WHERE o_orderkey % 4 <> 2",
     "agg05_month_activity": twin(f"SELECT username, month, count(*) AS n FROM ({ACTIVITY}) GROUP BY username, month"),
     "agg06_month_pivot": twin("SELECT c_name AS username, " + ", ".join(f"count(*) FILTER (WHERE month = '{m}') AS m{m.replace('-', '_')}" for m in MONTHS) + f" FROM customer LEFT JOIN ({ACTIVITY}) a ON a.username = c_name GROUP BY c_name"),
     "agg08_error_counts": "SELECT event_type AS route_type, cast(sum(CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 THEN 0 ELSE 2 END) AS bigint) AS n_errors FROM events GROUP BY event_type",

@@ -80,8 +80,8 @@ def how_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def part_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    rows = run_sql(spark, d, "SELECT p_brand, p_size, p_partkey, concat(p_name, ' ', p_type) AS text FROM {part}")
-    return matching.duplicates(rows, ["p_brand", "p_size"], "p_partkey", "text")
+    rows = run_sql(spark, d, "SELECT p_partkey div 40 AS doc_id, p_partkey, concat(p_name, ' ', p_type, ' ', p_brand) AS text FROM {part}")
+    return matching.duplicates(rows, ["doc_id"], "p_partkey", "text")
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
