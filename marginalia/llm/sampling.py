@@ -29,6 +29,7 @@ SCALE = 2.3  # of a byte's weight, which keeps sums of short units near 1 and ch
 #: Bytes up to which a unit's ways are summed as they are; beyond, in logarithms.
 SHORT = 64
 LATTICE_BYTES = 1 << 19  # of units whose lattices are built at once
+UNITS = 1 << 17  # that are drawn for at once
 _loaded: dict[tuple, "Pieces"] = {}
 
 
@@ -221,11 +222,22 @@ def sample(texts: list[bytes], keys: np.ndarray, model: Pieces) -> list[np.ndarr
         at = to
     empty = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int16))
     first_edge, limits, edge_ids, edge_sizes = (np.concatenate(x) for x in zip(empty, *parts, strict=True))
-    n = len(codes)
-    seed = np.repeat(keys.astype(np.uint64), np.diff(offsets)) + (np.arange(n) - np.repeat(offsets[:-1], np.diff(offsets))).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    begin = start_of[codes]
-    where = begin + length[codes]
-    active, drawn, taken = np.arange(n), [], np.zeros(n, np.int64)
+    nth = np.arange(len(codes)) - np.repeat(offsets[:-1], np.diff(offsets))
+    seed = np.repeat(keys.astype(np.uint64), np.diff(offsets)) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    ids, taken = [], np.zeros(len(codes) + 1, np.int64)
+    for a in range(0, len(codes), UNITS):  # drawn for a bounded number of units at once
+        own, n = _drawn(seed[a : a + UNITS], start_of[codes[a : a + UNITS]], length[codes[a : a + UNITS]], first_edge, limits, edge_ids, edge_sizes)
+        ids.append(own)
+        taken[a + 1 : a + 1 + len(n)] = n
+    out = np.concatenate([np.zeros(0, np.int32), *ids])
+    bounds = np.cumsum(taken)[offsets]
+    return [out[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def _drawn(seed, begin, size, first_edge, limits, edge_ids, edge_sizes) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all units in order, ids of each): backward from each unit's end, a step of all units at a time."""
+    where = begin + size
+    active, drawn, taken = np.arange(len(seed), dtype=np.int32), [], np.zeros(len(seed), np.int32)
     while len(active):
         u = _draw(seed[active] + taken[active].astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
         e = first_edge[where[active] - 1]
@@ -237,12 +249,11 @@ def sample(texts: list[bytes], keys: np.ndarray, model: Pieces) -> list[np.ndarr
         where[active] -= edge_sizes[e]
         taken[active] += 1
         active = active[where[active] > begin[active]]
-    upto = np.concatenate([[0], np.cumsum(taken)])
+    upto = np.concatenate([[0], np.cumsum(taken, dtype=np.int64)])
     out = np.zeros(upto[-1], np.int32)
     for step, (own, ids) in enumerate(drawn):
         out[upto[own + 1] - 1 - step] = ids
-    bounds = upto[offsets]
-    return [out[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    return out, taken
 
 
 def decode(ids: np.ndarray, model: Pieces) -> bytes:
@@ -252,7 +263,7 @@ def decode(ids: np.ndarray, model: Pieces) -> bytes:
     return model.flat[at].tobytes()
 
 
-def encode(docs: DataFrame, path: str, sharpness: float = 1.0, seed: int = 0, batch_bytes: int = 1 << 24) -> DataFrame:
+def encode(docs: DataFrame, path: str, sharpness: float = 1.0, seed: int = 0, batch_bytes: int = 1 << 22) -> DataFrame:
     """`docs` with `ids` (little-endian 16-bit or, for larger models, 32-bit integers), n_pieces, ids_crc32 (of 32-bit
     integers) and lossless: whether decoding the ids gave back the text."""
 
