@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 
 SENTENCE = r"[^.!?]+[.!?]*"
 WORDS_A_PAGE, PARAGRAPHS_A_PAGE = 160, 40
-# Script, first and last code point.
-SCRIPTS = [("Latin-1", "À", "ÿ"), ("Greek", "Ͱ", "Ͽ"), ("Cyrillic", "Ѐ", "ӿ"), ("Hebrew", "֐", "׿"), ("Arabic", "؀", "ۿ"), ("Kana", "぀", "ヿ"), ("CJK", "一", "鿿")]
+# Script, first and last code point; Latin-1 letters are added to the scripts that are marked.
+SCRIPTS = [
+    ("Latin-1", "À", "ÿ"), ("Chinese", "一", "鿿"), ("Greek", "Ͱ", "Ͽ"), ("Cyrillic", "Ѐ", "ӿ"), ("Hebrew", "֐", "׿"), ("Arabic", "؀", "ۿ"), ("Arabic", "ݐ", "ݿ"),
+    ("Devanagari", "ऀ", "ॿ"), ("Japanese", "぀", "ゟ"), ("Japanese", "゠", "ヿ"), ("Korean", "가", "힯"), ("Thai", "฀", "๿"), ("Currency", "₠", "⃏"),
+]
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
@@ -86,7 +89,10 @@ def look_ahead(paras: DataFrame, asks: Column, stops: Column, answer: Column, re
     """For each row that asks, the first answer in the next `reach` rows, none beyond a row that stops."""
     w = W.partitionBy("doc_id").orderBy("para_no").rowsBetween(1, reach)
     place = F.col("para_no")
-    df = paras.select("*", asks.alias("_asks"), F.first(F.when(stops, place), ignorenulls=True).over(w).alias("_stop"), F.first(F.when(answer.isNotNull(), F.struct(place.alias("at"), answer.alias("answer"))), ignorenulls=True).over(w).alias("_hit"))
+    said = paras.select("*", asks.alias("_asks"), stops.alias("_stops"), answer.alias("_answer"))
+    hit = F.when(F.col("_answer").isNotNull(), F.struct(place.alias("at"), F.col("_answer").alias("answer")))
+    first = lambda c: F.first(c, ignorenulls=True).over(w)
+    df = said.select("*", first(F.when(F.col("_stops"), place)).alias("_stop"), first(hit).alias("_hit")).drop("_stops", "_answer")
     hit = F.when(F.col("_stop").isNull() | (F.col("_hit.at") < F.col("_stop")), F.col("_hit.answer"))
     return df.where("_asks").withColumn("answer", hit).drop("_asks", "_stop", "_hit")
 

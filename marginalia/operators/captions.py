@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marginalia.functions import credits as C
@@ -54,12 +55,23 @@ def items(paras: DataFrame) -> DataFrame:
     return paras.select("doc_id", "para_no", text.rlike(CAPTION).alias("is_caption"), F.explode(found).alias("m")).select("doc_id", "para_no", "m.item_type", "m.item_no", "is_caption")
 
 
+def with_sources(paras: DataFrame, found: Column, stops: Column, most: int = 4) -> Column:
+    """Credits, where a Sources block takes along the next lines, up to `most`, that begin with a capital, up to a caption."""
+    ahead = W.partitionBy("doc_id").orderBy("para_no").rowsBetween(1, most)
+    line = F.struct("para_no", F.col("text").alias("text"), (F.col("text").rlike(r"^\p{Lu}") & ~stops).alias("goes"))
+    lines = F.array_sort(F.collect_list(line).over(ahead))
+    none = F.struct(F.lit(True).alias("on"), F.array().cast("array<string>").alias("out"))
+    add = lambda a, x: F.struct((a["on"] & x["goes"]).alias("on"), F.when(a["on"] & x["goes"], F.concat(a["out"], F.array(x["text"]))).otherwise(a["out"]).alias("out"))
+    more = F.aggregate(lines, none, add)["out"]
+    return F.when(F.lower(found).contains("sources"), F.concat_ws(" ", found, F.array_join(F.when(F.size(more) > 0, more), " "))).otherwise(found)
+
+
 def permission_log(paras: DataFrame) -> DataFrame:
     """A row for each caption: its item, text, its own credit or the first within nine paragraphs and before the next caption,
     chapter, need of permission."""
     text = plain_dashes(F.col("text"))
     is_caption, found = text.rlike(CAPTION), C.credit_sentence(F.col("text"))
-    rows = T.look_ahead(paras, is_caption, is_caption, found)
+    rows = T.look_ahead(paras, is_caption, is_caption, with_sources(paras, found, is_caption))
     number = F.regexp_extract(text, LABEL, 2)
     caption, credit = F.btrim(F.regexp_replace(text, LABEL, "")), F.coalesce(found, "answer", F.lit(""))
     return rows.select(

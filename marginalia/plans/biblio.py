@@ -69,6 +69,11 @@ def formatted(style):
     return run
 
 
+def html_shown(spark: SparkSession, d: str) -> DataFrame:
+    segments = F.array(F.struct(F.col("p_name").alias("text"), F.lit("bib_article").alias("style")), F.struct(F.concat(F.lit(" <"), "p_brand", F.lit(">")).alias("text"), F.lit("bib_journal").alias("style")))
+    return run_sql(spark, d, "SELECT p_partkey AS id, p_name, p_brand FROM {part}").select("id", formatters.html(segments).alias("html"))
+
+
 def missing(spark: SparkSession, d: str) -> DataFrame:
     item = F.struct("type", "author", "publisher", "doi", "url", "year")
     rows = run_sql(spark, d, ITEM).withColumn("year", F.when(F.col("id") % 7 > 0, F.col("year"))).withColumn("item", item)
@@ -125,6 +130,7 @@ QUERIES = {
     "fn43_missing_elements": missing,
     "fn50_apa": formatted(formatters.apa),
     "fn51_ama": formatted(formatters.ama),
+    "fn58_html": html_shown,
     "fn52_chicago": formatted(formatters.chicago),
     "jn07_jn08_jn10_jn11_matches": how_counts,
     "pipe02_match_summary": lambda s, d: how_counts(s, d).groupBy("how").agg(F.count("*").alias("n")),
@@ -154,6 +160,7 @@ CASE WHEN p_partkey % 5 > 0 THEN p_brand END AS container, NULL::VARCHAR AS volu
     "fn51_ama": f"""WITH p AS (SELECT *, {PERSON} FROM part) SELECT p_partkey AS id, {NONE.format("array_to_string(list_transform(a, lambda x: x.f || ' ' || x.n), ', ')")}
 || '. ' || p_name || '. ' || CASE WHEN p_partkey % 3 = 0 THEN p_type || '; ' || {YEAR_OR.format('n.d')} || '.' ELSE p_brand || '. ' || {YEAR_OR.format('n.d')} || ';' || p_size || CASE WHEN p_partkey % 2 = 0 THEN '(2)' ELSE '' END || ':10-19.' END
 || CASE WHEN p_partkey % 5 = 0 THEN ' doi:10.1/x' ELSE '' END AS citation FROM p""",
+    "fn58_html": "SELECT p_partkey AS id, p_name || '<i> <' || p_brand || '></i>' AS html FROM part",
     "fn52_chicago": f"""WITH p AS (SELECT *, {PERSON} FROM part) SELECT p_partkey AS id, {NONE.format("array_to_string(list_transform(a, lambda x, i: CASE WHEN i = 1 THEN x.f || ', ' || x.g ELSE CASE WHEN i = len(a) THEN ', and ' ELSE ', ' END || x.g || ' ' || x.f END), '')")}
 || '. ' || CASE WHEN p_partkey % 3 = 0 THEN p_name || '. ' || p_type || ', ' || {YEAR_OR.format('n.d.')} || '.' ELSE '"' || p_name || '." ' || p_brand || ' ' || p_size || CASE WHEN p_partkey % 2 = 0 THEN ', no. 2' ELSE '' END || ' (' || {YEAR_OR.format('n.d.')} || '): 10-19.' END
 || CASE WHEN p_partkey % 5 = 0 THEN ' https://doi.org/10.1/x' ELSE '' END AS citation FROM p""",

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.functions import authoryear as A
 from marginalia.functions import formatters
 from marginalia.functions import otherstyles as O
 from marginalia.operators import structuring as S
@@ -35,6 +36,16 @@ VANCOUVER_TEXT = f"""SELECT doc_id, para_no, CASE k
   WHEN 5 THEN concat('Long (although a wide variety of terms was used ', y, ').')
   ELSE concat('As all say (', a, ' et al ', y, ' [sic]).') END AS text FROM ({PARTS})"""
 
+#: Sentences that name instruments, labels, acronyms, long phrases and sources behind sources, and some that cite.
+VETOED_TEXT = f"""SELECT doc_id, para_no, CASE p_brand
+  WHEN 'Brand#1' THEN concat('The ', a, ' Anxiety Scale (', y, ') was used.') WHEN 'Brand#2' THEN concat('Table (', y, ') lists it.')
+  WHEN 'Brand#3' THEN concat('Many NPs (', y, ') agree.') WHEN 'Brand#4' THEN concat('It is known (', a, ' in ', b, ', ', y, ').')
+  WHEN 'Brand#5' THEN concat('An odd outcome of ', a, '’s (', y, ', ', z, ') work.') WHEN 'Brand#6' THEN concat('University of ', a, ' (n.d.) holds it.')
+  WHEN 'Brand#7' THEN concat('See Chapter (', a, ' ', y, ') and (Chapter 3, ', z, ').') WHEN 'Brand#8' THEN concat('Once (', y, ') more.')
+  WHEN 'Brand#9' THEN concat(a, ' & ', b, ' (', y, ') and (see, for example, ', a, ' & ', b, ', ', y, ', pp. 3-9).')
+  WHEN 'Brand#10' THEN concat('One Two Three Four Five Six ', a, ' (', y, ').') WHEN 'Brand#11' THEN concat(a, ' et al. (in press) say so.')
+  ELSE concat('As cited by ', a, ' (', y, 'b) it (p. 3; May ', z, ') holds.') END AS text FROM ({PARTS})"""
+
 VANCOUVER_LINE = f"""SELECT para_no AS id, CASE k
   WHEN 0 THEN concat(a, ' J. ', p_name, '. Journal. ', y, ';10(2):1-5.')
   WHEN 1 THEN concat(a, ' J, ', b, ' M. ', p_name, '. Journal. ', y, ';10:1-5.')
@@ -148,6 +159,7 @@ s AS (SELECT *, (SELECT q.mark FROM t q WHERE q.doc_id = t.doc_id AND q.para_no
 refs AS (SELECT * FROM s WHERE inside = 1 AND mark IS NULL)"""
 
 QUERIES = {
+    "prj13_set07_in_text_vetoes": lambda s, d: A.in_text(run_sql(s, d, VETOED_TEXT)).select("doc_id", "para_no", "author", "year", "type", F.array_join("warnings", ";").alias("warnings")),
     "fn33_vancouver_in_text": lambda s, d: O.vancouver_in_text(run_sql(s, d, VANCOUVER_TEXT)).select("doc_id", "para_no", "author", "year", "type", "raw"),
     "fn34_vancouver_references": parsed(VANCOUVER_LINE, O.vancouver_reference),
     "fn35_chicago_references": parsed(CHICAGO_LINE, O.chicago_reference),
@@ -166,6 +178,16 @@ QUERIES = {
     "src21_bibliography_ids": ids,
 }
 ORACLES = {
+    "prj13_set07_in_text_vetoes": f"""WITH p AS (SELECT *, substr(p_brand, 7)::INT AS n FROM ({P})), r AS (
+SELECT doc_id, para_no, b AS author, y AS year, 'parenthetical' AS type, '' AS warnings FROM p WHERE n = 4
+UNION ALL SELECT doc_id, para_no, a, unnest([y, z]), 'narrative', '' FROM p WHERE n = 5
+UNION ALL SELECT doc_id, para_no, 'University of ' || a, 'n.d.', 'narrative', '' FROM p WHERE n = 6
+UNION ALL SELECT doc_id, para_no, a, y, 'parenthetical', 'missing comma' FROM p WHERE n = 7
+UNION ALL SELECT doc_id, para_no, 'Once', y, 'narrative', '' FROM p WHERE n = 8
+UNION ALL SELECT doc_id, para_no, a || ' & ' || b, y, 'parenthetical', '' FROM p WHERE n = 9
+UNION ALL SELECT doc_id, para_no, a || ' et al.', 'in press', 'narrative', '' FROM p WHERE n = 11
+UNION ALL SELECT doc_id, para_no, a, y || 'b', 'narrative', '' FROM p WHERE n > 11)
+SELECT * FROM r""",
     "fn33_vancouver_in_text": f"""WITH p AS ({P}), r AS (
 SELECT doc_id, para_no, a AS author, y AS year, a || ' ' || y AS raw FROM p WHERE k = 0
 UNION ALL SELECT doc_id, para_no, a || ' and ' || b, y, a || ' and ' || b || ' ' || y FROM p WHERE k = 1

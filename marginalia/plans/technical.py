@@ -130,6 +130,16 @@ def runs_of_segments(spark: SparkSession, d: str) -> DataFrame:
     return reports.segment_runs(rows, ["id"], "segments").select("id", F.col("run_no").cast("long").alias("run_no"), "text", "style")
 
 
+def comment_marks(spark: SparkSession, d: str) -> DataFrame:
+    """What is marked in the bodies of comments, which have no style to leave alone."""
+    return H.highlights(run_sql(spark, d, MARKED).withColumn("style", F.lit(None).cast("string")))
+
+
+def united_ids(spark: SparkSession, d: str) -> DataFrame:
+    rows = run_sql(spark, d, "SELECT l_partkey AS id, collect_list(l_suppkey) AS a, collect_list(l_orderkey % 50) AS b FROM {lineitem} GROUP BY l_partkey")
+    return rows.select("id", F.array_join(F.sort_array(F.array_union("a", "b")), ",").alias("ids"))
+
+
 def one(text: str, f, name: str):
     return lambda spark, d: run_sql(spark, d, text).select("id", f(F.col("text")).alias(name))
 
@@ -147,6 +157,8 @@ QUERIES = {
     "prj14_free_runs": lambda s, d: H.free_runs(run_sql(s, d, PLAIN_RUNS), run_sql(s, d, MARKS), ["id"]).select("id", F.col("run_no").cast("long").alias("run_no")),
     "fn77_pipe08_highlights": lambda s, d: H.highlights(run_sql(s, d, MARKED)),
     "fn72_contexts": contexts,
+    "fn82_comment_marks": comment_marks,
+    "set09_united_ids": united_ids,
     "fn79_instructions": lambda s, d: H.instructions(run_sql(s, d, TOLD)),
     "src07_fn63_extracted": lambda s, d: dashboard.extracted(sheets(s, d)).select("doc_id", "para_no", "page", "is_caption", "is_highlighted"),
     "prj15_highlighted": lambda s, d: dashboard.extracted(sheets(s, d)).where("is_highlighted").select("doc_id", "para_no", "text"),
@@ -197,6 +209,9 @@ WHERE run_no = 0 OR k >= 4 OR (k IN (2, 3) AND run_no >= k) OR (k = 1 AND run_no
 SELECT doc_id, para_no, 'cyan' AS colour, CASE k WHEN 0 THEN 'number_words' WHEN 1 THEN 'numbers_1000' WHEN 2 THEN 'greek,versus' WHEN 3 THEN 'degrees,numbers_0_99,special'
 WHEN 4 THEN 'time_period' ELSE 'comparison,latin' END AS groups FROM p WHERE style <> 'REF-N' AND k <> 5
 UNION ALL SELECT doc_id, para_no, 'magenta', 'Cyrillic' FROM p WHERE k = 4""",
+    "fn82_comment_marks": f"""WITH p AS ({P}) SELECT doc_id, para_no, 'cyan' AS colour, ['number_words', 'numbers_1000', 'greek,versus', 'degrees,numbers_0_99,special', 'time_period', '', 'comparison,latin'][k + 1] AS groups FROM p WHERE k <> 5
+UNION ALL SELECT doc_id, para_no, 'magenta', 'Cyrillic' FROM p WHERE k = 4""",
+    "set09_united_ids": "SELECT id, string_agg(x::VARCHAR, ',' ORDER BY x) AS ids FROM (SELECT l_partkey AS id, l_suppkey AS x FROM lineitem UNION SELECT l_partkey, l_orderkey % 50 FROM lineitem) GROUP BY id",
     "fn79_instructions": f"""WITH p AS ({P}) SELECT doc_id, para_no, 'refer ' || a AS instruction FROM p WHERE k = 0 UNION ALL SELECT doc_id, para_no, 'Insert ' || b FROM p WHERE k = 0
 UNION ALL SELECT doc_id, para_no, 'Pick-up ' || split_part(p_name, ' ', 1) FROM p WHERE k = 1
 UNION ALL SELECT doc_id, para_no, unnest(['VIDEO ' || y, 'see ' || z]) FROM p WHERE k = 4""",
