@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import row_key
+from .common import row_key, written
 
 # Kind, class, pattern, least length, the group that the length is taken of.
 BASE = [
@@ -26,7 +26,7 @@ BASE = [
     ("hex", "secret", r"[0-9a-f]{24,}", 24, 0),
 ]
 WEAK = [
-    ("user", "access", r"(?i)\b(?:user(?:name)?|login|client_?id)\x20?[:=]\x20?[A-Za-z0-9._@-]+|[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+", 6, 0),
+    ("user", "access", r"(?i)\b(?:user(?:name)?|login|client_?id)\x20?[:=]\x20?[A-Za-z0-9._@-]+|(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+", 6, 0),
     ("opaque", "secret", r"(?<![A-Za-z0-9+/_-])(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}", 20, 0),
     ("endpoint", "endpoint", r"https?://[^\x20\x09-\x0D\"'<>]+|\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]+)?\b", 7, 0),
 ]
@@ -75,7 +75,7 @@ def scan_secrets(docs: DataFrame, scope: int = 200) -> DataFrame:
 
     Base spans always stay; linked weak spans join them.
     """
-    found = parts(docs)
+    found = written(parts(docs), "parts")  # few rows, read three times
     spans = found.where(F.col("kind").isin([k for k, *_ in BASE])).unionByName(linked_weak(found, scope))
     rank = reduce(lambda a, k: F.when(F.col("kind") == k, KINDS.index(k)).otherwise(a), KINDS, F.lit(len(KINDS)))
     each = spans.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", rank.alias("rank"), "kind", "end"))).alias("spans"))
