@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Tags of lists and what they become, tags of references and what they become.
@@ -97,3 +98,46 @@ def schemed(href: Column) -> Column:
 def renamed_classes(html: Column, names: dict[str, str]) -> Column:
     """Paragraph classes renamed, each as a whole name."""
     return rewritten(html, [(f'class="{old}"', f'class="{new}"') for old, new in names.items()])
+
+
+# Marks of a run with the tags they become, from the outside in; a character style stands after the second.
+RUN_TAGS = [("smallcaps", "smallcaps"), ("struck", "strikethrough"), ("style", None), ("superscript", "sup"), ("subscript", "sub"), ("bold", "strong"), ("italic", "em"), ("underlined", "u")]
+
+
+def run_html(run: Column) -> Column:
+    """A run (a struct of text, style and marks) as HTML: its text escaped, then a tag for each mark that is on."""
+    out = F.coalesce(run["text"], F.lit(""))
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        out = F.replace(out, F.lit(raw), F.lit(safe))
+    for mark, tag in reversed(RUN_TAGS):
+        name = run["style"] if tag is None else F.lit(tag)
+        on = F.coalesce(name, F.lit("")) != "" if tag is None else F.coalesce(run[mark], F.lit(False))
+        out = F.concat(F.when(on, F.concat(F.lit("<"), name, F.lit(">"))).otherwise(""), out, F.when(on, F.concat(F.lit("</"), name, F.lit(">"))).otherwise(""))
+    return out
+
+
+def paragraph_html(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, html): runs (keys, run_no, para_style, text, style and marks) as paragraphs of their style's class."""
+    run = F.struct(*[F.col(c) for c in ("text", "style", *[m for m, tag in RUN_TAGS if tag])])
+    each = runs.select(*keys, "run_no", "para_style", run_html(run).alias("html"))
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run_no", "html"))), lambda r: r["html"]), "")
+    return each.groupBy(*keys).agg(F.concat(F.lit('<p class="'), F.min("para_style"), F.lit('">'), line, F.lit("</p>")).alias("html"))
+
+
+def table_html(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, html): cells (keys, row_no, col_no, html, colspan, align, merge) as tables.
+
+    A cell that starts a vertical merge (`restart`) spans the rows below whose cell of its column goes on (`continue`),
+    up to the first that does not; those that go on are left out.
+    """
+    column = W.partitionBy(*keys, "col_no").orderBy("row_no")
+    group = F.count_if(F.coalesce(F.col("merge") != "continue", F.lit(True))).over(column.rowsBetween(W.unboundedPreceding, 0))
+    grouped = cells.withColumn("group", group)
+    spans = grouped.withColumn("rowspan", F.count("*").over(W.partitionBy(*keys, "col_no", "group")))
+    own = spans.where("merge IS NULL OR merge <> 'continue'")
+    mark = lambda name, c: F.when(c > 1, F.concat(F.lit(f' {name}="'), c, F.lit('"'))).otherwise("")
+    align = F.when(F.coalesce("align", F.lit("")) != "", F.concat(F.lit(' align="'), "align", F.lit('"'))).otherwise("")
+    cell = F.concat(F.lit("<td"), mark("colspan", F.coalesce("colspan", F.lit(1))), mark("rowspan", F.col("rowspan")), align, F.lit(">"), "html", F.lit("</td>"))
+    joined = lambda order, c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(c).alias("x")))), lambda r: r["x"]), "")
+    rows = own.withColumn("cell", cell).groupBy(*keys, "row_no").agg(F.concat(F.lit("<tr>"), joined("col_no", "cell"), F.lit("</tr>")).alias("line"))
+    return rows.groupBy(*keys).agg(F.concat(F.lit("<table>"), joined("row_no", "line"), F.lit("</table>")).alias("html"))

@@ -118,3 +118,20 @@ def single_links(cites: DataFrame, references: DataFrame) -> DataFrame:
     lines = references.select("ref_id", "line", F.explode(years).alias("year"))
     hits = cites.where(F.size(quoted) > 0).join(lines, "year").where(F.rlike("line", pattern))
     return hits.groupBy("cite").agg(F.count("*").alias("n"), F.min("ref_id").alias("ref_id")).where("n = 1").select("cite", "ref_id")
+
+
+def first_pages(heads: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, para_no, sent_no, page): the first page of the document whose text (page_text) holds a head.
+
+    A text that holds a head has its inner words between blanks, so heads meet texts on their longest one; only heads
+    of two words or fewer are compared with every text of their document.
+    """
+    words = F.split("head", " ")
+    inner = F.when(F.size(words) > 2, F.slice(words, F.lit(2), F.size(words) - 2)).otherwise(F.array().cast("array<string>"))
+    longest = F.array_max(F.transform(F.filter(inner, lambda w: w != ""), lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))["word"]
+    keyed = heads.withColumn("_word", longest)
+    each = pages.withColumn("_word", F.explode(F.array_distinct(F.split("page_text", " "))))
+    met = keyed.where("_word IS NOT NULL").join(each, ["doc_id", "_word"]).drop("_word")
+    bare = keyed.where("_word IS NULL").drop("_word").join(pages, "doc_id")
+    hits = met.unionByName(bare).where(F.col("page_text").contains(F.col("head")))
+    return hits.groupBy("doc_id", "para_no", "sent_no").agg(F.min("page").alias("page"))

@@ -60,6 +60,12 @@ REFS = f"""SELECT para_no AS id, concat('<p class="Reference-Alphabetical"><bibs
          WHEN 2 THEN concat('<bibtitle>', p_name, '</bibtitle> <bibpublisher>P</bibpublisher>') WHEN 3 THEN concat('<biburl>http://x.y/', z, '</biburl> <bibissue>1</bibissue>')
          ELSE concat('<bibdoi>10.1/', z, '</bibdoi>') END, '</p>') AS text FROM ({PARTS})"""
 
+TAGGED_RUNS = f"""SELECT para_no AS id, run_no, 'Body' AS para_style, r.* FROM ({PARTS}) LATERAL VIEW posexplode(array(
+  named_struct('text', concat('a<', a), 'style', CAST(NULL AS string), 'smallcaps', k = 1, 'struck', false, 'superscript', false, 'subscript', false, 'bold', true, 'italic', k = 2, 'underlined', false),
+  named_struct('text', b, 'style', 'cite', 'smallcaps', k = 1, 'struck', k = 3, 'superscript', k = 4, 'subscript', k = 5, 'bold', false, 'italic', false, 'underlined', true))) t AS run_no, r"""
+CELLS = f"""SELECT doc_id, para_no AS row_no, col_no, concat(a, col_no) AS html, CASE WHEN k = 1 AND col_no = 0 THEN 2 ELSE 1 END AS colspan, CASE WHEN k = 2 THEN 'right' END AS align,
+  CASE WHEN col_no = 1 AND k > 4 THEN 'continue' WHEN col_no = 1 THEN 'restart' END AS merge FROM ({PARTS}) LATERAL VIEW explode(array(0, 1)) t AS col_no"""
+
 DATES = f"SELECT para_no AS id, CASE k WHEN 0 THEN concat('12 May ', y) WHEN 1 THEN concat(y, 'a') WHEN 2 THEN concat('March 3, ', y) ELSE concat(y, ', ', z) END AS text FROM ({PARTS})"
 
 ENTITIES = "SELECT p_partkey AS id, concat('a&#', p_partkey + 160, ';b & c&#', p_size, ';') AS text FROM {part}"
@@ -166,6 +172,8 @@ QUERIES = {
     "pipe07_dashboard": whole_dashboard,
     "fn80_formatting_audit": audit,
     "snk20_html_tables": lambda s, d: dashboard.html_table(run_sql(s, d, f"SELECT doc_id, para_no, concat('<', a, '>') AS name FROM ({PARTS})"), ["para_no", "name"], "doc_id", ["para_no"]),
+    "fn90_tagged_runs": lambda s, d: B.paragraph_html(run_sql(s, d, TAGGED_RUNS), ["id"]),
+    "fn91_pipe09_tables": lambda s, d: B.table_html(run_sql(s, d, CELLS), ["doc_id"]),
     "fn92_addresses": addresses,
     "fn93_chapter_data": chapters,
     "fn94_nested_lists": one(LISTS, B.nested_lists, "xml"),
@@ -233,6 +241,14 @@ SELECT doc_id, (para_no - 1) // 40 + 1 AS page, 'Strikethrough' AS category, det
 UNION ALL SELECT doc_id, NULL, 'Section Break', 'Section ' || unnest(range(1, max(k) + 1)) FROM p GROUP BY doc_id""",
     "snk20_html_tables": f"""SELECT doc_id, '<table><thead><tr><th>para_no</th><th>name</th></tr></thead><tbody>' || string_agg('<tr><td>' || para_no || '</td><td>&lt;' || a || '&gt;</td></tr>', '' ORDER BY para_no) || '</tbody></table>' AS html
 FROM ({P}) GROUP BY doc_id""",
+    "fn90_tagged_runs": f"""SELECT para_no AS id, '<p class="Body">' || CASE k WHEN 1 THEN '<smallcaps><strong>a&lt;' || a || '</strong></smallcaps>' WHEN 2 THEN '<strong><em>a&lt;' || a || '</em></strong>' ELSE '<strong>a&lt;' || a || '</strong>' END
+|| CASE k WHEN 1 THEN '<smallcaps><cite><u>' || b || '</u></cite></smallcaps>' WHEN 3 THEN '<strikethrough><cite><u>' || b || '</u></cite></strikethrough>' WHEN 4 THEN '<cite><sup><u>' || b || '</u></sup></cite>'
+WHEN 5 THEN '<cite><sub><u>' || b || '</u></sub></cite>' ELSE '<cite><u>' || b || '</u></cite>' END || '</p>' AS html FROM ({P})""",
+    "fn91_pipe09_tables": f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY para_no) AS i FROM ({P})),
+n AS (SELECT *, (SELECT min(q.i) FROM p q WHERE q.doc_id = p.doc_id AND q.i > p.i AND q.k <= 4) AS stop, max(i) OVER (PARTITION BY doc_id) AS last FROM p),
+c AS (SELECT doc_id, para_no, CASE WHEN k = 2 THEN ' align="right"' ELSE '' END AS al, k, a, CASE WHEN k > 4 AND i > 1 AND NOT EXISTS (SELECT 1 FROM p q WHERE q.doc_id = n.doc_id AND q.i < n.i AND q.k <= 4) THEN 0 ELSE 1 END AS seen, coalesce(stop, last + 1) - i AS span FROM n),
+l AS (SELECT doc_id, para_no, '<tr><td' || CASE WHEN k = 1 THEN ' colspan="2"' ELSE '' END || al || '>' || a || '0</td>' || CASE WHEN k > 4 THEN '' ELSE '<td' || CASE WHEN span > 1 THEN ' rowspan="' || span || '"' ELSE '' END || al || '>' || a || '1</td>' END || '</tr>' AS line FROM c)
+SELECT doc_id, '<table>' || string_agg(line, '' ORDER BY para_no) || '</table>' AS html FROM l GROUP BY doc_id""",
     "fn92_addresses": """WITH b AS (SELECT page_id, url, replace(replace(url, 'https://', ''), 'http://', '') AS bare FROM pages)
 SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'http://' || bare WHEN 1 THEN 'mailto:me@' || split_part(bare, '/', 1) ELSE url END AS href FROM b""",
     "fn93_chapter_data": f"""SELECT para_no AS id, 'Chapter ' || z AS label, z AS number, 'The ' || p_name AS title, CASE WHEN k < 4 THEN a || '/Ann;' || b || '/Bo Lee;' || c || '/' ELSE '' END AS authors,

@@ -53,9 +53,9 @@ def subset_words(spark: SparkSession, d: str) -> DataFrame:
 def sentence_pages(spark: SparkSession, d: str) -> DataFrame:
     """The first page whose text holds a sentence's first sixty characters, within a document."""
     paras = T.paragraphs(table(spark, d, "documents").select("doc_id", "text"))
-    pages = paras.join(T.pages_by_words(paras), ["doc_id", "para_no"]).select("doc_id", "page", F.col("text").alias("page_text"))
     each = T.sentences(paras).where("trim(sentence) <> ''").select("doc_id", "para_no", "sent_no", F.substring("sentence", 1, 60).alias("head"))
-    return each.join(pages, "doc_id").where(F.col("page_text").contains(F.col("head"))).groupBy("doc_id", "para_no", "sent_no").agg(F.min("page").alias("page"))
+    pages = paras.join(T.pages_by_words(paras), ["doc_id", "para_no"]).select("doc_id", "page", F.col("text").alias("page_text"))
+    return L.first_pages(each, pages)
 
 
 LABELLED = "SELECT p_partkey AS id, concat('Fig ', p_size) AS label, p_partkey % 500 AS doc_id FROM {part} WHERE p_size % 2 = 0"
