@@ -1,14 +1,15 @@
 """SimHash near-duplicates over a byte-position inverted index with count filtering.
 
 A fingerprint has 64 bits in 8 bytes. If two differ in r bits or fewer, at least m = 8 - r of their
-positional bytes agree. Fingerprints are posted under triples of positional bytes, from a family of
-20 triples of which every set of 4 positions holds one (for r = 4, m = 4); pairs that meet tally the
-positional bytes they share, and only those that reach m are compared bit by bit.
+positional bytes agree. Fingerprints are posted under every set of `take` positional bytes (for r = 4:
+56 triples). A pair that shares m bytes meets in C(m, take) lists at least (4 of the 56), so the lists
+in which each pair meets are tallied, and only pairs that reach that count are compared bit by bit.
 
 Only distinct fingerprints are posted. A posting list of up to `list_limit` is joined with itself;
 longer ones (large groups of near copies) are cut into blocks, each pair of blocks is compared in
-one bounded task and gives a spanning forest of its links. All links are found either way, but
-no list is expanded into all its pairs.
+one bounded task, by shared bytes and then bits, and gives a spanning forest of its links. So a pair that
+meets in a long list is settled there, and any other has its full tally. No list is expanded into all its pairs.
+A key has 8 * take bits: lists of N random fingerprints hold N / 2**(8 * take), so from some 10**9 on `take` is to be 4.
 
 Edge cases: null is read as the empty text; texts without words have fingerprint zero and are linked
 like any other. Fewer words than a shingle: the whole sequence is the shingle. Repeated shingles
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -60,24 +62,22 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return docs.select(*row_key(), "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(each, "doc_id long, text_key long, fp long")
 
 
-def position_sets(shared: int, take: int) -> list[tuple[int, ...]]:
-    """Sets of `take` of the 8 byte positions such that every `shared` positions hold one.
-
-    For 4 and 3, Turan's 20: triples within one of three parts, and those with two in a part and one in
-    the next. Otherwise all sets of that size.
-    """
-    every = list(combinations(range(8), take))
-    if (shared, take) != (4, 3):
-        return every
-    part = lambda i: (0, 0, 0, 1, 1, 1, 2, 2)[i]
-    n = lambda s, p: sum(part(i) == p for i in s)
-    return [s for s in every if any(n(s, p) == 3 or n(s, p) == 2 and n(s, (p + 1) % 3) == 1 for p in range(3))]
+def _near(some: np.ndarray, every: np.ndarray, radius: int) -> np.ndarray:
+    """Which pairs share 8 - radius positional bytes and differ in `radius` bits or fewer."""
+    x, y = (v.view(np.uint8).reshape(-1, 8) for v in (some, every))
+    tally = np.zeros((len(some), len(every)), np.uint8)
+    for k in range(8):
+        tally += x[:, None, k] == y[None, :, k]
+    near = tally >= 8 - radius
+    i, j = np.nonzero(near)
+    near[i, j] = np.bitwise_count(some[i] ^ every[j]) <= radius
+    return near
 
 
 def _forest(group: pd.DataFrame, radius: int) -> pd.DataFrame:
     """Links of a block of fingerprints as (a, b): each with the least of its component within the block."""
     fp = np.unique(group["fp"].to_numpy()).view(np.uint64)
-    near = np.vstack([np.bitwise_count(fp[i : i + 512, None] ^ fp[None, :]) <= radius for i in range(0, len(fp), 512)])
+    near = np.vstack([_near(fp[i : i + 512], fp, radius) for i in range(0, len(fp), 512)])
     label = np.arange(len(fp))
     while True:
         low = np.array([label[row].min() for row in near])
@@ -91,10 +91,10 @@ def _forest(group: pd.DataFrame, radius: int) -> pd.DataFrame:
 
 def links(fps: DataFrame, radius: int = 4, take: int = 3, list_limit: int = 32, block: int = 1024) -> DataFrame:
     """(a, b): links between distinct fingerprints `fp` at `radius` bits or fewer, enough to connect all that are linked."""
-    shared = 8 - radius
+    least = comb(8 - radius, take)
     byte = lambda i: F.shiftrightunsigned("fp", 8 * i).bitwiseAND(F.lit(255))
     keys = []
-    for k, positions in enumerate(position_sets(shared, take)):
+    for k, positions in enumerate(combinations(range(8), take)):
         key = F.lit(k).cast("long")
         for i in positions:
             key = F.shiftleft(key, 8).bitwiseOR(byte(i))
@@ -105,9 +105,8 @@ def links(fps: DataFrame, radius: int = 4, take: int = 3, list_limit: int = 32,
 
     short = listed.where(F.col("n") <= list_limit)
     x, y = short.select("key", F.col("fp").alias("a")), short.select("key", F.col("fp").alias("b"))
-    differ = F.col("a").bitwiseXOR(F.col("b"))
-    tally = sum((F.shiftrightunsigned(differ, 8 * i).bitwiseAND(F.lit(255)) == 0).cast("int") for i in range(8))
-    met = x.join(y, (x.key == y.key) & (F.col("a") < F.col("b")) & (tally >= shared) & (F.bit_count(differ) <= radius)).select("a", "b")
+    tally = x.join(y, (x.key == y.key) & (F.col("a") < F.col("b"))).groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    met = tally.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select("a", "b")
 
     long = listed.where(F.col("n") > list_limit)
     blocks = F.ceil(F.col("n") / block).cast("int")
