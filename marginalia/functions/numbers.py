@@ -47,3 +47,21 @@ def format_numbers(rows: DataFrame, key: str, number: str) -> DataFrame:
     shown = F.when(F.col("a") == F.col("z"), a).when(F.col("a") + 1 == F.col("z"), F.concat(a, F.lit(","), z)).otherwise(F.concat(a, F.lit("-"), z))
     order = F.sort_array(F.collect_list(F.struct("a", shown.alias("shown"))))
     return runs.groupBy(key).agg(F.array_join(F.transform(order, lambda x: x["shown"]), ", ").alias("shown"))
+
+
+def renumbered_text(paras: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(doc_id, para_no, text): the paragraphs with the numbers of each citation mark put through `mapping` (doc_id, old, new)
+    and written anew, marks aside; a number without an entry stays.
+
+    Texts are cut at their marks; only marks are spelled out, joined by document and number, and put back.
+    """
+    cut = rf"{BRACKETED}|[^\^\[\(]+|[\^\[\(]"
+    pieces = paras.select("doc_id", "para_no", F.posexplode(F.regexp_extract_all("text", F.lit(cut), F.lit(0))).alias("n", "piece"))
+    ids = get_numbers(F.regexp_extract("piece", f"^{BRACKETED}$", 1))
+    pieces = pieces.withColumn("ids", F.when(F.size(ids) > 0, ids))
+    marks = pieces.where("ids IS NOT NULL").select(F.struct("doc_id", "para_no", "n").alias("key"), "doc_id", F.explode("ids").alias("old"))
+    new = marks.join(mapping.select("doc_id", "old", "new"), ["doc_id", "old"], "left").select("key", F.coalesce("new", "old").alias("id"))
+    shown = format_numbers(new, "key", "id").select("key.*", "shown")
+    each = pieces.join(shown, ["doc_id", "para_no", "n"], "left")
+    line = F.array_sort(F.collect_list(F.struct("n", F.coalesce("shown", "piece").alias("piece"))))
+    return each.groupBy("doc_id", "para_no").agg(F.array_join(F.transform(line, lambda x: x["piece"]), "").alias("text"))

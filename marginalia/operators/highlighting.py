@@ -49,11 +49,23 @@ SCRIPTS = [
     ("Japanese", "぀", "ゟ", "darkMagenta"), ("Japanese", "゠", "ヿ", "darkMagenta"), ("Korean", "가", "힯", "darkMagenta"),
     ("Thai", "฀", "๿", "darkRed"), ("Currency", "₠", "⃏", "darkBlue"),
 ]
+#: Names of colours and what Word calls them; no highlight is none, any other name yellow.
+WORD_COLOURS = {
+    "nohighlight": None, "black": "black", "blue": "blue", "turquoise": "cyan", "brightgreen": "green", "pink": "magenta", "red": "red", "yellow": "yellow",
+    "white": "white", "darkBlue": "darkBlue", "teal": "darkCyan", "darkGreen": "darkGreen", "darkMagenta": "darkMagenta", "darkRed": "darkRed",
+    "darkYellow": "darkYellow", "lightGray": "lightGray", "darkGray": "darkGray", "cyan": "cyan", "green": "green", "magenta": "magenta",
+}
 SKIPPED_STYLES = ["REF-N", "REF-U"]
 INSTRUCTIONS = ["Refer", "Insert", "Pick-up", "pickup", "See", "COMP", "AU", "AQ", "SPU", "Compositor", "Ph", "Photo", "video", "images"]
 INSTRUCTION = rf"(?i)\b(?:{'|'.join(INSTRUCTIONS)})\b\s+(?:\S+)"
 
 
+def word_colour(name: Column) -> Column:
+    """Word's name of a colour; null for no highlight, yellow for names that are not known."""
+    names = F.create_map(*[F.lit(x) for k, v in WORD_COLOURS.items() if v for x in (k, v)])
+    return F.when(name == "nohighlight", F.lit(None).cast("string")).otherwise(F.coalesce(F.try_element_at(names, name), F.lit("yellow")))
+
+
 def ignoring_case(pattern: str) -> Column:
     return F.lit(f"(?i){pattern}")
 

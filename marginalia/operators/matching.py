@@ -96,3 +96,14 @@ def best_candidate(candidates: DataFrame, key: str = "query", floor: float = 0.6
     yields = (F.col("b.source") == "pubmed") & (F.col("c.score") + 0.02 >= F.col("b.score")) & (F.coalesce("c.doi", F.lit("")) != "")
     out = best.withColumn("w", F.when(yields, F.col("c")).otherwise(F.col("b")))
     return out.where(F.col("b.score") >= floor).select(key, F.col("w.source").alias("source"), F.col("w.cand_no").alias("cand_no"), F.round("w.score", 6).alias("score"))
+
+
+def journal_short(items: DataFrame, names: DataFrame) -> DataFrame:
+    """`items` (journal) with `short`: of the same name in `names` (name, short; in lower case), else of the longest one that it
+    holds or that holds it, else itself. Each distinct journal is looked up once; the names are a list of some hundreds."""
+    keys = items.select("journal").distinct()
+    low = F.lower("journal")
+    hit = keys.join(names, low.contains(F.col("name")) | F.col("name").contains(low), "left")
+    order = F.struct((low == F.col("name")).alias("same"), F.length("name").alias("n"), F.col("name").alias("name"))
+    best = hit.groupBy("journal").agg(F.max_by("short", F.when(F.col("name").isNotNull(), order)).alias("short"))
+    return items.join(best, "journal").withColumn("short", F.coalesce("short", "journal"))

@@ -20,6 +20,16 @@ def composed_filter(history: DataFrame, type: str = "", route_type: str = "", us
     return history
 
 
+def resolved_tokens(asked: DataFrame, memory: DataFrame, jobs: DataFrame, folders: DataFrame) -> DataFrame:
+    """`asked` (token) with `route_type`: of the token in memory, else of its job if that has no errors (general without a
+    route), else `recovered` if its folder is there, else null. Equi-joins by token; the least of several rows counts."""
+    own = lambda df, c, name: df.groupBy("token").agg(F.min(c).alias(name))
+    done = jobs.where(F.coalesce("errors", F.lit("")) == "")
+    route = F.coalesce(F.nullif(F.col("route_type"), F.lit("")), F.lit("general"))
+    met = asked.join(own(memory, F.col("route_type"), "_m"), "token", "left").join(own(done, route, "_j"), "token", "left").join(own(folders, F.lit("recovered"), "_f"), "token", "left")
+    return met.withColumn("route_type", F.coalesce("_m", "_j", "_f")).drop("_m", "_j", "_f")
+
+
 def audit_line(when: Column, *parts: Column) -> Column:
     """A line of the log: time to the second, then its parts, between dashes; null parts are left out."""
     return F.concat_ws(" - ", F.date_format(when, "yyyy-MM-dd HH:mm:ss"), *parts)

@@ -45,7 +45,6 @@ SQL = {
     "jn01_file_user": f"WITH {USERS}, {FILES} SELECT f.id, u.username, f.upload_date AS date FROM files f JOIN users u ON f.user_id = u.id",
     "jn02_file_result_user": f"WITH {USERS}, {FILES}, {RESULTS} SELECT f.id, u.username, v.total_references, v.total_citations FROM files f LEFT JOIN validation_results v ON f.id = v.file_id JOIN users u ON f.user_id = u.id",
     "jn03_user_totals": f"WITH {USERS}, {FILES}, {JOBS} SELECT u.username, (SELECT count(*) FROM files f WHERE f.user_id = u.id) + (SELECT count(*) FROM macro_processing m WHERE m.user_id = u.id) AS total_count FROM users u",
-    "jn23_token_cascade": f"WITH {JOBS}, tokens AS (SELECT id, route_type FROM macro_processing WHERE id % 4 = 0) SELECT m.id, coalesce(t.route_type, CASE WHEN m.route_type <> 'error' THEN m.route_type END, 'missing') AS found FROM macro_processing m LEFT JOIN tokens t ON t.id = m.id",
     "agg01_table_counts": f"WITH {USERS}, {FILES}, {RESULTS}, {JOBS} SELECT (SELECT count(*) FROM users) AS total_users, (SELECT count(*) FROM files) AS total_files, (SELECT count(*) FROM validation_results) AS total_validations, (SELECT count(*) FROM macro_processing) AS total_macro",
     "agg02_known_route_counts": f"WITH {JOBS}, {ROUTES} SELECT r.route_type, count(m.id) AS n FROM routes r LEFT JOIN macro_processing m ON m.route_type = r.route_type GROUP BY r.route_type",
     "agg03_user_route_counts": f"WITH {JOBS}, {ROUTES}, own AS (SELECT * FROM macro_processing WHERE user_id = 7) SELECT r.route_type, count(m.id) AS n FROM routes r LEFT JOIN own m ON m.route_type = r.route_type GROUP BY r.route_type",

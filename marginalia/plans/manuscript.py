@@ -64,13 +64,6 @@ def completion(spark: SparkSession, d: str) -> DataFrame:
     return per.select("doc_id", long(F.col("uncited")).alias("uncited"), long(F.col("uncaptioned")).alias("uncaptioned"), F.when(total > 0, F.round((total - F.col("uncited") - F.col("uncaptioned")) / total * 100, 1)).otherwise(0.0).alias("completion"))
 
 
-def style_vote(spark: SparkSession, d: str) -> DataFrame:
-    """Which of two patterns the first fifty paragraphs show more often."""
-    a, b = (F.sum(F.regexp_count("text", F.lit(p))) for p in (r"\w+, \w+", r"\w+\. \w+"))
-    votes = paras(spark, d).where("para_no <= 50").groupBy("doc_id").agg(long(a).alias("commas"), long(b).alias("stops"))
-    return votes.withColumn("style", F.when(F.col("commas") > F.col("stops"), "APA").when(F.col("stops") > 0, "Vancouver").otherwise("APA"))
-
-
 def scripts(spark: SparkSession, d: str) -> DataFrame:
     """Pages on which each script occurs."""
     pages = T.pages_by_words(paras(spark, d))
@@ -122,7 +115,6 @@ QUERIES = {
     "agg17_scripts": scripts,
     "agg18_estimates": estimates,
     "agg19_balance": balance,
-    "agg22_style_vote": style_vote,
     "jn15_fn71_lexicon_hits": lambda s, d: lexicon.hits(T.sentences(paras(s, d)), lexicon.load(lexicon_terms(s, d))).groupBy("category", "term").agg(F.count("*").alias("n")),
     "pipe05_lexicon_report": lambda s, d: lexicon.report(paras(s, d), lexicon.load(lexicon_terms(s, d))).select("doc_id", "page", "category", "term", "sent_no", "para_no"),
     "fn60_caption_items": lambda s, d: items(s, d),
@@ -179,7 +171,6 @@ s AS (SELECT DISTINCT k.script, doc_id, page FROM p, (VALUES {', '.join(f"('{n}'
 SELECT script, doc_id, string_agg(page::VARCHAR, ',' ORDER BY page) AS pages FROM s GROUP BY script, doc_id""",
     "agg18_estimates": f"WITH {PARAS}, e AS (SELECT doc_id, sum({WORDS.format('text')})::BIGINT AS words, count(*) AS n FROM paras GROUP BY doc_id) SELECT doc_id, words, n // 40 + 1 AS pages_by_paras, words // 250 + 1 AS pages_by_words FROM e",
     "agg19_balance": "WITH n AS (SELECT doc_id, " + ", ".join(f"length(text) - length(replace(text, '{c}', '')) AS {n}" for c, n in (("(", "open_round"), (")", "close_round"), ("[", "open_square"), ("]", "close_square"))) + " FROM documents) SELECT *, open_round = close_round AS balanced FROM n",
-    "agg22_style_vote": rf"WITH {PARAS}, v AS (SELECT doc_id, sum(len(regexp_extract_all(text, '\w+, \w+')))::BIGINT AS commas, sum(len(regexp_extract_all(text, '\w+\. \w+')))::BIGINT AS stops FROM paras WHERE para_no <= 50 GROUP BY doc_id) SELECT *, CASE WHEN commas > stops THEN 'APA' WHEN stops > 0 THEN 'Vancouver' ELSE 'APA' END AS style FROM v",
     "fn60_caption_items": f"WITH {CAPTION_SQL} SELECT * FROM items",
     "jn13_uncited_captions": f"WITH {CAPTION_SQL} SELECT doc_id, item_type, item_no FROM items WHERE is_caption EXCEPT SELECT doc_id, item_type, item_no FROM items WHERE NOT is_caption",
     "jn13_uncaptioned_citations": f"WITH {CAPTION_SQL} SELECT doc_id, item_type, item_no FROM items WHERE NOT is_caption EXCEPT SELECT doc_id, item_type, item_no FROM items WHERE is_caption",

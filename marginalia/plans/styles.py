@@ -158,7 +158,14 @@ SECTION = f"""p AS ({P}), t AS (SELECT *, CASE WHEN para_no % 13 = 0 THEN 1 WHEN
 s AS (SELECT *, (SELECT q.mark FROM t q WHERE q.doc_id = t.doc_id AND q.para_no <= t.para_no AND q.mark IS NOT NULL ORDER BY q.para_no DESC LIMIT 1) AS inside FROM t),
 refs AS (SELECT * FROM s WHERE inside = 1 AND mark IS NULL)"""
 
+def style_votes(spark: SparkSession, d: str) -> DataFrame:
+    n = lambda shape: F.sum(F.regexp_count("text", F.lit(shape))).cast("long")
+    votes = run_sql(spark, d, MIXED_TEXT).groupBy("doc_id").agg(n(O.APA_SHAPE).alias("apa"), n(O.VANCOUVER_SHAPE).alias("vancouver"))
+    return votes.withColumn("style", O.detected_style(F.col("apa"), F.col("vancouver")))
+
+
 QUERIES = {
+    "agg22_style_vote": style_votes,
     "prj13_set07_in_text_vetoes": lambda s, d: A.in_text(run_sql(s, d, VETOED_TEXT)).select("doc_id", "para_no", "author", "year", "type", F.array_join("warnings", ";").alias("warnings")),
     "fn33_vancouver_in_text": lambda s, d: O.vancouver_in_text(run_sql(s, d, VANCOUVER_TEXT)).select("doc_id", "para_no", "author", "year", "type", "raw"),
     "fn34_vancouver_references": parsed(VANCOUVER_LINE, O.vancouver_reference),
@@ -178,6 +185,8 @@ QUERIES = {
     "src21_bibliography_ids": ids,
 }
 ORACLES = {
+    "agg22_style_vote": f"""SELECT doc_id, count(*) FILTER (doc_id % 3 = 0) AS apa, count(*) FILTER (doc_id % 3 = 1) AS vancouver, CASE doc_id % 3 WHEN 1 THEN 'vancouver' ELSE 'apa' END AS style
+FROM ({P}) GROUP BY doc_id""",
     "prj13_set07_in_text_vetoes": f"""WITH p AS (SELECT *, substr(p_brand, 7)::INT AS n FROM ({P})), r AS (
 SELECT doc_id, para_no, b AS author, y AS year, 'parenthetical' AS type, '' AS warnings FROM p WHERE n = 4
 UNION ALL SELECT doc_id, para_no, a, unnest([y, z]), 'narrative', '' FROM p WHERE n = 5

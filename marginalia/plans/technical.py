@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import bookxml as B
 from marginalia.functions import credits as C
+from marginalia.functions import numbers as N
 from marginalia.functions import text as T
-from marginalia.operators import captions, dashboard, highlighting, lexicon, reports
+from marginalia.operators import captions, dashboard, lexicon, reports, store
 from marginalia.operators import highlighting as H
 from marginalia.plans import manuscript as M
 from marginalia.plans.sqlquery import run_sql, twin
@@ -146,6 +147,33 @@ def united_ids(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", F.array_join(F.sort_array(F.array_union("a", "b")), ",").alias("ids"))
 
 
+NAMED_COLOURS = [*H.WORD_COLOURS, "mauve", "Yellow"]
+
+
+def colours(spark: SparkSession, d: str) -> DataFrame:
+    name = F.element_at(F.array(*map(F.lit, NAMED_COLOURS)), (F.col("p_partkey") % len(NAMED_COLOURS) + 1).cast("int"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), H.word_colour(name).alias("colour"))
+
+
+NOTED = f"""SELECT doc_id, para_no, CASE k WHEN 0 THEN concat('as ', a, ' [1-3, 5] and (7) has') WHEN 1 THEN concat('see ^2^, (', a, ') and [x]') WHEN 2 THEN '[9, 8, 7]' ELSE concat('no mark (', b, ' 2000) ^') END AS text FROM ({PARTS})"""
+
+
+def renoted(spark: SparkSession, d: str) -> DataFrame:
+    """Citation marks of documents renumbered backwards in odd documents; the others keep theirs."""
+    mapping = run_sql(spark, d, f"SELECT doc_id, n AS old, 20 - n AS new FROM (SELECT DISTINCT doc_id FROM ({PARTS}) WHERE doc_id % 2 = 1) LATERAL VIEW explode(sequence(1, 9)) t AS n")
+    return N.renumbered_text(run_sql(spark, d, NOTED), mapping)
+
+
+def tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of jobs: some in memory, some of jobs with errors or without a route, some with a folder, one of none."""
+    jobs = run_sql(spark, d, """SELECT concat('t', event_id) AS token, CASE WHEN event_id % 7 = 0 THEN '' ELSE event_type END AS route_type,
+  CASE WHEN event_id % 5 = 0 THEN '[1]' WHEN event_id % 3 = 0 THEN '' END AS errors FROM {events}""")
+    memory = run_sql(spark, d, "SELECT concat('t', event_id) AS token, 'memory' AS route_type FROM {events} WHERE event_id % 4 = 0")
+    folders = run_sql(spark, d, "SELECT concat('t', event_id) AS token FROM {events} WHERE event_id % 10 = 5")
+    asked = run_sql(spark, d, "SELECT concat('t', event_id) AS token FROM {events} UNION ALL SELECT 'none'")
+    return store.resolved_tokens(asked, memory, jobs, folders)
+
+
 def one(text: str, f, name: str):
     return lambda spark, d: run_sql(spark, d, text).select("id", f(F.col("text")).alias(name))
 
@@ -165,6 +193,9 @@ QUERIES = {
     "fn72_contexts": contexts,
     "fn82_comment_marks": comment_marks,
     "set09_united_ids": united_ids,
+    "fn83_colours": colours,
+    "jn21_renumbered_text": renoted,
+    "jn23_token_cascade": tokens,
     "fn79_instructions": lambda s, d: H.instructions(run_sql(s, d, TOLD)),
     "src07_fn63_extracted": lambda s, d: dashboard.extracted(sheets(s, d)).select("doc_id", "para_no", "page", "is_caption", "is_highlighted"),
     "prj15_highlighted": lambda s, d: dashboard.extracted(sheets(s, d)).where("is_highlighted").select("doc_id", "para_no", "text"),
@@ -219,6 +250,11 @@ WHEN 4 THEN 'time_period' ELSE 'comparison,latin' END AS groups FROM p WHERE sty
 UNION ALL SELECT doc_id, para_no, 'magenta', 'Cyrillic' FROM p WHERE k = 4""",
     "fn82_comment_marks": f"""WITH p AS ({P}) SELECT doc_id, para_no, 'cyan' AS colour, ['number_words', 'numbers_1000', 'greek,versus', 'degrees,numbers_0_99,special', 'time_period', '', 'comparison,latin'][k + 1] AS groups FROM p WHERE k <> 5
 UNION ALL SELECT doc_id, para_no, 'magenta', 'Cyrillic' FROM p WHERE k = 4""",
+    "fn83_colours": f"SELECT p_partkey AS id, ([{', '.join('NULL' if v is None else repr(v) for v in H.WORD_COLOURS.values())}, 'yellow', 'yellow'])[p_partkey % {len(NAMED_COLOURS)} + 1] AS colour FROM part",
+    "jn21_renumbered_text": f"""SELECT doc_id, para_no, CASE k WHEN 0 THEN 'as ' || a || CASE WHEN doc_id % 2 = 1 THEN ' 15, 17-19 and 13 has' ELSE ' 1-3, 5 and 7 has' END
+WHEN 1 THEN 'see ' || CASE WHEN doc_id % 2 = 1 THEN '18' ELSE '2' END || ', (' || a || ') and [x]' WHEN 2 THEN CASE WHEN doc_id % 2 = 1 THEN '11-13' ELSE '7-9' END ELSE 'no mark (' || b || ' 2000) ^' END AS text FROM ({P})""",
+    "jn23_token_cascade": """SELECT 't' || event_id AS token, CASE WHEN event_id % 4 = 0 THEN 'memory' WHEN event_id % 5 <> 0 THEN CASE WHEN event_id % 7 = 0 THEN 'general' ELSE event_type END
+WHEN event_id % 10 = 5 THEN 'recovered' END AS route_type FROM events UNION ALL SELECT 'none', NULL""",
     "set09_united_ids": "SELECT id, string_agg(x::VARCHAR, ',' ORDER BY x) AS ids FROM (SELECT l_partkey AS id, l_suppkey AS x FROM lineitem UNION SELECT l_partkey, l_orderkey % 50 FROM lineitem) GROUP BY id",
     "fn79_instructions": f"""WITH p AS ({P}) SELECT doc_id, para_no, 'refer ' || a AS instruction FROM p WHERE k = 0 UNION ALL SELECT doc_id, para_no, 'Insert ' || b FROM p WHERE k = 0
 UNION ALL SELECT doc_id, para_no, 'Pick-up ' || split_part(p_name, ' ', 1) FROM p WHERE k = 1

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
 from marginalia.operators import flow as L
+from marginalia.operators import matching
 from marginalia.plans.numeric import bibliography, citations
 from marginalia.plans.sqlquery import query, run_sql, twin
 from marginalia.sources.tables import table
 
-# Journal names and their short forms; colours and what they are called.
-JOURNALS = [("journal", "J"), ("journal of psychology", "J Psychol"), ("new england journal of medicine", "N Engl J Med"), ("brand", "Br"), ("psychology", "Psychol")]
-COLOURS = {"yellow": "YELLOW", "cyan": "TURQUOISE", "green": "BRIGHT_GREEN", "pink": "PINK"}
+# Journal names and their short forms.
+JOURNALS = [("journal", "J"), ("journal of psychology", "J Psychol"), ("new england journal of medicine", "N Engl J Med"), ("psychology", "Psychol")]
 
 SQL = {
     "snk01_job_rows": "SELECT event_id AS id, user_id, concat('[', '\"', event_type, '\"', ']') AS original_filenames, ts AS processing_date, 'general' AS route_type FROM {events} WHERE event_type = 'purchase'",
@@ -22,14 +22,12 @@ SQL = {
 
 
 def journal_short(spark: SparkSession, d: str) -> DataFrame:
-    """The short form of a journal: exact, else of the longest name that holds it or that it holds, else itself."""
-    names = spark.createDataFrame(JOURNALS, "name string, short string")
-    items = run_sql(spark, d, "SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN 'Journal of Psychology' WHEN 1 THEN 'Applied Psychology Letters' WHEN 2 THEN 'New England Journal' ELSE 'Nature' END AS journal FROM {part}")
-    keys = items.select("journal").distinct()  # each name is looked up once
-    low = F.lower("journal")
-    hit = keys.join(F.broadcast(names), low.contains(F.col("name")) | F.col("name").contains(low), "left")
-    best = hit.groupBy("journal").agg(F.max_by("short", F.struct((F.lower("journal") == F.col("name")).alias("e"), F.length("name").alias("n"))).alias("short"))
-    return items.join(best, "journal").select("id", F.coalesce("short", "journal").alias("short"))
+    """Journals by exact name, by a longer and by a shorter one, and one of no list; brands are named after their numbers."""
+    fixed = spark.createDataFrame(JOURNALS, "name string, short string")
+    brands = run_sql(spark, d, "SELECT DISTINCT lower(p_brand) AS name, concat('Br', substring(p_brand, 7, 3)) AS short FROM {part}")
+    items = run_sql(spark, d, """SELECT p_partkey AS id, CASE p_size % 6 WHEN 0 THEN 'Journal of Psychology' WHEN 1 THEN 'Applied Psychology Letters' WHEN 2 THEN 'New England Journal'
+  WHEN 3 THEN upper(p_brand) WHEN 4 THEN concat('Reports of ', p_brand, ' today') ELSE 'Nature' END AS journal FROM {part}""")
+    return matching.journal_short(items, fixed.unionByName(brands)).select("id", "short")
 
 
 def continuation(spark: SparkSession, d: str) -> DataFrame:
@@ -45,9 +43,11 @@ def continuation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def subset_words(spark: SparkSession, d: str) -> DataFrame:
-    """Whether all of a name's words, stop words aside, are in the type's."""
-    rows = table(spark, d, "part").select("p_partkey", F.split(F.lower("p_name"), " ").alias("a"), F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ").alias("b"))
-    return rows.select(F.col("p_partkey").alias("id"), (F.size(F.array_except("a", "b")) == 0).alias("inside"), F.size(F.array_union("a", "b")).cast("long").alias("n"))
+    """Whether all words of a name, small ones aside, are in another's."""
+    rows = run_sql(spark, d, """SELECT p_partkey AS id, concat('the ', p_name, ' and ', lower(p_type), ' et al') AS a,
+  concat(p_name, CASE WHEN p_size % 2 = 0 THEN concat(' of ', lower(p_type)) ELSE ' in the' END) AS b FROM {part}""")
+    a, b = (matching.words(F.col(c)) for c in "ab")
+    return rows.select("id", (F.size(F.array_except(a, b)) == 0).alias("inside"), F.size(F.array_union(a, b)).cast("long").alias("n"))
 
 
 def sentence_pages(spark: SparkSession, d: str) -> DataFrame:
@@ -156,12 +156,6 @@ def short_words(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(word), F.lit(0))).cast("long").alias("n"))
 
 
-def colours(spark: SparkSession, d: str) -> DataFrame:
-    names = F.create_map(*[F.lit(x) for kv in COLOURS.items() for x in kv])
-    low = F.lower(F.element_at(F.array(*map(F.lit, ("Yellow", "cyan", "GREEN", "mauve"))), (F.col("p_size") % 4 + 1).cast("int")))
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.coalesce(F.try_element_at(names, low), F.lit("YELLOW")).alias("colour"))
-
-
 def uncited_last(spark: SparkSession, d: str) -> DataFrame:
     """Floats after their first citing paragraph, uncited ones at the end."""
     first = citations(spark, d).groupBy("doc_id", F.col("cited_id").alias("ref_id")).agg(F.min("pos").alias("after"))
@@ -190,14 +184,15 @@ QUERIES = {k: query(v) for k, v in SQL.items()} | {
     "snk07_zip_members": zip_members,
     "src15_src16_lookup_cache": cache_lookups,
     "fn78_short_words": short_words,
-    "fn83_colours": colours,
     "fn97_float_places": uncited_last,
 }
 ORACLES = {k: twin(v) for k, v in SQL.items()} | {
-    "fn56_srt08_journal_short": "SELECT p_partkey AS id, (['J Psychol', 'Psychol', 'N Engl J Med', 'Nature'])[p_size % 4 + 1] AS short FROM part",
+    "fn56_srt08_journal_short": """SELECT p_partkey AS id, CASE p_size % 6 WHEN 0 THEN 'J Psychol' WHEN 1 THEN 'Psychol' WHEN 2 THEN 'N Engl J Med' WHEN 5 THEN 'Nature'
+ELSE 'Br' || substr(p_brand, 7, 3) END AS short FROM part""",
     "win14_credit_lines": f"""WITH {PARAS}, s AS (SELECT *, (text[1:1] BETWEEN 'A' AND 'Z') AS ok FROM paras)
 SELECT a.doc_id, a.para_no, (SELECT count(*) FROM s b WHERE b.doc_id = a.doc_id AND b.para_no BETWEEN a.para_no + 1 AND a.para_no + 4 AND NOT EXISTS (SELECT 1 FROM s c WHERE c.doc_id = a.doc_id AND c.para_no BETWEEN a.para_no + 1 AND b.para_no AND NOT c.ok)) AS lines FROM s a WHERE length(a.text) % 13 = 0""",
-    "set06_word_subset": "WITH w AS (SELECT p_partkey AS id, string_split(lower(p_name), ' ') AS a, string_split(lower(p_name || ' ' || p_type), ' ') AS b FROM part) SELECT id, len(list_filter(a, lambda x: NOT list_contains(b, x))) = 0 AS inside, len(list_distinct(list_concat(a, b)))::BIGINT AS n FROM w",
+    "set06_word_subset": """SELECT p_partkey AS id, p_size % 2 = 0 OR contains(p_name, lower(p_type)) AS inside,
+len(list_distinct([split_part(p_name, ' ', 1), split_part(p_name, ' ', 2), lower(p_type), CASE WHEN p_size % 2 = 0 THEN 'of' ELSE 'in' END]))::BIGINT AS n FROM part""",
     "jn17_sentence_pages": f"""WITH {PARAS}, q AS (SELECT * FROM paras), g AS (SELECT doc_id, para_no, text, greatest(1, ceil(coalesce(sum(len(regexp_extract_all(text, '[^ \\t\\n]+'))) OVER (PARTITION BY doc_id ORDER BY para_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 160))::BIGINT AS page FROM q),
 s AS (SELECT doc_id, para_no, unnest(range(len(regexp_extract_all(text, '[^.!?]+[.!?]*')))) AS sent_no, unnest(regexp_extract_all(text, '[^.!?]+[.!?]*')) AS sentence FROM q)
 SELECT s.doc_id, s.para_no, s.sent_no, min(g.page) AS page FROM s JOIN g ON g.doc_id = s.doc_id AND contains(g.text, substr(sentence, 1, 60)) WHERE trim(sentence) <> '' GROUP BY ALL""",
@@ -230,6 +225,5 @@ WHEN p_partkey % 3 = 0 THEN TRUE ELSE p_retailprice % 100 / 100.0::DOUBLE >= 0.8
     "snk07_zip_members": "SELECT p_partkey AS id, p_name || CASE p_size % 4 WHEN 0 THEN '_processed.docx' WHEN 1 THEN '_log.txt' ELSE '.docx' END AS member FROM part WHERE p_size % 4 <> 2 AND p_partkey * 1000003 % 90000000 < 50 * 1024 * 1024",
     "src15_src16_lookup_cache": "SELECT p.p_partkey AS id, (SELECT min(c.p_partkey) FROM part c WHERE c.p_name = p.p_name AND c.p_partkey % 3 = 0 AND c.p_size > 10) AS item FROM part p",
     "fn78_short_words": r"SELECT doc_id, len(list_filter(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[A-Za-z]{1,4}')))::BIGINT AS n FROM documents",
-    "fn83_colours": "SELECT p_partkey AS id, (['YELLOW', 'TURQUOISE', 'BRIGHT_GREEN', 'YELLOW'])[p_size % 4 + 1] AS colour FROM part",
     "fn97_float_places": "WITH c AS (SELECT o_custkey AS doc_id, l_suppkey % 10 + 1 AS ref_id, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos FROM lineitem JOIN orders ON l_orderkey = o_orderkey), f AS (SELECT doc_id, ref_id, min(pos) AS after FROM c GROUP BY ALL) SELECT b.doc_id, b.ref_id, coalesce(after, -1) AS after FROM (SELECT DISTINCT o_custkey AS doc_id, o_orderkey % 10 + 1 AS ref_id FROM orders) b LEFT JOIN f USING (doc_id, ref_id)",
 }
