@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import row_key
+from .common import row_key, unused
 
 ONE_BLANK = bytes(32 if 9 <= i <= 13 else i for i in range(256))  # texts that are only wrapped anew stay alike
 GAP = 32  # zero bytes between texts, which clear the rolling hash
@@ -105,7 +105,7 @@ def drop_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for text, gone in zip(b.column("text").to_pylist(), b.column("_gone").to_pylist(), strict=True):
+            for text, gone in zip(b.column("text").to_pylist(), b.column(g_gone).to_pylist(), strict=True):
                 if gone:
                     raw, kept, at = text.encode(), [], 0
                     for x in gone:
@@ -116,8 +116,9 @@ def drop_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(out, pa.string()) if n == "text" else b.column(n) for n in names], names=names)
 
     names = docs.columns
-    gone = spans.groupBy(F.col("doc_id").alias("g_id"), F.col("text_key").alias("g_key"), F.col("copy").alias("g_copy")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_gone"))
+    key, nth, g_id, g_key, g_copy, g_gone = unused(docs, "key", "nth", "g_id", "g_key", "g_copy", "g_gone")
+    gone = spans.groupBy(F.col("doc_id").alias(g_id), F.col("text_key").alias(g_key), F.col("copy").alias(g_copy)).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias(g_gone))
     # Equal rows stand for each other, so any numbering of them will do.
-    rows = docs.withColumn("_key", F.xxhash64("text")).withColumn("_copy", F.row_number().over(W.partitionBy("doc_id", "_key").orderBy("_key")))
-    rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("_key") == F.col("g_key")) & (F.col("_copy") == F.col("g_copy")), "left").select(*names, "_gone")
+    rows = docs.withColumn(key, F.xxhash64("text")).withColumn(nth, F.row_number().over(W.partitionBy("doc_id", key).orderBy(key)))
+    rows = rows.join(gone, rows["doc_id"].eqNullSafe(gone[g_id]) & (rows[key] == gone[g_key]) & (rows[nth] == gone[g_copy]), "left").select(*names, g_gone)
     return rows.mapInArrow(cut, docs.schema)

@@ -14,22 +14,48 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, set here only where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: spark.checkpoint.dir. Set here only where it is unset and Spark runs on one machine."""
+    found, sc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="marginalia-")
+        found = sc.getCheckpointDir()
+        if not found and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = found or "file://" + tempfile.mkdtemp(prefix="marginalia-")
         spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def work_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the session's own part of the shared folder, which clear() empties."""
+    return f"{shared_dir(spark)}/marginalia-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what this session's operators wrote to the shared folder; for when their results have been used."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/marginalia-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder: computed once, and safe when executors are lost."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    path = work_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores after each as long as `df` has a column of that name."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def words_of(text: Column) -> Column:
     """The words of a text as an array; null or blank texts give an empty one."""
     bare = F.btrim(text, F.lit(BLANKS))

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 BASE = np.uint64(0x100000001B3)
 PREFIX_BITS = 22
 SCALE = 2.3  # of a byte's weight, which keeps sums of short units near 1 and changes no share
@@ -265,7 +267,7 @@ def decode(ids: np.ndarray, model: Pieces) -> bytes:
 
 def encode(docs: DataFrame, path: str, sharpness: float = 1.0, seed: int = 0, batch_bytes: int = 1 << 22) -> DataFrame:
     """`docs` with `ids` (little-endian 16-bit or, for larger models, 32-bit integers), n_pieces, ids_crc32 (of 32-bit
-    integers) and lossless: whether decoding the ids gave back the text."""
+    integers) and lossless: whether decoding the ids gave back the text. Columns of these four names that `docs` has are replaced."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path, sharpness)
@@ -282,7 +284,7 @@ def encode(docs: DataFrame, path: str, sharpness: float = 1.0, seed: int = 0, ba
                 at = to
                 raw = part.column("text").to_pylist()
                 texts = [(t or "").encode() for t in raw]
-                got = sample(texts, part.column("_seed").to_numpy().view(np.uint64), model)
+                got = sample(texts, part.column(seed_name).to_numpy().view(np.uint64), model)
                 none = np.array([t is None for t in raw])
                 own = {
                     "ids": pa.array([None if x else g.astype(kind).tobytes() for g, x in zip(got, none, strict=True)], pa.binary()),
@@ -292,7 +294,8 @@ def encode(docs: DataFrame, path: str, sharpness: float = 1.0, seed: int = 0, ba
                 }
                 yield pa.record_batch({n: part.column(n) for n in names} | own)
 
+    (seed_name,) = unused(docs, "seed")
     names = [c for c in docs.columns if c not in ("ids", "n_pieces", "ids_crc32", "lossless")]
     key = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
-    return docs.select(*names, key.alias("_seed")).mapInArrow(each, f"{kept}, ids binary, n_pieces long, ids_crc32 long, lossless boolean")
+    return docs.select(*names, key.alias(seed_name)).mapInArrow(each, f"{kept}, ids binary, n_pieces long, ids_crc32 long, lossless boolean")
