@@ -22,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key
+from .common import row_key, unused
 from .words import split_words
 
 SHINGLE, BLOCKS = 5, 8
 #: Items that go to every task at once; more are searched for in further passes over the documents.
 ITEMS_A_PASS = 4096
+#: Windows that are looked up at once.
+WINDOWS = 1 << 12
 TURN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -74,11 +76,14 @@ class ItemIndex:
         for i, n in enumerate(self.lengths.tolist()):
             if n:
                 self.by_length[n].append(i)
-        self.fp, self.probe = {}, {}
-        near = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :]) <= radius // BLOCKS
+        self.fp, self.lists = {}, {}
+        values = np.arange(256, dtype=np.uint8)
+        near = np.bitwise_count(values[:, None] ^ values[None, :]) <= radius // BLOCKS
         for n, items in self.by_length.items():
             self.fp[n] = np.concatenate([window_fingerprints(self.shingles[i], len(self.shingles[i])) for i in items])
-            self.probe[n] = near[:, self.fp[n].view(np.uint8).reshape(-1, BLOCKS)].transpose(2, 0, 1)  # block, byte of a window, item
+            own = self.fp[n].view(np.uint8).reshape(-1, BLOCKS)
+            # For each block, the items that a window's byte leads to: those of byte v are listed from upto[v] to upto[v + 1].
+            self.lists[n] = [self._list(near[:, own[:, k]]) for k in range(BLOCKS)]
         # which lengths a shingle is looked for in, by shingle size
         self.owners: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
         for i, own in enumerate(self.shingles):
@@ -87,32 +92,47 @@ class ItemIndex:
         self.owners = {k: dict(v) for k, v in self.owners.items()}
         self.known = {k: np.sort(np.fromiter(v, np.uint64, len(v))) for k, v in self.owners.items()}
 
+    @staticmethod
+    def _list(leads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([[0], np.cumsum(leads.sum(1))]), np.nonzero(leads)[1]
+
+    def candidates(self, fp: np.ndarray, n: int) -> Iterator[tuple[int, int, int]]:
+        """(window, place of the item in its length, bits) within the radius, found by the blocks' lists."""
+        for a in range(0, len(fp), WINDOWS):
+            own = fp[a : a + WINDOWS].view(np.uint8).reshape(-1, BLOCKS)
+            found = []
+            for k, (upto, items) in enumerate(self.lists[n]):
+                size = (upto[1:] - upto[:-1])[own[:, k]]
+                at = np.repeat(upto[own[:, k]] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                found.append(np.repeat(np.arange(len(own)), size) * len(self.fp[n]) + items[at])
+            pairs = np.unique(np.concatenate(found))
+            w, j = pairs // len(self.fp[n]) + a, pairs % len(self.fp[n])
+            bits = np.bitwise_count(fp[w] ^ self.fp[n][j])
+            close = bits <= self.radius
+            yield from zip(w[close].tolist(), j[close].tolist(), bits[close].tolist(), strict=True)
+
     def matches(self, shingles: np.ndarray, size: int, at: np.ndarray, least: float) -> Iterator[tuple[int, int, int, float, int]]:
-        """(item, first word, words, similarity, bits) of verified windows of one document, of which `at` are known shingles."""
+        """(item, first word, words, similarity, bits) of verified windows of one document, of which `at` are known shingles.
+
+        A document shorter than an item is one window.
+        """
         starts: dict[int, set[int]] = defaultdict(set)
         for p in at.tolist():
             for n in self.owners[size][int(shingles[p])]:
-                last = len(shingles) - (n - size + 1)
+                last = max(0, len(shingles) - (n - size + 1))
                 starts[n].update(range(max(0, p - n + size), min(p, last) + 1))
         for n, found in starts.items():
-            m = n - size + 1
+            m = min(n - size + 1, len(shingles))
             places = np.array(sorted(found))
             for run in np.split(places, np.flatnonzero(np.diff(places) > 1) + 1):
                 if not len(run):
                     continue
                 fp = window_fingerprints(shingles[run[0] : run[-1] + m], m)
-                own = fp.view(np.uint8).reshape(-1, BLOCKS)
-                may = np.zeros((len(fp), len(self.fp[n])), bool)
-                for k in range(BLOCKS):
-                    may |= self.probe[n][k][own[:, k]]
-                for w, j in zip(*(x.tolist() for x in np.nonzero(may)), strict=True):
-                    bits = int(np.bitwise_count(fp[w] ^ self.fp[n][j]))
-                    if bits <= self.radius:
-                        item = self.by_length[n][j]
-                        start = int(run[0]) + w
-                        alike = similarity(shingles[start : start + m], self.shingles[item])
-                        if alike >= least:
-                            yield item, start, n, alike, bits
+                for w, j, bits in self.candidates(fp, n):
+                    item, start = self.by_length[n][j], int(run[0]) + w
+                    alike = similarity(shingles[start : start + m], self.shingles[item])
+                    if alike >= least:
+                        yield item, start, m + size - 1, alike, bits
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -159,7 +179,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radius
                 keys = sorted(best)
                 row = pa.array([d for d, _ in keys], pa.int64())
                 yield pa.record_batch(
-                    {"doc_id": b.column("doc_id").take(row), "text_key": b.column("text_key").take(row), "item_id": pa.array([ix.ids[i] for _, i in keys], pa.int64()), "start_word": pa.array([-best[x][2] for x in keys], pa.int64()), "n_words": pa.array([best[x][3] for x in keys], pa.int64()), "similarity": pa.array([best[x][0] for x in keys], pa.float64()), "bits": pa.array([-best[x][1] for x in keys], pa.int32())}
+                    {
+                        "doc_id": b.column("doc_id").take(row),
+                        "text_key": b.column("text_key").take(row),
+                        "item_id": pa.array([ix.ids[i] for _, i in keys], pa.int64()),
+                        "start_word": pa.array([-best[x][2] for x in keys], pa.int64()),
+                        "n_words": pa.array([best[x][3] for x in keys], pa.int64()),
+                        "similarity": pa.array([best[x][0] for x in keys], pa.float64()),
+                        "bits": pa.array([-best[x][1] for x in keys], pa.int32()),
+                    }
                 )
 
         found.append(rows.mapInArrow(search, schema))
@@ -171,5 +199,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radius
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
     """`docs` without those that hold a window alike to an item; null ids are matched as ids are."""
-    gone = find_leaks(docs, benchmark, least).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_key")), "left_anti")
+    gone_id, gone_key = unused(docs, "gone_id", "gone_key")
+    gone = find_leaks(docs, benchmark, least).select(F.col("doc_id").alias(gone_id), F.col("text_key").alias(gone_key)).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone[gone_id]) & (F.xxhash64(docs["text"]) == gone[gone_key]), "left_anti")
