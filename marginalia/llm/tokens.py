@@ -62,8 +62,8 @@ def encode_words(words: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     ids = np.concatenate(got)
     stops = np.flatnonzero(ends[ids]) + 1
     last = np.cumsum(n_pre) - 1
-    if len(last) and last[-1] + 1 != len(stops):
-        raise ValueError("pre-tokens and their ends do not agree")
+    if len(last) and last[-1] + 1 != len(stops):  # a vocabulary without some plain word's end: no word is joined
+        picked, ids, last, plain = picked[:0], ids[:0], last[:0], np.zeros(len(words), bool)
     upto = stops[last] if len(last) else np.zeros(0, np.int64)
     sizes[picked] = np.diff(upto, prepend=0)
     odd = np.flatnonzero(~plain)
