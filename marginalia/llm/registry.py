@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, decontam, linededup, mixing, quality, sampling, secrets, simhash, tokens
-from .common import shared_dir
+from . import chunks, decontam, linededup, quality, sampling, scoring, secrets, simhash, tokens
+from .common import work_path
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,18 +18,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = quality.score_quality(documents(spark, sf_dir).select("doc_id", "text"))
-    return q.select("doc_id", *[F.col(f"quality.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept", "quality.n_lines", "quality.n_stop_words")
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return q.select("doc_id", *[F.col(f"quality.{c}").alias(c) for c in counts], "base_failed", "kept", "quality.n_lines", "quality.n_stop_words")
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(documents(spark, sf_dir))
     base = F.filter("spans", lambda x: x["rank"] < len(secrets.BASE))
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
-    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k, *_ in secrets.BASE], F.sha2(secrets.span_text(base), 256).alias("base_sha256"), secrets.span_text(F.col("spans")).alias("spans"))
+    counts = [count(k).alias(f"n_{k}") for k, *_ in secrets.BASE]
+    digest = F.sha2(secrets.span_text(base), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, secrets.span_text(F.col("spans")).alias("spans"))
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.repeated_spans(documents(spark, sf_dir)).drop("text_key", "copy")
+    # Half of a passage of fifty words; a shared line or closing phrase is no passage.
+    return chunks.repeated_spans(documents(spark, sf_dir), span=128).drop("text_key", "copy")
 
 
 def op4_sampled_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,11 +52,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.score(documents(spark, sf_dir).select("doc_id", "text"))
+    return scoring.score(documents(spark, sf_dir).select("doc_id", "text"))
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    out = work_path(spark, "tokens")
     tokens.encode_files(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2, out=out)
     return tokens.decode_digests(tokens.read_files(spark, out))
 
@@ -65,12 +68,24 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linededup.drop_boilerplate(documents(spark, sf_dir).select("doc_id", "source", "text"))
-    return found.select("doc_id", "n_dropped", F.length("text").cast("long").alias("n_kept_chars"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5")
+    return found.select("doc_id", "n_dropped", F.length("text").cast("long").alias("n_kept_chars"), digest)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_quality_rules, op3_secret_scan, op4_sampled_segmentation, op5_simhash, op6_decontamination, op7_context_mixing, op8_token_files, op9_token_counts, op10_line_dedup)
+    for f in (
+        op1_substring_dedup,
+        op2_quality_rules,
+        op3_secret_scan,
+        op4_sampled_segmentation,
+        op5_simhash,
+        op6_decontamination,
+        op7_context_mixing,
+        op8_token_files,
+        op9_token_counts,
+        op10_line_dedup,
+    )
 }
 
 ORACLES: dict[str, str] = {

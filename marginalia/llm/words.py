@@ -17,7 +17,19 @@ from pyspark.sql import functions as F
 
 from .common import row_key
 
-HEAD = 1 << 18
+HEAD, HEAD_BYTES = 1 << 18, 64  # words and bytes of a word that go to every task at most
+
+
+SLICE_BYTES = 1 << 22
+
+
+def slices(b: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows with about `most` bytes of text, so that arrays over its words stay small."""
+    size = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy().astype(np.int64)
+    run = np.cumsum(size) // most
+    cuts = [*np.flatnonzero(np.diff(run, prepend=-1)).tolist(), b.num_rows]
+    for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+        yield b.slice(a, z - a)
 
 
 def split_words(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -47,6 +59,8 @@ def with_kinds(kinds: np.ndarray, offsets: np.ndarray, codes: np.ndarray, words:
 
 
 Kinds = Callable[[np.ndarray, np.ndarray, pa.Array], np.ndarray]
+#: From (kinds, offsets, codes, words) of texts, a number for each text.
+OfText = Callable[[np.ndarray, np.ndarray, np.ndarray, pa.Array], np.ndarray]
 
 
 def word_counts(docs: DataFrame, lower: bool, train: str = "true", kinds: Kinds | None = None) -> DataFrame:
@@ -63,10 +77,12 @@ def word_counts(docs: DataFrame, lower: bool, train: str = "true", kinds: Kinds
                 own, train = kinds(offsets, codes, words), b.column("train").to_numpy(zero_copy_only=False)
                 codes, words = with_kinds(own, offsets, codes, words)
                 each = np.unique(own)
-                yield pa.record_batch({"word": pa.array([f"{k}\n" for k in each]), "n": np.array([(own == k).sum() for k in each], np.int64), "n_train": np.array([((own == k) & train).sum() for k in each], np.int64)})
+                texts = [np.array([(own[rows] == k).sum() for k in each], np.int64) for rows in (slice(None), train)]
+                yield pa.record_batch({"word": pa.array([f"{k}\n" for k in each]), "n": texts[0], "n_train": texts[1]})
             n = np.bincount(codes, minlength=len(words))
             seen = np.flatnonzero(n)
-            known = np.bincount(codes, weights=np.repeat(b.column("train").to_numpy(zero_copy_only=False).astype(float), np.diff(offsets)), minlength=len(words))
+            trained = np.repeat(b.column("train").to_numpy(zero_copy_only=False).astype(float), np.diff(offsets))
+            known = np.bincount(codes, weights=trained, minlength=len(words))
             yield pa.record_batch({"word": words.take(pa.array(seen)), "n": n[seen], "n_train": known[seen].astype(np.int64)})
 
     each = docs.select("text", F.expr(train).alias("train")).mapInArrow(count, "word string, n long, n_train long")
@@ -86,20 +102,23 @@ def head_of(words: DataFrame, most: int = HEAD) -> int:
     return least
 
 
-def sum_over_words(docs: DataFrame, words: DataFrame, values: list[str], lower: bool, kinds: Kinds | None = None) -> DataFrame:
-    """One row for each document: doc_id, kind, n_bytes, n_words and the sum of each of `values` over its words.
+def sum_over_words(
+    docs: DataFrame, words: DataFrame, values: list[str], lower: bool, kinds: Kinds | None = None, of_text: OfText | None = None
+) -> DataFrame:
+    """One row for each document: doc_id, kind, n_bytes, n_words, the sum of each of `values` over its words and, if given, `of_text`.
 
     `words` has word, n and the values (doubles), for every word of the corpus. Rows of equal id and
     content are summed as one and given back as often as they occur.
     """
-    least = head_of(words)
-    head = words.where(F.col("n") >= least).select("word", *values).toArrow()
-    table = np.column_stack([head.column(v).to_numpy() for v in values] or [np.zeros(0)])
-    shared = docs.sparkSession.sparkContext.broadcast((head.column("word").combine_chunks(), np.vstack([table, np.zeros((1, len(values)))])))
+    given, values = values, [*values, "of_text"] if of_text else values
+    is_head = (F.col("n") >= head_of(words)) & (F.octet_length("word") <= HEAD_BYTES)
+    head = words.where(is_head).select("word", *given).toArrow()
+    table = np.column_stack([head.column(v).to_numpy() for v in given])
+    shared = docs.sparkSession.sparkContext.broadcast((head.column("word").combine_chunks(), np.vstack([table, np.zeros((1, len(given)))])))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, table = shared.value
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             offsets, codes, words = split_words(b.column("text"), lower)
             kind = kinds(offsets, codes, words) if kinds else np.zeros(b.num_rows, np.int64)
             if kinds:
@@ -109,23 +128,32 @@ def sum_over_words(docs: DataFrame, words: DataFrame, values: list[str], lower:
             at = place[codes]
             ids, keys = b.column("doc_id"), b.column("text_key")
             own = pa.array([f"\n{i}\n{k}" for i, k in zip(ids.to_pylist(), keys.to_pylist(), strict=True)], pa.string())  # no word has a line end
-            zero = np.zeros(b.num_rows, np.int64)
-            sums = {v: np.bincount(doc, weights=table[at, k], minlength=b.num_rows) for k, v in enumerate(values)}
+            sums = {v: np.bincount(doc, weights=table[at, k], minlength=b.num_rows) for k, v in enumerate(given)}
+            if of_text:
+                sums["of_text"] = of_text(kind, offsets, codes, words)
             size = pc.fill_null(pc.binary_length(b.column("text")), 0).cast(pa.int64())
-            yield pa.record_batch({"doc_id": ids, "text_key": keys, "word": own, "times": zero, "copies": zero + 1, "kind": kind.astype(np.int64), "n_bytes": size, "n_words": np.diff(offsets)} | sums)
+            told = {"copies": np.ones(b.num_rows, np.int64), "kind": kind.astype(np.int64), "n_bytes": size, "n_words": np.diff(offsets)} | sums
+            whole = pa.StructArray.from_arrays([pa.array(x) for x in told.values()], names=list(told))
+            yield pa.record_batch({"doc_id": ids, "text_key": keys, "word": own, "times": np.zeros(b.num_rows, np.int64), "own": whole})
             rare = at < 0
             pair, times = np.unique(doc[rare] * np.int64(len(words)) + codes[rare], return_counts=True)
             row, word = pa.array(pair // max(len(words), 1)), pa.array(pair % max(len(words), 1))
-            zero = np.zeros(len(pair), np.int64)
-            yield pa.record_batch({"doc_id": ids.take(row), "text_key": keys.take(row), "word": words.take(word), "times": times.astype(np.int64), "copies": zero, "kind": zero, "n_bytes": zero, "n_words": zero} | {v: zero.astype(float) for v in values})
+            none = pa.nulls(len(pair), whole.type)
+            yield pa.record_batch({"doc_id": ids.take(row), "text_key": keys.take(row), "word": words.take(word), "times": times.astype(np.int64), "own": none})
 
-    schema = "doc_id long, text_key long, word string, times long, copies long, kind long, n_bytes long, n_words long" + "".join(f", {v} double" for v in values)
+    told = "copies: long, kind: long, n_bytes: long, n_words: long" + "".join(f", {v}: double" for v in values)
+    schema = f"doc_id long, text_key long, word string, times long, own struct<{told}>"
     rows = docs.select(*row_key(), "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(spread, schema)
-    rare = words.where(F.col("n") < least).select("word", *[F.col(v).alias(f"w_{v}") for v in values])
-    copies = F.greatest(F.sum("copies"), F.lit(1))
-    total = [(F.sum(F.col(v) + F.col("times") * F.coalesce(F.col(f"w_{v}"), F.lit(0.0))) / copies).alias(v) for v in values]
+    rare = words.where(~is_head).select("word", *[F.col(v).alias(f"w_{v}") for v in given])
+    copies = F.greatest(F.sum("own.copies"), F.lit(1))
+    both = lambda v: F.coalesce(F.sum(f"own.{v}"), F.lit(0.0)) + (F.coalesce(F.sum(F.col("times") * F.col(f"w_{v}")), F.lit(0.0)) if v in given else 0.0)
+    total = [(both(v) / copies).alias(v) for v in values]
     each = rows.join(rare, "word", "left").groupBy("doc_id", "text_key").agg(
-        copies.alias("copies"), F.max("kind").alias("kind"), (F.sum("n_bytes") / copies).cast("long").alias("n_bytes"), (F.sum("n_words") / copies).cast("long").alias("n_words"), *total
+        copies.alias("copies"),
+        F.max("own.kind").alias("kind"),
+        (F.sum("own.n_bytes") / copies).cast("long").alias("n_bytes"),
+        (F.sum("own.n_words") / copies).cast("long").alias("n_words"),
+        *total,
     )
     return each.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies", "text_key")
 

@@ -8,7 +8,8 @@ import pyarrow.parquet as pq
 
 import corpus_pipeline
 from marginalia.llm import sampling
-from tests.llm.test_operators import groups, slow_fp, slow_leaks, slow_quality
+from tests.llm.test_alike import slow_kept
+from tests.llm.test_operators import slow_leaks, slow_quality
 
 
 def slow_lines(docs, ratio=0.1, least=5):
@@ -23,7 +24,7 @@ def slow_lines(docs, ratio=0.1, least=5):
 
 def slow_one(docs):
     docs = sorted(docs, key=lambda d: d["doc_id"])
-    return [d for k, (d, g) in enumerate(zip(docs, groups([slow_fp(d["text"], 5) for d in docs]), strict=True)) if g == k]
+    return [d for k, (d, g) in enumerate(zip(docs, slow_kept([(0, d["text"]) for d in docs])[0], strict=True)) if g == k]
 
 
 def test_pipeline(spark, small):
