@@ -26,8 +26,8 @@ def is_caption(text: Column, style: Column) -> Column:
 
 
 def page_of(para_no: Column) -> Column:
-    """A page by position: forty paragraphs, counted from 1."""
-    return (F.floor((para_no - 1) / PARAS_A_PAGE) + 1).cast("long")
+    """A page by position: forty paragraphs, counted from 1; what is numbered below 1 is on the first."""
+    return (F.floor(F.greatest(para_no - 1, F.lit(0)) / PARAS_A_PAGE) + 1).cast("long")
 
 
 def extracted(paras: DataFrame) -> DataFrame:

@@ -200,7 +200,7 @@ SELECT s.doc_id, s.para_no, s.sent_no, min(g.page) AS page FROM s JOIN g ON g.do
 SELECT p.p_partkey AS ref, (SELECT min(i.id) FROM ids i WHERE i.p_size = p.p_size AND i.doc_id = p.p_partkey % 500) AS id FROM part p""",
     "jn20_single_link": """WITH r AS (SELECT s_suppkey AS ref_id, s_name, s_nationkey, 50 + s_suppkey % 40 AS y FROM supplier),
 m AS (SELECT c_custkey AS cite, r.ref_id, count(*) OVER (PARTITION BY c_custkey) AS n FROM customer JOIN r ON r.y = 50 + c_custkey % 1200 % 40
-      AND ((c_custkey % 3 = 0 AND r.s_name = 'Supplier#' || lpad((c_custkey % 1200)::VARCHAR, 9, '0')) OR (c_custkey % 3 = 1 AND starts_with(r.s_nationkey::VARCHAR, c_nationkey::VARCHAR))))
+      AND ((c_custkey % 3 = 0 AND r.s_name = 'Supplier#' || lpad((c_custkey % 1200)::VARCHAR, 9, '0')) OR (c_custkey % 3 = 1 AND contains(r.s_nationkey::VARCHAR, c_nationkey::VARCHAR))))
 SELECT cite, ref_id FROM m WHERE n = 1""",
     "win13_colour_priority": """WITH s AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY (l_returnflag = 'R')::INT DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS n FROM lineitem)
 SELECT l_orderkey AS doc_id, l_linenumber AS place, CASE l_returnflag WHEN 'R' THEN 'yellow' WHEN 'A' THEN 'cyan' ELSE 'green' END AS colour FROM s WHERE n = 1""",
