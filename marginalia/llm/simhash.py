@@ -99,7 +99,9 @@ def links(fps: DataFrame, radius: int = 4, take: int = 3, list_limit: int = 32,
         for i in positions:
             key = F.shiftleft(key, 8).bitwiseOR(byte(i))
         keys.append(key)
-    posted = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
+    # Fingerprints are few bytes but each gives many postings: dealt over all tasks before they are posted.
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    posted = fps.repartition(tasks, "fp").select("fp", F.explode(F.array(*keys)).alias("key"))
     sizes = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     listed = written(posted.join(sizes, "key"), "posted")
 
