@@ -79,6 +79,30 @@ def encode_words(words: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     return offsets, out
 
 
+#: Words whose ids a worker keeps at most; the first it meets, among which are the frequent ones.
+KEPT_WORDS = 1 << 18
+_kept: dict[str, tuple[pa.Array, np.ndarray, np.ndarray]] = {}
+
+
+def encode_again(words: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """What encode_words gives, with words that this worker has met before not encoded again."""
+    known, upto, kept = _kept.get(path, (pa.array([], words.type), np.zeros(1, np.int64), np.zeros(0, np.uint32)))
+    place = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy().astype(np.int64)
+    new = np.flatnonzero(place < 0)
+    own, ids = encode_words(words.take(pa.array(new)), path)
+    first = upto[place]  # of the kept ids, then of the new ones behind them
+    first[new] = len(kept) + own[:-1]
+    sizes = (upto[1:] - upto[:-1])[place] if len(known) else np.zeros(len(words), np.int64)
+    sizes[new] = np.diff(own)
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    out = np.concatenate([kept, ids])[np.repeat(first - offsets[:-1], sizes) + np.arange(offsets[-1])]
+    room = min(KEPT_WORDS - len(known), len(new))
+    if room > 0:
+        more = words.take(pa.array(new[:room]))
+        _kept[path] = pa.concat_arrays([known, more]), np.concatenate([upto, upto[-1] + own[1 : room + 1]]), np.concatenate([kept, ids[: own[room]]])
+    return offsets, out
+
+
 def count_tokens(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_bytes, n_words, n_tokens: pieces counted once for each distinct pre-token of the corpus,
     joined to the documents' pre-token frequencies and summed; no ids are kept."""
@@ -169,7 +193,7 @@ def encode_files(docs: DataFrame, path: str, end_id: int, out: str, segment_toke
         part, seq = TaskContext.get().partitionId(), 0
         for b in batches:
             offsets, codes, words = words_.split_words(b.column("text"), lower=False)
-            at, ids = encode_words(words, path)
+            at, ids = encode_again(words, path)
             size = np.diff(at)
             upto = np.concatenate([[0], np.cumsum(size[codes])])
             ends = upto[offsets[1:]] + np.arange(1, b.num_rows + 1)

@@ -3,10 +3,11 @@
 import time
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from marginalia.llm import alike, chunks, decontam, sampling
-from tests.llm.test_operators import PIECES, SCHEMA, rows
+from marginalia.llm import alike, chunks, decontam, sampling, tokens
+from tests.llm.test_operators import PIECES, SCHEMA, WORDS, rows
 
 NAMES = ["g_id", "G_KEY", "gone_id", "gone_key", "key", "nth", "g_copy", "g_gone", "seed", "n_pieces", "root", "sig", "row", "start", "text_key", "copy", "best"]
 
@@ -33,3 +34,13 @@ def test_a_long_text_without_a_blank_takes_time_in_proportion():
     began = time.time()
     (ids,) = sampling.sample([raw], np.array([7], np.uint64), model)
     assert sampling.decode(ids, model) == raw and time.time() - began < 60
+
+
+def test_words_met_again_have_the_same_ids(monkeypatch):
+    path, some = WORDS, ["the", "don't", "東京", "abc", "", "<|endoftext|>", "zebra9"]
+    monkeypatch.setattr(tokens, "KEPT_WORDS", 5)
+    monkeypatch.setattr(tokens, "_kept", {})
+    for words in (some, some[::-1], ["new", *some, "newer", "the"], [], ["the"]):
+        got, want = tokens.encode_again(pa.array(words, pa.string()), path), tokens.encode_words(pa.array(words, pa.string()), path)
+        assert all((a == b).all() and len(a) == len(b) for a, b in zip(got, want, strict=True))
+    assert len(tokens._kept[path][0]) == 5
