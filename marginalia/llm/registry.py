@@ -1,4 +1,4 @@
-"""The queries of the ten operators, with production parameters over whole tables, and their SQL twins."""
+"""The queries of the thirteen operators, with production parameters over whole tables, and their SQL twins."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, decontam, linededup, quality, sampling, scoring, secrets, simhash, tokens
+from . import centroids, chunks, decontam, linededup, middle, passages, quality, sampling, scoring, secrets, simhash, tokens
 from .common import work_path
 
 
@@ -72,6 +72,22 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_dropped", F.length("text").cast("long").alias("n_kept_chars"), digest)
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return centroids.assign(vectors, centroids.fit(vectors, k=16, rounds=3, dims=64, scale=64, seed=1), scale=64)
+
+
+def op12_passage_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return passages.score(docs, passages.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality"), least=0.3)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = middle.transform(documents(spark, sf_dir), seed=42, plain_percent=50, spm_percent=80)
+    digests = [F.sha2(c, 256).alias(n) for n, c in (("output_sha256", F.col("output")), ("restored_sha256", middle.restored(F.col("output"), F.col("form"))))]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -85,10 +101,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_files,
         op9_token_counts,
         op10_line_dedup,
+        op11_centroids,
+        op12_passage_quality,
+        op13_fill_in_middle,
     )
 }
 
+def clustering_sql(k: int, rounds: int, dims: int, scale: int, seed: int) -> str:
+    """Centroid clustering round by round, in integers, for whole tables of modest size."""
+    steps = f"""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: floor(e::DOUBLE * {scale})::HUGEINT) AS x FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id) NULLS LAST, x) - 1 AS c, x FROM v QUALIFY c < {k})"""
+    for i in range(rounds + 1):
+        steps += f""",
+d{i} AS (SELECT r, c, list_sum(list_transform(list_zip(v.x, c{i}.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::HUGEINT AS d FROM v, c{i}),
+a{i} AS MATERIALIZED (SELECT r, arg_min(c, struct_pack(d := d, c := c)) AS c, min(d) AS d FROM d{i} GROUP BY r)"""
+        if i < rounds:
+            steps += f""",
+e{i} AS (SELECT c, j, sum(e)::HUGEINT AS s, count(*)::HUGEINT AS n FROM (SELECT a.c, unnest(range({dims})) AS j, unnest(v.x) AS e FROM a{i} a JOIN v USING (r)) GROUP BY c, j),
+m{i} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY j) AS x FROM e{i} GROUP BY c),
+c{i + 1} AS MATERIALIZED (SELECT c, coalesce(m{i}.x, c{i}.x) AS x FROM c{i} LEFT JOIN m{i} USING (c))"""
+    return f"""WITH {steps}
+SELECT vec_id, c::INT AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c{rounds}.x, ',')) AS centroid_sha256 FROM a{rounds} JOIN v USING (r) JOIN c{rounds} USING (c)"""
+
+
 ORACLES: dict[str, str] = {
+    "op11_centroids": clustering_sql(k=16, rounds=3, dims=64, scale=64, seed=1),
+    "op13_fill_in_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS us, [('0x' || substr(h, 8 * k + 1, 8))::BIGINT for k in range(4)] AS w FROM d),
+c AS (SELECT *, len(us)::BIGINT AS n, least(w[1] % (len(us) + 1), w[2] % (len(us) + 1)) AS i, greatest(w[1] % (len(us) + 1), w[2] % (len(us) + 1)) AS j FROM u),
+p AS (SELECT doc_id, text, n, array_to_string(us[1:i], '') AS p, array_to_string(us[i + 1:j], '') AS m, array_to_string(us[j + 1:], '') AS s,
+      CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR w[3] % 100 >= 50 THEN 'plain' WHEN w[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256 FROM p""",
     "op2_quality_rules": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws,
