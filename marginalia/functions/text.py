@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SENTENCE = r"[^.!?]+[.!?]*"
+BLOCK = 128  # parts whose places are summed together
 WORDS_A_PAGE, PARAGRAPHS_A_PAGE = 160, 40
 # Script, first and last code point; Latin-1 letters are added to the scripts that are marked.
 SCRIPTS = [
@@ -15,20 +18,49 @@ SCRIPTS = [
 ]
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value worked out once, however often `use` speaks of it.
+
+    Projections that Catalyst joins repeat an expression wherever its name stands; the variable of a function over an array of one isn't replaced.
+    """
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def spread(rows: DataFrame, keep: list[str], array: Column, name: str) -> DataFrame:
+    """`keep` and a row for each element of an array that is not null.
+
+    Before a plain explode Catalyst asks whether the array has elements, and works the array out once more for that; not so here.
+    """
+    return rows.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
+def starts_of(lengths: Column) -> Column:
+    """The sum of the lengths before each one. Sums go by blocks, so time grows with the number of lengths, not with its square."""
+    none = F.array().cast("array<bigint>")
+    add = lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+    sums = lambda xs: F.aggregate(xs, F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out")), add)
+
+    def of(n: Column) -> Column:
+        firsts = F.when(F.size(n) > 0, F.sequence(F.lit(1), F.size(n), F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+        blocks = F.transform(firsts, lambda i: sums(F.slice(n, i, F.lit(BLOCK))))
+        shifted = lambda b: F.zip_with(b, sums(F.transform(b, lambda x: x["at"]))["out"], lambda x, s: F.transform(x["out"], lambda v: v + s))
+        return F.flatten(bound(blocks, shifted))
+
+    return bound(F.transform(lengths, lambda n: n.cast("bigint")), of)
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
     """(doc_id, para_no, text): the lines of each document from 1 on; blank ones keep their number."""
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text")).select("doc_id", (F.col("i") + 1).cast("long").alias("para_no"), "text")
+    return docs.select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("i", "text")).where("text IS NOT NULL").select("doc_id", (F.col("i") + 1).cast("long").alias("para_no"), "text")
 
 
 def sentences(paras: DataFrame) -> DataFrame:
     """(doc_id, para_no, sent_no, start, sentence): with the place of each sentence in its paragraph, from 0."""
-    lead = F.length(F.regexp_extract("text", r"^[.!?]*", 0)).cast("long")
-    # Places are summed along each paragraph's own sentences, so nothing is shuffled.
-    none = F.array().cast("array<struct<start:bigint,sentence:string>>")
-    add = lambda a, s: F.struct((a["at"] + F.length(s)).alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), s.alias("sentence")))).alias("out"))
-    each = F.aggregate(F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0)), F.struct(lead.alias("at"), none.alias("out")), add)["out"]
-    found = paras.select("doc_id", "para_no", F.posexplode(each).alias("i", "s"))
-    return found.select("doc_id", "para_no", F.col("i").cast("long").alias("sent_no"), "s.start", "s.sentence")
+    # Places are summed along each paragraph's own sentences, so nothing is shuffled. The marks before the first sentence count as a part.
+    parts = F.concat(F.array(F.regexp_extract("text", r"^[.!?]*", 0)), F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0)))
+    each = bound(parts, lambda p: F.arrays_zip(starts_of(F.transform(p, F.length)).alias("start"), p.alias("sentence")))
+    found = paras.select("doc_id", "para_no", F.posexplode_outer(each).alias("i", "s")).where("i > 0")
+    return found.select("doc_id", "para_no", (F.col("i") - 1).cast("long").alias("sent_no"), "s.start", "s.sentence")
 
 
 def n_words(text: Column) -> Column:

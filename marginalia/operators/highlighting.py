@@ -6,43 +6,119 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Pattern groups by name; names and signs of Greek letters; scripts with their colours; styles left alone.
-UNIT_PER = "dL|µ|µL|mL|ml|L|g|mg|kg|min|h|hr|hour|day|week|month"
-NUMBERS = "one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety"
-SPANS = "years?|months?|weeks?|days?|hours?|minutes?|seconds?"
-SPANS_SHORT = "y|mo|wks?|d|h|hrs?|min|s|sec"
+from marginalia.functions import text as T
+from marginalia.operators import onepass
+
+# Pattern groups by name, a pattern a line; the words and signs they are made of.
+UNIT_PER = "dL µ µL mL ml L g mg kg min h hr hour day week month".split()
+METRIC = "micro micron liter liters mcg mcm mcl mmHg cc cm mL gram meter feet inch pound ounce mile yard".split()
+MEDICAL = "DSM COVID-19 ventilation perfusion V/Q VQ V-Q".split()
+NUMBERS = (
+    "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety"
+).split()
+ENDED = "-one -two -three -four -five -six -seven -eight -nine".split()
+BEGUN = "twenty- thirty- forty- fifty- sixty- seventy- eighty- ninety-".split()
+SPANS = "year years month months week weeks day days hour hours minute minutes second seconds".split()
+SPANS_SHORT = "y mo wk wks d h hr hrs min s sec".split()
+CHAPTERS = "chapter chapters chap section sect".split()
+CHAPTERS_SHORT = ["chap.", "ch.", "sec."]
+ABBREVIATIONS = [["e.g", "eg", "i.e", "ie", "vs", "etc", "et al"], ["Dr", "Drs", "Mr", "Mrs", "Ms", "Prof"], ["M.D", "MD", "M.A", "MA", "M.S", "MS", "Bsc", "MSc"], ["Blvd", "St", "Ste"]]
+LATIN = [
+    "in vitro", "in vivo", "in situ", "ex situ", "per se", "ad hoc", "de novo", "a priori", "de facto", "status quo", "a posteriori", "ad libitum", "ad lib",
+    "supra", "verbatim", "cf.", "ibid", "id.",
+]
+SUPERSCRIPTS = "Paco2 Pco2 Sao2 o2max Cao2 Spo2 Pvo2 o2 Fio2 PIO2 Vo2 Pao2 Pio2 PAo2 Po2".split()
+BLOOD_GAS = "Paco2 Pco2 Sao2 Spo2 Fio2 Pao2 Po2".split()
 GREEK_NAMES = "alpha beta gamma delta epsilon zeta theta eta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
-GREEK_SIGNS = "αβγδεζθηικλμνξοπρστυφχψωΑΒΓΔΕΖΘΗΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"
+GREEK_SIGNS = "αβγδεζηθικλμνξοπρσςτυφχψωΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩµ"
+COMPARED = ["less than", "greater than", "equal to", "approximately"]
+PERIODS = ["times", "century", "centuries", "decade", "fold"]
+
+
+def any_of(words: list[str]) -> str:
+    return "(?:" + "|".join(w.replace(".", r"\.") for w in words) + ")"
+
+
+def whole(words: list[str]) -> str:
+    return rf"\b{any_of(words)}\b"
+
+
 PATTERNS = [
-    ("units", rf"\b[0-9]+\sper\s(?:{UNIT_PER})\b"),
-    ("metric", r"micro|micron|liters?|mcg|mcm|mcl|mmHg|cc|cm|mL|gram|meter|feet|inch|pound|ounce|mile|yard"),
+    ("units", rf"\b[0-9]+\sper\s{any_of(UNIT_PER)}\b"),
+    ("metric", any_of(METRIC)),
     ("time_abbr", r"\b(?:a\.?m\.?|p\.?m\.?|a\.?d\.?|b\.?c\.?e?\.?|c\.?e\.?)\b"),
-    ("pressure", r"p\s[=><-]+\s[0-9]+(?:\.[0-9]+)?|p\s?[≤≥](?:\s\?\s\d+(?:\.\d+)?)?|p[=><]|[=><]p|p\s[=><]|p\s[-=><]\s\?\s\d+(?:\.\d+)?"),
-    ("medical", r"\b(?:DSM|COVID-19|ventilation|perfusion|V/Q|VQ|V-Q)\b"),
+    ("pressure", r"p\s[=><-]+\s[0-9]+(?:\.[0-9]+)?"),
+    ("pressure", r"p\s≤"),
+    ("pressure", r"p[=><]|[=><]p"),
+    ("pressure", r"p\s[=><]"),
+    ("pressure", r"p\s≤\s\?\s\d+(?:\.\d+)?"),
+    ("pressure", r"p≥\s\?\s\d+(?:\.\d+)?"),
+    ("pressure", r"p\s≥\s\?\s\d+(?:\.\d+)?"),
+    ("pressure", r"p\s[-=><]\s\?\s\d+(?:\.\d+)?"),
+    ("pressure", r"p\s[-=><]\s\?\s\d+"),
+    ("medical", whole(MEDICAL)),
     ("percent", r"percent|per cent|percentage|%"),
     ("numbers_1000", r"\b\d{4,}\b"),
     ("numbers_0_99", r"\b\d{1,2}\b"),
-    ("number_words", rf"\b(?:zero|{NUMBERS})\b"),
-    ("duration", rf"\b(?:\d+|{NUMBERS})[- ]?(?:{SPANS}|{SPANS_SHORT})\b"),
-    ("chapter", r"\b(?:chapters?|chap|section|sect)\b|\b(?:chap\.|ch\.|sec\.)"),
-    ("abbreviations", r"\b(?:e\.g|eg|i\.e|ie|vs|etc|et al)\b|\b(?:Drs?|Mrs?|Ms|Prof)\b|\b(?:M\.D|MD|M\.A|MA|M\.S|MS|Bsc|MSc)\b|\b(?:Blvd|St|Ste)\b"),
-    ("latin", r"\b(?:in vitro|in vivo|in situ|ex situ|per se|ad hoc|de novo|a priori|de facto|status quo|a posteriori|ad libitum|ad lib|supra|verbatim|cf\.|ibid|id\.)\b"),
-    ("superscript", r"\b(?:Paco2|Pco2|Sao2|o2max|Cao2|Spo2|Pvo2|o2|Fio2|PIO2|Vo2|Pao2|Po2)\b"),
-    ("greek", rf"\b(?:{'|'.join(GREEK_NAMES)})\b|[{GREEK_SIGNS}]"),
-    ("ranges", r"[0-9]+\.[0-9]+-[0-9]+\.[0-9]+|[0-9]+\s*[-–—]\s*[0-9]+|[0-9]+--[0-9]+|[0-9]+\s+to\s+[0-9]+"),
-    ("degrees", r"\b\d{1,3}[-\s]degree angle\b|\b\d{1,3}\s?° ?angle\b|\b\d+\s?°[FC]\b|°[FC]|\b\d{1,3}\s?°|\b\d+\sdegree\b"),
+    ("number_words", whole(["zero", *NUMBERS, *BEGUN, *ENDED])),
+    ("duration", rf"\b\d+[- ]?{any_of(SPANS)}\b"),
+    ("duration", rf"\b\d+[- ]?{any_of(SPANS_SHORT)}\b"),
+    ("duration", rf"\b{any_of(NUMBERS)}[- ]?{any_of(SPANS)}\b"),
+    ("duration", rf"\b{any_of(NUMBERS)}[- ]?{any_of(SPANS_SHORT)}\b"),
+    ("chapter", whole(CHAPTERS)),
+    ("chapter", rf"\b{any_of(CHAPTERS_SHORT)}"),
+    *[("abbreviations", whole(words)) for words in ABBREVIATIONS],
+    ("latin", whole(LATIN)),
+    ("superscript", whole(SUPERSCRIPTS)),
+    ("greek", whole(GREEK_NAMES)),
+    ("greek", f"[{GREEK_SIGNS}]"),
+    ("ranges", r"[0-9]+\.[0-9]+-[0-9]+\.[0-9]+"),
+    ("ranges", r"[0-9]+-[0-9]+"),
+    ("ranges", r"[0-9]+\s*-\s*[0-9]+"),
+    ("ranges", r"[0-9]+--[0-9]+"),
+    ("ranges", r"[0-9]+\s–\s[0-9]+"),
+    ("ranges", r"[0-9]+–[0-9]+"),
+    ("ranges", r"[0-9]+\s—\s[0-9]+"),
+    ("ranges", r"[0-9]+—[0-9]+"),
+    ("ranges", r"[0-9]+\s+to\s+[0-9]+"),
+    ("degrees", r"\b\d{1,3}-degree angle\b"),
+    ("degrees", r"\b\d{1,3}\sdegree angle\b"),
+    ("degrees", r"\b\d{1,3}\s?°\s?angle\b"),
+    ("degrees", r"\b\d{1,3}\s?°\b"),
+    ("degrees", r"\b\d+\s?°F\b"),
+    ("degrees", r"\b\d+\s?°C\b"),
+    ("degrees", r"°F"),
+    ("degrees", r"°C"),
+    ("degrees", r"\b\d+\sdegree\b"),
     ("xray", r"\bx-?ray\b"),
-    ("blood_gas", r"\b(?:Paco2|Pco2|Sao2|Spo2|Fio2|Pao2|Po2)\b"),
+    ("blood_gas", whole(BLOOD_GAS)),
     ("trademark", r"[™®©]"),
     ("versus", r"\b(?:vs\.?|versus|v\.?)\b"),
     ("special", r"[§¶†‡]"),
     ("figure_table", r"\b(?:Figure|Table)\s*\d+"),
 ]
 SIGNS = [
-    ("comparison", r"[<>=≥≤≈]|\b(?:less than|greater than|equal to|approximately)\b"),
+    ("comparison", r"[<>=≥≤≈]"),
+    *[("comparison", whole([w])) for w in COMPARED],
     ("math", r"[-+×÷]"),
-    ("time_period", r"\b(?:times|century|centuries|decade|fold)\b|\b\d+-fold\b"),
+    *[("time_period", whole([w])) for w in PERIODS],
+    ("time_period", r"\b\d+-fold\b"),
 ]
+
+#: What a match of a pattern holds or begins near, found in one search: digits with what may tie them to the next ones, signs, words.
+DIGITS = r"\d+(?:\s*[-–—]+\s*|\s+to\s+)?"
+TRIGGERS = onepass.Triggers(
+    words=(
+        *MEDICAL, "zero", *NUMBERS, *CHAPTERS, *CHAPTERS_SHORT, *[w for words in ABBREVIATIONS for w in words], *LATIN, *SUPERSCRIPTS, *GREEK_NAMES,
+        "am", "a.m", "pm", "p.m", "ad", "a.d", "bc", "b.c", "ce", "c.e", "xray", "x-ray", "vs", "versus", "v",
+        *[n + s for n in NUMBERS for s in (*SPANS, *SPANS_SHORT)],
+    ),
+    inside=(*METRIC, "percent", "per cent"),
+    shapes=(DIGITS, f"[=><≤≥%°™®©§¶†‡{GREEK_SIGNS}]"),
+    forms=(r"(?=[FfTt])\b(?i:figure|table)\s*(?=\d)",),
+)
+SIGN_TRIGGERS = onepass.Triggers(words=(*COMPARED, *PERIODS), shapes=(r"\d+-fold", r"[-<>=≥≤≈+×÷]"))
 SCRIPTS = [
     ("Chinese", "一", "鿿", "cyan"), ("Greek", "Ͱ", "Ͽ", "cyan"), ("Cyrillic", "Ѐ", "ӿ", "magenta"), ("Hebrew", "֐", "׿", "green"),
     ("Arabic", "؀", "ۿ", "blue"), ("Arabic", "ݐ", "ݿ", "blue"), ("Devanagari", "ऀ", "ॿ", "red"),
@@ -66,14 +142,10 @@ def word_colour(name: Column) -> Column:
     return F.when(name == "nohighlight", F.lit(None).cast("string")).otherwise(F.coalesce(F.try_element_at(names, name), F.lit("yellow")))
 
 
-def ignoring_case(pattern: str) -> Column:
-    return F.lit(f"(?i){pattern}")
-
-
-def group_counts(docs: DataFrame, patterns: list[tuple[str, str]]) -> DataFrame:
-    """(pattern_group, n): matches of each group over all documents, one projection, summed before the shuffle."""
-    each = F.array(*[F.struct(F.lit(k).alias("pattern_group"), F.regexp_count("text", ignoring_case(p)).alias("n")) for k, p in patterns])
-    return docs.select(F.explode(each).alias("x")).where("x.n > 0").groupBy("x.pattern_group").agg(F.sum("x.n").cast("long").alias("n"))
+def group_counts(docs: DataFrame, patterns: list[tuple[str, str]], triggers: onepass.Triggers) -> DataFrame:
+    """(pattern_group, n): matches of each group's patterns over all documents, summed before the shuffle."""
+    places = onepass.pattern_places(docs, [], "text", patterns, triggers)
+    return places.groupBy("pattern_group").agg(F.count("*").alias("n"))
 
 
 def not_skipped(paras: DataFrame) -> DataFrame:
@@ -81,16 +153,27 @@ def not_skipped(paras: DataFrame) -> DataFrame:
     return paras.where(F.col("style").isNull() | ~F.col("style").isin(SKIPPED_STYLES))
 
 
-def highlights(paras: DataFrame) -> DataFrame:
-    """(doc_id, para_no, colour, groups): what is marked in each paragraph and why; text without matches gives no row.
+def marked_places(paras: DataFrame) -> DataFrame:
+    """(doc_id, para_no, colour, why, start, end): every place that is marked and what for, in code points of the paragraph from 0.
 
     Terms and signs are cyan where the paragraph's style is not a reference's; scripts have their own colours everywhere.
     """
-    plain = F.col("style").isNull() | ~F.col("style").isin(SKIPPED_STYLES)
-    terms = [F.when(plain & F.rlike("text", ignoring_case(p)), F.struct(F.lit("cyan").alias("colour"), F.lit(k).alias("why"))) for k, p in PATTERNS + SIGNS]
-    scripts = [F.when(F.col("text").rlike(f"[{a}-{z}]"), F.struct(F.lit(c).alias("colour"), F.lit(k).alias("why"))) for k, a, z, c in SCRIPTS]
-    found = paras.select("doc_id", "para_no", F.explode(F.array_compact(F.array(*terms, *scripts))).alias("x"))
-    return found.groupBy("doc_id", "para_no", "x.colour").agg(F.array_join(F.sort_array(F.collect_set("x.why")), ",").alias("groups"))
+    keys, plain = ["doc_id", "para_no"], not_skipped(paras)
+    terms = onepass.pattern_places(plain, keys, "text", PATTERNS, TRIGGERS).unionByName(onepass.pattern_places(plain, keys, "text", SIGNS, SIGN_TRIGGERS))
+    ranges = "".join(f"{a}-{z}" for _, a, z, _ in SCRIPTS)
+    scripts = onepass.pattern_places(paras, keys, "text", [(f"{k} {c}", f"[{a}-{z}]+") for k, a, z, c in SCRIPTS], onepass.Triggers(shapes=(f"[{ranges}]+",), gated=False))
+    colour, why = F.split_part("pattern_group", F.lit(" "), F.lit(2)), F.split_part("pattern_group", F.lit(" "), F.lit(1))
+    return terms.select(*keys, F.lit("cyan").alias("colour"), F.col("pattern_group").alias("why"), "start", "end").unionByName(scripts.select(*keys, colour.alias("colour"), why.alias("why"), "start", "end"))
+
+
+def highlights(paras: DataFrame) -> DataFrame:
+    """(doc_id, para_no, colour, groups): what is marked in each paragraph and why; text without matches gives no row."""
+    return marked_places(paras).groupBy("doc_id", "para_no", "colour").agg(F.array_join(F.sort_array(F.collect_set("why")), ",").alias("groups"))
+
+
+def highlight_spans(paras: DataFrame) -> DataFrame:
+    """(doc_id, para_no, colour, start, end): the marked places, overlapping ones of a colour joined."""
+    return T.merged_spans(marked_places(paras), ["doc_id", "para_no", "colour"])
 
 
 def instructions(paras: DataFrame) -> DataFrame:

@@ -95,7 +95,7 @@ SENTS = PARAS + ", sents AS (SELECT doc_id, para_no, unnest(range(len(regexp_ext
 
 QUERIES = {
     "src03_paragraphs": lambda s, d: paras(s, d).select("doc_id", "para_no", F.btrim("text", F.lit(" \t\r")).alias("text")).where("text <> ''"),
-    "src10_lexicon_last_wins": lambda s, d: lexicon.load(lexicon_terms(s, d)),
+    "src10_lexicon_last_wins": lambda s, d: lexicon.load(lexicon_terms(s, d)).select("term", "category"),
     "src17_html_length": lambda s, d: table(s, d, "pages").select("page_id", long(F.length(T.without_images(F.col("html")))).alias("n")),
     "fn07_collapse_space": lambda s, d: docs(s, d).select("doc_id", F.md5(T.collapse_space(F.col("text")).cast("binary")).alias("h")),
     "fn16_head": lambda s, d: docs(s, d).select("doc_id", F.when(F.length("text") > 100, F.concat(F.substring("text", 1, 100), F.lit("..."))).otherwise(F.col("text")).alias("head")),

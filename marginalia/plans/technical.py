@@ -12,7 +12,7 @@ from marginalia.functions import bookxml as B
 from marginalia.functions import credits as C
 from marginalia.functions import numbers as N
 from marginalia.functions import text as T
-from marginalia.operators import captions, dashboard, lexicon, reports, store
+from marginalia.operators import captions, dashboard, lexicon, reports, segments, store
 from marginalia.operators import highlighting as H
 from marginalia.plans import manuscript as M
 from marginalia.plans.sqlquery import run_sql, twin
@@ -30,7 +30,7 @@ CREDITED = f"""SELECT para_no AS id, CASE k
   WHEN 5 THEN concat('Illustration by ', a) ELSE concat('Plain text of ', p_name) END AS text, p_name FROM ({PARTS})"""
 
 MARKED = f"""SELECT doc_id, para_no, CASE WHEN p_brand LIKE '%1' THEN 'REF-N' ELSE 'Normal' END AS style, CASE k
-  WHEN 0 THEN 'took five per day of it' WHEN 1 THEN concat('in ', y) WHEN 2 THEN 'dose alpha versus none' WHEN 3 THEN 'see § and 5 ° here'
+  WHEN 0 THEN 'took five per day of it' WHEN 1 THEN concat('in ', y) WHEN 2 THEN 'dose alpha versus none' WHEN 3 THEN 'see § and 5 °F here'
   WHEN 4 THEN 'a century of Жизнь' WHEN 5 THEN 'no mark at all' ELSE 'x < z in vitro' END AS text FROM ({PARTS})"""
 
 ITALIC = f"""SELECT para_no AS id, run_no, r.italic, r.text FROM ({PARTS}) LATERAL VIEW posexplode(array(
@@ -155,6 +155,22 @@ def colours(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), H.word_colour(name).alias("colour"))
 
 
+#: Paragraphs of documents as runs of 23 characters, and spans in them that overlap, touch, lie in each other and beyond the end.
+CUT_RUNS = "SELECT doc_id, para_no, run_no, substring(text, cast(run_no * 23 + 1 AS int), 23) AS text FROM {paras} LATERAL VIEW explode(sequence(0L, greatest(length(text) - 1, 0) div 23)) t AS run_no"
+CUT_SPANS = """SELECT doc_id, para_no, k * 31 % (length(text) + 5) AS start, k * 31 % (length(text) + 5) + (doc_id + para_no * k) % 40 - 2 AS end,
+  element_at(array('cyan', 'yellow', 'green', 'cyan'), cast((doc_id + k) % 4 + 1 AS int)) AS colour FROM {paras} LATERAL VIEW explode(sequence(0L, 5L)) t AS k"""
+
+
+def cut_runs(spark: SparkSession, d: str) -> DataFrame:
+    paras = M.paras(spark, d)
+    return segments.coloured(*(spark.sql(q, paras=paras) for q in (CUT_RUNS, CUT_SPANS)))
+
+
+def pattern_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Where the patterns of each group stand in documents, overlapping places of a group joined."""
+    return T.merged_spans(H.onepass.pattern_places(M.docs(spark, d), ["doc_id"], "text", H.PATTERNS, H.TRIGGERS), ["doc_id", "pattern_group"])
+
+
 NOTED = f"""SELECT doc_id, para_no, CASE k WHEN 0 THEN concat('as ', a, ' [1-3, 5] and (7) has') WHEN 1 THEN concat('see ^2^, (', a, ') and [x]') WHEN 2 THEN '[9, 8, 7]' ELSE concat('no mark (', b, ' 2000) ^') END AS text FROM ({PARTS})"""
 
 
@@ -184,8 +200,10 @@ ASCII_WORDS = "regexp_replace(text, '[ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔ
 QUERIES = {
     "fn64_set08_credits": lambda s, d: credited(s, d).select("id", "credit"),
     "fn65_needs_permission": lambda s, d: credited(s, d).select("id", C.needs_permission(F.col("p_name"), F.col("credit")).alias("needs")),
-    "fn74_pattern_counts": lambda s, d: H.group_counts(M.docs(s, d), H.PATTERNS),
-    "fn75_sign_counts": lambda s, d: H.group_counts(M.docs(s, d), H.SIGNS),
+    "fn74_pattern_counts": lambda s, d: H.group_counts(M.docs(s, d), H.PATTERNS, H.TRIGGERS),
+    "fn74_pattern_spans": pattern_spans,
+    "snk10_coloured_segments": cut_runs,
+    "fn75_sign_counts": lambda s, d: H.group_counts(M.docs(s, d), H.SIGNS, H.SIGN_TRIGGERS),
     "fn76_italic_segments": lambda s, d: H.italic_segments(run_sql(s, d, ITALIC), ["id"]).select("id", *[F.col(c).cast("long").alias(c) for c in ("run_no", "part_no")], "text", "colour"),
     "prj11_plain_paragraphs": lambda s, d: H.not_skipped(run_sql(s, d, MARKED)).select("doc_id", "para_no"),
     "prj14_free_runs": lambda s, d: H.free_runs(run_sql(s, d, PLAIN_RUNS), run_sql(s, d, MARKS), ["id"]).select("id", F.col("run_no").cast("long").alias("run_no")),
@@ -238,6 +256,21 @@ ORACLES = {
 WHEN 3 THEN 'with permission. https://doi.org/10.1/' || z WHEN 4 THEN 'Photo credit: ' || a || ' courtesy of ' || b WHEN 5 THEN 'Illustration by ' || a END AS credit FROM ({P})""",
     "fn65_needs_permission": f"SELECT para_no AS id, CASE WHEN k IN (0, 1, 3, 4) THEN 'YES' ELSE 'NO' END AS needs FROM ({P})",
     "fn74_pattern_counts": f"WITH {values(H.PATTERNS)} {COUNTED}",
+    "fn74_pattern_spans": f"""WITH {values(H.PATTERNS)}, t AS (SELECT doc_id, {ASCII_WORDS} AS text FROM documents),
+m AS (SELECT doc_id, pattern_group, regexp_extract_all(text, '(?i)' || pattern) AS hits, string_split_regex(text, '(?i)' || pattern) AS gaps FROM t, p WHERE regexp_matches(text, '(?i)' || pattern)),
+c AS (SELECT *, list_transform(hits, lambda h: length(h)) AS hn, list_transform(gaps, lambda g: length(g)) AS gn FROM m),
+s AS (SELECT doc_id, pattern_group, unnest(list_transform(range(len(hits)), lambda i: {{'a': list_sum(gn[1:i + 1]) + coalesce(list_sum(hn[1:i]), 0), 'n': hn[i + 1]}})) AS x FROM c),
+o AS (SELECT DISTINCT doc_id, pattern_group, x.a::BIGINT AS start, (x.a + x.n)::BIGINT AS "end" FROM s),
+r AS (SELECT *, max("end") OVER (PARTITION BY doc_id, pattern_group ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM o),
+i AS (SELECT *, sum((reach IS NULL OR start >= reach)::INT) OVER (PARTITION BY doc_id, pattern_group ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM r)
+SELECT doc_id, pattern_group, min(start) AS start, max("end") AS "end" FROM i GROUP BY doc_id, pattern_group, island""",
+    "snk10_coloured_segments": f"""WITH {M.PARAS}, ch AS (SELECT doc_id, para_no, unnest(range(length(text))) AS i, text FROM paras),
+sp AS (SELECT doc_id, para_no, k * 31 % (length(text) + 5) AS a, k * 31 % (length(text) + 5) + (doc_id + para_no * k) % 40 - 2 AS z, (['cyan', 'yellow', 'green', 'cyan'])[(doc_id + k) % 4 + 1] AS colour FROM paras, range(6) t(k)),
+co AS (SELECT ch.doc_id, ch.para_no, ch.i, max(CASE colour WHEN 'yellow' THEN 3 WHEN 'cyan' THEN 2 WHEN 'green' THEN 1 END) AS top FROM ch JOIN sp ON sp.doc_id = ch.doc_id AND sp.para_no = ch.para_no AND ch.i >= a AND ch.i < z GROUP BY ALL),
+f AS (SELECT ch.doc_id, ch.para_no, ch.i, ch.i // 23 AS run_no, substr(ch.text, ch.i + 1, 1) AS c, top FROM ch LEFT JOIN co USING (doc_id, para_no, i)),
+g AS (SELECT *, coalesce((lag(coalesce(top, 0)) OVER w <> coalesce(top, 0))::INT, 0) AS new FROM f WINDOW w AS (PARTITION BY doc_id, para_no, run_no ORDER BY i)),
+n AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, para_no, run_no ORDER BY i)::BIGINT AS seg_no FROM g)
+SELECT doc_id, para_no, run_no, seg_no, string_agg(c, '' ORDER BY i) AS text, any_value((['green', 'cyan', 'yellow'])[top]) AS colour FROM n GROUP BY doc_id, para_no, run_no, seg_no""",
     "fn75_sign_counts": f"WITH {values(H.SIGNS)} {COUNTED}",
     "fn76_italic_segments": f"""WITH p AS ({P}) SELECT para_no AS id, 0 AS run_no, unnest(range(4)) AS part_no, unnest([a, ',', ' ' || b, '.']) AS text, unnest([NULL, 'cyan', NULL, 'cyan']) AS colour FROM p
 UNION ALL SELECT para_no, 2, unnest(range(3)), unnest([c, ':', y]), unnest([NULL, 'cyan', NULL]) FROM p WHERE k >= 3""",
