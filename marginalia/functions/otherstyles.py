@@ -28,7 +28,7 @@ def _bare(content: Column) -> Column:
 
 def _cites(content: Column) -> Column:
     """Whether it may be a citation: no page, no month."""
-    return ~content.rlike(PAGE_MENTION) & ~content.rlike(A.MONTH)
+    return ~content.rlike(PAGE_MENTION) & ~content.rlike(f"(?i)(?:{A.MONTHS})")
 
 
 def vancouver_in_text(paras: DataFrame) -> DataFrame:

@@ -34,6 +34,12 @@ def spread(rows: DataFrame, keep: list[str], array: Column, name: str) -> DataFr
     return rows.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
 
 
+def settled(rows: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """`keep` and `columns`, each worked out once for a row: Catalyst moves no filter on them below this, where it would repeat them."""
+    made = F.explode_outer(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return rows.select(*keep, made.alias("_made")).select(*keep, "_made.*")
+
+
 def starts_of(lengths: Column) -> Column:
     """The sum of the lengths before each one. Sums go by blocks, so time grows with the number of lengths, not with its square."""
     none = F.array().cast("array<bigint>")
