@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import credits as C
 from marginalia.functions import text as T
+from marginalia.functions.numbers import each_number
 
 # Labels of captioned items.
 LABEL = r"(?i)(?:\b)(Figure|Fig\.?|Table|Tab\.?|Box|Exhibit|Appendix|Case\s+Study)\.?\s*([0-9]+(?:[.\-][0-9]+)*)([A-Za-z]?)\b"
@@ -15,8 +16,6 @@ LABELS = r"(?i)\b(Figures?|Figs?\.?|Tables?|Tabs?\.?|Box(?:es)?|Exhibits?|Append
 RANGE = LABELS + r"([0-9]+\.[0-9]+)\s*(?:to|through|-)\s*([0-9]+\.[0-9]+)\b"
 PAIR = LABELS + r"([0-9]+(?:[.\-][0-9]+)*[A-Za-z]?)\s+(?:and|&)\s*([0-9]+(?:[.\-][0-9]+)*[A-Za-z]?)\b"
 CAPTION = r"(?i)^(figure|fig\.|table|tab\.|box|exhibit|appendix|case study)"
-#: Items that a range spells out at most; a wider one gives its ends.
-MOST_ITEMS = 1000
 
 
 def plain_dashes(text: Column) -> Column:
@@ -38,21 +37,26 @@ def items(paras: DataFrame) -> DataFrame:
     """
     text = plain_dashes(F.col("text"))
     dotted = lambda c: F.replace(c, F.lit("-"), F.lit("."))
-    of = lambda label, numbers: F.transform(numbers, lambda n: F.struct(item_type(label).alias("item_type"), n.alias("item_no")))
+    none = F.lit(None).cast("int")
+    named = lambda label, no: F.struct(item_type(label).alias("item_type"), no.alias("item_no"), none.alias("low"), none.alias("high"))
     part = lambda c, k: F.split_part(c, F.lit("."), F.lit(k)).try_cast("int")
 
-    def spread(m):
-        a, z = F.regexp_extract(m, RANGE, 2), F.regexp_extract(m, RANGE, 3)
-        spelled = (part(a, 1) == part(z, 1)) & (part(a, 2) <= part(z, 2)) & (part(z, 2).cast("long") - part(a, 2) < MOST_ITEMS)
-        inner = F.transform(F.sequence(part(a, 2), F.when(spelled, part(z, 2)).otherwise(part(a, 2))), lambda n: F.concat_ws(".", part(a, 1), n))
-        return of(F.regexp_extract(m, RANGE, 1), F.when(spelled, inner).otherwise(F.array(a, z)))
+    def span(m):
+        label, a, z = (F.regexp_extract(m, RANGE, k) for k in (1, 2, 3))
+        inner = F.struct(item_type(label).alias("item_type"), part(a, 1).cast("string").alias("item_no"), part(a, 2).alias("low"), part(z, 2).alias("high"))
+        return F.when((part(a, 1) == part(z, 1)) & (part(a, 2) <= part(z, 2)), F.array(inner)).otherwise(F.array(named(label, a), named(label, z)))
 
-    both = lambda m: of(F.regexp_extract(m, PAIR, 1), F.array(dotted(F.regexp_extract(m, PAIR, 2)), dotted(F.regexp_extract(m, PAIR, 3))))
-    one = lambda m: of(F.regexp_extract(m, LABEL, 1), F.array(dotted(F.concat(F.regexp_extract(m, LABEL, 2), F.regexp_extract(m, LABEL, 3)))))
+    both = lambda m: F.array(*[named(F.regexp_extract(m, PAIR, 1), dotted(F.regexp_extract(m, PAIR, k))) for k in (2, 3)])
+    one = lambda m: F.array(named(F.regexp_extract(m, LABEL, 1), dotted(F.concat(F.regexp_extract(m, LABEL, 2), F.regexp_extract(m, LABEL, 3)))))
     every = lambda c, p, f: F.flatten(F.transform(F.regexp_extract_all(c, F.lit(p), F.lit(0)), f))
     no_range = F.regexp_replace(text, RANGE, " ; ")
-    found = F.concat(every(text, RANGE, spread), every(no_range, PAIR, both), every(F.regexp_replace(no_range, PAIR, " ; "), LABEL, one))
-    return paras.select("doc_id", "para_no", text.rlike(CAPTION).alias("is_caption"), F.explode(found).alias("m")).select("doc_id", "para_no", "m.item_type", "m.item_no", "is_caption")
+    found = F.concat(every(text, RANGE, span), every(no_range, PAIR, both), every(F.regexp_replace(no_range, PAIR, " ; "), LABEL, one))
+    rows = T.spread(paras.select("doc_id", "para_no", text.rlike(CAPTION).alias("is_caption"), found.alias("found")), ["doc_id", "para_no", "is_caption"], F.col("found"), "m")
+    rows = rows.select("doc_id", "para_no", "is_caption", "m.*")
+    # A range within a chapter is spelled out as rows, however wide; what is no range stands for itself.
+    numbered = each_number(rows.withColumns({"low": F.coalesce("low", F.lit(0)), "high": F.coalesce("high", F.lit(0)), "whole": F.col("low").isNull()}), "low", "high", "n")
+    number = F.when(F.col("whole"), F.col("item_no")).otherwise(F.concat_ws(".", "item_no", "n"))
+    return numbered.select("doc_id", "para_no", "item_type", number.alias("item_no"), "is_caption")
 
 
 def with_sources(paras: DataFrame, found: Column, stops: Column, most: int = 4) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from marginalia.functions.numbers import BRACKETED, CARET, LEADING_NUMBER, NUMERIC_RUN, format_numbers, get_numbers
+from marginalia.functions.numbers import BRACKETED, CARET, LEADING_NUMBER, NUMERIC_RUN, format_numbers, id_rows
 from marginalia.plans.sqlquery import run_sql
 from marginalia.sources.tables import table
 
@@ -93,7 +93,7 @@ NUMBER_TEXT = "SELECT p_partkey AS id, concat(cast(p_size AS string), '-', cast(
 
 def parsed_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = run_sql(spark, sf_dir, NUMBER_TEXT)
-    return rows.select("id", F.posexplode(get_numbers(F.col("text"))).alias("seq", "n")).select("id", F.col("seq").cast("long").alias("seq"), F.col("n").cast("long").alias("n"))
+    return id_rows(rows, ["id"], "text")
 
 
 def citation_marks(spark: SparkSession, sf_dir: str) -> DataFrame:

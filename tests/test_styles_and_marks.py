@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.functions import bookxml, credits, otherstyles
-from marginalia.functions.numbers import MOST_IDS, get_numbers
+from marginalia.functions.numbers import get_numbers, id_rows, number_ranges
 from marginalia.functions.text import hex_entities
 from marginalia.operators import captions, dashboard, flow, highlighting, reports, store, structuring
 from marginalia.sources.docx import read_docx_comments, read_docx_marks, read_docx_media
@@ -18,17 +18,25 @@ def ask(spark, value, expression, kind="string"):
     return spark.createDataFrame([(value,)], f"t {kind}").select(expression.alias("x")).first()["x"]
 
 
-@pytest.mark.parametrize(("shown", "ids"), [("99999999999", []), ("1-2000000000", [1, 2000000000]), ("7, 99999999999-3", [7]), ("5-2", []), (f"1-{MOST_IDS}", list(range(1, MOST_IDS + 1)))])
-def test_numbers_beyond_bounds(spark, shown, ids):
+@pytest.mark.parametrize(("shown", "ids"), [("99999999999", []), ("7, 99999999999-3", [7]), ("5-2", []), ("1-20000", list(range(1, 20001))), (None, None)])
+def test_numbers_of_any_width(spark, shown, ids):
     assert ask(spark, shown, get_numbers(F.col("t"))) == ids
 
 
-def test_wide_caption_ranges_give_their_ends(spark):
-    rows = spark.createDataFrame([(1, 1, "Figures 1.1-1.2000000"), (1, 2, "Figures 1.1-99999999999.2"), (1, 3, "Figure 2.1-2.3")], "doc_id long, para_no long, text string")
+def test_wide_ranges_are_rows(spark):
+    assert [tuple(r) for r in ask(spark, "1-2000000000, 4", number_ranges(F.col("t")))] == [(1, 2000000000), (4, 4)]
+    rows = spark.createDataFrame([(1, "3, 1-70000, 9"), (2, None), (3, "x")], "id long, t string")
+    got = id_rows(rows, ["id"], "t").orderBy("seq").collect()
+    assert [(r.seq, r.n) for r in got] == list(enumerate([3, *range(1, 70001), 9])) and {r.id for r in got} == {1}
+    assert id_rows(spark.createDataFrame([(1, "1-30000000")], "id long, t string"), ["id"], "t").count() == 30_000_000
+
+
+def test_wide_caption_ranges_name_all_items(spark):
+    rows = spark.createDataFrame([(1, 1, "Figures 1.1-1.200000"), (1, 2, "Figures 1.1-99999999999.2"), (1, 3, "Figure 2.1-2.3"), (1, 4, None)], "doc_id long, para_no long, text string")
     got = {}
     for r in captions.items(rows).collect():
         got.setdefault(r["para_no"], set()).add(r["item_no"])
-    assert got == {1: {"1.1", "1.2000000"}, 2: {"1.1", "99999999999.2"}, 3: {"2.1", "2.2", "2.3"}}
+    assert got == {1: {f"1.{n}" for n in range(1, 200_001)}, 2: {"1.1", "99999999999.2"}, 3: {"2.1", "2.2", "2.3"}}
 
 
 def test_unknown_styles(spark):
