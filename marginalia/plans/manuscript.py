@@ -10,6 +10,7 @@ from marginalia.functions import text as T
 from marginalia.operators import captions, lexicon
 from marginalia.plans.sqlquery import run_sql
 from marginalia.sources.tables import table
+from marginalia.sources.texts import decoded
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
@@ -96,6 +97,7 @@ SENTS = PARAS + ", sents AS (SELECT doc_id, para_no, unnest(range(len(regexp_ext
 QUERIES = {
     "src03_paragraphs": lambda s, d: paras(s, d).select("doc_id", "para_no", F.btrim("text", F.lit(" \t\r")).alias("text")).where("text <> ''"),
     "src10_lexicon_last_wins": lambda s, d: lexicon.load(lexicon_terms(s, d)).select("term", "category"),
+    "src17_src18_charsets": lambda s, d: charset_pages(s, d),
     "src17_html_length": lambda s, d: table(s, d, "pages").select("page_id", long(F.length(T.without_images(F.col("html")))).alias("n")),
     "fn07_collapse_space": lambda s, d: docs(s, d).select("doc_id", F.md5(T.collapse_space(F.col("text")).cast("binary")).alias("h")),
     "fn16_head": lambda s, d: docs(s, d).select("doc_id", F.when(F.length("text") > 100, F.concat(F.substring("text", 1, 100), F.lit("..."))).otherwise(F.col("text")).alias("head")),
@@ -128,6 +130,18 @@ QUERIES = {
 }
 
 
+CHARSET_BYTES = [("windows-1252", "93e9942080", "“é” €"), ("windows-1251", "cff0e8e2e5f2", "Привет"), ("windows-1250", "9ae8f8", "ščř"), ("koi8-r", "f0d2c9d7c5d4", "Привет"), ("iso-8859-1", "e920a3", "é £"), ("utf-8", "c3a9e282ac", "é€")]
+
+
+def charset_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages whose titles are bytes of several character sets, each declared in the page."""
+    cases = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(h).alias("hex")) for n, h, _ in CHARSET_BYTES])
+    case = F.element_at(cases, (F.col("page_id") % len(CHARSET_BYTES) + 1).cast("int"))
+    head = F.encode(F.concat(F.lit('<html><meta charset="'), case["name"], F.lit('"><title>')), "US-ASCII")
+    content = F.concat(head, F.unhex(case["hex"]), F.encode(F.concat(F.lit("</title>"), F.regexp_replace("url", "[^ -~]", "")), "US-ASCII"))
+    return table(spark, d, "pages").select("page_id", decoded(content).alias("html"))
+
+
 def citation_runs(p: DataFrame) -> DataFrame:
     """Neighbouring paragraphs of a kind joined into runs."""
     w = W.partitionBy("doc_id").orderBy("para_no")
@@ -147,6 +161,8 @@ def overlaps(spark: SparkSession, d: str) -> DataFrame:
 ORACLES = {
     "src03_paragraphs": f"WITH {PARAS} SELECT doc_id, para_no, trim(text, ' ' || chr(9) || chr(13)) AS text FROM paras WHERE trim(text, ' ' || chr(9) || chr(13)) <> ''",
     "src10_lexicon_last_wins": "SELECT * FROM (VALUES ('stupid', 'again'), ('Thin', 'body'), ('lying', 'act'), ('The', 'words'), ('for the', 'words'), ('THE', 'upper')) t(term, category)",
+    "src17_src18_charsets": f"""SELECT page_id, '<html><meta charset="' || ({[n for n, *_ in CHARSET_BYTES]!r})[page_id % {len(CHARSET_BYTES)} + 1] || '"><title>' || ({[t for *_, t in CHARSET_BYTES]!r})[page_id % {len(CHARSET_BYTES)} + 1]
+|| '</title>' || regexp_replace(url, '[^ -~]', '', 'g') AS html FROM pages""",
     "src17_html_length": r"SELECT page_id, length(regexp_replace(regexp_replace(html, '<img[^>]*>', '', 'gi'), 'url\(data:[^)]*\)', '', 'g')) AS n FROM pages",
     "fn07_collapse_space": r"SELECT doc_id, md5(trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g'))) AS h FROM documents",
     "fn16_head": "SELECT doc_id, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS head FROM documents",

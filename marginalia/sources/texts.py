@@ -6,7 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Character sets by the names pages give them, and what Spark calls them.
-CHARSETS = {"utf-8": "UTF-8", "utf8": "UTF-8", "iso-8859-1": "ISO-8859-1", "latin1": "ISO-8859-1", "windows-1252": "ISO-8859-1", "us-ascii": "US-ASCII", "utf-16": "UTF-16", "utf-16le": "UTF-16LE", "utf-16be": "UTF-16BE"}
+CHARSETS = {"utf-8": "UTF-8", "utf8": "UTF-8", "iso-8859-1": "ISO-8859-1", "latin1": "ISO-8859-1", "us-ascii": "US-ASCII", "utf-16": "UTF-16", "utf-16le": "UTF-16LE", "utf-16be": "UTF-16BE"}
+#: Sets of one byte a character that Spark doesn't decode, by the names that Python's tables have for them.
+ONE_BYTE = {
+    "windows-1250": "cp1250", "cp1250": "cp1250", "windows-1251": "cp1251", "cp1251": "cp1251", "windows-1252": "cp1252", "cp1252": "cp1252", "x-ansi": "cp1252",
+    "windows-1253": "cp1253", "windows-1254": "cp1254", "windows-1257": "cp1257", "iso-8859-2": "iso8859-2", "latin2": "iso8859-2", "iso-8859-5": "iso8859-5",
+    "iso-8859-7": "iso8859-7", "iso-8859-9": "iso8859-9", "iso-8859-15": "iso8859-15", "koi8-r": "koi8-r",
+}
 DECLARED = r"(?i)<meta[^>]*charset\s*=\s*[\"']?\s*([A-Za-z0-9_-]+)"
 
 
@@ -29,6 +35,14 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("j.key", "j.value").where("key IS NOT NULL")
 
 
+def from_bytes(latin: Column, codec: str) -> Column:
+    """A text read as Latin-1 in which every byte above 127 becomes what it means in `codec`; bytes without a meaning become U+FFFD."""
+    high = range(128, 256)
+    meant = bytes(high).decode(codec, errors="replace")
+    changed = [(chr(b), m) for b, m in zip(high, meant, strict=True) if chr(b) != m]
+    return F.translate(latin, "".join(a for a, _ in changed), "".join(m for _, m in changed))
+
+
 def decoded(content: Column) -> Column:
     """The text of a page's bytes: by its byte-order mark, else the set it declares, else as UTF-8 if it is that, else Latin-1."""
     latin = F.decode(content, "ISO-8859-1")
@@ -37,6 +51,8 @@ def decoded(content: Column) -> Column:
     for name, charset in CHARSETS.items():
         if charset not in ("UTF-8",):
             out = F.when(said == name, F.decode(content, charset)).otherwise(out)
+    for name, codec in ONE_BYTE.items():
+        out = F.when(said == name, from_bytes(latin, codec)).otherwise(out)
     hex_head = F.hex(F.substring(content, 1, 3))
     out = F.when(hex_head.startswith("FFFE") | hex_head.startswith("FEFF"), F.decode(content, "UTF-16")).otherwise(out)
     return F.regexp_replace(out, "^﻿", "")

@@ -30,3 +30,14 @@ def test_pages_in_many_character_sets(spark, tmp_path):
         (tmp_path / name).write_bytes(content)
     got = {r["path"].rsplit("/", 1)[1]: r["html"] for r in read_html(spark, f"file://{tmp_path}").collect()}
     assert got.keys() == files.keys() - {"no.txt"} and all(h.endswith(text) for h in got.values())
+
+
+def test_sets_of_one_byte_a_character(spark):
+    from marginalia.sources import texts
+
+    every = bytes(range(128, 256))
+    rows = spark.createDataFrame([(n, f'<meta charset="{n}">'.encode() + every) for n in texts.ONE_BYTE] + [("none", None)], "name string, content binary")
+    got = {r.name: r.html for r in rows.select("name", texts.decoded(rows.content).alias("html")).collect()}
+    for name, codec in texts.ONE_BYTE.items():
+        assert got[name] == f'<meta charset="{name}">' + every.decode(codec, errors="replace")
+    assert got["none"] is None
