@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import row_key, unused
+from .common import row_key, unused, written
 
 ONE_BLANK = bytes(32 if 9 <= i <= 13 else i for i in range(256))  # texts that are only wrapped anew stay alike
 GAP = 32  # zero bytes between texts, which clear the rolling hash
@@ -86,7 +86,7 @@ def repeated_spans(docs: DataFrame, span: int = 64, **sizes: int) -> DataFrame:
     Digests are summed before they are shuffled, so a hot chunk is one row a task; the join back to the
     chunks has one row for each repeated digest, and AQE splits its hot side.
     """
-    each = chunks(docs, **sizes)
+    each = written(chunks(docs, **sizes), "chunks")  # numbered and hashed once: rows keep their numbers in both passes over them
     place = F.struct(F.col("doc_id").alias("first_doc_id"), F.col("row").alias("first_row"), F.col("start").alias("first_start"))
     dup = each.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("d1", "d2", "first.*")
     hit = each.join(dup, ["d1", "d2"]).where("row <> first_row OR start <> first_start")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,16 +31,36 @@ def shared_dir(spark: SparkSession) -> str:
 
 def work_path(spark: SparkSession, tag: str) -> str:
     """A new path in the session's own part of the shared folder, which clear() empties."""
-    return f"{shared_dir(spark)}/marginalia-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    return f"{_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+#: Names of the parts of the session's folder that are written to, innermost last.
+_parts: list[str] = []
+
+
+def _folder(spark: SparkSession) -> str:
+    return "/".join([shared_dir(spark), f"marginalia-{spark.sparkContext.applicationId}", *_parts])
 
 
 def clear(spark: SparkSession) -> None:
-    """Deletes what this session's operators wrote to the shared folder; for when their results have been used."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/marginalia-{spark.sparkContext.applicationId}")
+    """Deletes what this session's operators wrote to the shared folder (inside passing(): to its part); for when their results have been used."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables that operators write inside go when this ends; results must have been written elsewhere by then."""
+    _parts.append(f"passing-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        try:
+            clear(spark)
+        finally:
+            _parts.pop()
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder: computed once, and safe when executors are lost."""
     path = work_path(df.sparkSession, tag)

@@ -2,7 +2,10 @@
 
 Each round hangs every node's larger neighbours on its least neighbour, then every node on the least
 of its smaller ones; rounds grow with the logarithm of the size. Each round's edges are checkpointed
-in the shared folder, so a lost executor costs no lineage.
+in the shared folder, so a lost executor costs no lineage. So are each node's least neighbours, by which edges are joined: with a table on
+either side AQE splits the edges of a node with very many, which it doesn't beside an aggregation.
+
+Edge cases: edges with a null end are left out, as are their nodes if no other edge names them; an edge to itself alone gives no row.
 """
 
 from __future__ import annotations
@@ -20,9 +23,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     state = None
     while True:
         both = e.union(e.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).checkpoint()
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = large.checkpoint()
+        least = large.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = small.union(least).distinct().checkpoint()
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.countDistinct("u")).first())

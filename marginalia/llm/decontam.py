@@ -4,7 +4,7 @@ Windows of a document as long as a benchmark item (in words) are fingerprinted o
 shingles; a window is a candidate for the items of its length if one of its 8 fingerprint bytes is
 within radius // 8 bits of the item's, which holds for every fingerprint within `radius` bits. Candidates
 are verified by weighted-shingle similarity: shingles weighted by how often they occur, shared weight
-over the item's. Windows that hold no shingle of any item of their length have similarity 0 and are not
+over that of the larger of both. Windows that hold no shingle of any item of their length have similarity 0 and are not
 fingerprinted.
 
 Words are taken at ASCII white space with A-Z in lower case. An item of fewer than five words is one

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, words_of
+from .common import BLANKS, unused, words_of
 
 # Common function words of the four languages of the corpus.
 STOP_WORDS = (
@@ -34,27 +34,28 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Repeated three-word windows are found by sorting the windows' hashes with their places:
     equal neighbours are repeats, and the places, sorted again, give the words they cover.
     """
+    quality_, words_, lines_, sorted_, at_ = unused(docs, "quality", "_words", "_lines", "_sorted", "_at")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.withColumn("_words", words_of(text)).withColumn("_lines", F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != ""))
-    w = F.col("_words")
+    df = docs.withColumn(words_, words_of(text)).withColumn(lines_, F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != ""))
+    w, lines = F.col(words_), F.col(lines_)
     window = F.transform(w, lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("p")))
-    df = df.withColumn("_sorted", F.sort_array(F.slice(window, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0)))))
-    s = F.col("_sorted")
+    df = df.withColumn(sorted_, F.sort_array(F.slice(window, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0)))))
+    s = F.col(sorted_)
     again = F.filter(s, lambda x, i: x["h"].eqNullSafe(F.get(s, i - 1)["h"]) | x["h"].eqNullSafe(F.get(s, i + 1)["h"]))
-    df = df.withColumn("_at", F.sort_array(F.transform(again, lambda x: x["p"])))
-    at = F.col("_at")
+    df = df.withColumn(at_, F.sort_array(F.transform(again, lambda x: x["p"])))
+    at = F.col(at_)
     covered = F.transform(at, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(at, i + 1) - p, F.lit(3))))
     long = lambda c: c.cast("long")
     quality = F.struct(
         long(F.size(w)).alias("n_words"),
         long(F.length(F.array_join(w, ""))).alias("word_chars"),
         long(F.regexp_count(text, F.lit(r"[#*$%&|<>]"))).alias("n_symbols"),
-        long(F.size("_lines") - F.size(F.array_distinct("_lines"))).alias("n_dup_lines"),
+        long(F.size(lines) - F.size(F.array_distinct(lines))).alias("n_dup_lines"),
         long(F.aggregate(covered, F.lit(0), lambda a, x: a + x)).alias("n_repeat_words"),
-        long(F.size("_lines")).alias("n_lines"),
+        long(F.size(lines)).alias("n_lines"),
         long(F.size(F.filter(w, lambda x: F.lower(F.rtrim(x, F.lit(".,"))).isin(STOP_WORDS)))).alias("n_stop_words"),
     )
-    return df.withColumn("quality", quality).drop("_words", "_lines", "_sorted", "_at")
+    return df.withColumn(quality_, quality).drop(words_, lines_, sorted_, at_)
 
 
 def base_failed(q: Column) -> Column:
@@ -74,9 +75,10 @@ def verdict(q: Column, rules=RULES) -> Column:
 
 
 def score_quality(docs: DataFrame, rules=RULES, text_col: str = "text") -> DataFrame:
-    """`docs` with `quality` (counts), `base_failed` and `kept`."""
-    q = F.col("quality")
-    return measures(docs, text_col).withColumn("base_failed", base_failed(q)).withColumn("kept", ~base_failed(q) & verdict(q, rules))
+    """`docs` with `quality` (counts), `base_failed` and `kept`; if `docs` has columns of these names, theirs stay and these get underscores."""
+    quality_, failed_, kept_ = unused(docs, "quality", "base_failed", "kept")
+    q = F.col(quality_)
+    return measures(docs, text_col).withColumn(failed_, base_failed(q)).withColumn(kept_, ~base_failed(q) & verdict(q, rules))
 
 
 def keep_good(docs: DataFrame, rules=RULES) -> DataFrame:

@@ -117,11 +117,16 @@ def links(fps: DataFrame, radius: int = 4, take: int = 3, list_limit: int = 32,
     return met.union(forest).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
-    """One row for each document: doc_id, text_key, fp and component_id, the least doc_id that links reach."""
+#: Fingerprints up to which three bytes make a key; with four, lists are 256 times as short and no pair has to share more than the radius asks.
+MOST_BY_THREE = 1 << 28
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, take: int | None = None) -> DataFrame:
+    """One row for each document: doc_id, text_key, fp and component_id, the least doc_id that links reach. `take`: bytes of a key, by default by the number of fingerprints."""
     each = written(fingerprints(docs, shingle), "fingerprints")
     fps = each.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(fps.select("fp"), radius))
+    take = take or (3 if fps.count() <= MOST_BY_THREE else 4)
+    roots = components(links(fps.select("fp"), radius, take))
     named = written(fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "named")
     # Tables on both sides of each join: what is hot is split where it is read, as no aggregation stands between.
     first = written(named.groupBy("root").agg(F.min("least").alias("component_id")), "first")

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from marginalia.llm import alike, chunks, decontam, sampling, tokens
+from marginalia.llm import alike, chunks, decontam, quality, sampling, tokens
 from tests.llm.test_operators import PIECES, SCHEMA, WORDS, rows
 
 NAMES = ["g_id", "G_KEY", "gone_id", "gone_key", "key", "nth", "g_copy", "g_gone", "seed", "n_pieces", "root", "sig", "row", "start", "text_key", "copy", "best"]
@@ -44,3 +44,13 @@ def test_words_met_again_have_the_same_ids(monkeypatch):
         got, want = tokens.encode_again(pa.array(words, pa.string()), path), tokens.encode_words(pa.array(words, pa.string()), path)
         assert all((a == b).all() and len(a) == len(b) for a, b in zip(got, want, strict=True))
     assert len(tokens._kept[path][0]) == 5
+
+
+def test_quality_leaves_columns_of_its_names_alone(spark):
+    names = ["quality", "base_failed", "kept", "_words", "_lines", "_sorted", "_at", "quality_"]
+    docs = spark.createDataFrame(rows(), SCHEMA).select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    got = quality.score_quality(docs)
+    assert got.columns == docs.columns + ["quality__", "base_failed_", "kept_"]
+    assert {tuple(r[n] for n in names) for r in got.collect()} == {tuple(range(len(names)))}
+    plain = quality.score_quality(spark.createDataFrame(rows(), SCHEMA))
+    assert sorted(map(repr, got.select("doc_id", "quality__", "kept_").collect())) == sorted(repr(r).replace("quality=", "quality__=").replace("kept=", "kept_=") for r in plain.select("doc_id", "quality", "kept").collect())

@@ -136,6 +136,36 @@ def test_repeated_spans(spark, none):
         assert left[d] == t if not gone[d] else len(left[d].encode()) <= len(t.encode()) - gone[d]
 
 
+def test_what_repeats_first_stands_where(spark):
+    """n_chunks, first_doc_id and first_doc_ids against a loop over all chunks."""
+    own = [r for r in {(r[0], r[1]): r for r in rows()}.values() if r[0] is not None and r[0] != 3]
+    found = {(r["doc_id"], r["start"]): r for r in chunks.repeated_spans(spark.createDataFrame(own, SCHEMA)).collect()}
+    first, hits = {}, defaultdict(list)
+    for d, t, *_ in sorted(own, key=lambda r: r[0]):
+        raw = (t or "").encode().translate(chunks.ONE_BLANK)
+        ends = chunks.boundaries([raw])[0].tolist() if raw else []
+        for a, z in zip([0, *ends], ends):
+            if raw[a:z] in first:
+                hits[d].append((a, z, first[raw[a:z]]))
+            else:
+                first[raw[a:z]] = d
+    want = {}
+    for d, parts in hits.items():
+        run = []
+        for part in [*parts, (None, None, None)]:
+            if run and part[0] != run[-1][1]:
+                if run[-1][1] - run[0][0] >= 64:
+                    size = Counter()
+                    for a, z, f in run:
+                        size[f] += z - a
+                    want[d, run[0][0]] = (len(run), {f for f, n in size.items() if n == max(size.values())}, sorted(f for f, n in size.items() if n >= 64))
+                run = []
+            run.append(part)
+    assert found.keys() == want.keys() and found
+    for k, (n, most, over) in want.items():
+        assert found[k]["n_chunks"] == n and found[k]["first_doc_id"] in most and found[k]["first_doc_ids"] == over
+
+
 # --- 2 -----------------------------------------------------------------------------------------------
 
 
@@ -314,6 +344,20 @@ def test_links_connect_what_is_linked(spark, limits):
     assert [roots.get(x, x) for x in signed] == [signed[i] for i in groups(fps)]
 
 
+def test_components_of_a_star(spark):
+    from pyspark.sql import functions as F
+
+    star = spark.range(1, 100_001).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    assert [tuple(r) for r in components.components(star).groupBy("root").count().collect()] == [(0, 100_001)]
+    odd = spark.createDataFrame([(None, 1), (2, None), (3, 3), (4, 5)], "a long, b long")
+    assert sorted(map(tuple, components.components(odd).collect())) == [(4, 4), (5, 4)]
+
+
+def test_simhash_by_four_bytes(spark, docs):
+    a, b = (sorted(map(repr, simhash.near_duplicates(docs, take=take).collect())) for take in (3, 4))
+    assert a == b
+
+
 def test_components_of_a_path(spark):
     got = components.components(spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long"))
     same(got, [(i, 0) for i in range(41)] + [(100, 100), (101, 100)], "node", "root")
