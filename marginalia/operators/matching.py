@@ -98,12 +98,31 @@ def best_candidate(candidates: DataFrame, key: str = "query", floor: float = 0.6
     return out.where(F.col("b.score") >= floor).select(key, F.col("w.source").alias("source"), F.col("w.cand_no").alias("cand_no"), F.round("w.score", 6).alias("score"))
 
 
+def containing(parts: DataFrame, wholes: DataFrame) -> DataFrame:
+    """(part, whole): the pairs of distinct texts in which the whole holds the part, at any place; empty texts are in none.
+
+    Both sides are cut into runs of three characters (all runs of one and two as well, for parts that are shorter). A part is looked up by
+    the one of its runs that the fewest wholes have, so no list of a frequent run is read; what is found is then compared.
+    """
+    runs = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(n)))
+    part, whole = F.col("part"), F.col("whole")
+    parts, wholes = parts.select("part").where("part <> ''").distinct(), wholes.select("whole").where("whole <> ''").distinct()
+    posted = wholes.select("whole", F.explode(F.array_distinct(F.concat(*[runs(whole, n) for n in (1, 2, 3)]))).alias("run"))
+    asked = parts.select("part", F.explode(F.when(F.length(part) < 3, F.array(part)).otherwise(F.array_distinct(runs(part, 3)))).alias("run"))
+    counts = posted.groupBy("run").agg(F.count("*").alias("n"))
+    rarest = asked.join(counts, "run", "left").groupBy("part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("r")).where("r.n > 0")
+    return rarest.select("part", F.col("r.run").alias("run")).join(posted, "run").where(F.contains(whole, part)).select("part", "whole")
+
+
 def journal_short(items: DataFrame, names: DataFrame) -> DataFrame:
     """`items` (journal) with `short`: of the same name in `names` (name, short; in lower case), else of the longest one that it
-    holds or that holds it, else itself. Each distinct journal is looked up once; the names are a list of some hundreds."""
-    keys = items.select("journal").distinct()
+    holds or that holds it, else itself. Each distinct journal is looked up once, in both directions by rare runs of its characters."""
     low = F.lower("journal")
-    hit = keys.join(names, low.contains(F.col("name")) | F.col("name").contains(low), "left")
-    order = F.struct((low == F.col("name")).alias("same"), F.length("name").alias("n"), F.col("name").alias("name"))
-    best = hit.groupBy("journal").agg(F.max_by("short", F.when(F.col("name").isNotNull(), order)).alias("short"))
-    return items.join(best, "journal").withColumn("short", F.coalesce("short", "journal"))
+    keys = items.select("journal", low.alias("low")).distinct()
+    held = containing(names.select(F.col("name").alias("part")), keys.select(F.col("low").alias("whole"))).select(F.col("part").alias("name"), F.col("whole").alias("low"))
+    holding = containing(keys.select(F.col("low").alias("part")), names.select(F.col("name").alias("whole"))).select(F.col("whole").alias("name"), F.col("part").alias("low"))
+    hit = keys.join(held.union(holding).distinct(), "low").join(names, "name")
+    order = F.struct((F.col("low") == F.col("name")).alias("same"), F.length("name").alias("n"), F.col("name").alias("name"))
+    best = hit.groupBy("journal").agg(F.max_by("short", order).alias("short"))
+    found = items.join(best, "journal", "left")
+    return found.withColumn("short", F.coalesce("short", "journal"))

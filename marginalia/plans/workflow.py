@@ -11,6 +11,7 @@ from marginalia.operators import flow as L
 from marginalia.operators import matching
 from marginalia.plans.numeric import bibliography, citations
 from marginalia.plans.sqlquery import query, run_sql, twin
+from marginalia.sources import pubmed
 from marginalia.sources.tables import table
 
 # Journal names and their short forms.
@@ -30,6 +31,23 @@ def journal_short(spark: SparkSession, d: str) -> DataFrame:
     return matching.journal_short(items, fixed.unionByName(brands)).select("id", "short")
 
 
+#: XML of an article for each part: years in three places or none, markup, groups, several ids, no title, broken XML.
+PUBMED = """SELECT p_partkey AS id, CASE p_partkey % 8 WHEN 6 THEN concat('<PubmedArticleSet><PubmedArticle><MedlineCitation><Article><ArticleTitle>', p_name)
+  WHEN 7 THEN '<PubmedArticleSet><PubmedArticle><MedlineCitation><Article><Journal><Title>x</Title></Journal></Article></MedlineCitation></PubmedArticle></PubmedArticleSet>'
+  ELSE concat('<?xml version="1.0"?><PubmedArticleSet><PubmedArticle><MedlineCitation><PMID Version="1">', p_partkey, '</PMID><Article><Journal><ISSN>1</ISSN><JournalIssue CitedMedium="Internet"><Volume>', p_size, '</Volume>',
+    CASE WHEN p_partkey % 8 = 1 THEN '' ELSE '<Issue> 2 </Issue>' END, '<PubDate>', CASE p_partkey % 8 WHEN 0 THEN concat('<Year>', 1990 + p_size % 30, '</Year><Month>May</Month>') WHEN 2 THEN concat('<MedlineDate>', 1970 + p_size % 30, ' Nov-Dec</MedlineDate>') WHEN 3 THEN '<MedlineDate>Winter</MedlineDate>' ELSE '' END,
+    '</PubDate></JournalIssue><Title> Journal of ', p_brand, '</Title><ISOAbbreviation>J ', p_brand, '</ISOAbbreviation></Journal><ArticleTitle>', CASE WHEN p_partkey % 8 = 4 THEN concat('On <i>', p_name, '</i>, <b>again</b>') ELSE p_name END, '</ArticleTitle>',
+    '<Pagination><MedlinePgn>10-19</MedlinePgn></Pagination><AuthorList CompleteYN="Y"><Author><LastName>Smith</LastName><ForeName>Ann Beth</ForeName><Initials>AB</Initials></Author>',
+    CASE WHEN p_partkey % 8 < 3 THEN '<Author><CollectiveName>Group</CollectiveName></Author><Author><LastName>Jones</LastName><Initials>C</Initials></Author>' ELSE '' END, '</AuthorList>',
+    CASE WHEN p_partkey % 8 IN (1, 2) THEN concat('<ArticleDate DateType="Electronic"><Year>', 2000 + p_size % 20, '</Year></ArticleDate>') ELSE '' END, '</Article></MedlineCitation><PubmedData><ArticleIdList><ArticleId IdType="pubmed">', p_partkey, '</ArticleId>',
+    CASE WHEN p_partkey % 8 = 5 THEN '' ELSE concat('<ArticleId IdType="DOI"> 10.1/', p_partkey, '</ArticleId>') END, '</ArticleIdList></PubmedData></PubmedArticle></PubmedArticleSet>') END AS xml FROM {part}"""
+
+
+def pubmed_records(spark: SparkSession, d: str) -> DataFrame:
+    found = pubmed.records(run_sql(spark, d, PUBMED), ["id"], "xml")
+    return found.withColumn("author", F.array_join(F.transform("author", lambda a: F.concat_ws(", ", a["family"], a["given"])), "; "))
+
+
 def continuation(spark: SparkSession, d: str) -> DataFrame:
     """Credit blocks: up to four following lines that begin with a capital, none after one that doesn't."""
     paras = T.paragraphs(table(spark, d, "documents").select("doc_id", "text"))
@@ -165,6 +183,7 @@ def uncited_last(spark: SparkSession, d: str) -> DataFrame:
 PARAS = "paras AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS para_no, unnest(string_split(text, chr(10))) AS text FROM documents)"
 QUERIES = {k: query(v) for k, v in SQL.items()} | {
     "fn56_srt08_journal_short": journal_short,
+    "src13_pubmed_records": pubmed_records,
     "win14_credit_lines": continuation,
     "set06_word_subset": subset_words,
     "jn17_sentence_pages": sentence_pages,
@@ -189,6 +208,11 @@ QUERIES = {k: query(v) for k, v in SQL.items()} | {
 ORACLES = {k: twin(v) for k, v in SQL.items()} | {
     "fn56_srt08_journal_short": """SELECT p_partkey AS id, CASE p_size % 6 WHEN 0 THEN 'J Psychol' WHEN 1 THEN 'Psychol' WHEN 2 THEN 'N Engl J Med' WHEN 5 THEN 'Nature'
 ELSE 'Br' || substr(p_brand, 7, 3) END AS short FROM part""",
+    "src13_pubmed_records": """WITH p AS (SELECT *, p_partkey % 8 AS k FROM part)
+SELECT p_partkey AS id, 0::BIGINT AS article_no, 'Smith, Ann Beth' || CASE WHEN k < 3 THEN '; Jones, C' ELSE '' END AS author, CASE WHEN k = 4 THEN 'On ' || p_name || ', again' ELSE p_name END AS title, 'Journal of ' || p_brand AS container,
+'J ' || p_brand AS iso_abbrev, p_size::VARCHAR AS volume, CASE WHEN k = 1 THEN '' ELSE '2' END AS issue, '10-19' AS page, CASE WHEN k = 5 THEN '' ELSE '10.1/' || p_partkey END AS doi,
+CASE k WHEN 0 THEN 1990 + p_size % 30 WHEN 1 THEN 2000 + p_size % 20 WHEN 2 THEN 2000 + p_size % 20 END::INT AS year FROM p WHERE k < 6
+UNION ALL SELECT p_partkey, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM p WHERE k >= 6""",
     "win14_credit_lines": f"""WITH {PARAS}, s AS (SELECT *, (text[1:1] BETWEEN 'A' AND 'Z') AS ok FROM paras)
 SELECT a.doc_id, a.para_no, (SELECT count(*) FROM s b WHERE b.doc_id = a.doc_id AND b.para_no BETWEEN a.para_no + 1 AND a.para_no + 4 AND NOT EXISTS (SELECT 1 FROM s c WHERE c.doc_id = a.doc_id AND c.para_no BETWEEN a.para_no + 1 AND b.para_no AND NOT c.ok)) AS lines FROM s a WHERE length(a.text) % 13 = 0""",
     "set06_word_subset": """SELECT p_partkey AS id, p_size % 2 = 0 OR contains(p_name, lower(p_type)) AS inside,
