@@ -10,7 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from marginalia.functions.authoryear import citation_key, normalized
+from marginalia.functions.authoryear import citation_key, et_al_issue, normalized
+from marginalia.functions.text import spread
 
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
@@ -64,6 +65,21 @@ def match_citations(cites: DataFrame, refs: DataFrame) -> DataFrame:
     return cites.select("doc_id", "cite_id").join(found, ["doc_id", "cite_id"], "left").select("doc_id", "cite_id", "ref_pos", F.coalesce("how", F.lit("missing")).alias("how"))
 
 
+def validation(cites: DataFrame, refs: DataFrame) -> DataFrame:
+    """(doc_id, finding, cite_id, ref_pos): what is said of each citation and reference of a document, from one matching.
+
+    A matched citation is valid, and has `et al error` or `et al warning` besides if its authors are cited so; one that isn't is a year
+    mismatch, a spelling or missing. References that no citation matches or nearly matches are unused. Documents with references alone have all
+    of them unused; citations without a reference list are missing.
+    """
+    found = match_citations(cites, refs).join(cites.select("doc_id", "cite_id", F.col("author").alias("cited")), ["doc_id", "cite_id"])
+    both = found.join(refs.select("doc_id", "ref_pos", F.coalesce("full_author", "author").alias("full")), ["doc_id", "ref_pos"], "full")
+    valid = F.col("how").isin("exact", "abbreviation", "smart")
+    misuse = F.when(valid, F.concat(F.lit("et al "), et_al_issue(F.col("cited"), F.col("full"))))
+    findings = F.array(F.when(F.col("cite_id").isNull(), "unused").when(valid, "valid").otherwise(F.col("how")), misuse)
+    return spread(both, ["doc_id", "cite_id", "ref_pos"], findings, "finding").select("doc_id", "finding", "cite_id", "ref_pos")
+
+
 def duplicates(rows: DataFrame, block: list[str], pos: str, text: str, least: float = 0.85) -> DataFrame:
     """block, id, duplicate_of, score: pairs within a block whose ratio is over `least`; the later is the duplicate.
 

@@ -84,6 +84,13 @@ def how_counts(spark: SparkSession, d: str) -> DataFrame:
     return matching.match_citations(*match_inputs(spark, d)).select("doc_id", "cite_id", "ref_pos", "how")
 
 
+def findings(spark: SparkSession, d: str) -> DataFrame:
+    """Findings on the same citations, every other Smith of which is cited with et al."""
+    cites, refs = match_inputs(spark, d)
+    others = F.when((F.col("author") == "Smith") & (F.col("cite_id") % 2 == 1), "Smith et al.").otherwise(F.col("author"))
+    return matching.validation(cites.withColumn("author", others), refs)
+
+
 def part_duplicates(spark: SparkSession, d: str) -> DataFrame:
     rows = run_sql(spark, d, "SELECT p_partkey div 40 AS doc_id, p_partkey, concat(p_name, ' ', p_type, ' ', p_brand) AS text FROM {part}")
     return matching.duplicates(rows, ["doc_id"], "p_partkey", "text")
@@ -134,6 +141,7 @@ QUERIES = {
     "fn52_chicago": formatted(formatters.chicago),
     "jn07_jn08_jn10_jn11_matches": how_counts,
     "pipe02_match_summary": lambda s, d: how_counts(s, d).groupBy("how").agg(F.count("*").alias("n")),
+    "pipe02_findings": findings,
     "jn12_duplicate_references": part_duplicates,
     "agg12_jn18_best_candidate": candidates,
 }
@@ -166,4 +174,7 @@ CASE WHEN p_partkey % 5 > 0 THEN p_brand END AS container, NULL::VARCHAR AS volu
 || CASE WHEN p_partkey % 5 = 0 THEN ' https://doi.org/10.1/x' ELSE '' END AS citation FROM p""",
     "jn07_jn08_jn10_jn11_matches": "SELECT p_partkey % 200 AS doc_id, p_partkey AS cite_id, (CASE p_size % 6 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN NULL ELSE 4 END)::BIGINT AS ref_pos, (['exact', 'abbreviation', 'exact', 'spelling', 'missing', 'year mismatch'])[p_size % 6 + 1] AS how FROM part",
     "pipe02_match_summary": "SELECT (['exact', 'abbreviation', 'exact', 'spelling', 'missing', 'year mismatch'])[p_size % 6 + 1] AS how, count(*) AS n FROM part GROUP BY how",
+    "pipe02_findings": """WITH c AS (SELECT p_partkey % 200 AS doc_id, p_partkey AS cite_id, p_size % 6 AS k, (CASE p_size % 6 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN NULL ELSE 4 END)::BIGINT AS ref_pos FROM part)
+SELECT doc_id, (['valid', 'valid', 'valid', 'spelling', 'missing', 'year mismatch'])[k + 1] AS finding, cite_id, ref_pos FROM c UNION ALL SELECT doc_id, 'et al error', cite_id, ref_pos FROM c WHERE k = 0 AND cite_id % 2 = 1
+UNION ALL SELECT d.doc_id, 'unused', NULL, r.ref_pos FROM range(200) d(doc_id), range(5) r(ref_pos) WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = d.doc_id AND c.ref_pos = r.ref_pos)""",
 }

@@ -45,3 +45,20 @@ def test_records_of_articles(spark):
         (1, 0, "A & B", "", None), (1, 1, "C", "10.1/c", None), (2, 0, "D", "", None), *[(i, None, None, None, None) for i in (3, 4, 5, 6, 7)]
     ]
     assert [tuple(a) for a in got[1].author] == [("", "X")] and got[0].author == [] and got[0].volume == "" and got[3].author is None
+
+
+def test_findings_on_documents(spark):
+    refs = spark.createDataFrame(
+        [(1, 0, "Smith", "2001", "Smith, J.", []), (1, 1, "Lee et al.", "2002", "Lee, K., Ray, P., & Fox, M.", []), (1, 2, "Group", "2003", "Group", ["GRP"]), (1, 3, "Unread", "1999", None, []), (2, 0, "Only", "2000", "Only, O.", [])],
+        "doc_id long, ref_pos long, author string, year string, full_author string, abbreviations array<string>",
+    )
+    cites = spark.createDataFrame(
+        [(1, 1, "Smith et al.", "2001"), (1, 2, "Lee et al.", "2002"), (1, 3, "GRP", "2003"), (1, 4, "Smith", "1990"), (1, 5, "Nobody", "2001"), (3, 6, "Alone", "2001")],
+        "doc_id long, cite_id long, author string, year string",
+    )
+    got = {(r.doc_id, r.finding, r.cite_id, r.ref_pos) for r in matching.validation(cites, refs).collect()}
+    assert got == {
+        (1, "valid", 1, 0), (1, "et al error", 1, 0), (1, "valid", 2, 1), (1, "valid", 3, 2), (1, "year mismatch", 4, 0),
+        (1, "missing", 5, None), (1, "unused", None, 3), (2, "unused", None, 0), (3, "missing", 6, None),
+    }
+    assert not matching.validation(cites.limit(0), refs.limit(0)).collect()
