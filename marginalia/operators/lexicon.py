@@ -20,8 +20,8 @@ def load(rows: DataFrame) -> DataFrame:
     return rows.where("trim(term) <> ''").groupBy(term.alias("term")).agg(F.max_by("category", "line_no").alias("category"), F.min("line_no").alias("line_no"))
 
 
-def _met(sentences: DataFrame, terms: DataFrame) -> DataFrame:
-    """`sentences` and `terms` with `_start`, `_end` for each place where a sentence has a term, word by word.
+def _met(sentences: DataFrame, terms: DataFrame, placed: bool) -> DataFrame:
+    """`sentences` and `terms` with `_start`, `_end` (0 unless `placed`) for each place where a sentence has a term, word by word.
 
     Sentences and terms are cut into words and what lies between. A place that begins with a term's first word is kept with as many
     pieces as the longest term has, and the term's own pieces must equal them: no pattern is made for a term, and Spark joins by first word,
@@ -40,7 +40,11 @@ def _met(sentences: DataFrame, terms: DataFrame) -> DataFrame:
         # Few first words: only places with one of these go on, so that sentences are not spelled out in full.
         hit = lambda x: F.lower(x).isin(firsts) if len(firsts) <= MOST_FIRSTS else x.rlike(r"(?U)^\w")
         at = F.array_compact(F.transform(pieces, lambda x, i: F.when(hit(x), i)))
-        return T.bound(at, lambda a: F.when(F.size(a) > 0, T.bound(T.starts_of(F.transform(pieces, lambda x: F.length(x))), lambda s: F.transform(a, lambda i: F.struct(F.get(s, i).alias("start"), F.slice(pieces, i + 1, most + 1).alias("pieces"))))))
+        own = lambda i: F.slice(pieces, i + 1, most + 1).alias("pieces")
+        if not placed:
+            return F.array_distinct(F.transform(at, lambda i: F.struct(F.lit(0).cast("long").alias("start"), own(i))))
+        starts = T.starts_of(F.transform(pieces, lambda x: F.length(x)))
+        return T.bound(at, lambda a: F.when(F.size(a) > 0, T.bound(starts, lambda s: F.transform(a, lambda i: F.struct(F.get(s, i).alias("start"), own(i))))))
 
     if not firsts:
         return sentences.join(keyed, F.lit(False)).withColumns({"_start": F.lit(0).cast("long"), "_end": F.lit(0).cast("long")}).drop("_first", "_n", "_closed")
@@ -55,7 +59,7 @@ def _met(sentences: DataFrame, terms: DataFrame) -> DataFrame:
 
 def hits(sentences: DataFrame, terms: DataFrame) -> DataFrame:
     """A row for each sentence and term in it; terms in capitals match as they are, others in any case."""
-    return _met(sentences, terms).drop("_start", "_end").dropDuplicates([*KEYS, "term"])
+    return _met(sentences, terms, placed=False).drop("_start", "_end").dropDuplicates([*KEYS, "term"])
 
 
 def places(sentences: DataFrame, terms: DataFrame) -> DataFrame:
@@ -65,7 +69,7 @@ def places(sentences: DataFrame, terms: DataFrame) -> DataFrame:
     """
     told = sentences.withColumnRenamed("start", "sentence_start") if "start" in sentences.columns else sentences
     first = W.partitionBy(*KEYS, "_start", "_end").orderBy("line_no")
-    return _met(told, terms).withColumn("_no", F.row_number().over(first)).where("_no = 1").drop("_no").withColumnsRenamed({"_start": "start", "_end": "end"})
+    return _met(told, terms, placed=True).withColumn("_no", F.row_number().over(first)).where("_no = 1").drop("_no").withColumnsRenamed({"_start": "start", "_end": "end"})
 
 
 def report(paras: DataFrame, terms: DataFrame) -> DataFrame:
