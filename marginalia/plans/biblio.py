@@ -104,6 +104,20 @@ FROM {part} LATERAL VIEW explode(sequence(0, 3)) t AS k""")
     return matching.best_candidate(rows)
 
 
+#: Texts of a document that begin alike and end ever earlier, so that a pair's ratio is known by their lengths, and one of other signs.
+SHORTENED = """SELECT p_partkey AS doc_id, k, CASE WHEN k < 6 THEN substring(concat(p_name, ' ', p_type, ' ', p_brand), 1, length(concat(p_name, ' ', p_type, ' ', p_brand)) - 4 * (k * 5 % 6)) ELSE '~~~~ ~~~~' END AS text
+FROM {part} LATERAL VIEW explode(sequence(0L, 6L)) t AS k"""
+
+#: Titles that are what a query begins with, of two sources, some with a DOI.
+BEGUN = """SELECT p_name AS query, CASE WHEN k % 2 = 0 THEN 'crossref' ELSE 'pubmed' END AS source, p_partkey * 4 + k AS cand_no,
+  upper(substring(p_name, 1, length(p_name) - length(p_name) * ((p_partkey + 3 * k) % 6) div 6)) AS title, CASE WHEN (p_partkey + k) % 3 = 0 THEN '10.1/x' END AS doi
+FROM {part} LATERAL VIEW explode(sequence(0, 3)) t AS k"""
+
+
+def shortened_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    return matching.duplicates(run_sql(spark, d, SHORTENED), ["doc_id"], "k", "text")
+
+
 RUNS = """
 SELECT p_partkey AS id, run_no, r.style, r.text FROM {part} LATERAL VIEW posexplode(array(
   named_struct('style', 'bib_number', 'text', concat(p_partkey, '.')), named_struct('style', 'bib_surname', 'text', 'Smith'), named_struct('style', CAST(NULL AS string), 'text', ', '),
@@ -144,7 +158,14 @@ QUERIES = {
     "pipe02_findings": findings,
     "jn12_duplicate_references": part_duplicates,
     "agg12_jn18_best_candidate": candidates,
+    "jn12_fn13_shortened": shortened_duplicates,
+    "agg12_jn18_begun_titles": lambda s, d: matching.best_candidate(run_sql(s, d, BEGUN)),
+    "agg12_by_title": lambda s, d: matching.by_title(run_sql(s, d, BEGUN).where("source = 'crossref'")),
 }
+
+TWIN_BEGUN = """SELECT p_name AS query, CASE WHEN k % 2 = 0 THEN 'crossref' ELSE 'pubmed' END AS source, p_partkey * 4 + k AS cand_no, len(trim(p_name)) AS n,
+  len(trim(substring(p_name, 1, len(p_name) - len(p_name) * ((p_partkey + 3 * k) % 6) // 6))) AS m, (p_partkey + k) % 3 = 0 AS has_doi FROM part, range(4) r(k)"""
+TWIN_SCORED = f"SELECT *, 2::DOUBLE * m / (m + n) AS alike, 2::DOUBLE * m / (m + n) + CASE WHEN has_doi THEN 0.06::DOUBLE ELSE 0::DOUBLE END AS score FROM ({TWIN_BEGUN})"
 ORACLES = {
     "fn30_fn31_in_text": f"""WITH t AS (SELECT o_custkey AS doc_id, o_orderkey AS para_no, upper(c_mktsegment[1:1]) || lower(c_mktsegment[2:]) AS s, {SQL_YEAR} AS y, o_orderkey % 5 AS k {PAIRS})
 SELECT doc_id, para_no, s AS author, y AS year, 'parenthetical' AS type, CASE k WHEN 1 THEN 'missing comma' ELSE '' END AS warnings FROM t WHERE k IN (0, 1)
@@ -177,4 +198,11 @@ CASE WHEN p_partkey % 5 > 0 THEN p_brand END AS container, NULL::VARCHAR AS volu
     "pipe02_findings": """WITH c AS (SELECT p_partkey % 200 AS doc_id, p_partkey AS cite_id, p_size % 6 AS k, (CASE p_size % 6 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN NULL ELSE 4 END)::BIGINT AS ref_pos FROM part)
 SELECT doc_id, (['valid', 'valid', 'valid', 'spelling', 'missing', 'year mismatch'])[k + 1] AS finding, cite_id, ref_pos FROM c UNION ALL SELECT doc_id, 'et al error', cite_id, ref_pos FROM c WHERE k = 0 AND cite_id % 2 = 1
 UNION ALL SELECT d.doc_id, 'unused', NULL, r.ref_pos FROM range(200) d(doc_id), range(5) r(ref_pos) WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = d.doc_id AND c.ref_pos = r.ref_pos)""",
+    "jn12_fn13_shortened": """WITH t AS (SELECT p_partkey AS doc_id, k, len(trim(substring(s, 1, len(s) - 4 * (k * 5 % 6)))) AS n FROM (SELECT p_partkey, p_name || ' ' || p_type || ' ' || p_brand AS s FROM part), range(6) r(k))
+SELECT doc_id, b.k AS id, a.k AS duplicate_of, round(2::DOUBLE * least(a.n, b.n) / (a.n + b.n) * 100, 1) AS score FROM t a JOIN t b USING (doc_id) WHERE a.k < b.k AND 2::DOUBLE * least(a.n, b.n) / (a.n + b.n) > 0.85""",
+    "agg12_jn18_begun_titles": f"""WITH s AS ({TWIN_SCORED}), b AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, source, cand_no) AS r FROM s),
+c AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY alike DESC, cand_no) AS r FROM s WHERE source = 'crossref'),
+w AS (SELECT b.query, b.score >= 0.6 AS enough, b.source = 'pubmed' AND c.alike + 0.02::DOUBLE >= b.score AND c.has_doi AS yields, b.cand_no AS b_no, c.cand_no AS c_no, b.score AS b_score, c.alike AS c_score, b.source AS b_source FROM b JOIN c ON b.query = c.query AND b.r = 1 AND c.r = 1)
+SELECT query, CASE WHEN yields THEN 'crossref' ELSE b_source END AS source, CASE WHEN yields THEN c_no ELSE b_no END AS cand_no, round(CASE WHEN yields THEN c_score ELSE b_score END, 6) AS score FROM w WHERE enough""",
+    "agg12_by_title": f"SELECT query, cand_no, round(alike, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY alike DESC, cand_no) AS r FROM ({TWIN_SCORED}) WHERE source = 'crossref') WHERE r = 1",
 }
