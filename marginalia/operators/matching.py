@@ -98,13 +98,13 @@ def duplicates(rows: DataFrame, block: list[str], pos: str, text: str, least: fl
     return pairs.withColumn("ratio", ratio("_a", "_b")).where(F.col("ratio") > least).select(*block, "id", "duplicate_of", F.round(F.col("ratio") * 100, 1).alias("score"))
 
 
-def _plain(text: Column) -> Column:
+def plain_title(text: Column) -> Column:
     return F.lower(F.btrim(F.regexp_replace(text, r"\s+", " ")))
 
 
-def _alike(asked: Column, title: Column) -> Column:
+def alike(asked: Column, title: Column) -> Column:
     """The ratio of two titles in lower case with blanks collapsed; none with an empty one."""
-    return F.when((F.coalesce(title, F.lit("")) == "") | (asked == ""), F.lit(0.0)).otherwise(ratio(_plain(asked), _plain(title)))
+    return F.when((F.coalesce(title, F.lit("")) == "") | (asked == ""), F.lit(0.0)).otherwise(ratio(plain_title(asked), plain_title(title)))
 
 
 def by_title(candidates: DataFrame, key: str = "query") -> DataFrame:
@@ -112,8 +112,8 @@ def by_title(candidates: DataFrame, key: str = "query") -> DataFrame:
 
     Queries none of whose items is alike at all have none. An empty title equals an empty query only.
     """
-    same = _plain(F.col(key)) == _plain(F.coalesce("title", F.lit("")))
-    scored = candidates.withColumn("same", same).withColumn("score", F.when(same, 1.0).otherwise(_alike(F.col(key), F.col("title"))))
+    same = plain_title(F.col(key)) == plain_title(F.coalesce("title", F.lit("")))
+    scored = candidates.withColumn("same", same).withColumn("score", F.when(same, 1.0).otherwise(alike(F.col(key), F.col("title"))))
     first = F.max_by(F.struct("cand_no", "score"), F.struct("same", "score", -F.col("cand_no")))
     return scored.where("score > 0").groupBy(key).agg(first.alias("b")).select(key, "b.cand_no", F.round("b.score", 6).alias("score"))
 
@@ -124,7 +124,7 @@ def best_candidate(candidates: DataFrame, key: str = "query", floor: float = 0.6
     candidates: query, source, cand_no, title, doi. A DOI adds 0.06; under the floor there is none; a PubMed
     winner yields to a CrossRef item with a DOI that is within 0.02.
     """
-    scored = candidates.withColumn("alike", _alike(F.col(key), F.col("title"))).withColumn("score", F.col("alike") + F.when(F.coalesce("doi", F.lit("")) != "", 0.06).otherwise(0.0))
+    scored = candidates.withColumn("alike", alike(F.col(key), F.col("title"))).withColumn("score", F.col("alike") + F.when(F.coalesce("doi", F.lit("")) != "", 0.06).otherwise(0.0))
     first = lambda score: F.struct(score.alias("score"), (F.col("source") == "crossref").alias("_c"), (-F.col("cand_no")).alias("_n"), "cand_no", "source", "doi")
     best = scored.groupBy(key).agg(F.max(first(F.col("score"))).alias("b"), F.max(F.when(F.col("source") == "crossref", first(F.col("alike")))).alias("c"))
     yields = (F.col("b.source") == "pubmed") & (F.col("c.score") + 0.02 >= F.col("b.score")) & (F.coalesce("c.doi", F.lit("")) != "")

@@ -12,7 +12,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marginalia.functions import authoryear as A
+from marginalia.functions import fallback as by_rules
 from marginalia.functions import formatters
+from marginalia.operators import flow, matching
 
 # Marks, headings that keep a section open, labels that close it, styles, numbers, links and years.
 OPEN, CLOSE = "<ref-open>", "<ref-close>"
@@ -140,6 +142,39 @@ def structured(paras: DataFrame, lookup: DataFrame, style: str = "apa") -> DataF
     return met.select("doc_id", "para_no", "ref_style", "number", F.coalesce("kind", F.lit("article")).alias("kind"), F.when(use, "lookup").otherwise("text").alias("source"), numbered(F.col("number"), text).alias("formatted"))
 
 
+def enriched(paras: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(doc_id, para_no, ref_style, number, kind, outcome, score, formatted): each reference by its best candidate, or by what it says.
+
+    `candidates` (query, source, cand_no, title, doi, item) is what searches gave for a title; cand_no tells those of a query and source
+    apart. Numbered references are read and written in the one style, others in the other. Each title is asked for once, however many
+    references have it, and only titles of references are scored. A candidate is taken by its score, DOI, title and first three authors;
+    a reference with an address asks for a score of 0.9. outcome: lookup, rejected, no match, or the kind that asks for no candidate
+    (book, edited_book, thesis, web); all but the first are formatted by the rule table. Null texts are no references.
+    """
+    numbered_style = F.col("ref_style") == "REF-N"
+    parts = F.when(numbered_style, ama_parts(F.col("body"))).otherwise(apa_parts(F.col("body")))
+    rows = cleaned(section_paragraphs(paras))
+    rows = rows.withColumn("parts", parts).withColumn("kind", A.reference_type(F.col("body"))).withColumn("query", matching.plain_title(F.col("parts.title")))
+    asked = candidates.withColumn("query", matching.plain_title(F.col("query"))).where("query <> ''")
+    wanted = asked.join(rows.where("kind IS NULL").select("query").distinct(), "query", "left_semi")
+    best = matching.best_candidate(wanted)
+    one = wanted.groupBy("query", "source", "cand_no").agg(F.min_by(F.struct("title", "doi", "item"), F.to_json(F.struct("title", "doi", "item"))).alias("c"))
+    won = best.join(one, ["query", "source", "cand_no"]).select("query", "score", "c.*")
+    met = rows.join(won, "query", "left").withColumn("likeness", matching.alike(F.col("parts.title"), F.col("title")))
+    family = lambda a: F.lower(F.coalesce(a["family"], F.lit("")))
+    fits = F.coalesce(F.exists(F.slice("item.author", 1, 3), lambda a: (family(a) != "") & F.contains(F.lower("parts.authors"), family(a))), F.lit(False))
+    has_doi = F.btrim(F.coalesce("doi", F.lit(""))) != ""
+    unsure = F.col("body").rlike(r"https?://") & (F.col("score") < flow.SCORE_SURE)
+    enough = F.col("score") >= F.when(has_doi, flow.LEAST_WITH_DOI).otherwise(flow.LEAST_WITHOUT)
+    taken = flow.accepted(F.col("score"), has_doi, F.col("likeness"), fits)
+    outcome = F.when(F.col("kind").isNotNull(), F.col("kind")).when(F.col("item").isNull() | unsure | ~enough, "no match").when(taken, "lookup").otherwise("rejected")
+    met = met.withColumn("outcome", outcome)
+    found = F.when(numbered_style, formatters.plain(formatters.ama(F.col("item")))).otherwise(formatters.plain(formatters.apa(F.col("item"))))
+    read = F.when(numbered_style, by_rules.segments(F.col("body"), F.col("kind"), "ama")).otherwise(by_rules.segments(F.col("body"), F.col("kind"), "apa"))
+    text = F.when(F.col("outcome") == "lookup", found).otherwise(formatters.plain(read))
+    return met.select("doc_id", "para_no", "ref_style", "number", F.coalesce("kind", F.lit("article")).alias("kind"), "outcome", F.when(F.col("kind").isNull(), F.col("score")).alias("score"), numbered(F.col("number"), text).alias("formatted"))
+
+
 def bibliography_ids(runs: DataFrame) -> DataFrame:
     """(doc_id, para_no, ref_id, run_no): paragraphs in a numbered reference style with their id: the first number of a
     bib_number run, else what the paragraph begins with; a paragraph without a number is left out (run_no null if from the text)."""

@@ -1,4 +1,5 @@
-"""References that no look-up knows, by shape: books, chapters, theses, pages and articles read by the rule table, as styled segments.
+"""References that no look-up knows, by shape: books, chapters, theses, pages and articles read by the rule table, as styled segments; and whole
+bibliographies by scored candidates, with the rule table for what has none.
 
 References are built from parts in seven shapes of each style; the twins list what they were built of.
 """
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import fallback
+from marginalia.operators import structuring
 from marginalia.plans.sqlquery import run_sql, twin
 from marginalia.plans.styles import PARTS
 
@@ -52,8 +54,40 @@ def listed(shapes: list[tuple[str, str]]) -> str:
     return f"SELECT para_no, {cases(0)} AS segments, {cases(1)} AS text FROM ({twin(PARTS)})"
 
 
-QUERIES = {"fn53_ama_shapes": segments(AMA_LINES, "ama"), "fn53_apa_shapes": segments(APA_LINES, "apa")}
+#: References to one section of each document, numbered ones in their own style.
+BIBLIOGRAPHY = f"""SELECT DISTINCT doc_id, 0L AS para_no, 'Normal' AS style, '<ref-open>' AS text FROM ({PARTS}) UNION ALL
+SELECT doc_id, para_no, CASE k WHEN 6 THEN 'REF-N' ELSE 'REF-U' END AS style, CASE k
+  WHEN 3 THEN concat(a, ', J. (', y, '). ', p_name, ' (2nd ed.). New York: Springer.')
+  WHEN 6 THEN concat(z, '. ', a, ' J. ', p_name, '. Annals of ', c, '. ', y, ';3:1-9.')
+  ELSE concat(a, ', J. (', y, '). ', p_name, '. Annals of ', c, ', 3.') END AS text FROM ({PARTS})"""
+
+#: What a search gave for a title, by its length: itself, a longer title, a third or two thirds of it, nothing.
+FOUND = """SELECT upper(p_name) AS query, source, 1 AS cand_no, title, doi, named_struct('type', 'journal-article',
+  'author', transform(array('Smith', 'Jones', 'Brown', 'Garcia'), f -> named_struct('given', 'Ann', 'family', f)), 'title', title, 'container', 'Found Journal', 'volume', '9', 'issue', '1',
+  'page', '1-2', 'publisher', cast(NULL AS string), 'doi', doi, 'url', cast(NULL AS string), 'year', '1999') AS item
+FROM (SELECT DISTINCT p_name, CASE WHEN length(p_name) % 5 = 1 THEN 'pubmed' ELSE 'crossref' END AS source, CASE WHEN length(p_name) % 5 = 1 THEN '' ELSE '10.1/x' END AS doi,
+  trim(CASE length(p_name) % 5 WHEN 0 THEN p_name WHEN 1 THEN concat(p_name, ' again') WHEN 2 THEN substring(p_name, 1, length(p_name) div 3) ELSE substring(p_name, 1, length(p_name) * 2 div 3) END) AS title
+FROM {part} WHERE length(p_name) % 5 < 4)"""
+
+
+def enriched(spark: SparkSession, d: str) -> DataFrame:
+    return structuring.enriched(run_sql(spark, d, BIBLIOGRAPHY), run_sql(spark, d, FOUND))
+
+
+#: The twin of it: scores by lengths, acceptance by score, title and name.
+ENRICHED = f"""WITH f AS (SELECT *, CASE len(p_name) % 5 WHEN 0 THEN p_name WHEN 1 THEN p_name || ' again' WHEN 2 THEN trim(substring(p_name, 1, len(p_name) // 3)) WHEN 3 THEN trim(substring(p_name, 1, len(p_name) * 2 // 3)) END AS title,
+  len(p_name) % 5 <> 1 AS has_doi, a IN ('Smith', 'Jones', 'Brown') AS known FROM ({twin(PARTS)})),
+s AS (SELECT *, 2::DOUBLE * least(len(title), len(p_name)) / (len(title) + len(p_name)) AS sim FROM f), t AS (SELECT *, sim + CASE WHEN has_doi THEN 0.06::DOUBLE ELSE 0::DOUBLE END AS sc FROM s),
+o AS (SELECT *, CASE WHEN k = 3 THEN 'book' WHEN title IS NULL OR sc < CASE WHEN has_doi THEN 0.6 ELSE 0.75 END THEN 'no match' WHEN sim >= 0.4 AND (known OR (sim >= 0.8 AND sc >= 0.9)) THEN 'lookup' ELSE 'rejected' END AS outcome FROM t)
+SELECT doc_id, para_no, CASE k WHEN 6 THEN 'REF-N' ELSE 'REF-U' END AS ref_style, CASE k WHEN 6 THEN z END AS number, CASE k WHEN 3 THEN 'book' ELSE 'article' END AS kind, outcome, CASE WHEN k <> 3 AND sc >= 0.6 THEN round(sc, 6) END AS score,
+CASE WHEN outcome = 'lookup' AND k = 6 THEN z || '.' || chr(9) || 'Smith A, Jones A, Brown A, Garcia A. ' || title || '. Found Journal. 1999;9(1):1-2.' || CASE WHEN has_doi THEN ' doi:10.1/x' ELSE '' END
+WHEN outcome = 'lookup' THEN 'Smith, A., Jones, A., Brown, A., & Garcia, A. (1999). ' || title || '. Found Journal, 9(1), 1-2.' || CASE WHEN has_doi THEN ' https://doi.org/10.1/x' ELSE '' END
+WHEN k = 3 THEN a || ', J. (' || y || '). ' || p_name || ' (2nd ed.). New York: Springer.' WHEN k = 6 THEN z || '.' || chr(9) || a || ' J. ' || p_name || '. Annals of ' || c || '. ' || y || ';3:1-9.'
+ELSE a || ', J. (' || y || '). ' || p_name || '. Annals of ' || c || ', 3.' END AS formatted FROM o"""
+
+QUERIES = {"fn53_ama_shapes": segments(AMA_LINES, "ama"), "fn53_apa_shapes": segments(APA_LINES, "apa"), "pipe04_scored_references": enriched}
 ORACLES = {
+    "pipe04_scored_references": ENRICHED,
     "fn53_ama_shapes": listed([
         ("surname:{a}|fname:J|surname:{b}|fname:MK|book:{p_name}|editionno:3rd ed.|location:Town, ST|publisher:Press of {c}|year:{y}", "{a} J, {b} MK. {p_name}. 3rd ed. Town, ST: Press of {c}; {y}."),
         ("surname:{a}|fname:J|chaptertitle:{p_name}|ed-surname:{b}|ed-fname:J|ed-surname:{c}|ed-fname:T|book:{p_brand} at large|location:Town|publisher:Press|year:{y}|fpage:11|lpage:19", "{a} J. {p_name}. In: {b} J, {c} T, eds. {p_brand} at large. Town: Press; {y}:11-19."),
