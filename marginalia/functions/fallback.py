@@ -10,10 +10,14 @@ web page with a signed source is left out, as are blanks at either end; a year i
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SEGMENT = "array<struct<text:string,style:string>>"
+PARTS = "array<struct<before:string,group:int,after:string,style:string>>"
+RULES = f"array<struct<step:string,pattern:string,needs:string,of:string,head:int,no_year:boolean,kinds:array<string>,sets:array<string>,left:array<int>,parts:{PARTS},tail:{PARTS}>>"
 YEAR_GROUP = -1
 
 # Addresses, years, editions, editors, dates, pages, names, and the styles of segments.
@@ -94,20 +98,10 @@ APA = [
 ]
 
 
-def _parts(parts) -> Column:
-    made = [F.struct(F.lit(b).alias("before"), F.lit(g).alias("group"), F.lit(a).alias("after"), F.lit(s).alias("style")) for b, g, a, s in parts]
-    return F.array(*made) if made else F.array().cast("array<struct<before:string,group:int,after:string,style:string>>")
-
-
 def table(rules: list[dict]) -> Column:
     """The rules as one constant."""
-    strings = lambda xs: F.array(*map(F.lit, xs)) if xs else F.array().cast("array<string>")
-    numbers = lambda xs: F.array(*map(F.lit, xs)) if xs else F.array().cast("array<int>")
-    return F.array(*[
-        F.struct(*[F.lit(r[n]).alias(n) for n in ("step", "pattern", "needs", "of", "head", "no_year")], strings(r["kinds"]).alias("kinds"), strings(r["sets"]).alias("sets"),
-                 numbers(r["left"]).alias("left"), _parts(r["parts"]).alias("parts"), _parts(r["tail"]).alias("tail"))
-        for r in rules
-    ])
+    parts = lambda ps: [dict(zip(("before", "group", "after", "style"), p, strict=True)) for p in ps]
+    return F.from_json(F.lit(json.dumps([r | {"parts": parts(r["parts"]), "tail": parts(r["tail"])} for r in rules])), RULES)
 
 
 def _bound(value: Column, use) -> Column:

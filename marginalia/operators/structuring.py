@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import authoryear as A
 from marginalia.functions import fallback as by_rules
 from marginalia.functions import formatters
+from marginalia.functions.text import settled
 from marginalia.operators import flow, matching
 
 # Marks, headings that keep a section open, labels that close it, styles, numbers, links and years.
@@ -153,8 +154,10 @@ def enriched(paras: DataFrame, candidates: DataFrame) -> DataFrame:
     """
     numbered_style = F.col("ref_style") == "REF-N"
     parts = F.when(numbered_style, ama_parts(F.col("body"))).otherwise(apa_parts(F.col("body")))
-    rows = cleaned(section_paragraphs(paras))
-    rows = rows.withColumn("parts", parts).withColumn("kind", A.reference_type(F.col("body"))).withColumn("query", matching.plain_title(F.col("parts.title")))
+    keep = ["doc_id", "para_no", "ref_style", "number", "body"]
+    rows = settled(cleaned(section_paragraphs(paras)), keep[:2], **{n: F.col(n) for n in keep[2:]})
+    rows = settled(rows, keep, parts=parts, kind=A.reference_type(F.col("body")))
+    rows = settled(rows, [*keep, "parts", "kind"], query=matching.plain_title(F.col("parts.title")))
     asked = candidates.withColumn("query", matching.plain_title(F.col("query"))).where("query <> ''")
     wanted = asked.join(rows.where("kind IS NULL").select("query").distinct(), "query", "left_semi")
     best = matching.best_candidate(wanted)
@@ -168,7 +171,7 @@ def enriched(paras: DataFrame, candidates: DataFrame) -> DataFrame:
     enough = F.col("score") >= F.when(has_doi, flow.LEAST_WITH_DOI).otherwise(flow.LEAST_WITHOUT)
     taken = flow.accepted(F.col("score"), has_doi, F.col("likeness"), fits)
     outcome = F.when(F.col("kind").isNotNull(), F.col("kind")).when(F.col("item").isNull() | unsure | ~enough, "no match").when(taken, "lookup").otherwise("rejected")
-    met = met.withColumn("outcome", outcome)
+    met = settled(met, [*keep, "kind", "score", "item"], outcome=outcome)
     found = F.when(numbered_style, formatters.plain(formatters.ama(F.col("item")))).otherwise(formatters.plain(formatters.apa(F.col("item"))))
     read = F.when(numbered_style, by_rules.segments(F.col("body"), F.col("kind"), "ama")).otherwise(by_rules.segments(F.col("body"), F.col("kind"), "apa"))
     text = F.when(F.col("outcome") == "lookup", found).otherwise(formatters.plain(read))
