@@ -9,19 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.operators.assembly import escaped
 from marginalia.sources import docx
 from marginalia.sources.shipping import ship
 from marginalia.sources.tables import table
 
 NAMESPACE = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
-NOT_XML = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]"
-
-
-def escaped(text: Column) -> Column:
-    """Text as XML holds it; characters that XML can't hold are left out, carriage returns are spelt."""
-    for plain, spelt in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\r", "&#13;")):
-        text = F.replace(text, F.lit(plain), F.lit(spelt))
-    return F.regexp_replace(text, NOT_XML, "")
 
 
 def run(inner: Column | str) -> Column:
