@@ -32,12 +32,15 @@ def attribute(name: str, value: Column) -> Column:
 def assembled(nodes: DataFrame) -> DataFrame:
     """(doc_id, xml) of each document that has a root."""
     own = F.struct("parent_id", "place", "sub", "tag", F.coalesce("attributes", F.lit("")).alias("attributes"), escaped(F.coalesce("text", F.lit(""))).alias("text"))
-    nodes = nodes.select("doc_id", "node_id", "depth", own.alias("own"))
-    deepest = nodes.agg(F.max("depth").alias("d")).first()["d"]
-    no_child, no_own = F.lit(None).cast("struct<place:bigint,sub:bigint,node_id:string,xml:string>"), F.lit(None).cast(nodes.schema["own"].dataType)
+    # Nodes of a document stand in one row first, so that all levels share one exchange and the sources are read once for them.
+    each = nodes.select("doc_id", F.struct("node_id", "depth", own.alias("own")).alias("node"))
+    deepest = each.agg(F.max("node.depth").alias("d")).first()["d"]
+    no_child, no_own = F.lit(None).cast("struct<place:bigint,sub:bigint,node_id:string,xml:string>"), F.lit(None).cast(each.schema["node"].dataType["own"].dataType)
+    gathered = each.groupBy("doc_id").agg(F.collect_list("node").alias("nodes"))
     below, astray = None, None
     for depth in range(-1 if deepest is None else deepest, -1, -1):
-        here = nodes.where(F.col("depth") == depth).select("doc_id", "node_id", "own", no_child.alias("child"))
+        level = F.filter("nodes", lambda n: n["depth"] == depth)  # noqa: B023
+        here = gathered.select("doc_id", F.inline(level)).select("doc_id", "node_id", "own", no_child.alias("child"))
         for children in (below, astray if depth == 0 else None):
             here = here.unionByName(children) if children is not None else here
         if depth == 0:
