@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marginalia.functions import authoryear as A
+from marginalia.functions.text import settled
+from marginalia.operators import matching
 
 # Years as numbers alone, words before a citation, shapes of references and of citations that tell a style.
 PLAIN_YEAR = r"\b((?:19|20)\d{2})[a-z]?\b"
@@ -131,16 +133,33 @@ def loose_match(cites: DataFrame, refs: DataFrame) -> DataFrame:
     """(doc_id, cite_id, ref_pos): the first reference of the citation's document and year that has its first surname,
     holds its author's name, or has all of its words; null if none has.
 
-    An equi-join on document and year; what is compared is a document's references of one year.
+    Equal citations are looked up once, equal references once with their first place. Surnames meet by equality; a name within a reference is
+    found by its rarest run of characters, a set of words by its rarest word, each within document and year, so that no list of a frequent one is compared.
     """
     words = lambda c: F.array_distinct(F.array_except(F.regexp_extract_all(c, F.lit(r"\b[a-z]{2,}\b"), F.lit(0)), F.array(*map(F.lit, ("et", "al", "and", "the")))))
+    at, place = ["doc_id", "year"], F.min("ref_pos").alias("ref_pos")
     x = cites.select("doc_id", "cite_id", "year", F.btrim("author").alias("author"))
-    y = refs.select("doc_id", "ref_pos", "year", F.lower("full_author").alias("full"), A.first_surname(F.col("full_author")).alias("surname"))
-    low = F.lower("author")
-    same = (A.first_surname(F.col("author")) == F.col("surname")) & (F.col("surname") != "")
-    holds = F.col("full").contains(low)
-    subset = (F.size(words(low)) > 0) & (F.size(F.array_except(words(low), words(F.col("full")))) == 0)
-    hit = x.join(y, ["doc_id", "year"]).where(same | holds | subset).groupBy("doc_id", "cite_id").agg(F.min("ref_pos").alias("ref_pos"))
+    asked = x.select(*at, "author").distinct()
+    names = refs.groupBy(*at, "full_author").agg(place)
+    y = settled(names, [*at, "ref_pos"], whole=F.lower("full_author"), surname=A.first_surname(F.col("full_author")))
+
+    same = asked.withColumn("surname", A.first_surname(F.col("author"))).where("surname <> ''").join(y.groupBy(*at, "surname").agg(place), [*at, "surname"])
+    fulls = y.where("whole IS NOT NULL").groupBy(*at, "whole").agg(place)
+    named = asked.withColumn("part", F.lower("author"))
+    held = matching.containing(named, fulls, ("doc_id", "year")).join(fulls, [*at, "whole"]).groupBy(*at, "part").agg(place)
+    empty = named.where("part = ''").join(fulls.groupBy(*at).agg(place), at)  # is in every name
+
+    has = fulls.select(*at, "ref_pos", words(F.col("whole")).alias("has"))
+    posted = has.select(*at, "ref_pos", "has", F.explode("has").alias("word"))
+    rare = posted.groupBy(*at, "word").agg(F.count("*").alias("n"))
+    sets = named.select(*at, F.array_sort(words(F.col("part"))).alias("wants")).where(F.size("wants") > 0).distinct()
+    rarest = sets.withColumn("word", F.explode("wants")).join(rare, [*at, "word"], "left").groupBy(*at, "wants").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("r")).where("r.n > 0")
+    all_in = rarest.select(*at, "wants", F.col("r.word").alias("word")).join(posted, [*at, "word"]).where(F.size(F.array_except("wants", "has")) == 0).groupBy(*at, "wants").agg(place)
+    subset = named.withColumn("wants", F.array_sort(words(F.col("part")))).join(all_in, [*at, "wants"])
+
+    found = [r.select(*at, "author", "ref_pos") for r in (same, named.join(held, [*at, "part"]), empty, subset)]
+    best = found[0].union(found[1]).union(found[2]).union(found[3]).groupBy(*at, "author").agg(place)
+    hit = x.join(best, [*at, "author"]).groupBy("doc_id", "cite_id").agg(place)
     return x.select("doc_id", "cite_id").join(hit, ["doc_id", "cite_id"], "left")
 
 

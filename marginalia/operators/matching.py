@@ -132,20 +132,31 @@ def best_candidate(candidates: DataFrame, key: str = "query", floor: float = 0.6
     return out.where(F.col("b.score") >= floor).select(key, F.col("w.source").alias("source"), F.col("w.cand_no").alias("cand_no"), F.round("w.score", 6).alias("score"))
 
 
-def containing(parts: DataFrame, wholes: DataFrame) -> DataFrame:
-    """(part, whole): the pairs of distinct texts in which the whole holds the part, at any place; empty texts are in none.
+def containing(parts: DataFrame, wholes: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, part, whole): the pairs of distinct texts, of equal keys, in which the whole holds the part, at any place; empty texts are in none.
 
     Both sides are cut into runs of three characters (all runs of one and two as well, for parts that are shorter). A part is looked up by
     the one of its runs that the fewest wholes have, so no list of a frequent run is read; what is found is then compared.
     """
-    runs = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(n)))
     part, whole = F.col("part"), F.col("whole")
-    parts, wholes = parts.select("part").where("part <> ''").distinct(), wholes.select("whole").where("whole <> ''").distinct()
-    posted = wholes.select("whole", F.explode(F.array_distinct(F.concat(*[runs(whole, n) for n in (1, 2, 3)]))).alias("run"))
-    asked = parts.select("part", F.explode(F.when(F.length(part) < 3, F.array(part)).otherwise(F.array_distinct(runs(part, 3)))).alias("run"))
-    counts = posted.groupBy("run").agg(F.count("*").alias("n"))
-    rarest = asked.join(counts, "run", "left").groupBy("part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("r")).where("r.n > 0")
-    return rarest.select("part", F.col("r.run").alias("run")).join(posted, "run").where(F.contains(whole, part)).select("part", "whole")
+    parts, wholes = parts.select(*keys, "part").where("part <> ''").distinct(), wholes.select(*keys, "whole").where("whole <> ''").distinct()
+    return met_by_runs(parts.withColumn("needs", F.array("part")), wholes, keys).where(F.contains(whole, part)).select(*keys, "part", "whole")
+
+
+def runs_of(text: Column, n: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(n)))
+
+
+def met_by_runs(asked: DataFrame, wholes: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """`asked` (distinct rows; keys, needs: an array of texts) with each whole of its keys that has the one of their runs of characters that the fewest
+    wholes have. A whole that holds all `needs` is among them; empty ones ask for nothing."""
+    posted = wholes.select(*keys, "whole", F.explode(F.array_distinct(F.concat(*[runs_of(F.col("whole"), n) for n in (1, 2, 3)]))).alias("run"))
+    looked = F.flatten(F.transform("needs", lambda t: F.when(t == "", F.array().cast("array<string>")).when(F.length(t) < 3, F.array(t)).otherwise(runs_of(t, 3))))
+    own = [c for c in asked.columns if c not in keys]
+    counts = posted.groupBy(*keys, "run").agg(F.count("*").alias("n"))
+    rows = asked.withColumn("run", F.explode(F.array_distinct(looked))).join(counts, [*keys, "run"], "left")
+    rarest = rows.groupBy(*keys, *own).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("r")).where("r.n > 0")
+    return rarest.select(*keys, *own, F.col("r.run").alias("run")).join(posted, [*keys, "run"]).drop("run")
 
 
 def journal_short(items: DataFrame, names: DataFrame) -> DataFrame:
