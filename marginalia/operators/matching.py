@@ -11,20 +11,63 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from marginalia.functions.authoryear import citation_key, et_al_issue, normalized
-from marginalia.functions.text import spread
+from marginalia.functions.text import settled, spread
+from marginalia.sources.tables import dealt
 
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
 
 
+#: From this length of the later text on difflib leaves frequent characters out.
+JUNK_FROM = 200
+
+
+def alike_by(x: str, y: str, over: float = -1.0) -> float:
+    """difflib's ratio of the earlier and the later text, not symmetric; or `over` or less, by a bound, as soon as it can't be more.
+
+    Of short texts the longest run in common is found by looking up ever longer pieces of the earlier text, the first of equal ones in both.
+    """
+    if len(y) >= JUNK_FROM:
+        return difflib.SequenceMatcher(None, x, y).ratio()
+    total = len(x) + len(y)
+    if x == y or x in y or y in x:
+        return 2.0 * min(len(x), len(y)) / total if total else 1.0
+    same, most, todo = 0, min(len(x), len(y)), [(x, y)]
+    while todo:
+        a, b = todo.pop()
+        n = at = 0
+        for i in range(len(a)):
+            if i + n >= len(a):
+                break
+            while i + n < len(a) and a[i : i + n + 1] in b:
+                n, at = n + 1, i
+        if n:
+            j = b.find(a[at : at + n])
+            left, right = (a[:at], b[:j]), (a[at + n :], b[j + n :])
+            same += n
+            todo += [pair for pair in (left, right) if pair[0] and pair[1]]
+            most -= min(len(a), len(b)) - n - min(map(len, left)) - min(map(len, right))
+        else:
+            most -= min(len(a), len(b))
+        if 2.0 * most / total <= over:
+            return 2.0 * most / total
+    return 2.0 * same / total
+
+
 @F.pandas_udf(DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """difflib's ratio of the earlier and the later text; not symmetric, so keep their order."""
-    matcher, out = difflib.SequenceMatcher(None, "", ""), []
-    for x, y in zip(a, b, strict=True):
-        matcher.set_seqs(x or "", y or "")
-        out.append(matcher.ratio())
-    return pd.Series(out, dtype="float64")
+    return pd.Series([alike_by(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def ratio_over(least: float):
+    """As `ratio`, but texts that are not over `least` may get any value up to it."""
+
+    @F.pandas_udf(DoubleType())
+    def bounded(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([alike_by(x or "", y or "", least) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return bounded
 
 
 def words(author: Column) -> Column:
@@ -87,15 +130,17 @@ def duplicates(rows: DataFrame, block: list[str], pos: str, text: str, least: fl
     Before the ratio stand two bounds that no pair over `least` can pass: by lengths, and by letters in common.
     """
     low = F.btrim(F.regexp_replace(F.lower(text), r"\s+", " "))
-    bag = F.array(*[F.length(low) - F.length(F.replace(low, F.lit(c), F.lit(""))) for c in LETTERS], F.length(F.regexp_replace(low, f"[{LETTERS}]", "")))
-    rows = rows.withColumn("_low", low).withColumn("_bag", bag)
+    bag = lambda t: F.array(*[F.length(t) - F.length(F.replace(t, F.lit(c), F.lit(""))) for c in LETTERS], F.length(F.regexp_replace(t, f"[{LETTERS}]", "")))
+    rows = settled(dealt(rows, *block, pos), [*block, pos], _low=low)
+    rows = settled(rows.where(F.length("_low") > 0), [*block, pos, "_low"], _bag=bag(F.col("_low")))
     a = rows.select(*block, F.col(pos).alias("duplicate_of"), F.col("_low").alias("_a"), F.col("_bag").alias("_x"))
     b = rows.select(*block, F.col(pos).alias("id"), F.col("_low").alias("_b"), F.col("_bag").alias("_y"))
     shorter, longer = F.least(F.length("_a"), F.length("_b")), F.greatest(F.length("_a"), F.length("_b"))
-    pairs = a.join(b, block).where((F.col("duplicate_of") < F.col("id")) & (F.length("_a") > 0) & (F.length("_b") > 0) & (shorter / longer > least / (2 - least)))
+    # Sorted, not broadcast: the sizes that Spark guesses by are those of the files, and rows made from them can be many times as large.
+    pairs = a.join(b.hint("merge"), block).where((F.col("duplicate_of") < F.col("id")) & (shorter / longer > least / (2 - least)))
     common = F.aggregate(F.zip_with("_x", "_y", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     pairs = pairs.where(2 * common > least * (F.length("_a") + F.length("_b")))
-    return pairs.withColumn("ratio", ratio("_a", "_b")).where(F.col("ratio") > least).select(*block, "id", "duplicate_of", F.round(F.col("ratio") * 100, 1).alias("score"))
+    return pairs.withColumn("ratio", ratio_over(least)("_a", "_b")).where(F.col("ratio") > least).select(*block, "id", "duplicate_of", F.round(F.col("ratio") * 100, 1).alias("score"))
 
 
 def plain_title(text: Column) -> Column:

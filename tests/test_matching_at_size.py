@@ -1,8 +1,11 @@
 """Matching that meets by equal keys, not by all pairs; each would have taken minutes or a broadcast before."""
 
+import difflib
+import random
 import time
 
 from marginalia.functions.otherstyles import loose_match
+from marginalia.operators import matching
 
 
 def test_loose_matches_of_one_year(spark):
@@ -15,3 +18,27 @@ def test_loose_matches_of_one_year(spark):
     got = {r["cite_id"]: r["ref_pos"] for r in loose_match(cites, refs).collect()}
     assert got == {**{i: i for i in range(n)}, n: 0, n + 1: None, n + 2: n, n + 3: 7}
     assert time.time() - start < 60
+
+
+def test_duplicates_are_not_broadcast(spark):
+    rows = spark.createDataFrame([(1, i, f"A text of words number {i}") for i in range(20)], "doc long, pos long, text string")
+    found = matching.duplicates(rows, ["doc"], "pos", "text")
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 190
+
+
+def test_ratio_is_difflibs():
+    rng = random.Random(5)
+    for _ in range(3000):
+        letters = "abcdefgh"[: rng.choice((2, 3, 8))]
+        x = "".join(rng.choices(letters, k=rng.randint(0, 30)))
+        y = list(x)
+        for _ in range(rng.randint(0, 6)):
+            y.insert(rng.randint(0, len(y)), rng.choice(letters))
+        y = "".join(c for c in y if rng.random() > 0.1)
+        want = difflib.SequenceMatcher(None, x, y).ratio()
+        assert matching.alike_by(x, y) == want
+        bound = matching.alike_by(x, y, 0.85)
+        assert bound == want if want > 0.85 else bound <= 0.85
+    long = "x" * 250
+    assert matching.alike_by(long, long) == difflib.SequenceMatcher(None, long, long).ratio()
