@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marginalia.functions.text import spread
+from marginalia.operators import matching
+
 # The colour that stands over others, endings of files that go into an archive and their size, scores of acceptance.
 FIRST_COLOUR = "yellow"
 KEPT_ENDINGS = (".docx", ".txt", ".xlsx", ".html", ".pdf", ".zip")
@@ -110,14 +115,21 @@ def resolved_labels(cites: DataFrame, labels: DataFrame, key: str = "doc_id") ->
 def single_links(cites: DataFrame, references: DataFrame) -> DataFrame:
     """(cite, ref_id): citations (names, year) that exactly one reference line holds, names in order and then the year.
 
-    Citations meet the references of their year, and among these the lines that hold the first name, by pattern.
+    Equal citations are looked up once, equal lines once. Citations meet those lines of their year that have the rarest run of characters of
+    their names, and are compared with these by pattern; a name shorter than three characters counts as a run.
     """
-    quoted = F.transform(F.filter(F.split("names", r"[\s,.()]+"), lambda w: ~w.isin("", "and", "et", "al")), lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E")))
+    each = F.filter(F.split("names", r"[\s,.()]+"), lambda w: ~w.isin("", "and", "et", "al"))
+    quoted = F.transform(each, lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E")))
     pattern = F.concat(F.lit("(?is)"), F.array_join(quoted, ".*?"), F.lit(r".*?\b"), F.col("year"), F.lit(r"\b"))
+    small = lambda c: F.translate(c, ascii_uppercase, ascii_lowercase)  # noqa: E731  # the case that a pattern leaves out
     years = F.array_distinct(F.regexp_extract_all("line", F.lit(r"\b([0-9]{4})\b"), F.lit(1)))
-    lines = references.select("ref_id", "line", F.explode(years).alias("year"))
-    hits = cites.where(F.size(quoted) > 0).join(lines, "year").where(F.rlike("line", pattern))
-    return hits.groupBy("cite").agg(F.count("*").alias("n"), F.min("ref_id").alias("ref_id")).where("n = 1").select("cite", "ref_id")
+    lines = references.groupBy("line").agg(F.count("*").alias("n"), F.min("ref_id").alias("ref_id"))
+    lines = spread(lines, ["line", "n", "ref_id"], years, "year").withColumn("whole", small(F.col("line")))
+    asked = cites.where(F.size(quoted) > 0).select("names", "year").distinct()
+    met = matching.met_by_runs(asked.withColumn("needs", F.transform(each, small)), lines.select("year", "whole").distinct(), ("year",))
+    hits = met.join(lines, ["year", "whole"]).where(F.rlike("line", pattern)).groupBy("names", "year").agg(F.sum("n").alias("n"), F.min("ref_id").alias("ref_id"))
+    links = cites.select("cite", "names", "year").join(hits, ["names", "year"]).groupBy("cite").agg(F.sum("n").alias("n"), F.min("ref_id").alias("ref_id"))
+    return links.where("n = 1").select("cite", "ref_id")
 
 
 def first_pages(heads: DataFrame, pages: DataFrame) -> DataFrame:

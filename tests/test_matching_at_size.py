@@ -5,7 +5,7 @@ import random
 import time
 
 from marginalia.functions.otherstyles import loose_match
-from marginalia.operators import matching
+from marginalia.operators import flow, matching
 
 
 def test_loose_matches_of_one_year(spark):
@@ -42,3 +42,12 @@ def test_ratio_is_difflibs():
         assert bound == want if want > 0.85 else bound <= 0.85
     long = "x" * 250
     assert matching.alike_by(long, long) == difflib.SequenceMatcher(None, long, long).ratio()
+
+
+def test_single_links_of_one_year(spark):
+    n = 6000
+    asks = spark.createDataFrame([(i, f"Nation{i:05d} and Nation{i:05d}q", "1999") for i in range(n)] + [(n, "nAtion00003", "1999"), (n + 1, "Nobody", "1999"), (n + 2, "Nation", "1999"), (n + 3, "and", "1999")], "cite long, names string, year string")
+    refs = spark.createDataFrame([(i, f"Dr Nation{i:05d}, Nation{i:05d}Q, 1999") for i in range(n)], "ref_id long, line string")
+    start = time.time()
+    assert {r["cite"]: r["ref_id"] for r in flow.single_links(asks, refs).collect()} == {**{i: i for i in range(n)}, n: 3}
+    assert time.time() - start < 60
