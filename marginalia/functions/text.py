@@ -73,10 +73,10 @@ def n_words(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"[ \t\n]+"), lambda x: x != "")).cast("long")
 
 
-def pages_by_words(paras: DataFrame) -> DataFrame:
-    """Page of each paragraph from the words before it."""
+def pages_by_words(paras: DataFrame, *keep: str) -> DataFrame:
+    """Page of each paragraph from the words before it; columns to `keep` come along."""
     before = F.sum(n_words(F.col("text"))).over(W.partitionBy("doc_id").orderBy("para_no").rowsBetween(W.unboundedPreceding, -1))
-    return paras.select("doc_id", "para_no", F.greatest(F.lit(1), F.ceil(F.coalesce(before, F.lit(0)) / WORDS_A_PAGE)).cast("long").alias("page"))
+    return paras.select("doc_id", "para_no", *keep, F.greatest(F.lit(1), F.ceil(F.coalesce(before, F.lit(0)) / WORDS_A_PAGE)).cast("long").alias("page"))
 
 
 def pages_by_breaks(paras: DataFrame, breaks: Column) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from itertools import accumulate
 from string import ascii_lowercase, ascii_uppercase
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from marginalia.functions.text import spread
 from marginalia.operators import matching
@@ -132,18 +136,53 @@ def single_links(cites: DataFrame, references: DataFrame) -> DataFrame:
     return links.where("n = 1").select("cite", "ref_id")
 
 
+def first_holding(heads: list[str | None], texts: list[str | None], pages: list[int | None]) -> list[int | None]:
+    """The least page whose text holds each head.
+
+    A text that holds a head has the head's inner words between blanks, so texts are looked up by the rarest of these; of a head without inner
+    words the longest one is looked up within the distinct words of all texts. What is found is compared in the order of pages.
+    """
+    order = sorted((page, text) for page, text in zip(pages, texts, strict=True) if page is not None and text is not None)
+    having: dict[str, list[int]] = {}
+    for at, (_, text) in enumerate(order):
+        for word in set(text.split(" ")):
+            having.setdefault(word, []).append(at)
+    starts, line = list(accumulate((len(w) + 1 for w in having), initial=0)), " ".join(having)
+    words = list(having)
+
+    def within(part: str) -> list[int]:
+        found, at = set(), line.find(part)
+        while at >= 0:
+            k = bisect_right(starts, at) - 1
+            found.update(having[words[k]])
+            at = line.find(part, starts[k + 1])
+        return sorted(found)
+
+    def first(head: str) -> int | None:
+        every = head.split(" ")
+        inner = [w for w in every[1:-1] if w]
+        longest = max(every, key=len)
+        some = min((having.get(w, []) for w in inner), key=len) if inner else within(longest) if longest else range(len(order))
+        return next((order[at][0] for at in some if head in order[at][1]), None)
+
+    known = {head: first(head) for head in set(heads) if head is not None}
+    return [known.get(head) for head in heads]
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _first_holding(heads: pd.Series, texts: pd.Series, pages: pd.Series) -> pd.Series:
+    whole = lambda xs: [None if x is None or x != x else int(x) for x in xs]
+    return pd.Series([first_holding(list(h), list(t), whole(p)) for h, t, p in zip(heads, texts, pages, strict=True)], dtype=object)
+
+
 def first_pages(heads: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, para_no, sent_no, page): the first page of the document whose text (page_text) holds a head.
 
-    A text that holds a head has its inner words between blanks, so heads meet texts on their longest one; only heads
-    of two words or fewer are compared with every text of their document.
+    Heads and texts of a document come together once, and its heads are looked up there: a task holds a document's text, not a text for each word.
     """
-    words = F.split("head", " ")
-    inner = F.when(F.size(words) > 2, F.slice(words, F.lit(2), F.size(words) - 2)).otherwise(F.array().cast("array<string>"))
-    longest = F.array_max(F.transform(F.filter(inner, lambda w: w != ""), lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))["word"]
-    keyed = heads.withColumn("_word", longest)
-    each = pages.withColumn("_word", F.explode(F.array_distinct(F.split("page_text", " "))))
-    met = keyed.where("_word IS NOT NULL").join(each, ["doc_id", "_word"]).drop("_word")
-    bare = keyed.where("_word IS NULL").drop("_word").join(pages, "doc_id")
-    hits = met.unionByName(bare).where(F.col("page_text").contains(F.col("head")))
-    return hits.groupBy("doc_id", "para_no", "sent_no").agg(F.min("page").alias("page"))
+    field = lambda rows, name: F.transform(rows, lambda x: x[name])
+    asked = heads.groupBy("doc_id").agg(F.collect_list(F.struct("para_no", "sent_no", "head")).alias("_heads"))
+    said = pages.groupBy("doc_id").agg(F.collect_list(F.struct("page", "page_text")).alias("_pages"))
+    found = asked.join(said.hint("merge"), "doc_id").withColumn("_page", _first_holding(field("_heads", "head"), field("_pages", "page_text"), field("_pages", "page")))
+    each = found.select("doc_id", F.inline(F.arrays_zip(field("_heads", "para_no").alias("para_no"), field("_heads", "sent_no").alias("sent_no"), F.col("_page").alias("page"))))
+    return each.where("page IS NOT NULL").groupBy("doc_id", "para_no", "sent_no").agg(F.min("page").alias("page"))

@@ -72,7 +72,7 @@ def sentence_pages(spark: SparkSession, d: str) -> DataFrame:
     """The first page whose text holds a sentence's first sixty characters, within a document."""
     paras = T.paragraphs(table(spark, d, "documents").select("doc_id", "text"))
     each = T.sentences(paras).where("trim(sentence) <> ''").select("doc_id", "para_no", "sent_no", F.substring("sentence", 1, 60).alias("head"))
-    pages = paras.join(T.pages_by_words(paras), ["doc_id", "para_no"]).select("doc_id", "page", F.col("text").alias("page_text"))
+    pages = T.pages_by_words(paras, "text").select("doc_id", "page", F.col("text").alias("page_text"))
     return L.first_pages(each, pages)
 
 

@@ -51,3 +51,20 @@ def test_single_links_of_one_year(spark):
     start = time.time()
     assert {r["cite"]: r["ref_id"] for r in flow.single_links(asks, refs).collect()} == {**{i: i for i in range(n)}, n: 3}
     assert time.time() - start < 60
+
+
+def test_first_pages_take_a_text_once(spark):
+    """Texts are not repeated for their words; heads of few words, of blanks, of one text's and of the next one's words as by comparing all."""
+    rng = random.Random(4)
+    said = ["to", "be", "or", "not", "t", "", "tobe", "."]
+    line = lambda n: " ".join(rng.choices(said, k=n))
+    pages = [(d, rng.randint(1, 5), line(8) if rng.random() > 0.05 else None) for d in range(4) for _ in range(12)]
+    heads = [(d, p, 0, line(rng.randint(0, 4))) for d in range(5) for p in range(60)] + [(1, 99, 0, None)]
+    got = flow.first_pages(spark.createDataFrame(heads, "doc_id long, para_no long, sent_no long, head string"), spark.createDataFrame(pages, "doc_id long, page long, page_text string"))
+    want = {}
+    for d, p, _, head in heads:
+        own = [page for doc, page, text in pages if doc == d and text is not None and head is not None and head in text]
+        want |= {(d, p): min(own)} if own else {}
+    assert {(r["doc_id"], r["para_no"]): r["page"] for r in got.collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(page_text" not in plan
