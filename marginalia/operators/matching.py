@@ -80,32 +80,35 @@ def match_citations(cites: DataFrame, refs: DataFrame) -> DataFrame:
     cites: doc_id, cite_id, author, year. refs: doc_id, ref_pos, author, year, full_author, abbreviations.
     Ways within a year: exact key, abbreviation, smart (equal when normalised, name before a bracketed
     abbreviation, et al. on the first name, all words among the reference's). Then the same author in another
-    year, then a spelling over 0.8 alike. A bibliography is as large as a document's, so pairs stay few.
+    year, then a spelling over 0.8 alike. A bibliography is as large as a document's, so pairs stay few. Citations of a document that say the
+    same are matched once, and names are normalised once a row, not once a pair.
     """
+    said = ["doc_id", "author", "year"]
+    lead = normalized(F.regexp_extract("author", r"^(.*?)\s*\[.*?\]", 1))
+    asked = settled(settled(cites.select(*said).distinct(), said, c=normalized(F.col("author")), prefix=lead, key=citation_key(F.col("author"), F.col("year"))), [*said, "c", "prefix", "key"], has=words(F.col("c")))
     r = refs.select(F.col("doc_id").alias("r_doc"), "ref_pos", F.col("author").alias("r_author"), F.col("year").alias("r_year"), F.coalesce("full_author", "author").alias("full"), "abbreviations")
-    pair = cites.join(r, F.col("doc_id") == F.col("r_doc"), "left")
-    c, f = normalized(F.col("author")), normalized(F.col("full"))
-    same_year = F.col("year") == F.col("r_year")
-    prefix = normalized(F.regexp_extract("author", r"^(.*?)\s*\[.*?\]", 1))
-    smart = (c == f) | ((prefix != "") & (prefix == f)) | (c.contains("et al") & (F.split_part(c, F.lit(" "), F.lit(1)) == F.split_part(f, F.lit(" "), F.lit(1)))) | ((F.size(words(c)) > 1) & (F.size(F.array_except(words(c), words(f))) == 0))
-    rank = (
-        F.when(citation_key(F.col("author"), F.col("year")) == citation_key(F.col("r_author"), F.col("r_year")), 1)
-        .when(same_year & F.array_contains("abbreviations", F.btrim("author")), 2)
-        .when(same_year & smart, 3)
-        .when(c == normalized(F.col("r_author")), 4)
-    )
-    ranked = pair.withColumn("rank", rank)
-    order = W.partitionBy("doc_id", "cite_id").orderBy(F.col("rank").isNull(), "rank", "ref_pos")
-    best = ranked.withColumn("_n", F.row_number().over(order)).where("_n = 1")
-    firm = best.where("rank IS NOT NULL").select("doc_id", "cite_id", "ref_pos", F.element_at(F.array(*map(F.lit, ("exact", "abbreviation", "smart", "year mismatch"))), F.col("rank").cast("int")).alias("how"))
-    rest = pair.join(best.where("rank IS NULL").select("doc_id", "cite_id"), ["doc_id", "cite_id"], "left_semi")
-    a, b = normalized(F.col("author")), normalized(F.col("r_author"))
+    own = ["r_doc", "ref_pos", "r_year", "abbreviations"]
+    r = settled(r, own, f=normalized(F.col("full")), r_c=normalized(F.col("r_author")), r_key=citation_key(F.col("r_author"), F.col("r_year")))
+    r = settled(r, [*own, "f", "r_c", "r_key"], r_has=words(F.col("f")))
+    pair = asked.join(r, F.col("doc_id") == F.col("r_doc"))
+    same_year, first = F.col("year") == F.col("r_year"), lambda c: F.split_part(c, F.lit(" "), F.lit(1))
+    c, f = F.col("c"), F.col("f")
+    smart = (c == f) | ((F.col("prefix") != "") & (F.col("prefix") == f)) | (c.contains("et al") & (first(c) == first(f))) | ((F.size("has") > 1) & (F.size(F.array_except("has", "r_has")) == 0))
+    rank = F.when(F.col("key") == F.col("r_key"), 1).when(same_year & F.array_contains("abbreviations", F.btrim("author")), 2).when(same_year & smart, 3).when(c == F.col("r_c"), 4)
+    best = lambda kind, unlike: F.struct(kind.cast("int").alias("kind"), unlike.cast("double").alias("unlike"), "ref_pos")
+    firm = pair.withColumn("rank", rank).where("rank IS NOT NULL").groupBy(*said).agg(F.min(best(F.col("rank"), F.lit(0))).alias("best"))
+    known = firm.select(*[F.col(k).alias(f"k_{k}") for k in said])
+    equal = lambda other: [F.col(k).eqNullSafe(F.col(f"{other}_{k}")) for k in said]
+    rest = asked.join(known, equal("k"), "left_anti").join(r, F.col("doc_id") == F.col("r_doc"))
+    a, b = F.col("c"), F.col("r_c")
     banded = rest.where((F.least(F.length(a), F.length(b)) / F.greatest(F.length(a), F.length(b), F.lit(1))) > 0.8 / 1.2)
-    near = banded.withColumn("ratio", ratio(a, b)).where("ratio > 0.8")
-    pick = W.partitionBy("doc_id", "cite_id").orderBy(F.desc("ratio"), "ref_pos")
-    spelt = near.withColumn("_n", F.row_number().over(pick)).where("_n = 1").select("doc_id", "cite_id", "ref_pos", F.lit("spelling").alias("how"))
-    found = firm.unionByName(spelt)
-    return cites.select("doc_id", "cite_id").join(found, ["doc_id", "cite_id"], "left").select("doc_id", "cite_id", "ref_pos", F.coalesce("how", F.lit("missing")).alias("how"))
+    near = banded.withColumn("ratio", ratio_over(0.8)(a, b)).where("ratio > 0.8")
+    spelt = near.groupBy(*said).agg(F.min(best(F.lit(5), -F.col("ratio"))).alias("best"))
+    each = firm.unionByName(spelt).select(*[F.col(k).alias(f"e_{k}") for k in said], "best")
+    found = cites.join(each, equal("e")).groupBy("doc_id", "cite_id").agg(F.min("best").alias("best"))
+    how = F.when(F.col("best.ref_pos").isNull(), "missing").when(F.col("best.kind") == 1, "exact").when(F.col("best.kind") == 2, "abbreviation").when(F.col("best.kind") == 3, "smart")
+    how = how.when(F.col("best.kind") == 4, "year mismatch").when(F.col("best.kind") == 5, "spelling").otherwise("missing")
+    return cites.select("doc_id", "cite_id").join(found, ["doc_id", "cite_id"], "left").select("doc_id", "cite_id", "best.ref_pos", how.alias("how"))
 
 
 def validation(cites: DataFrame, refs: DataFrame) -> DataFrame:

@@ -68,3 +68,15 @@ def test_first_pages_take_a_text_once(spark):
     assert {(r["doc_id"], r["para_no"]): r["page"] for r in got.collect()} == want
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "split(page_text" not in plan
+
+
+def test_equal_citations_are_matched_once(spark):
+    """4,000 citations of one text and 4,000 references: each reference is met once, not by every citation."""
+    n = 4000
+    cites = spark.range(n).selectExpr("1L AS doc_id", "id AS cite_id", "'Smyth and Browne' AS author", "'1999' AS year")
+    refs = spark.range(n).selectExpr("1L AS doc_id", "id AS ref_pos", "concat('Other & Name', id) AS author", "'1999' AS year", "concat('Other, A., & Name', id) AS full_author", "cast(array() AS array<string>) AS abbreviations")
+    refs = refs.union(spark.sql("SELECT 1L, 5000L, 'Smythe and Browne', '1999', 'Smythe, A., & Browne, B.', cast(array() AS array<string>)"))
+    start = time.time()
+    got = matching.match_citations(cites, refs).groupBy("how", "ref_pos").count().collect()
+    assert [tuple(r) for r in got] == [("spelling", 5000, n)]
+    assert time.time() - start < 60
