@@ -13,6 +13,7 @@ from marginalia.functions import fallback
 from marginalia.operators import structuring
 from marginalia.plans.sqlquery import run_sql, twin
 from marginalia.plans.styles import PARTS
+from marginalia.sources.tables import dealt
 
 AMA_LINES = f"""SELECT para_no, element_at(array('book', 'edited_book', 'thesis', 'web', 'article', 'article', 'book'), cast(k + 1 AS int)) AS kind, CASE k
   WHEN 0 THEN concat(a, ' J, ', b, ' MK. ', p_name, '. 3rd ed.  Town, ST: Press of ', c, '; ', y, '.')
@@ -35,7 +36,7 @@ APA_LINES = f"""SELECT para_no, element_at(array('book', 'edited_book', 'thesis'
 
 def segments(lines: str, style: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        found = run_sql(spark, d, lines).select("para_no", fallback.segments(F.col("line"), F.col("kind"), style).alias("s"))
+        found = dealt(run_sql(spark, d, lines), "para_no").select("para_no", fallback.segments(F.col("line"), F.col("kind"), style).alias("s"))
         styled = F.transform(F.filter("s", lambda s: s["style"].isNotNull()), lambda s: F.concat(F.replace(s["style"], F.lit("bib_"), F.lit("")), F.lit(":"), s["text"]))
         return found.select("para_no", F.array_join(styled, "|").alias("segments"), F.array_join(F.transform("s", lambda s: s["text"]), "").alias("text"))
 

@@ -6,6 +6,7 @@ import time
 
 from marginalia.functions.otherstyles import loose_match
 from marginalia.operators import flow, matching
+from marginalia.plans import registry
 
 
 def test_loose_matches_of_one_year(spark):
@@ -80,3 +81,9 @@ def test_equal_citations_are_matched_once(spark):
     got = matching.match_citations(cites, refs).groupBy("how", "ref_pos").count().collect()
     assert [tuple(r) for r in got] == [("spelling", 5000, n)]
     assert time.time() - start < 60
+
+
+def test_heavy_rows_of_one_file_are_dealt_out(spark, small):
+    for name in ("fn53_ama_shapes", "fn53_apa_shapes"):
+        plan = registry.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_COL" in plan
