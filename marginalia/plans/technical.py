@@ -17,7 +17,7 @@ from marginalia.operators import highlighting as H
 from marginalia.plans import manuscript as M
 from marginalia.plans.sqlquery import run_sql, twin
 from marginalia.plans.styles import PARTS
-from marginalia.sources.tables import table
+from marginalia.sources.tables import dealt, table
 
 P = twin(PARTS)
 
@@ -137,9 +137,13 @@ def runs_of_segments(spark: SparkSession, d: str) -> DataFrame:
     return reports.segment_runs(rows, ["id"], "segments").select("id", F.col("run_no").cast("long").alias("run_no"), "text", "style")
 
 
+def marked(spark: SparkSession, d: str) -> DataFrame:
+    return dealt(run_sql(spark, d, MARKED), "doc_id", "para_no")
+
+
 def comment_marks(spark: SparkSession, d: str) -> DataFrame:
     """What is marked in the bodies of comments, which have no style to leave alone."""
-    return H.highlights(run_sql(spark, d, MARKED).withColumn("style", F.lit(None).cast("string")))
+    return H.highlights(marked(spark, d).withColumn("style", F.lit(None).cast("string")))
 
 
 def united_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -207,7 +211,7 @@ QUERIES = {
     "fn76_italic_segments": lambda s, d: H.italic_segments(run_sql(s, d, ITALIC), ["id"]).select("id", *[F.col(c).cast("long").alias(c) for c in ("run_no", "part_no")], "text", "colour"),
     "prj11_plain_paragraphs": lambda s, d: H.not_skipped(run_sql(s, d, MARKED)).select("doc_id", "para_no"),
     "prj14_free_runs": lambda s, d: H.free_runs(run_sql(s, d, PLAIN_RUNS), run_sql(s, d, MARKS), ["id"]).select("id", F.col("run_no").cast("long").alias("run_no")),
-    "fn77_pipe08_highlights": lambda s, d: H.highlights(run_sql(s, d, MARKED)),
+    "fn77_pipe08_highlights": lambda s, d: H.highlights(marked(s, d)),
     "fn72_contexts": contexts,
     "fn82_comment_marks": comment_marks,
     "set09_united_ids": united_ids,

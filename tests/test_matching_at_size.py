@@ -84,6 +84,6 @@ def test_equal_citations_are_matched_once(spark):
 
 
 def test_heavy_rows_of_one_file_are_dealt_out(spark, small):
-    for name in ("fn53_ama_shapes", "fn53_apa_shapes"):
+    for name in ("fn53_ama_shapes", "fn53_apa_shapes", "fn77_pipe08_highlights", "fn82_comment_marks"):
         plan = registry.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
         assert "REPARTITION_BY_COL" in plan
