@@ -29,12 +29,13 @@ def attribute(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f' {name}="'), F.replace(escaped(value.cast("string")), F.lit('"'), F.lit("&quot;")), F.lit('"')), F.lit(""))
 
 
-def assembled(nodes: DataFrame) -> DataFrame:
-    """(doc_id, xml) of each document that has a root."""
+def assembled(nodes: DataFrame, deepest: int | None = None) -> DataFrame:
+    """(doc_id, xml) of each document that has a root. `deepest`: a depth that no node is below; without it all nodes are made once more to find it."""
     own = F.struct("parent_id", "place", "sub", "tag", F.coalesce("attributes", F.lit("")).alias("attributes"), escaped(F.coalesce("text", F.lit(""))).alias("text"))
     # Nodes of a document stand in one row first, so that all levels share one exchange and the sources are read once for them.
     each = nodes.select("doc_id", F.struct("node_id", "depth", own.alias("own")).alias("node"))
-    deepest = each.agg(F.max("node.depth").alias("d")).first()["d"]
+    if deepest is None:
+        deepest = each.agg(F.max("node.depth").alias("d")).first()["d"]
     no_child, no_own = F.lit(None).cast("struct<place:bigint,sub:bigint,node_id:string,xml:string>"), F.lit(None).cast(each.schema["node"].dataType["own"].dataType)
     gathered = each.groupBy("doc_id").agg(F.collect_list("node").alias("nodes"))
     below, astray = None, None
@@ -62,11 +63,10 @@ def floated(nodes: DataFrame, floats: DataFrame, cites: DataFrame) -> DataFrame:
     """`nodes` and the floats among them: each beside the first node of its document that cites it, or at the end of the root.
 
     floats: doc_id, node_id, tag, attributes, text. cites: doc_id, float_id, node_id. A float takes the parent and place of that node, after it; several of a place go by their ids.
-    A float cited from inside a table stands there, in the cell.
+    A float cited from inside a table stands there, in the cell. One that is not cited has depth 1 and so needs no parent's name.
     """
     at = cites.join(nodes.select("doc_id", "node_id", "parent_id", "depth", "place"), ["doc_id", "node_id"])
     first = at.groupBy("doc_id", F.col("float_id").alias("node_id")).agg(F.min(F.struct("place", "depth", "parent_id")).alias("f"))
-    roots = nodes.where("depth = 0").groupBy("doc_id").agg(F.min("node_id").alias("root"))
-    put = floats.join(first, ["doc_id", "node_id"], "left").join(roots, "doc_id")
-    where = [F.coalesce("f.parent_id", "root").alias("parent_id"), F.coalesce("f.depth", F.lit(1)).cast("int").alias("depth"), F.coalesce("f.place", F.lit(2**61)).cast("long").alias("place"), F.lit(1).cast("long").alias("sub")]
+    put = floats.where("doc_id IS NOT NULL").join(first, ["doc_id", "node_id"], "left")
+    where = [F.col("f.parent_id").alias("parent_id"), F.coalesce("f.depth", F.lit(1)).cast("int").alias("depth"), F.coalesce("f.place", F.lit(2**61)).cast("long").alias("place"), F.lit(1).cast("long").alias("sub")]
     return nodes.select(*NODE).unionByName(put.select("doc_id", "node_id", *where, "tag", "attributes", "text"))

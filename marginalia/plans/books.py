@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from xml.etree import ElementTree
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from marginalia.operators import assembly
 from marginalia.plans.sqlquery import run_sql
+from marginalia.sources.shipping import ship
 
 #: A node's columns but for its document.
 NODES = """SELECT doc_id, n.* FROM (SELECT doc_id, line, k FROM {documents} LATERAL VIEW posexplode(split(text, '\\n')) t AS k, line) LATERAL VIEW explode(filter(array(
@@ -17,19 +22,36 @@ NODES = """SELECT doc_id, n.* FROM (SELECT doc_id, line, k FROM {documents} LATE
   named_struct('node_id', concat('p', k), 'parent_id', concat(CASE k % 7 WHEN 3 THEN 't' WHEN 5 THEN 'u' ELSE 's' END, CASE WHEN k % 7 IN (3, 5) THEN k ELSE k div 10 END), 'depth', CASE k % 7 WHEN 3 THEN 3 WHEN 5 THEN 4 ELSE 2 END,
     'place', cast(k AS bigint), 'sub', 0L, 'tag', 'p', 'attributes', concat(' id="p', k, '"'), 'text', line)), n -> n.node_id IS NOT NULL)) u AS n"""
 
+#: The depth of lines in tables of tables; figures stand beside lines.
+DEEPEST = 4
+
 FIGURES = """SELECT doc_id, concat('f', k) AS node_id, 'fig' AS tag, concat(' id="f', k, '"') AS attributes, line AS text FROM {documents} LATERAL VIEW posexplode(split(text, '\\n')) t AS k, line WHERE k % 9 = 4"""
 CITES = """SELECT doc_id, concat('f', k - back) AS float_id, concat('p', k) AS node_id FROM {documents} LATERAL VIEW posexplode(split(text, '\\n')) t AS k, line LATERAL VIEW explode(array(3, 5)) b AS back WHERE k >= back AND (k - back) % 9 = 4"""
 
 
 def books(spark: SparkSession, d: str) -> DataFrame:
     nodes, figures, cites = (run_sql(spark, d, text) for text in (NODES, FIGURES, CITES))
-    return assembly.assembled(assembly.floated(nodes, figures, cites))
+    return assembly.assembled(assembly.floated(nodes, figures, cites), DEEPEST)
+
+
+FOUND = ["paras", "tables", "sections", "figures"]
+
+
+@F.pandas_udf(StructType([StructField(name, LongType()) for name in FOUND]))
+def found(xml: pd.Series) -> pd.DataFrame:
+    """What a reader of XML finds in each text, which is read once."""
+
+    def one(text: str) -> tuple[int, int, int, int]:
+        top = ElementTree.fromstring(text)
+        paras, tables, figures = (sum(1 for _ in top.iter(tag)) for tag in ("p", "table", "fig"))
+        return paras, tables, len(top.findall("sec")), figures
+
+    return pd.DataFrame([one(text) for text in xml], columns=FOUND)
 
 
 def counted(spark: SparkSession, d: str) -> DataFrame:
     """What a reader of XML finds in the books."""
-    count = lambda path: F.expr(f"xpath_int(xml, 'count({path})')").cast("long")
-    return books(spark, d).select("doc_id", count("//p").alias("paras"), count("//table").alias("tables"), count("/book/sec").alias("sections"), count("//fig").alias("figures"))
+    return books(ship(spark), d).select("doc_id", found("xml").alias("n")).select("doc_id", "n.*")
 
 
 LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k, len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL"

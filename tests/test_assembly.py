@@ -3,6 +3,7 @@
 from xml.etree import ElementTree
 
 from marginalia.operators import assembly
+from marginalia.plans import books
 
 NODE = "doc_id long, node_id string, parent_id string, depth int, place long, sub long, tag string, attributes string, text string"
 FLOAT = "doc_id long, node_id string, tag string, attributes string, text string"
@@ -27,8 +28,17 @@ def test_floats_after_their_first_citation(spark):
 
 
 def test_books_are_well_formed(spark, small):
-    from marginalia.plans import books
-
     for row in books.books(spark, small).collect():
         ids = [e.get("id") for e in ElementTree.fromstring(row["xml"]).iter() if e.get("id")]
         assert len(ids) == len(set(ids)) > 0
+
+
+def test_books_are_made_and_read_once(spark, small, monkeypatch):
+    """Nothing is asked to find the depth, nothing joined to find the roots, and a book is parsed once for all its counts."""
+    with monkeypatch.context() as m:
+        m.setattr(type(spark.range(1)), "first", None)
+        made = books.counted(spark, small)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "xpath" not in plan(made)
+    assert plan(assembly.floated(*(books.run_sql(spark, small, q) for q in (books.NODES, books.FIGURES, books.CITES)))).count("Join ") == 2
+    assert books.run_sql(spark, small, books.NODES).agg({"depth": "max"}).first()[0] == books.DEEPEST
