@@ -52,7 +52,7 @@ def read(rows, *columns: str):
     """A query: `rows` of the packages of all documents, named by document."""
 
     def ask(spark: SparkSession, d: str) -> DataFrame:
-        found = docx.packages(written(table(ship(spark), d, "documents")))
+        found = docx.packages(written(table(ship(spark), d, "documents")), with_runs=False)
         return rows(found).select(F.col("path").cast("long").alias("doc_id"), *columns)
 
     return ask

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -28,7 +29,15 @@ RUN = "struct<run_no:bigint,style:string,text:string,highlighted:boolean,italic:
 PARAGRAPH = f"struct<para_no:bigint,style:string,text:string,depth:int,page_breaks:bigint,runs:array<{RUN}>>"
 COMMENT = "struct<comment_no:bigint,author:string,text:string>"
 PACKAGE = f"path string, paragraphs array<{PARAGRAPH}>, comments array<{COMMENT}>, images long, footnotes long, endnotes long, sections long, error string"
-COLUMNS = "path paragraphs comments images footnotes endnotes sections error".split()
+RUNLESS = PACKAGE.replace(f",runs:array<{RUN}>", "")
+
+# The same as Arrow has it, so that rows go to Spark without a frame of objects between.
+_RUN = pa.struct({"run_no": pa.int64(), "style": pa.string(), "text": pa.string(), "highlighted": pa.bool_(), "italic": pa.bool_(), "struck": pa.bool_(), "hidden": pa.bool_()})
+_PARAGRAPH = {"para_no": pa.int64(), "style": pa.string(), "text": pa.string(), "depth": pa.int32(), "page_breaks": pa.int64()}
+_COMMENT = pa.struct({"comment_no": pa.int64(), "author": pa.string(), "text": pa.string()})
+_COUNTS = {name: pa.int64() for name in ("images", "footnotes", "endnotes", "sections")}
+#: Bytes of packages whose rows a task holds at once, as packed texts grow when unpacked; a larger package is held alone.
+HELD = 1 << 20
 UNREADABLE = (zipfile.BadZipFile, KeyError, ElementTree.ParseError, zlib.error, EOFError, NotImplementedError, RuntimeError, UnicodeDecodeError, AttributeError)
 
 
@@ -64,13 +73,14 @@ def run_of(number: int, run, names: dict) -> tuple:
     return number, names.get(style, style), text_under(run), is_on(run, "highlight"), is_on(run, "i"), is_on(run, "strike", "dstrike"), is_on(run, "vanish")
 
 
-def paragraph_of(number: int, p, depth: int, names: dict) -> tuple:
+def paragraph_of(number: int, p, depth: int, names: dict, with_runs: bool = True) -> tuple:
     breaks = sum(b.get(f"{W}type") == "page" for b in p.iter(f"{W}br")) + sum(1 for _ in p.iter(f"{W}lastRenderedPageBreak"))
-    return number, style_of(p, "p") or "Normal", text_under(p), depth, breaks, [run_of(j, run, names) for j, run in enumerate(p.findall(f"{W}r"), 1)]
+    own = number, style_of(p, "p") or "Normal", text_under(p), depth, breaks
+    return (*own, [run_of(j, run, names) for j, run in enumerate(p.findall(f"{W}r"), 1)]) if with_runs else own
 
 
-def package(path: str, content: bytes | None) -> tuple:
-    """The columns of `PACKAGE` for one file, from one unpacking."""
+def package(path: str, content: bytes | None, with_runs: bool = True) -> tuple:
+    """The columns of `PACKAGE` (or `RUNLESS`) for one file, from one unpacking."""
     try:
         with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
             has = set(z.namelist())
@@ -82,7 +92,7 @@ def package(path: str, content: bytes | None) -> tuple:
             raise KeyError("no body")
         named = ((s.get(f"{W}styleId"), s.find(f"{W}name")) for s in (styles.iter(f"{W}style") if len(styles) else ()))
         names = {k: n.get(f"{W}val") for k, n in named if n is not None}
-        paragraphs = [paragraph_of(i, p, depth, names) for i, (p, depth) in enumerate(body_paragraphs(body), 1)]
+        paragraphs = [paragraph_of(i, p, depth, names, with_runs) for i, (p, depth) in enumerate(body_paragraphs(body), 1)]
         said = enumerate(comments.iter(f"{W}comment") if len(comments) else (), 1)
         notes = [(i, c.get(f"{W}author", "Unknown"), "".join(t.text or "" for t in c.iter(f"{W}t"))) for i, c in said]
         count = lambda tag: sum(1 for _ in document.iter(f"{W}{tag}"))
@@ -92,22 +102,26 @@ def package(path: str, content: bytes | None) -> tuple:
         return path, None, None, None, None, None, None, f"{type(why).__name__}: {why}"
 
 
-def packages(files: DataFrame) -> DataFrame:
-    """A row of `PACKAGE` for each of the `files` (path, content); a stream of files gives a stream."""
+def packages(files: DataFrame, with_runs: bool = True) -> DataFrame:
+    """A row of `PACKAGE` for each of the `files` (path, content), of `RUNLESS` for readers that ask for no runs; a stream of files gives a stream."""
+    paragraph = pa.struct(_PARAGRAPH | ({"runs": pa.list_(_RUN)} if with_runs else {}))
+    schema = pa.schema({"path": pa.string(), "paragraphs": pa.list_(paragraph), "comments": pa.list_(_COMMENT)} | _COUNTS | {"error": pa.string()})
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        together = lambda out: pa.record_batch([pa.array(values, f.type) for values, f in zip(zip(*out, strict=True), schema, strict=True)], schema)
         for b in batches:
             out, size = [], 0
-            for path, content in zip(b["path"], b["content"], strict=True):
-                out.append(package(path, content))
+            for path, content in zip(b.column("path"), b.column("content"), strict=True):
+                content = content.as_py()
+                out.append(package(path.as_py(), content, with_runs))
                 size += len(content or b"")
-                if size > 1 << 22:  # packed texts grow when unpacked, so few go into a frame
-                    yield pd.DataFrame(out, columns=COLUMNS)
+                if size > HELD:
+                    yield together(out)
                     out, size = [], 0
             if out:
-                yield pd.DataFrame(out, columns=COLUMNS)
+                yield together(out)
 
-    return files.select("path", "content").mapInPandas(rows, PACKAGE)
+    return files.select("path", "content").mapInArrow(rows, PACKAGE if with_runs else RUNLESS)
 
 
 def binary_files(reader, path: str) -> DataFrame:

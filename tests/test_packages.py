@@ -77,3 +77,10 @@ def test_a_stream_of_files_reads_each_once(spark, tmp_path):
 
     assert pour("a.docx") == ["a.docx"]
     assert pour("b.docx") == ["a.docx", "b.docx"]
+
+
+def test_readers_without_runs_make_none(spark):
+    files = spark.createDataFrame([("a", package(f"<w:body>{p('one')}<w:tbl><w:tr><w:tc>{p('two')}</w:tc></w:tr></w:tbl></w:body>"))], "path string, content binary")
+    bare, whole = docx.packages(files, with_runs=False), docx.packages(files)
+    assert "runs" not in bare.schema.simpleString() and docx.runs(whole).count() == 2
+    assert docx.paragraphs(bare).collect() == docx.paragraphs(whole).collect()
