@@ -43,26 +43,33 @@ def stirred(x: np.ndarray) -> np.ndarray:
 
 
 class Code:
-    """A Huffman code: the nodes and bits on each symbol's path, step by step."""
-
-    def __init__(self, counts: np.ndarray):
-        order, least = count(), counts.sum() / (1 << 14) + 1  # a floor, which bounds the paths
-        heap = [(max(float(c), float(least)), next(order), s) for s, c in enumerate(counts)]
-        heapq.heapify(heap)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            heapq.heappush(heap, (a[0] + b[0], next(order), (a[2], b[2])))
-        paths, todo, nodes = {}, [(heap[0][2], [])], count()
-        while todo:
-            tree, path = todo.pop()
-            if isinstance(tree, int):
-                paths[tree] = path
-                continue
-            own = next(nodes)
-            todo += [(tree[bit], [*path, (own, bit)]) for bit in (0, 1)]
-        self.length = np.array([len(paths[s]) for s in range(len(counts))])
-        self.rank = (self.length.max() - self.length).astype(np.uint8)  # longest first; bytes sort fast
-        self.node = np.zeros((self.length.max(), len(counts)), np.int64)
+    """A Huffman code: the nodes and bits on each symbol's path, step by step.
+
+    With `groups`, each group of symbols has a tree of its own: a symbol is told within its group, and one that is alone in it by no bit.
+    """
+
+    def __init__(self, counts: np.ndarray, groups: np.ndarray | None = None):
+        paths, nodes = {}, count()
+        by_group = np.argsort(np.zeros(len(counts)) if groups is None else groups, kind="stable")
+        cuts = [] if groups is None else np.flatnonzero(np.diff(groups[by_group])) + 1
+        for members in np.split(by_group, cuts):
+            order, least = count(), counts[members].sum() / (1 << 14) + 1  # a floor, which bounds the paths
+            heap = [(max(float(counts[s]), float(least)), next(order), s) for s in members.tolist()]
+            heapq.heapify(heap)
+            while len(heap) > 1:
+                a, b = heapq.heappop(heap), heapq.heappop(heap)
+                heapq.heappush(heap, (a[0] + b[0], next(order), (a[2], b[2])))
+            todo = [(heap[0][2], [])] if heap else []
+            while todo:
+                tree, path = todo.pop()
+                if isinstance(tree, int):
+                    paths[tree] = path
+                    continue
+                own = next(nodes)
+                todo += [(tree[bit], [*path, (own, bit)]) for bit in (0, 1)]
+        self.length = np.array([len(paths[s]) for s in range(len(counts))], np.int64)
+        self.rank = (self.length.max(initial=0) - self.length).astype(np.uint8)  # longest first; bytes sort fast
+        self.node = np.zeros((self.length.max(initial=0), len(counts)), np.int64)
         self.bit = np.zeros(self.node.shape, np.int64)
         for s, path in paths.items():
             for t, (own, bit) in enumerate(path):

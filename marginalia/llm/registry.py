@@ -51,7 +51,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.score(documents(spark, sf_dir).select("doc_id", "text"))
+    return scoring.score(documents(spark, sf_dir).select("doc_id", "text"), mixed_words=True)
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,13 @@
 """Language-model scores of documents by context mixing, in total bits per byte.
 
 A document is its kind (its language, by the function words it holds most, or none), its words (A-Z in lower case) and
-one end. Two mixers of hashed-context bit predictors (mixing.py) code it:
+one end. Mixers of hashed-context bit predictors (mixing.py) code it:
 
 - The flow codes for each word, and for the end, a class: words by how frequent they are in the kind (by powers of 4),
   down to 1 / 65536 of all words, or rare. Its contexts run across words: the place in the text, the classes of the one
-  and two words before, the word before itself. Which word of its class comes is told by the words' frequencies.
+  and two words before, the word before itself.
+- Which frequent word of its class comes is coded by a third mixer (`mixed_words`): a Huffman path for each class of a kind, under the class and
+  under the word before. Without it the words' frequencies tell.
 - Rare words fall into smaller classes by how often the kind has them, never being one (the escape). A word that no
   training document has is spelt byte by byte, by contexts of up to 5 bytes within the word and its kind. What the
   spelling would give to words that are known is taken out, so that nothing is lost on them.
@@ -21,7 +23,7 @@ A null id counts as the empty text when held-out documents are chosen. Equal row
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,11 +55,11 @@ NOVEL, ELSEWHERE, RARE_CLASSES = 0, 1, 64
 URN = 4.0
 
 SPELL_ORDERS = (2, 3, 4, 5)
-FLOW_PREDICTORS = 5
+FLOW_PREDICTORS, WORD_PREDICTORS = 5, 2
 #: Events that a task holds before it passes them on.
 HELD_EVENTS = 1 << 21
 #: Bounds of the slots that go to tasks for each predictor.
-SPELL_BITS, FLOW_BITS = (12, 20), (12, 19)
+SPELL_BITS, FLOW_BITS, WORD_BITS = (12, 20), (12, 19), (12, 20)
 
 
 def kinds(offsets: np.ndarray, codes: np.ndarray, words: pa.Array) -> np.ndarray:
@@ -159,8 +161,8 @@ class Frequent:
         self.classes = np.append(classes, RARE)
         self.apart = np.append(apart, RARE)  # the class with an occurrence taken out
 
-    def flow(self, kind: np.ndarray, offsets: np.ndarray, codes: np.ndarray, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(text, surroundings, class, class with this occurrence taken out) of each word and end."""
+    def flow(self, kind: np.ndarray, offsets: np.ndarray, codes: np.ndarray, words: pa.Array) -> tuple[np.ndarray, ...]:
+        """(text, surroundings, class, class with this occurrence taken out, place from 1 on among the frequent words or 0) of each word and end."""
         at = pc.fill_null(pc.index_in(words, value_set=self.words), len(self.words)).to_numpy().astype(np.int64)[codes]
         n = np.diff(offsets) + 1
         stops = np.cumsum(n)
@@ -177,7 +179,7 @@ class Frequent:
             prior[back:] = own[:-back]
             packed |= np.where(place >= back, prior, BEGIN) << shift
         packed[1:] |= np.where(place[1:] > 0, index[:-1], 0)
-        return text, packed.astype(U32), own, apart
+        return text, packed.astype(U32), own, apart, index
 
 
 def views(packed: np.ndarray) -> np.ndarray:
@@ -185,6 +187,14 @@ def views(packed: np.ndarray) -> np.ndarray:
     return np.stack([stirred(stirred(((packed & v) + U32(k)) * ODD)) for k, v in enumerate(VIEWS)])
 
 
+def each_once(event: np.ndarray, value: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The value of each event, worked out once for equal ones."""
+    coded = pa.array(event).dictionary_encode()
+    distinct = coded.dictionary.to_numpy()
+    runs = (distinct[at : at + PASS] for at in range(0, len(distinct), PASS))
+    return np.concatenate([np.zeros(0), *map(value, runs)])[coded.indices.to_numpy()]
+
+
 def flow_events(b: pa.RecordBatch) -> Iterator[Events]:
     event, times = b.column("event").to_numpy(), b.column("n").to_numpy()
     for at in range(0, len(event), PASS):
@@ -192,8 +202,11 @@ def flow_events(b: pa.RecordBatch) -> Iterator[Events]:
         yield views((own & 0xFFFFFFFF).astype(U32)), own >> 32, times[at : at + PASS].astype(np.int64)
 
 
-def flow_counts(docs: DataFrame, train: str, frequent: Frequent) -> DataFrame:
-    """(event, n): how often each class follows each surroundings in training documents; an event is class << 32 | surroundings."""
+def flow_counts(docs: DataFrame, train: str, frequent: Frequent, mixed_words: bool = False) -> DataFrame:
+    """(event, n): how often each class follows each surroundings in training documents; an event is class << 32 | surroundings.
+
+    With `mixed_words` those of frequent words too (word_events), from WORD on.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,8 +222,10 @@ def flow_counts(docs: DataFrame, train: str, frequent: Frequent) -> DataFrame:
             offsets, codes, words = split_words(b.column("text"), lower=True)
             kind = kinds(offsets, codes, words)
             codes, words = with_kinds(kind, offsets, codes, words)
-            _, packed, _, apart = shared.value.flow(kind, offsets, codes, words)
+            _, packed, _, apart, index = shared.value.flow(kind, offsets, codes, words)
             held.append(np.unique(apart << 32 | packed.astype(np.int64), return_counts=True))
+            if mixed_words:
+                held.append(np.unique(WORD + followed(packed, index)[1], return_counts=True))
             if sum(len(e) for e, _ in held) > HELD_EVENTS:
                 yield together()
         if held:
@@ -228,6 +243,37 @@ def flow_model(events: DataFrame) -> Mixer:
     return learn_model(rows, flow_events, Code(total), FLOW_PREDICTORS, slot_bits(events.count(), FLOW_BITS))
 
 
+# --- frequent words within their classes --------------------------------------------------------------------
+
+#: What is added to events of words, to tell them from those of classes.
+WORD = 1 << 62
+
+
+def followed(packed: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(token, event) for each frequent word: its place from 0 on (17 bits) and that of the word before from 1 on (17)."""
+    token = np.flatnonzero(index)
+    return token, (index[token] - 1) << 17 | (packed[token] & PREV).astype(np.int64)
+
+
+def word_contexts(event: np.ndarray) -> np.ndarray:
+    """A hash for each predictor: none but the class (which the nodes of its tree tell), and the word before."""
+    prior = (event & int(PREV)).astype(U32)
+    return np.stack([stirred(stirred((x + U32(k)) * ODD)) for k, x in enumerate((np.zeros_like(prior), prior))])
+
+
+def word_events(b: pa.RecordBatch) -> Iterator[Events]:
+    event, times = b.column("event").to_numpy(), b.column("n").to_numpy()
+    for at in range(0, len(event), PASS):
+        own = event[at : at + PASS] - WORD
+        yield word_contexts(own), own >> 17, times[at : at + PASS].astype(np.int64)
+
+
+def word_model(events: DataFrame, counts: np.ndarray, groups: np.ndarray) -> Mixer:
+    """The mixer of frequent words, each told within its group (its kind and class)."""
+    rows = events.select("event", "n", F.xxhash64("event").alias("key"))
+    return learn_model(rows, word_events, Code(counts, groups), WORD_PREDICTORS, slot_bits(events.count(), WORD_BITS))
+
+
 # --- documents -------------------------------------------------------------------------------------------
 
 
@@ -291,11 +337,12 @@ def urn_log10(counts: list[Column], shares: np.ndarray, kind: Column) -> Column:
     return out / F.lit(float(np.log(10)))
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, mixed_words: bool = False) -> DataFrame:
     """doc_id, held_out, n_bytes, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for each document.
 
     Documents with crc32(doc_id as text) mod 10 = 0 are held out; the others are learnt from. base_score is
-    the smoothed frequency model's log10 probability, score the mixers'.
+    the smoothed frequency model's log10 probability, score the mixers'. `mixed_words`: which frequent word of its class
+    comes is coded by a mixer too, not told by frequencies.
     """
     sc = docs.sparkSession.sparkContext
     held = "crc32(coalesce(cast(doc_id as string), '')) % 10 = 0"
@@ -330,21 +377,28 @@ def score(docs: DataFrame) -> DataFrame:
     v = valued.where("first AND in_all > 0").count() + int(texts_n > 0)
 
     # The flow.
-    head = seen.where("cls > 64").select("word", "cls", "apart").orderBy("word").toArrow().combine_chunks()
+    head = seen.where("cls > 64").select("word", "cls", "apart", "n_train").orderBy("word").toArrow().combine_chunks()
     symbol = lambda c: (lambda x: np.where(x > 64, x - 64, RARE))(head.column(c).to_numpy().astype(np.int64))
     frequent = Frequent(head.column("word").combine_chunks(), symbol("cls"), symbol("apart"))
-    flow = sc.broadcast((frequent, flow_model(written(flow_counts(docs, f"NOT {held}", frequent), "flow"))))
+    events, words_model = written(flow_counts(docs, f"NOT {held}", frequent, mixed_words), "flow"), None
+    if mixed_words:
+        own_kind = pc.cast(pc.utf8_slice_codeunits(frequent.words, 0, 1), pa.int64()).to_numpy()
+        words_model = word_model(events.where(F.col("event") >= WORD), head.column("n_train").to_numpy(), own_kind * SYMBOLS + frequent.classes[:-1])
+    flow = sc.broadcast((frequent, flow_model(events.where(F.col("event") < WORD)), words_model))
 
     def flow_log10(kind: np.ndarray, offsets: np.ndarray, codes: np.ndarray, words: pa.Array) -> np.ndarray:
-        frequent, model = flow.value
-        text, packed, own, _ = frequent.flow(kind, offsets, codes, words)
-        event, which = np.unique(own << 32 | packed.astype(np.int64), return_inverse=True)  # each is scored once
-        runs = (event[at : at + PASS] for at in range(0, len(event), PASS))
-        each = np.concatenate([np.zeros(0), *(model.log10(views((e & 0xFFFFFFFF).astype(U32)), e >> 32) for e in runs)])
-        return np.bincount(text, each[which], len(kind))
+        frequent, model, words_model = flow.value
+        text, packed, own, _, index = frequent.flow(kind, offsets, codes, words)
+        out = np.bincount(text, each_once(own << 32 | packed.astype(np.int64), lambda e: model.log10(views((e & 0xFFFFFFFF).astype(U32)), e >> 32)), len(kind))
+        if words_model is not None:
+            token, event = followed(packed, index)
+            out += np.bincount(text[token], each_once(event, lambda e: words_model.log10(word_contexts(e), e >> 17)), len(kind))
+        return out
 
     share = lambda c: F.log10((c + F.lit(0.1)) / F.lit(all_n + 0.1 * (v + 1)))
     lm = shares.log10(F.col("cls"), weight, F.col("in_all"), F.col("spelt"))
+    if mixed_words:
+        lm = F.when(F.col("cls") > 64, 0.0).otherwise(lm)
     values = {
         "known": (F.col("in_all") > 0).cast("double"),
         "elsewhere": (F.col("cls") == ELSEWHERE).cast("double"),
