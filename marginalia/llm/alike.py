@@ -1,4 +1,8 @@
-"""Near copies by Jaccard similarity of word shingles: candidates from MinHash bands, each verified exactly.
+"""Near copies by SimHash and by Jaccard similarity of word shingles: candidates from MinHash bands, each verified exactly.
+
+With a `radius`, documents whose SimHash fingerprints of the same shingles differ in so many bits or fewer are linked, found by the byte-position
+index of simhash.py. Sets of a similarity of 0.8 can differ in 14 bits, where that index would offer a fixed share of all pairs; those links are found by MinHash
+and join the same components, so neither way loses what the other finds.
 
 A document is its set of five-word shingles. 160 minima in 32 bands of 5 are posted for each distinct set; a pair
 of similarity s meets in some band with chance 1 - (1 - s^5)^32, which is 0.999997 at 0.8 and more above. Every link
@@ -26,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import row_key, unused, written
 from .components import components
 from .decontam import shingle_hashes, word_hashes
+from .simhash import fingerprint, links
 from .words import split_words
 
 BANDS, ROWS = 32, 5
@@ -55,8 +60,8 @@ def bands(own: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """(doc_id, text_key, sig, bands): sig names the shingle set."""
+def sketches(docs: DataFrame, shingle: int = 5, fingerprints: bool = False) -> DataFrame:
+    """(doc_id, text_key, sig, bands): sig names the shingle set; with `fingerprints` also fp, the text's SimHash as a signed 64-bit integer."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -66,9 +71,23 @@ def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
             sig = np.fromiter((xxh64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64)
             keys = pa.array(np.concatenate([*map(bands, sets), np.zeros(0, np.int64)]))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), keys)
-            yield pa.record_batch({"doc_id": b.column("doc_id"), "text_key": b.column("text_key"), "sig": sig, "bands": lists})
+            out = {"doc_id": b.column("doc_id"), "text_key": b.column("text_key"), "sig": sig, "bands": lists}
+            if fingerprints:
+                out["fp"] = np.array([fingerprint(t.as_py(), shingle) for t in b.column("text")], np.uint64).view(np.int64)
+            yield pa.record_batch(out)
+
+    schema = "doc_id long, text_key long, sig long, bands array<long>" + (", fp long" if fingerprints else "")
+    return docs.select(*row_key(), "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(each, schema)
+
 
-    return docs.select(*row_key(), "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(each, "doc_id long, text_key long, sig long, bands array<long>")
+def near_fingerprints(each: DataFrame, radius: int) -> DataFrame:
+    """(a, b): links between sets some of whose texts have fingerprints within `radius` bits, each by the least set of its fingerprint."""
+    told = written(each.select("sig", "fp").distinct(), "fingerprints")
+    heads = written(told.groupBy("fp").agg(F.min("sig").alias("head")), "heads")
+    equal = told.join(heads, "fp").where("sig <> head").select(F.col("sig").alias("a"), F.col("head").alias("b"))
+    x, y = heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), heads.select(F.col("fp").alias("b"), F.col("head").alias("y"))
+    close = links(heads.select("fp"), radius).join(x, "a").join(y, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return equal.union(close).distinct()
 
 
 def whole_sets(docs: DataFrame, reps: DataFrame, sigs: DataFrame, shingle: int) -> DataFrame:
@@ -135,9 +154,9 @@ def _forest(group: pd.DataFrame, least: float) -> pd.DataFrame:
     return pd.DataFrame({"a": sig[moved], "b": sig[label[moved]]})
 
 
-def groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, list_limit: int = 32, block: int = 256) -> DataFrame:
-    """(doc_id, text_key, root): every row, with the least set that links of similarity `least` or more reach."""
-    each = written(sketches(docs, shingle), "sketches")
+def groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, list_limit: int = 32, block: int = 256, radius: int | None = None) -> DataFrame:
+    """(doc_id, text_key, root): every row, with the least set that links of similarity `least` or more, or of fingerprints within `radius` bits, reach."""
+    each = written(sketches(docs, shingle, radius is not None), "sketches")
     reps = written(each.groupBy("sig").agg(F.min("text_key").alias("rep"), F.first("bands").alias("bands")), "sets")
     posted = reps.select("sig", F.explode("bands").alias("key"))
     sizes = posted.groupBy("key").agg(F.count("*").alias("n"), F.min("sig").alias("head")).where("n > 1")
@@ -150,7 +169,8 @@ def groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, list_limit: in
     pairs = written(met.union(star).distinct(), "pairs")
     named = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
     sets = written(whole_sets(docs, reps, named, shingle), "whole")
-    found = written(verified(pairs, sets, least), "links")
+    alike = verified(pairs, sets, least)
+    found = written(alike if radius is None else alike.union(near_fingerprints(each, radius)), "links")
     roots = written(components(found), "roots")
 
     # Long lists that are in several parts still.
