@@ -17,30 +17,35 @@ def coloured(runs: DataFrame, spans: DataFrame, ranked: list[str] = RANKED) -> D
 
     runs: doc_id, para_no, run_no, text, whose texts in the order of run_no make up the paragraph. spans: doc_id, para_no, start, end (code
     points of the paragraph, from 0), colour. Where spans overlap, the colour that comes later in `ranked` shows; other colours don't.
-    Edges are put in one order with the runs' beginnings; how many spans of each colour are open is a running sum, so the sweep keeps a
-    number a colour, however many spans overlap. Spans that are empty, turned round or beyond the text colour nothing; empty and null runs give no rows.
+    A sweep over the edges of a paragraph alone, which are few, keeps a running sum a colour, however many spans overlap, and leaves the places where
+    what shows changes. These and the runs' beginnings are put in one order, in which a change cuts the run that it falls into: each piece is a segment.
+    Spans that are empty, turned round or beyond the text colour nothing; empty and null runs give no rows.
     """
-    order = W.partitionBy(*KEYS).orderBy("run_no")
     size = F.length("text")
-    placed = runs.where(size > 0).select(*KEYS, "run_no", "text", (F.sum(size).over(order) - size).alias("at"))
-    depth = lambda c, step: F.when(F.col("colour") == c, step).otherwise(0).alias(c)
+    begun = F.sum(size).over(W.partitionBy(*KEYS).orderBy("run_no")) - size
+    placed = runs.where(size > 0).select(*KEYS, "run_no", "text", begun.cast("long").alias("at"))
     own = spans.where(F.col("end") > F.col("start")).where(F.col("colour").isin(ranked))
-    edges = own.select(*KEYS, F.greatest("start", F.lit(0)).alias("at"), *[depth(c, 1) for c in ranked]).unionByName(own.select(*KEYS, F.col("end").alias("at"), *[depth(c, -1) for c in ranked]))
-    steps = edges.groupBy(*KEYS, "at").agg(*[F.sum(c).alias(c) for c in ranked])
-    begins = placed.select(*KEYS, "at", "run_no", (F.col("at") + size).alias("stop"))
-    both = begins.join(steps, [*KEYS, "at"], "full")
-    sofar = W.partitionBy(*KEYS).orderBy("at").rowsBetween(W.unboundedPreceding, 0)
-    top = F.coalesce(*[F.when(F.sum(F.coalesce(c, F.lit(0))).over(sofar) > 0, c) for c in reversed(ranked)])
-    last = lambda c: F.last(c, ignorenulls=True).over(sofar)
-    following = F.lead("at").over(W.partitionBy(*KEYS).orderBy("at"))
-    swept = both.select(*KEYS, "at", last("run_no").alias("run_no"), last("stop").alias("stop"), top.alias("colour"), following.alias("next"))
-    cut = swept.select("*", F.least("stop", F.coalesce("next", F.col("stop"))).alias("to")).where("run_no IS NOT NULL AND to > at")
-    within = W.partitionBy(*KEYS, "run_no").orderBy("at")
-    changes = cut.withColumn("new", F.when(F.row_number().over(within) == 1, 0).when(F.lag("colour").over(within).eqNullSafe(F.col("colour")), 0).otherwise(1))
-    numbered = changes.withColumn("seg_no", F.sum("new").over(within))
-    each = numbered.groupBy(*KEYS, "run_no", "seg_no").agg(F.min("at").alias("from"), F.max("to").alias("to"), F.first("colour").alias("colour"))
-    # The texts are met once a run, not once an edge.
-    rows = each.groupBy(*KEYS, "run_no").agg(F.collect_list(F.struct("seg_no", "from", "to", "colour")).alias("segments")).join(placed, [*KEYS, "run_no"])
-    out = rows.select(*KEYS, "run_no", "text", "at", F.explode("segments").alias("s"))
-    piece = F.substr("text", (F.col("s.from") - F.col("at") + 1).cast("int"), (F.col("s.to") - F.col("s.from")).cast("int"))
-    return out.select(*KEYS, "run_no", F.col("s.seg_no").cast("long").alias("seg_no"), piece.alias("text"), "s.colour")
+    rank = F.array_position(F.array(*map(F.lit, ranked)), F.col("colour"))
+    ends = F.array(F.struct(F.greatest("start", F.lit(0)).cast("long").alias("at"), F.lit(1).alias("step")), F.struct(F.col("end").cast("long").alias("at"), F.lit(-1).alias("step")))
+    edges = own.select(*KEYS, rank.alias("rank"), F.explode(ends).alias("e")).select(*KEYS, "rank", "e.at", "e.step")
+    steps = edges.groupBy(*KEYS, "at").agg(*[F.sum(F.when(F.col("rank") == k, F.col("step")).otherwise(0)).alias(f"c{k}") for k in range(1, len(ranked) + 1)])
+    in_order = W.partitionBy(*KEYS).orderBy("at")
+    open_ = [F.when(F.sum(f"c{k}").over(in_order.rowsBetween(W.unboundedPreceding, 0)) > 0, c) for k, c in reversed(list(enumerate(ranked, 1)))]
+    shown = steps.select(*KEYS, "at", F.coalesce(*open_).alias("colour"))
+    changes = shown.withColumn("before", F.lag("colour").over(in_order)).where("NOT colour <=> before").select(*KEYS, "at", "colour")
+
+    # A change at the place where a run begins comes before the run, so that it cuts nothing.
+    text_none, run_none = F.lit(None).cast("string").alias("text"), F.lit(None).cast(runs.schema["run_no"].dataType).alias("run_no")
+    both = placed.select(*KEYS, "at", F.lit(True).alias("is_run"), "run_no", "text", F.lit(None).cast("string").alias("colour")).unionByName(
+        changes.select(*KEYS, "at", F.lit(False).alias("is_run"), run_none, text_none, "colour")
+    )
+    by_place = W.partitionBy(*KEYS).orderBy("at", "is_run")
+    sofar = by_place.rowsBetween(W.unboundedPreceding, 0)
+    last = lambda c, of: F.last(F.when(of, c), ignorenulls=True).over(sofar)
+    run, is_run = F.struct("run_no", "text", "at", "row"), F.col("is_run")
+    numbered = both.withColumn("row", F.row_number().over(by_place))
+    swept = numbered.select(*KEYS, "at", "row", last(run, is_run).alias("r"), last(F.struct("colour"), ~is_run)["colour"].alias("colour"), F.lead("at").over(by_place).alias("next"))
+    stop = F.col("r.at") + F.length("r.text")
+    cut = swept.where("r IS NOT NULL").withColumn("to", F.least(stop, F.coalesce("next", stop))).where("to > at")
+    piece = F.substr("r.text", (F.col("at") - F.col("r.at") + 1).cast("int"), (F.col("to") - F.col("at")).cast("int"))
+    return cut.select(*KEYS, "r.run_no", (F.col("row") - F.col("r.row")).cast("long").alias("seg_no"), piece.alias("text"), "colour")
