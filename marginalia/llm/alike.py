@@ -1,7 +1,7 @@
 """Near copies by SimHash and by Jaccard similarity of word shingles: candidates from MinHash bands, each verified exactly.
 
-With a `radius`, documents whose SimHash fingerprints of the same shingles differ in so many bits or fewer are linked, found by the byte-position
-index of simhash.py. Sets of a similarity of 0.8 can differ in 14 bits, where that index would offer a fixed share of all pairs; those links are found by MinHash
+With a `radius`, documents whose SimHash fingerprints of the same shingles differ in so many bits or fewer, found by the byte-position
+index of simhash.py, are candidates too, and verified likewise. Sets of a similarity of 0.8 can differ in 14 bits, where that index would offer a fixed share of all pairs; those are found by MinHash
 and join the same components, so neither way loses what the other finds.
 
 A document is its set of five-word shingles. 160 minima in 32 bands of 5 are posted for each distinct set; a pair
@@ -155,7 +155,7 @@ def _forest(group: pd.DataFrame, least: float) -> pd.DataFrame:
 
 
 def groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, list_limit: int = 32, block: int = 256, radius: int | None = None) -> DataFrame:
-    """(doc_id, text_key, root): every row, with the least set that links of similarity `least` or more, or of fingerprints within `radius` bits, reach."""
+    """(doc_id, text_key, root): every row, with the least set that links of similarity `least` or more reach; `radius`: candidates from fingerprints too."""
     each = written(sketches(docs, shingle, radius is not None), "sketches")
     reps = written(each.groupBy("sig").agg(F.min("text_key").alias("rep"), F.first("bands").alias("bands")), "sets")
     posted = reps.select("sig", F.explode("bands").alias("key"))
@@ -166,11 +166,11 @@ def groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, list_limit: in
     x, y = short.select("key", F.col("sig").alias("a")), short.select("key", F.col("sig").alias("b"))
     met = x.join(y, (x.key == y.key) & (F.col("a") < F.col("b"))).select("a", "b")
     star = long.where("sig <> head").select(F.col("head").alias("a"), F.col("sig").alias("b"))
-    pairs = written(met.union(star).distinct(), "pairs")
+    met = met.union(star) if radius is None else met.union(star).union(near_fingerprints(each, radius))
+    pairs = written(met.distinct(), "pairs")
     named = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
     sets = written(whole_sets(docs, reps, named, shingle), "whole")
-    alike = verified(pairs, sets, least)
-    found = written(alike if radius is None else alike.union(near_fingerprints(each, radius)), "links")
+    found = written(verified(pairs, sets, least), "links")
     roots = written(components(found), "roots")
 
     # Long lists that are in several parts still.

@@ -1,8 +1,9 @@
-"""The pipeline's near_dedup links by SimHash what shingle sets alone don't, and by shingle sets what SimHash doesn't."""
+"""The pipeline's near_dedup has candidates from SimHash and from MinHash bands, and keeps links of shingle sets 0.8 alike."""
 
 import random
 
 import corpus_pipeline
+from marginalia.llm import alike
 from marginalia.llm.simhash import fingerprint
 
 
@@ -21,4 +22,8 @@ def test_both_ways_link(spark, small):
     assert bits(*same) <= 4 < bits(plain, copy)
     texts = [*same, plain, copy, apart]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {row["doc_id"] for row in corpus_pipeline.near_dedup(spark, df, small).collect()} == {0, 2, 4}
+    assert {row["doc_id"] for row in corpus_pipeline.near_dedup(spark, df, small).collect()} == {0, 1, 2, 4}
+    each = alike.sketches(df, 5, True)
+    sig = {row["doc_id"]: row["sig"] for row in each.collect()}
+    found = [{row["a"], row["b"]} for row in alike.near_fingerprints(each, 4).collect()]
+    assert found == [{sig[0], sig[1]}]  # which their sets then refuse
