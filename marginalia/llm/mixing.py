@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 GATES, REFINED = 96, 33
 BLOCK, PIECE = 1 << 13, 1 << 10
 #: Rows that a shard learns from at most, about: its memory and its time.
@@ -164,25 +166,22 @@ class Mixer:
         return out
 
 
-def _sum(group: pd.DataFrame) -> pd.DataFrame:
-    """The sum of a block's arrays over the tasks or shards they come from, in their order."""
+def _sum(group: pd.DataFrame, kind: type) -> pd.DataFrame:
+    """The sum of a block's arrays over the tasks or shards they come from, in their order, as numbers of a kind."""
     group = group.sort_values("part")
-    kind = group["kind"].iloc[0]
-    total = np.zeros(len(group["n"].iloc[0]) // np.dtype(kind).itemsize)
-    for x in group["n"]:
-        total += np.frombuffer(x, kind)
-    return pd.DataFrame({"block": group["block"].iloc[:1], "n": [total.tobytes()]})
+    total = sum(np.frombuffer(x, own).astype(np.float64) for x, own in zip(group["n"], group["kind"], strict=True))
+    return pd.DataFrame({"block": group["block"].iloc[:1], "n": [total.astype(kind).tobytes()]})
 
 
-def _blocks(arrays: np.ndarray, size: int, part: int, whole: bool = False) -> pa.RecordBatch:
-    """The rows of an array cut into blocks, empty ones left out but if `whole`."""
+def _blocks(arrays: np.ndarray, size: int, part: int, whole: bool = False, first: int = 0) -> pa.RecordBatch:
+    """The rows of an array cut into blocks, numbered from `first` on, empty ones left out but if `whole`."""
     flat = arrays.ravel()
     rows = np.pad(flat, (0, -len(flat) % size)).reshape(-1, size)
     picked = np.arange(len(rows)) if whole else np.flatnonzero(rows.any(1))
     return pa.record_batch(
         {
             "part": pa.array(np.full(len(picked), part), pa.int64()),
-            "block": pa.array(picked, pa.int64()),
+            "block": pa.array(picked + first, pa.int64()),
             "kind": pa.array([rows.dtype.str] * len(picked), pa.string()),
             "n": pa.array([rows[i].tobytes() for i in picked], pa.binary()),
         }
@@ -192,41 +191,54 @@ def _blocks(arrays: np.ndarray, size: int, part: int, whole: bool = False) -> pa
 BLOCKS = "part long, block long, kind string, n binary"
 
 
-def _summed(blocks: DataFrame, size: int, length: int) -> np.ndarray:
-    """Blocks summed in tasks, one small group each, and brought together: an array of a given size."""
-    rows = blocks.groupBy("block").applyInPandas(_sum, "block long, n binary").toArrow()
-    out = np.zeros(-(-length // size) * size)
+def _summed(blocks: DataFrame, size: int, length: int, kind: type = np.float64) -> np.ndarray:
+    """Blocks summed in tasks, one small group each, and brought together: an array of a given size and kind."""
+    rows = blocks.groupBy("block").applyInPandas(lambda group: _sum(group, kind), "block long, n binary").toArrow()
+    out = np.zeros(-(-length // size) * size, kind)
     for i, n in zip(rows.column("block").to_pylist(), rows.column("n"), strict=True):
-        out[i * size : (i + 1) * size] = np.frombuffer(n.as_buffer())
+        out[i * size : (i + 1) * size] = np.frombuffer(n.as_buffer(), kind)
     return out[:length]
 
 
-def learn_model(rows: DataFrame, events: Callable[[pa.RecordBatch], Iterator[Events]], code: Code, predictors: int, slot_bits: int) -> Mixer:
-    """The mixer learnt from `rows`, which have a hash `key` and what `events` makes contexts and symbols of.
+def tallied(events: Iterator[Events], code: Code, predictors: int, slot_bits: int) -> np.ndarray:
+    """How often each bit occurred in each slot (predictor, slot and bit): 32-bit numbers as long as they hold the sum of all."""
+    table, total = np.zeros((predictors, 2 << slot_bits), U32), 0
+    for contexts, symbols, times in events:
+        total += int(times.sum())
+        if table.dtype == U32 and total >= 1 << 32:
+            table = table.astype(np.int64)
+        for places, bit, slots in code.steps(contexts, symbols, slot_bits):
+            n = times[places].astype(table.dtype)
+            for k, s in enumerate(slots):
+                np.add.at(table[k], s * 2 + bit, n)
+    return table
+
+
+def learn_model(
+    rows: DataFrame, events: Callable[[pa.RecordBatch], Iterator[Events]], code: Code, predictors: int, slot_bits: int, size: int | None = None
+) -> Mixer:
+    """The mixer learnt from `rows` (`size` of them, if known), which have a hash `key` and what `events` makes contexts and symbols of.
 
     What comes to the driver and goes to the tasks is of the size that `slot_bits` gives, whatever the rows.
     """
     sc = rows.sparkSession.sparkContext
-    shards = max(1, -(-rows.count() // SHARD_ROWS))
+    shards = max(1, -(-(rows.count() if size is None else size) // SHARD_ROWS))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        table = np.zeros((predictors, 2 << slot_bits), np.int64)
-        for b in batches:
-            for contexts, symbols, times in events(b):
-                for places, bit, slots in code.steps(contexts, symbols, slot_bits):
-                    n = times[places]
-                    for k, s in enumerate(slots):
-                        np.add.at(table[k], s * 2 + bit, n)
-        fits = table.max(initial=0) < 1 << 32
-        yield _blocks(table.astype(U32) if fits else table, BLOCK, TaskContext.get().partitionId())
-
-    total = _summed(rows.coalesce(max(6, shards)).mapInArrow(tally, BLOCKS), BLOCK, predictors * (2 << slot_bits))
-    counts = sc.broadcast(total.astype(np.float32).reshape(predictors, -1, 2))
+        give_back()
+        table = tallied((e for b in batches for e in events(b)), code, predictors, slot_bits)
+        for k, own in enumerate(table):  # one at a time, as the tables are large
+            yield _blocks(own, BLOCK, TaskContext.get().partitionId(), first=k * len(own) // BLOCK)
+
+    total = _summed(rows.coalesce(max(6, shards)).mapInArrow(tally, BLOCKS), BLOCK, predictors * (2 << slot_bits), np.float32)
+    total = total.reshape(predictors, -1, 2)
+    counts = sc.broadcast(total)
     inputs = predictors + 2
 
     def fit(group: pa.Table) -> pa.Table:
+        give_back()
         group = group.sort_by("key").combine_chunks()
         own = Mixer(code, counts.value, apart=True)
         for b in group.to_batches():
@@ -238,9 +250,10 @@ def learn_model(rows: DataFrame, events: Callable[[pa.RecordBatch], Iterator[Eve
 
     sharded = rows.withColumn("shard", F.pmod("key", F.lit(shards)))
     learnt = _summed(sharded.groupBy("shard").applyInArrow(fit, BLOCKS), PIECE, GATES * inputs * (inputs + 1) + REFINED * GATES * 2)
+    counts.destroy()
     curve, pull, refine = np.split(learnt, [GATES * inputs * inputs, GATES * inputs * (inputs + 1)])
     if not curve.any():
-        return Mixer(code, counts.value)
+        return Mixer(code, total)
     # Each shard's weights count as far as it has seen them bend.
     weights = np.linalg.solve(curve.reshape(GATES, inputs, inputs), pull.reshape(GATES, inputs, 1))[:, :, 0]
-    return Mixer(code, counts.value, weights=weights, refine=refine.reshape(REFINED, GATES, 2))
+    return Mixer(code, total, weights=weights, refine=refine.reshape(REFINED, GATES, 2))

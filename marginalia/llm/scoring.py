@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import give_back, written
 from .mixing import ODD, PASS, U32, Code, Events, Mixer, learn_model, stirred
 from .words import by_word, slices, split_words, sum_over_words, with_kinds, word_counts
 
@@ -92,8 +92,8 @@ def lettered(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, starts
 
 
-def spelled(words: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
-    """(words, contexts, bytes, word of each byte) for runs of words of about PASS bytes."""
+def spelled(words: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(words, contexts, bytes, word of each byte, number that only bytes in equal contexts share) for runs of words of about PASS bytes."""
     at = 0
     while at < len(words):
         to = at + 1 + int(np.searchsorted(np.cumsum(pc.binary_length(words[at : at + PASS]).to_numpy()), PASS))
@@ -101,28 +101,41 @@ def spelled(words: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np
         flat, starts = lettered(words[at:to])
         place = np.arange(len(flat)) - np.repeat(starts[:-1], np.diff(starts))
         h, contexts = flat[np.repeat(starts[:-1], np.diff(starts))].astype(U32), []
+        # In 59 bits the place, as far as contexts reach, the kind, the byte and the bytes before it.
+        alike = np.minimum(place, max(SPELL_ORDERS) + 1) << 16 | h.astype(np.int64) << 8 | flat
         for k in range(1, max(SPELL_ORDERS) + 1):
             prior = np.zeros(len(flat), U32)
             prior[k:] = flat[:-k]
+            alike = alike << 8 | np.where(place > k, prior, 0)
             prior[place <= k] = 256
             h = stirred((h ^ (prior + U32(1))) * ODD)
             if k in SPELL_ORDERS:
                 contexts.append(h + U32(k))
         said = place > 0  # the kind itself is given
-        yield slice(at, to), np.stack(contexts)[:, said], flat[said].astype(np.int64), np.repeat(np.arange(to - at), np.diff(starts))[said]
+        yield slice(at, to), np.stack(contexts)[:, said], flat[said].astype(np.int64), np.repeat(np.arange(to - at), np.diff(starts))[said], alike[said]
         at = to
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where one of each of the different values stands, which of these each value is)."""
+    same = pa.array(values).dictionary_encode().indices.to_numpy()
+    first = np.empty(int(same.max(initial=-1)) + 1, np.int64)
+    first[same] = np.arange(len(same))
+    return first, same
+
+
 def spelled_events(b: pa.RecordBatch) -> Iterator[Events]:
-    for _, contexts, symbols, _ in spelled(b.column("word")):
-        yield contexts, symbols, np.ones(len(symbols), np.int64)
+    for _, contexts, symbols, _, alike in spelled(b.column("word")):
+        first, same = distinct(alike)
+        yield contexts[:, first], symbols[first], np.bincount(same, minlength=len(first))
 
 
 def spell_log10(words: pa.Array, mixer: Mixer) -> np.ndarray:
     """The log10 probability that each word is spelt so, after its kind."""
     out = np.zeros(len(words))
-    for run, contexts, symbols, word in spelled(words):
-        out[run] = np.bincount(word, mixer.log10(contexts, symbols), run.stop - run.start)
+    for run, contexts, symbols, word, alike in spelled(words):
+        first, same = distinct(alike)
+        out[run] = np.bincount(word, mixer.log10(contexts[:, first], symbols[first])[same], run.stop - run.start)
     return out
 
 
@@ -143,7 +156,8 @@ def byte_code(words: DataFrame) -> Code:
 def spelling(known: DataFrame) -> Mixer:
     """The mixer learnt from distinct words, as a new word shares its letters with words and not with how often they occur."""
     rows = known.select("word", F.xxhash64("word").alias("key"))
-    return learn_model(rows, spelled_events, byte_code(known), len(SPELL_ORDERS), slot_bits(known.count(), SPELL_BITS))
+    size = known.count()
+    return learn_model(rows, spelled_events, byte_code(known), len(SPELL_ORDERS), slot_bits(size, SPELL_BITS), size)
 
 
 # --- the flow of classes ------------------------------------------------------------------------------
@@ -210,22 +224,29 @@ def flow_counts(docs: DataFrame, train: str, frequent: Frequent, mixed_words: bo
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
+        def hold(event: np.ndarray) -> None:
+            event, n = np.unique(event, return_counts=True)
+            held.append((event, n.astype(np.int32)))
+
         def together() -> pa.RecordBatch:
-            event, at = np.unique(np.concatenate([e for e, _ in held]), return_inverse=True)
-            n = np.bincount(at, np.concatenate([n for _, n in held]), len(event)).astype(np.int64)
+            event, n = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            return pa.record_batch({"event": event, "n": n})
+            order = np.argsort(event, kind="stable")
+            event, n = event[order], n[order]
+            first = np.flatnonzero(np.diff(event, prepend=-1))
+            return pa.record_batch({"event": event[first], "n": np.add.reduceat(n, first, dtype=np.int64)})
 
         for b in (part for whole in batches for part in slices(whole)):
             offsets, codes, words = split_words(b.column("text"), lower=True)
             kind = kinds(offsets, codes, words)
             codes, words = with_kinds(kind, offsets, codes, words)
             _, packed, _, apart, index = shared.value.flow(kind, offsets, codes, words)
-            held.append(np.unique(apart << 32 | packed.astype(np.int64), return_counts=True))
+            hold(apart << 32 | packed.astype(np.int64))
             if mixed_words:
-                held.append(np.unique(WORD + followed(packed, index)[1], return_counts=True))
+                hold(WORD + followed(packed, index)[1])
             if sum(len(e) for e, _ in held) > HELD_EVENTS:
                 yield together()
         if held:
@@ -236,11 +257,12 @@ def flow_counts(docs: DataFrame, train: str, frequent: Frequent, mixed_words: bo
 
 def flow_model(events: DataFrame) -> Mixer:
     """The mixer of classes; events and their contexts are as bounded as the frequent words are."""
-    total = np.ones(SYMBOLS, np.int64)
-    for r in events.groupBy(F.shiftright("event", 32).alias("symbol")).agg(F.sum("n").alias("n")).collect():
+    total, size = np.ones(SYMBOLS, np.int64), 0
+    for r in events.groupBy(F.shiftright("event", 32).alias("symbol")).agg(F.sum("n").alias("n"), F.count("*").alias("events")).collect():
         total[r["symbol"]] += r["n"]
+        size += r["events"]
     rows = events.select("event", "n", F.xxhash64("event").alias("key"))
-    return learn_model(rows, flow_events, Code(total), FLOW_PREDICTORS, slot_bits(events.count(), FLOW_BITS))
+    return learn_model(rows, flow_events, Code(total), FLOW_PREDICTORS, slot_bits(size, FLOW_BITS), size)
 
 
 # --- frequent words within their classes --------------------------------------------------------------------
@@ -271,7 +293,8 @@ def word_events(b: pa.RecordBatch) -> Iterator[Events]:
 def word_model(events: DataFrame, counts: np.ndarray, groups: np.ndarray) -> Mixer:
     """The mixer of frequent words, each told within its group (its kind and class)."""
     rows = events.select("event", "n", F.xxhash64("event").alias("key"))
-    return learn_model(rows, word_events, Code(counts, groups), WORD_PREDICTORS, slot_bits(events.count(), WORD_BITS))
+    size = events.count()
+    return learn_model(rows, word_events, Code(counts, groups), WORD_PREDICTORS, slot_bits(size, WORD_BITS), size)
 
 
 # --- documents -------------------------------------------------------------------------------------------
@@ -366,6 +389,7 @@ def score(docs: DataFrame, mixed_words: bool = False) -> DataFrame:
     spelt = by_word(joined, lambda own: {"spelt": spell_log10(own, mixer.value)}, "spelt double")
     cls, apart = (_class(F.col("n_train") - k, F.col("in_all") - k, least, n_words) for k in (0, 1))
     valued = written(spelt.withColumn("cls", cls).withColumn("apart", apart), "spelt")
+    mixer.destroy()
     # A word weighs its occurrences and what its spelling would get of as many as words seen once.
     chance = F.pow(F.lit(10.0), "spelt")
     weight = F.col("n_train") + F.element_at(F.array(*map(F.lit, once.tolist())), kind_of() + 1) * (F.col("in_all") / F.lit(float(max(n_words, 1))) + chance) / 2

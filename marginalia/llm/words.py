@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key
+from .common import give_back, row_key
 
 HEAD, HEAD_BYTES = 1 << 18, 64  # words and bytes of a word that go to every task at most
 
@@ -117,6 +117,7 @@ def sum_over_words(
     shared = docs.sparkSession.sparkContext.broadcast((head.column("word").combine_chunks(), np.vstack([table, np.zeros((1, len(given)))])))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         known, table = shared.value
         for b in (part for whole in batches for part in slices(whole)):
             offsets, codes, words = split_words(b.column("text"), lower)
@@ -162,6 +163,7 @@ def by_word(words: DataFrame, value: Callable[[pa.Array], dict[str, np.ndarray]]
     """`words` with columns worked out from each word once."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for b in batches:
             yield pa.record_batch({n: b.column(n) for n in b.schema.names} | value(b.column("word")))
 
